@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import chat, decontam, quality, rules
+from trendloom.llm import chat, decontam, pii, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.find_pii(docs)
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
