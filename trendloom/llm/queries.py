@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import chat, decontam, pii, quality, rules
+from trendloom.llm import bpe, chat, decontam, pii, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +56,25 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    tables = spark.sparkContext.broadcast((bpe.token_bytes(ranks), [str(i) for i in range(max(ranks.values()) + 1)]))
+
+    @F.arrow_udf("struct<ids:string,decoded:string>")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Of the decimal ids and of the decoded bytes."""
+        data, names = tables.value
+        for column in batches:
+            out = [{"ids": hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), "decoded": hashlib.sha256(bpe.decode_ids(ids, data)).hexdigest()} for ids in bpe.lists(column)]
+            yield pa.array(out, pa.struct([("ids", pa.string()), ("decoded", pa.string())]))
+
+    out = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digests("ids").alias("d"))
+    return out.select("doc_id", "n_tokens", F.col("d.ids").alias("ids_sha256"), F.col("d.decoded").alias("decoded_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.find_pii(docs)
@@ -64,6 +87,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
