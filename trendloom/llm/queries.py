@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, decontam, pii, quality, rules, sharding
+from trendloom.llm import bpe, chat, decontam, neardup, pii, quality, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined("pii_base"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -96,6 +100,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
