@@ -289,7 +289,7 @@ def _across(best_only: bool, id_type: pa.DataType):
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             flat = g.column("sketch").combine_chunks()
             flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            sketch = flat.flatten().to_numpy().reshape(len(node), BITS // 64)
+            sketch = flat.flatten().to_numpy().view(np.uint64).reshape(len(node), BITS // 64)
             found.update(pairs_of(node, comp, np.flatnonzero(tile == i), np.flatnonzero(tile == j), sketch))
             if len(found) > 50_000:
                 yield flush()
