@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, decontam, neardup, pii, quality, rules, sharding
+from trendloom.llm import bpe, chat, decontam, html_text, licenses, neardup, pii, quality, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -92,15 +97,23 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    return out.select("doc_id", "license_id", "matched_words", "template_words", "coverage", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", span), ",").alias("spans"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
