@@ -3,7 +3,7 @@
 Encoding takes two shuffles:
   1. Texts are split into pre-tokens with their positions, a chunk of some MB at a time.
      A chunk's pre-tokens become its distinct words (dealt into buckets by hash) and one
-     array of positions: word numbers in text order, the most frequent first.
+     array of positions: word numbers in text order, the smallest for the most frequent.
   2. Words meet by bucket, so that each distinct word of the corpus is in one task, which
      encodes it once, whatever the number of chunks that have it.
   3. The ids return to their chunk, and the texts' ids are put together by position.
@@ -31,7 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+#: Texts are split into words so many characters at a time.
+PART_CHARS = 1 << 20
+#: A word that a chunk has so often is frequent.
+OFTEN = 4
 
 #: The split before merges of the public 50k vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,60 +129,104 @@ def _unpack(data: bytes) -> list[bytes]:
     return out
 
 
-def _split(n_buckets: int, id_type: pa.DataType, schema: pa.Schema):
-    """Chunks of texts -> a row of positions (kind 1) and a row of words for each bucket
-    (kind 0)."""
+def _front(words: list[bytes]) -> bytes:
+    """Words packed as what each shares with the one before and the rest of it."""
+    shared, rest, before = [], [], b""
+    for w in words:
+        k, most = 0, min(len(w), len(before), 255)
+        while k < most and w[k] == before[k]:
+            k += 1
+        shared.append(k)
+        rest.append(w[k:])
+        before = w
+    return _pack(np.array(shared, np.uint8), np.fromiter(map(len, rest), np.int32, len(rest)), np.frombuffer(b"".join(rest), np.uint8))
+
+
+def _unfront(data: bytes) -> Iterator[bytes]:
+    shared, sizes, rest = _unpack(data)
+    at, word = 0, b""
+    for k, n in zip(shared, np.frombuffer(sizes, np.int32).tolist(), strict=True):
+        word = word[:k] + rest[at : at + n]
+        at += n
+        yield word
+
+
+class _Chunk:
+    """Texts as numbers of distinct words."""
+
+    def __init__(self) -> None:
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.numbers: list[np.ndarray] = []
+        self.known: dict[str, int] = {}
+        self.tokens: list[str] = []
+        self.chars = self.waiting = 0
+
+    def add(self, key, tokens: list[str], chars: int) -> None:
+        self.ids.append(key)
+        self.sizes.append(len(tokens))
+        self.tokens += tokens
+        self.chars += chars + 16
+        self.waiting += chars
+        if self.waiting >= PART_CHARS:
+            self.number()
+
+    def number(self) -> None:
+        coded = pa.array(self.tokens, pa.string()).dictionary_encode()
+        known = self.known
+        own = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
+        self.numbers.append(own[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int32))
+        self.tokens, self.waiting = [], 0
+
+    def rows(self, n_buckets: int) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """The payload of the positions, and (bucket, payload) of the words. Numbers go to
+        the frequent words by frequency, then to the others by bucket and in order, so that
+        neighbours share their beginnings; a bucket has its words by number."""
+        self.number()
+        number = np.concatenate(self.numbers)
+        words = [w.encode() for w in self.known]
+        counts = np.bincount(number, minlength=len(words))
+        bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int32, len(words))
+        often = np.flatnonzero(counts >= OFTEN)
+        often = often[np.argsort(-counts[often], kind="stable")]
+        rare = sorted(np.flatnonzero(counts < OFTEN).tolist(), key=lambda i: (bucket[i], words[i]))
+        order = np.concatenate((often, np.array(rare, np.int64)))
+        new = np.empty(len(words), np.int64)
+        new[order] = np.arange(len(order))
+        place = new[number]
+        payload = _pack(np.array(self.sizes, np.int64), bucket[often], *[(place >> s & 0xFF).astype(np.uint8) for s in (0, 8, 16, 24)])
+        by = order[np.argsort(bucket[order], kind="stable")]
+        ends = np.searchsorted(bucket[by], np.arange(n_buckets), "right").tolist()
+        starts = [0, *ends[:-1]]
+        return payload, [(b, _front([words[i] for i in by[lo:hi].tolist()])) for b, (lo, hi) in enumerate(zip(starts, ends, strict=True)) if hi > lo]
+
+
+def _split(n_buckets: int, schema: pa.Schema):
+    """Texts -> for each chunk a row of positions (kind 1) and a row of words for each
+    bucket (kind 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(PATTERN).findall
-        part = TaskContext.get().partitionId()
-        number = 0
-        ids: list = []
-        sizes: list[int] = []
-        tokens: list[str] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, ids, sizes, tokens, size
-            chunk = part << 32 | number
-            coded = pa.array(tokens, pa.string()).dictionary_encode()
-            index = coded.indices.to_numpy(zero_copy_only=False)
-            words = [w.encode() for w in coded.dictionary.to_pylist()]
-            order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            place = rank[index]
-            words = [words[i] for i in order]
-            bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int32, len(words))
-            payload = _pack(np.array(sizes, np.int64), bucket, *[(place >> s & 0xFF).astype(np.uint8) for s in (0, 8, 16, 24)])
-            rows = {"key": [chunk], "kind": [1], "chunk": [chunk], "bucket": [0], "payload": [payload], "ids": [ids]}
-            by = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[by], np.arange(n_buckets), "right")
-            start = 0
-            for b, end in enumerate(ends.tolist()):
-                if end > start:
-                    own = [words[i] for i in by[start:end]]
-                    data = _pack(np.array([len(w) for w in own], np.int32), np.frombuffer(b"".join(own), np.uint8))
-                    for k, v in (("key", -1 - b), ("kind", 0), ("chunk", chunk), ("bucket", b), ("payload", data), ("ids", None)):
-                        rows[k].append(v)
-                start = end
-            number, ids, sizes, tokens, size = number + 1, [], [], [], 0
-            yield pa.RecordBatch.from_pydict(rows, schema)
+        part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, chunk
+            name = part << 32 | number
+            payload, words = chunk.rows(n_buckets)
+            rows = [(name, 1, name, 0, payload, chunk.ids), *((-1 - b, 0, name, b, data, None) for b, data in words)]
+            number, chunk = number + 1, _Chunk()
+            return pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
         for batch in batches:
             texts = batch.column(1)
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                if size and size + len(text) > CHUNK_BYTES:
-                    yield from flush()
-                found = find(text)
-                ids.append(batch.column(0)[i].as_py())
-                sizes.append(len(found))
-                tokens += found
-                size += len(text) + 16
-        if ids:
-            yield from flush()
+                if chunk.ids and chunk.chars + len(text) > CHUNK_BYTES:
+                    yield flush()
+                chunk.add(batch.column(0)[i].as_py(), find(text), len(text))
+        if chunk.ids:
+            yield flush()
 
     return run
 
@@ -193,11 +241,8 @@ def _encode(ranks, schema: pa.Schema):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 if row.column(1)[0].as_py() == 0:
-                    lengths, data = _unpack(row.column(4)[0].as_py())
-                    counts, out, at = [], [], 0
-                    for n in np.frombuffer(lengths, np.int32).tolist():
-                        word = data[at : at + n]
-                        at += n
+                    counts, out = [], []
+                    for word in _unfront(row.column(4)[0].as_py()):
                         got = known.get(word)
                         if got is None:
                             got = known[word] = encode_word(word, table)
@@ -213,35 +258,42 @@ def _encode(ranks, schema: pa.Schema):
 def _join(schema: pa.Schema):
     """A chunk's ids by bucket, then its positions -> a row for each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
+        coded: list[tuple[int, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = _unpack(batch.column(4)[i].as_py())
                 if batch.column(1)[i].as_py() == 0:
-                    counts.append(np.frombuffer(raw[0], np.int32))
-                    ids.append(np.frombuffer(raw[1], np.int32))
+                    coded.append((batch.column(3)[i].as_py(), np.frombuffer(raw[0], np.int32), np.frombuffer(raw[1], np.int32)))
                     continue
-                sizes, bucket = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.int32)
-                place = sum(np.frombuffer(p, np.uint8).astype(np.int64) << 8 * k for k, p in enumerate(raw[2:]))
-                n = np.empty(len(bucket), np.int64)  # ids of each word, the words in order of frequency
-                at = np.empty(len(bucket), np.int64)
-                order = np.argsort(bucket, kind="stable")
-                if len(order):
-                    c = np.concatenate(counts).astype(np.int64)
-                    n[order], at[order] = c, np.cumsum(c) - c
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                stops = np.concatenate(([0], np.cumsum(sizes)))
-                keys = batch.column(5)[i].values
-                for lo in range(0, len(sizes), 256):  # some texts at a time
-                    hi = min(lo + 256, len(sizes))
-                    p = place[stops[lo] : stops[hi]] if len(bucket) else np.empty(0, np.int64)
-                    m = n[p]
-                    ends = np.concatenate(([0], np.cumsum(m)))
-                    out = flat[np.repeat(at[p] - ends[:-1], m) + np.arange(ends[-1])]
-                    offsets = ends[stops[lo : hi + 1] - stops[lo]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))], schema=schema)
-                counts, ids = [], []
+                yield from texts_of(raw, coded, batch.column(5)[i].values)
+                coded = []
+
+    def texts_of(raw: list[bytes], coded: list, keys: pa.Array) -> Iterator[pa.RecordBatch]:
+        sizes, bucket = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[1], np.int32)
+        place = np.zeros(len(raw[2]), np.int32)
+        for k, plane in enumerate(raw[2:]):
+            place |= np.frombuffer(plane, np.uint8).astype(np.int32) << 8 * k
+        words = sum(len(c) for _, c, _ in coded)
+        n, at = np.empty(words, np.int32), np.empty(words, np.int64)  # ids of each word, by number
+        order = np.argsort(bucket, kind="stable")
+        rare, base = len(bucket), 0
+        for b, c, own in coded:
+            lo, hi = np.searchsorted(bucket[order], [b, b + 1])
+            often, more = order[lo:hi], len(c) - (hi - lo)
+            first = np.cumsum(c, dtype=np.int64) - c + base
+            n[often], at[often] = c[: hi - lo], first[: hi - lo]
+            n[rare : rare + more], at[rare : rare + more] = c[hi - lo :], first[hi - lo :]
+            rare, base = rare + more, base + len(own)
+        flat = np.concatenate([*(own for _, _, own in coded), np.empty(0, np.int32)])
+        stops = np.concatenate(([0], np.cumsum(sizes)))
+        for lo in range(0, len(sizes), 128):  # some texts at a time
+            hi = min(lo + 128, len(sizes))
+            p = place[stops[lo] : stops[hi]]
+            m = n[p]
+            ends = np.concatenate(([0], np.cumsum(m, dtype=np.int64)))
+            out = flat[np.repeat(at[p] - ends[:-1], m) + np.arange(ends[-1])]
+            offsets = ends[stops[lo : hi + 1] - stops[lo]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))], schema=schema)
 
     return run
 
@@ -258,7 +310,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     rows = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("ids", pa.list_(id_type))])
     ddl = f"key bigint, kind int, chunk bigint, bucket int, payload binary, ids array<{kind.simpleString()}>"
     shared = spark.sparkContext.broadcast(ranks)
-    parts = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_split(n_buckets, id_type, rows), ddl)
+    parts = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_split(n_buckets, rows), ddl)
     coded = parts.repartition("key").mapInArrow(_encode(shared, rows), ddl)
     whole = coded.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     return whole.mapInArrow(_join(pa.schema([(id_col, id_type), ("ids", pa.list_(pa.int32()))])), f"`{id_col}` {kind.simpleString()}, ids array<int>")
