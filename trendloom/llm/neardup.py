@@ -10,11 +10,10 @@ Buckets are never expanded into all pairs:
   1. Each class meets the smallest class of each of its buckets and is confirmed against
      one of them that the sketches leave. Large groups of near copies become one component.
   2. Where a bucket still has several components, its classes are compared by sketch across
-     components, a tile of classes against another at a time; the best partner in each other
-     component is confirmed.
-  3. Whatever pairs across components are left in a bucket are compared by sketch and all
-     that remain are confirmed. So no pair of a bucket is skipped unless both are in one
-     component or their sketches differ in more than the limit.
+     components, a tile of classes against another at a time, and what the sketches leave is
+     confirmed on the full sets there. Only links that join components leave the task.
+So no pair of a bucket is skipped unless both are in one component or their sketches differ
+in more than the limit.
 Two sets with similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 < 4e-6, and
 sketches drop them with probability below 1e-4; at 0.85 both are below 1e-8.
 
@@ -237,26 +236,37 @@ def connect(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def _across(best_only: bool, id_type: pa.DataType):
-    """Rows (key, i, j, node, comp, tile, sketch), sorted by key, i, j -> pairs (a, b) of
-    different components whose sketches are close, within each (key, i, j)."""
+def _links_of(node: list, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray, sets: pa.ListArray, similarity: int) -> Iterator[tuple]:
+    """Links that join components: pairs of different components whose sketches are close
+    and whose sets confirm it. At most one fewer than there are classes."""
+    _, label = np.unique(comp, return_inverse=True)
+    ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+    _, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)  # dense numbers
+    size = np.diff(ends)
+    mine = np.zeros(int(shingle.max(initial=-1)) + 1, bool)
+    for lo in range(0, len(left), 64):
+        block = left[lo : lo + 64]
+        bits = np.bitwise_count(sketch[block][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
+        for x, near in zip(block.tolist(), bits <= MOST_BITS, strict=True):
+            other = right[near & (label[right] != label[x])]
+            if not len(other):
+                continue
+            own = shingle[ends[x] : ends[x + 1]]
+            mine[own] = True
+            spans = np.concatenate([shingle[ends[y] : ends[y + 1]] for y in other.tolist()])
+            both = np.add.reduceat(mine[spans], np.cumsum(size[other]) - size[other], dtype=np.int64)
+            mine[own] = False
+            for y in other[100 * both >= similarity * (size[x] + size[other] - both)].tolist():
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
+
+
+def _across(similarity: int, id_type: pa.DataType):
+    """Rows (key, i, j, node, comp, tile, sketch, shingles), sorted by key, i, j -> links
+    (a, b) between components within each (key, i, j)."""
     schema = pa.schema([("a", id_type), ("b", id_type)])
 
-    def pairs_of(node: list, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray) -> Iterator[tuple]:
-        _, codes = np.unique(comp, return_inverse=True)
-        for lo in range(0, len(left), 64):
-            x = left[lo : lo + 64]
-            bits = np.bitwise_count(sketch[x][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
-            close = (bits <= MOST_BITS) & (codes[x][:, None] != codes[right][None])
-            r, c = np.nonzero(close)
-            if best_only and len(r):  # the closest in each other component
-                order = np.lexsort((bits[r, c], codes[right[c]], r))
-                r, c = r[order], c[order]
-                first = np.concatenate(([True], (r[1:] != r[:-1]) | (codes[right[c[1:]]] != codes[right[c[:-1]]])))
-                r, c = r[first], c[first]
-            for i, j in zip(x[r].tolist(), right[c].tolist(), strict=True):
-                yield (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple] = set()
         rest: pa.Table | None = None
@@ -272,7 +282,7 @@ def _across(best_only: bool, id_type: pa.DataType):
                 for end in cut.tolist():
                     yield rest.slice(start, end - start)
                     start = end
-                rest = rest.slice(start).combine_chunks()
+                rest = rest.slice(start)
             if rest is not None and len(rest):
                 yield rest
 
@@ -287,10 +297,9 @@ def _across(best_only: bool, id_type: pa.DataType):
                 continue
             node, tile = g.column("node").to_pylist(), g.column("tile").to_numpy()
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            flat = g.column("sketch").combine_chunks()
-            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-            sketch = flat.flatten().to_numpy().view(np.uint64).reshape(len(node), BITS // 64)
-            found.update(pairs_of(node, comp, np.flatnonzero(tile == i), np.flatnonzero(tile == j), sketch))
+            one = lambda c: pa.concat_arrays(g.column(c).chunks)  # noqa: E731,B023
+            sketch = one("sketch").flatten().to_numpy().view(np.uint64).reshape(len(node), BITS // 64)
+            found.update(_links_of(node, comp, np.flatnonzero(tile == i), np.flatnonzero(tile == j), sketch, one("shingles"), similarity))
             if len(found) > 50_000:
                 yield flush()
         if found:
@@ -299,19 +308,20 @@ def _across(best_only: bool, id_type: pa.DataType):
     return run
 
 
-def _cross_pairs(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs across components within buckets of more than one component."""
+def _cross_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Confirmed links across components, of the buckets that have more than one."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = buckets.schema["node"].dataType
     rows = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
     rows = rows.select("key", "node", "comp").join(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key")
-    rows = rows.join(sketches, "node").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int"))
+    rows = rows.join(sketches, "node").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    rows = rows.select("key", "node", "comp", "tile", "sketch", other).select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "sketch")
+    rows = rows.select("key", "node", "comp", "tile", "sketch", "shingles", other)
+    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "sketch", "shingles")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_across(best_only, to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}").distinct()
+    return rows.mapInArrow(_across(similarity, to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}").distinct()
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -346,13 +356,9 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     near = stars.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").where(bits <= MOST_BITS)
     edges = materialize(confirmed(near.groupBy("b").agg(F.min("a").alias("a"))), "links")
     comps = connect(edges)
-    own = buckets.select("key", "node")
-    for best_only in (True, False):
-        more = materialize(confirmed(_cross_pairs(own, comps, sketches, best_only)), "links")
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        comps = connect(edges)
+    more = materialize(_cross_links(buckets.select("key", "node"), comps, sketches, sets, similarity), "links")
+    if not more.isEmpty():
+        comps = connect(edges.unionByName(more))
 
     named = classes.join(comps, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component"))
     out = rows.select("id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
