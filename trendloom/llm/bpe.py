@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.common import small_batches
+
 CHUNK_BYTES = 16 << 20
 #: Texts are split into words so many characters at a time.
 PART_CHARS = 1 << 20
@@ -184,13 +186,15 @@ class _Chunk:
         neighbours share their beginnings; a bucket has its words by number."""
         self.number()
         number = np.concatenate(self.numbers)
+        self.numbers = []
         words = [w.encode() for w in self.known]
+        self.known = {}
         counts = np.bincount(number, minlength=len(words))
         bucket = np.fromiter((zlib.crc32(w) % n_buckets for w in words), np.int32, len(words))
         often = np.flatnonzero(counts >= OFTEN)
         often = often[np.argsort(-counts[often], kind="stable")]
-        rare = sorted(np.flatnonzero(counts < OFTEN).tolist(), key=lambda i: (bucket[i], words[i]))
-        order = np.concatenate((often, np.array(rare, np.int64)))
+        rare = np.array(sorted(np.flatnonzero(counts < OFTEN).tolist(), key=words.__getitem__), np.int64)
+        order = np.concatenate((often, rare[np.argsort(bucket[rare], kind="stable")]))
         new = np.empty(len(words), np.int64)
         new[order] = np.arange(len(order))
         place = new[number]
@@ -303,7 +307,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     given, so that a bucket grows no faster than a partition."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
@@ -326,7 +330,7 @@ def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
 
 def decode(spark, ranks: dict[bytes, int]):
     """A column function: array of ids to bytes; null gives null."""
-    shared = spark.sparkContext.broadcast(token_bytes(ranks))
+    shared = small_batches(spark).sparkContext.broadcast(token_bytes(ranks))
 
     @F.arrow_udf("binary")
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

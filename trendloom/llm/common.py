@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python works through a column of long texts in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows at most that go to Python at once: texts may be long.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Send at most BATCH_ROWS rows to Python at once from now on; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

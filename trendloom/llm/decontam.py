@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import SLICE_BYTES, with_columns
+from trendloom.llm.common import SLICE_BYTES, small_batches, with_columns
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -190,7 +190,7 @@ def _matcher(spark, block: Windows):
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (words, end exclusive), item_ids (sorted) and
     matches (the longest verbatim match with each item found, and where)."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     found = [_matcher(spark, Windows(block, window))(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) for block in _blocks(benchmark, item_id_col, item_text_col, block_words)]
     names = [f"_found{i}" for i in range(len(found))]
     df = with_columns(docs, **dict(zip(names, found, strict=True)))

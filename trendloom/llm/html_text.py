@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import slices, with_columns
+from trendloom.llm.common import slices, small_batches, with_columns
 
 _TOKEN = re.compile(r"<(?:!--|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>)")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
@@ -216,6 +216,8 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, the main text of each."""
+    small_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:

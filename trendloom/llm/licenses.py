@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import slices
+from trendloom.llm.common import slices, small_batches
 from trendloom.llm.decontam import _FOLD
 from trendloom.llm.neardup import _mix, word_hashes
 
@@ -180,7 +180,7 @@ _FOUND = "array<struct<license_id:string,matched_words:bigint,template_words:big
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id_col, license_id, matched_words, template_words, coverage, spans): a row for each
     text and template of which at least `coverage` is matched."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = pa.list_(pa.struct([("license_id", pa.string()), ("matched_words", pa.int64()), ("template_words", pa.int64()), ("coverage", pa.float64()), ("spans", span)]))
 
@@ -188,7 +188,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out: list[list[dict]] = []
-            for part in slices(texts, 1 << 20):
+            for part in slices(texts):
                 hits = _hits([t.encode() for t in part], shared.value)
                 out += [_matches(t, hits[i], shared.value, coverage) if i in hits else [] for i, t in enumerate(part)]
             yield pa.array(out, kind)

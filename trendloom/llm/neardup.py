@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import materialize
+from trendloom.llm.common import materialize, small_batches
 
 WORDS = 5
 SIMILARITY = 80  # per cent
@@ -330,6 +330,7 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The bands and the sketch limit are made for 80 per cent or more."""
     if similarity < 80:
         raise ValueError("the bands and sketches are made for a similarity of 80 per cent or more")
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     signed = given.select("id", _signature(words)("text").alias("s"))
     rows = materialize(signed.select("id", "s.*"), "signatures")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import slices, with_columns
+from trendloom.llm.common import slices, small_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
@@ -220,6 +220,8 @@ def train(pattern_counts: dict[tuple, int]) -> Model:
 
 def fit_pii(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the vote patterns of all texts, then train."""
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
@@ -248,7 +250,7 @@ def spans_of(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[
 
 
 def _detector(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)
+    shared = small_batches(spark).sparkContext.broadcast(model)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     kind = pa.struct([("base", pa.list_(span)), ("spans", pa.list_(span))])
 
@@ -276,7 +278,7 @@ def find_pii(docs: DataFrame, model: Model | None = None, text_col: str = "text"
 def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
     """docs with each span in the text replaced by its kind, as in <EMAIL>; a null text
     stays null. Where spans overlap, they become one, named by the first."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit_pii(docs, text_col))
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model or fit_pii(docs, text_col))
 
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import slices, with_columns
+from trendloom.llm.common import slices, small_batches, with_columns
 
 MAX_FIT_DOCS = 4000
 MAX_FIT_CHARS = 20_000
@@ -221,7 +221,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS
 
 def quality_score(spark, model: Model):
     """A column function: text to score."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = small_batches(spark).sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
