@@ -125,7 +125,7 @@ def sync_technologies(bridge: DataFrame, incoming: DataFrame, changed: DataFrame
 
 
 def slugify(name: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.translate(name, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")), "[^a-z0-9]+", "-")
+    s = F.regexp_replace(F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z0-9]+", "-")
     return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 140)
 
 

@@ -347,7 +347,7 @@ def json_path_sort(s, d):
     return star.projects(s, d).select("id", feed.trending_key().cast("long").alias("contribution")).orderBy(F.desc("contribution"), F.desc("id")).limit(50)
 
 
-@query("""SELECT id, greatest(0, round(round(100 * (CASE WHEN n = 1 THEN 0.85 ELSE 1 END) * (e * 0.35 + r * 0.25 + c * 0.15 + coalesce(g, 0) * 0.15) * (1 + pool / have), 5), 3)) AS score FROM (
+@query("""SELECT id, greatest(0, round(100 * (CASE WHEN n = 1 THEN 0.85 ELSE 1 END) * (e * 0.35 + r * 0.25 + c * 0.15 + coalesce(g, 0) * 0.15) * (1 + pool / have), 5)) AS score FROM (
     SELECT *, 0.1 + CASE WHEN g IS NULL THEN 0.15 ELSE 0 END AS pool, 0.75 + CASE WHEN g IS NOT NULL THEN 0.15 ELSE 0 END AS have, CASE WHEN g IS NULL THEN 3 ELSE 4 END AS n FROM (
     SELECT p.id, 0.45 * least(1, ln(1 + w) / ln(1201)) + 0.55 * (CASE WHEN w > 0 THEN least(1, ln(1 + w / f) / ln(1.1)) ELSE 0 END) * (CASE WHEN w / f > 0.5 THEN 0.5 ELSE 1 END) AS e,
         CASE WHEN age > 168 THEN 0 WHEN age <= 4 THEN 1 ELSE pow(2, -(age - 4) / 36) END AS r, 0.7 * 0.9 + 0.3 * 0.8 AS c,
@@ -362,7 +362,7 @@ def score_full(s, d):
         "author_followers", F.lit(0.9).alias("classification_confidence"), F.lit(0.8).alias("extraction_confidence"), "repository_stars", F.lit(None).cast("long").alias("repository_forks"), F.lit(None).cast("timestamp").alias("repository_pushed_at"),
         F.array().cast("array<struct<captured_at:timestamp,like:bigint,repost:bigint,reply:bigint,quote:bigint>>").alias("history"),
     )
-    return scoring.score(df).select("id", F.round("score", 3).alias("score"))
+    return scoring.score(df).select("id", "score")
 
 
 @query("SELECT category AS old, CASE category WHEN 'high' THEN 'other' ELSE 'other' END AS new, count(*) AS n FROM projects GROUP BY ALL")
@@ -528,3 +528,107 @@ def stream_daily_counts(s, d):
     q = daily_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.table(name)
+
+
+# -- model output, extraction, summaries ---------------------------------------------------
+
+_RAW = "raws AS (SELECT doc_id, quality, toxic, doc_id % 7 AS k FROM labels)"
+
+
+def _raws(s, d):
+    """Model answers made of labels: verdicts of all kinds, some unreadable."""
+    k = F.col("doc_id") % 7
+    truth = F.when(F.col("quality") == 1, "true").otherwise("false")
+    raw = (
+        F.when(k == 0, "no json here").when(k == 1, F.concat(F.lit('```json\n{"is_project": '), truth, F.lit(', "is_new": "yes", "confidence": 95}\n```')))
+        .when(k == 2, F.concat(F.lit('{"is_project": '), truth, F.lit(', "is_new": true, "confidence": 0.5}'))).when(k == 3, '{"is_project": "maybe"}')
+        .otherwise(F.concat(F.lit('{"is_project": '), truth, F.lit(', "is_new": true, "confidence": "0.8", "reason": " ok "}')))
+    )
+    return star.table(s, d, "labels").select("doc_id", raw.alias("raw"))
+
+
+_OUTCOME = "CASE WHEN k IN (0, 3) THEN 'failed' WHEN quality = 0 THEN 'rejected' WHEN k = 2 THEN 'low_confidence' ELSE 'accepted' END"
+
+
+@query(f", {_RAW} SELECT doc_id, {_OUTCOME} AS outcome, CASE WHEN k IN (0, 3) THEN NULL WHEN k = 1 THEN 0.95 WHEN k = 2 THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN k > 3 THEN 'ok' END AS reason FROM raws")
+def model_verdicts(s, d):
+    from trendloom.functions.verdicts import parse_verdicts
+
+    return parse_verdicts(_raws(s, d)).select("doc_id", "outcome", "confidence", "reason")
+
+
+@query(f", {_RAW}, o AS (SELECT {_OUTCOME} AS outcome FROM raws) SELECT count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'low_confidence') AS low_confidence, count(*) FILTER (outcome = 'failed') AS failed, 0::BIGINT AS skipped, (count(*) * 0.5)::DOUBLE AS cost_usd, round(count(*) FILTER (outcome = 'accepted') / count(*) FILTER (outcome <> 'failed'), 3) AS acceptance_rate FROM o")
+def classification_summary(s, d):
+    from trendloom.functions.verdicts import parse_verdicts
+
+    return statistics.classification_summary(parse_verdicts(_raws(s, d)).withColumn("cost_usd", F.lit(0.5)))
+
+
+@plain("SELECT page_id, 'Page ' || page_id AS name, 'developer-tools' AS category, CASE WHEN page_id % 2 = 0 THEN 'cli' END AS project_type, 0.9::DOUBLE AS confidence, url AS website_url FROM pages WHERE page_id % 5 <> 0")
+def extraction_accepted(s, d):
+    from trendloom.functions.verdicts import extract_projects
+
+    key = F.col("page_id")
+    confidence = F.when(key % 5 == 0, "0.3").otherwise("0.9")
+    raw = F.concat(F.lit('{"name": "Page  '), key.cast("string"), F.lit('", "category": "DevTools", "project_type": "'), F.when(key % 2 == 0, "CLI").otherwise("spaceship"), F.lit('", "website_url": "'), F.col("url"), F.lit('", "confidence": '), confidence, F.lit("}"))
+    df = star.table(s, d, "pages").select("page_id", "url", raw.alias("raw"), F.lit("t").alias("text"), F.array("url").alias("post_urls"))
+    return extract_projects(df).where("accepted").select("page_id", "name", "category", "project_type", "confidence", "website_url")
+
+
+@plain(r"SELECT doc_id, CASE WHEN regexp_matches(text, '\bThe\b') THEN 'The' WHEN regexp_matches(text, '\bIs\b') THEN 'Is' END AS evidence FROM documents WHERE regexp_matches(text, '\b(The|Is)\b')")
+def technology_detect(s, d):
+    from trendloom.functions.verdicts import detect_technologies
+    from trendloom.plans.catalogs import Technology
+
+    catalog = (Technology("the", "The", "word", ("The", "Is"), True), Technology("none", "None", "word", ("zzzz",)))
+    found = detect_technologies(F.col("text"), F.array().cast("array<string>"), catalog)
+    return star.table(s, d, "documents").select("doc_id", F.get(found, 0)["evidence"].alias("evidence")).where("evidence is not null")
+
+
+@plain("SELECT count(*) FILTER (p) AS passed, count(*) FILTER (NOT p) AS rejected, 0::BIGINT AS failed, round(count(*) FILTER (p) / count(*), 3) AS pass_rate FROM (SELECT regexp_matches(lower(text), '\\bthe\\b') AS p FROM documents)")
+def filter_summary(s, d):
+    docs = star.table(s, d, "documents").select(F.col("text").alias("normalized_text"), F.lit(False).alias("has_link"), F.lit(False).alias("has_repository_link"), F.lit(False).alias("is_repost"))
+    return statistics.filter_summary(signals.apply_filter(docs, [Signal("the", 3, "launch")]))
+
+
+@plain("SELECT CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'none' ELSE 'no-signal' END AS value, count(*) AS n FROM documents GROUP BY 1")
+def reject_histogram(s, d):
+    docs = star.table(s, d, "documents").select(F.col("text").alias("normalized_text"), F.lit(False).alias("has_link"), F.lit(False).alias("has_repository_link"), F.lit(False).alias("is_repost"))
+    return statistics.histogram(signals.apply_filter(docs, [Signal("the", 3, "launch")]), "reject_reason")
+
+
+@plain("SELECT CASE WHEN rn > 1 THEN 'text_fingerprint' ELSE 'unique' END AS level, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) GROUP BY 1")
+def dup_level_counts(s, d):
+    docs = star.table(s, d, "documents")
+    posts = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("x_tweet_id"), F.lit(None).cast("string").alias("url_hash"), F.sha2("text", 256).alias("text_fingerprint"), F.timestamp_seconds("doc_id").alias("posted_at"))
+    return dedup.level_counts(dedup.deduplicate(posts))
+
+
+@plain("SELECT name, version FROM (SELECT p_brand AS name, p_partkey AS version, p_size > 10 AS is_active, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1 AND is_active")
+def latest_queries(s, d):
+    q = star.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("version"), (F.col("p_size") > 10).alias("is_active"))
+    return ledger.latest_queries(q).select("name", "version")
+
+
+@query("SELECT component, CASE component WHEN 'growth' THEN n WHEN 'github' THEN n ELSE 0 END AS unavailable, n AS scored FROM (SELECT unnest(['engagement', 'recency', 'confidence', 'github', 'growth']) AS component, (SELECT count(*) FROM posts) AS n)")
+def scoring_summary(s, d):
+    none = F.lit(None)
+    df = star.posts(s, d).select(
+        "id", "posted_at", at(ORDERS_NOW).alias("now"), F.col("like_count").alias("like"), F.col("repost_count").alias("repost"), F.col("reply_count").alias("reply"), F.col("quote_count").alias("quote"), none.cast("long").alias("bookmark"), none.cast("long").alias("author_followers"),
+        F.lit(0.9).alias("classification_confidence"), F.lit(0.8).alias("extraction_confidence"), none.cast("long").alias("repository_stars"), none.cast("long").alias("repository_forks"), none.cast("timestamp").alias("repository_pushed_at"),
+        F.array().cast("array<struct<captured_at:timestamp,like:bigint,repost:bigint,reply:bigint,quote:bigint>>").alias("history"),
+    )
+    return statistics.scoring_summary(scoring.score(df)).select("component", "unavailable", "scored")
+
+
+@plain("SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = '' AS is_empty FROM conversations")
+def empty_texts(s, d):
+    return star.table(s, d, "conversations").select("conv_id", "turn", (F.lower(text.readable_from(F.col("text"))) == "").alias("is_empty"))
+
+
+@plain("SELECT page_id, 'https://github.com/' || lower(host) || '/repo' AS canonical, lower(host) AS owner FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages)")
+def repository_urls(s, d):
+    """Addresses of a code host made of the pages' hosts: owner and name survive."""
+    made = F.concat(F.lit("http://www.github.com/"), F.upper(urls.part(F.col("url"), 2)), F.lit("/Repo.git/tree/main?ref=1#x"))
+    df = star.table(s, d, "pages").select("page_id", made.alias("u"))
+    return df.select("page_id", urls.canonicalize(F.col("u")).alias("canonical"), F.lower(urls.repository_ref(F.col("u"))["owner"]).alias("owner"))
