@@ -4,7 +4,7 @@ A page's text nodes are grouped by their tag path, root to leaf (names with id a
 For each path the length of its text and its punctuation are summed and divided by its
 nodes; the two ratios are fused, smoothed along the page, and thresholded against the
 page's spread to find content nodes. These choose the content's container, the deepest one
-that holds most of their text; its nodes are the article, without the parts that name
+that holds most of their text; its nodes, and a heading right above it, are the article, without the parts that name
 themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) and without low-ratio paths that are mostly links.
 
@@ -43,6 +43,8 @@ BLOCK = {
     "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTAINER = {"article", "main", "section", "div", "td", "body", "html", "center"}
+#: Share of the content's characters that the container holds at least.
+HOLDS = 0.8
 #: Elements that are never part of an article.
 NEVER = {"nav", "aside", "footer", "form", "menu", "head", "button", "select", "option", "dialog", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "status"}
@@ -192,15 +194,19 @@ def main_text(page: str) -> str:
             total += len(n.text)
             for e in n.chain:
                 size[e] = size.get(e, 0) + len(n.text)
-    holds = [e for e, s in size.items() if tags[e] in CONTAINER and 2 * s > total]
+    holds = [e for e, s in size.items() if tags[e] in CONTAINER and s >= HOLDS * total]
     container = max(holds, default=None)  # elements are numbered as they open: the deepest
     marked = [e for e in size if tags[e] in ("article", "main") and 2 * size[e] > total]
     if marked:  # an article holds its parts together
         container = min(marked) if tags[min(marked)] == "article" else max(marked)
+    inside = next((n.chain for n in kept if container in n.chain), ())
+    above = set(inside[: inside.index(container)]) if inside else set()
+    above = {e for e in above if tags[e] not in ("html", "body")}
     blocks: dict[int, list[str]] = {}
     links: dict[int, list[int]] = {}
     for n in kept:
-        if container is None or container in n.chain:
+        heading = tags[n.chain[-1]] in ("h1", "h2") and len(n.chain) > 1 and n.chain[-2] in above and n.chain[-1] < container if n.chain and container else False
+        if container is None or container in n.chain or heading:
             blocks.setdefault(n.block, []).append(n.text)
             of = links.setdefault(n.block, [0, 0, 0])
             of[0] += len(n.text.strip())
