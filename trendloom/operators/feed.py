@@ -157,7 +157,7 @@ def ordering(q: FeedQuery) -> list[Column]:
 
 def with_technologies(page: DataFrame, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
     """Slugs of each project, ordered by technology name."""
-    named = project_technology.join(F.broadcast(technologies.select(F.col("id").alias("technology_id"), "slug", "name").withColumnsRenamed({"slug": "_slug", "name": "_name"})), "technology_id")
+    named = project_technology.join(technologies.select(F.col("id").alias("technology_id"), F.col("slug").alias("_slug"), F.col("name").alias("_name")), "technology_id")
     ids = page.select(F.col("id").alias("project_id"))
     own = named.join(ids, "project_id", "left_semi").groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_name", "_slug"))), lambda t: t["_slug"]).alias("technologies"))
     return page.join(own, page["id"] == own["project_id"], "left").drop("project_id").withColumn("technologies", F.coalesce("technologies", F.array().cast("array<string>")))
@@ -186,7 +186,7 @@ def technology_facet(shown: DataFrame, project_technology: DataFrame, technologi
     """Distinct projects for each technology; a limit is held within 1 to 200."""
     used = project_technology.join(shown.select(F.col("id").alias("project_id")), "project_id", "left_semi")
     counts = used.groupBy("technology_id").agg(F.count_distinct("project_id").alias("n"))
-    named = counts.join(F.broadcast(technologies.select(F.col("id").alias("technology_id"), "slug", "name", "kind")), "technology_id")
+    named = counts.join(technologies.select(F.col("id").alias("technology_id"), "slug", "name", "kind"), "technology_id")
     out = named.select("slug", "name", "kind", "n").orderBy(F.desc("n"), "name")
     return out if limit is None else out.limit(max(1, min(200, limit)))
 

@@ -27,8 +27,8 @@ def stars_per_day(metrics: DataFrame, projects: DataFrame, first: Column, last:
     live = projects.where(F.col("aged_out_at").isNull()).select(F.col("id").alias("project_id"))
     seen = metrics.where(F.col("repository_stars").isNotNull() & F.col("captured_at").between(first, last)).join(live, "project_id", "left_semi")
     by_day = seen.groupBy(day(F.col("captured_at")).alias("day"), "project_id").agg(F.max("repository_stars").alias("stars")).groupBy("day").agg(F.sum("stars").alias("value"))
-    days = by_day.agg(F.count("*").alias("_days"))
-    return by_day.crossJoin(F.broadcast(days)).where(F.col("_days") >= 2).drop("_days")  # one row on the right
+    days = F.count("*").over(Window.partitionBy())  # a row for each day
+    return by_day.withColumn("_days", days).where(F.col("_days") >= 2).drop("_days")
 
 
 def period_totals(counted: DataFrame) -> DataFrame:
@@ -53,10 +53,9 @@ def headlines(tagged: DataFrame) -> DataFrame:
         F.count("*").cast("double").alias("projects"), F.coalesce(F.sum("engagement_count"), F.lit(0)).cast("double").alias("engagement"), F.round(F.avg("score"), 4).alias("average_score"),
         F.count_if(F.col("repository_id").isNotNull()).cast("double").alias("with_repository"),
     )
-    long = sums.unpivot(["period"], ["projects", "engagement", "average_score", "with_repository"], "measure", "value")
-    both = long.groupBy("measure").agg(*[F.coalesce(F.max(F.when(F.col("period") == p, F.col("value"))), F.lit(0.0)).alias(p) for p in ("current", "previous")])
-    sample = sums.agg(F.coalesce(F.max("projects"), F.lit(0.0)).alias("sample"))
-    both = both.crossJoin(F.broadcast(sample))  # one row on the right
+    sums = sums.withColumn("sample", F.max("projects").over(Window.partitionBy()))  # two rows
+    long = sums.unpivot(["period", "sample"], ["projects", "engagement", "average_score", "with_repository"], "measure", "value")
+    both = long.groupBy("measure").agg(*[F.coalesce(F.max(F.when(F.col("period") == p, F.col("value"))), F.lit(0.0)).alias(p) for p in ("current", "previous")], F.max("sample").alias("sample"))
     c, p = F.col("current"), F.col("previous")
     return both.select("measure", "current", "previous", trends.change_percent(c, p).alias("change"), trends.direction(c, p, F.col("sample")).alias("direction"))
 
@@ -132,7 +131,7 @@ def scoring_summary(scored: DataFrame) -> DataFrame:
     """Scored rows, their mean, and how often each component was missing."""
     missing = scored.select("score", F.explode("score_breakdown").alias("component", "part"))
     parts = missing.groupBy("component").agg(F.count_if(~F.col("part.available")).alias("unavailable"))
-    return parts.crossJoin(F.broadcast(scored.agg(F.count("score").alias("scored"), F.round(F.avg("score"), 5).alias("average_score"))))  # one row on the right
+    return parts.select("*", scored.agg(F.count("score")).scalar().alias("scored"), scored.agg(F.round(F.avg("score"), 5)).scalar().alias("average_score"))
 
 
 def collection_summary(runs: DataFrame) -> DataFrame:
