@@ -13,8 +13,9 @@ of a class never gathers more than about SALT_GROUPS of them. The driver sees th
 only: at most some 2^15 plus 2^14 for each doubling of size, plus one for each SALT_GROUPS
 groups.
 
-A group larger than PIECE of a shard can't be indivisible in shards of near equal size; it
-is cut by a hash of the row into pieces that small, and each piece stays together.
+Only a group larger than a whole shard can't be indivisible in shards of near equal size; it
+is cut by a hash of the row into pieces of about PIECE of a shard, and each piece stays
+together. Every other group is in one shard.
 
 Edge cases: null text has no bytes and the checksum of the empty text; null texts are equal
 to the empty text; repeated rows and null ids are rows like others; an empty table gives no
@@ -176,7 +177,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
 
     key = ["h1", "h2", "size"]
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    cut = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > piece)).select(*key, F.ceil(F.col("n") * F.col("size") / piece).cast("long").alias("pieces"))
+    cut = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > capacity)).select(*key, F.ceil(F.col("n") * F.col("size") / piece).cast("long").alias("pieces"))
     rows = rows.join(cut, key, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
 
     key = [*key, "piece"]
