@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, search, signals, text, trends, urls
 from trendloom.operators import compliance, constraints, dedup, feed, ledger, statistics
-from trendloom.plans.catalogs import SHORTENERS, TRACKING_KEYS, Signal
-from trendloom.sources import star
+from trendloom.plans.catalogs import MAX_POST, SHORTENERS, TRACKING_KEYS, Signal
+from trendloom.sources import landing, star
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,17 +315,17 @@ def unique_slugs(s, d):
     return ledger.unique_slugs(p, s.createDataFrame([], "slug string")).select("id", "slug")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)")
 def insert_posts(s, d):
     posts = star.posts(s, d).select("id", "x_tweet_id", F.col("author_id").cast("string").alias("x_author_id"), "posted_at")
-    stored = posts.where("id % 4 = 0")
+    stored = posts.where(F.col("posted_at") < at("1995-01-01"))
     return ledger.insert_posts(stored, posts.unionByName(posts), star.authors(s, d)).select("id")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS x_author_id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS username, 1 AS first_seen_at FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS x_author_id, CASE WHEN floor(c_acctbal) > 5000 THEN 'new' ELSE c_name END AS username, 1 AS first_seen_at FROM customer")
 def upsert_authors(s, d):
     old = star.authors(s, d).select("x_author_id", "username", F.lit(1).alias("first_seen_at"))
-    new = star.authors(s, d).where("id % 2 = 0").select("x_author_id", F.lit("new").alias("username"), F.lit(2).alias("first_seen_at"))
+    new = star.authors(s, d).where("followers_count > 5000").select("x_author_id", F.lit("new").alias("username"), F.lit(2).alias("first_seen_at"))
     return ledger.upsert_authors(old, new)
 
 
@@ -465,9 +466,9 @@ def compact_numbers(s, d):
 # -- constraints and compliance ------------------------------------------------------------
 
 
-@query("SELECT category, project_type, count(*) AS n FROM projects WHERE repository_id = 3 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT repository_id, category, project_type, count(*) AS n FROM projects WHERE repository_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def constraint_unique(s, d):
-    return constraints.repeated(star.projects(s, d).where("repository_id = 3"), "category", "project_type")
+    return constraints.repeated(star.projects(s, d), "repository_id", "category", "project_type")
 
 
 @query("SELECT id, status FROM runs WHERE status NOT IN ('completed', 'running')")
@@ -490,12 +491,13 @@ def constraint_range(s, d):
     return constraints.range_violations(star.table(s, d, "events").select(F.col("event_id").alias("id"), "value"), "value", 1, 50)
 
 
-_FINDINGS = "findings AS (SELECT id, x_tweet_id, CASE id % 4 WHEN 0 THEN 'deleted' WHEN 1 THEN 'suspended' WHEN 2 THEN 'scrub_geo' ELSE 'nonsense' END AS event FROM posts WHERE id % 5 = 1)"
+_FINDINGS = "findings AS (SELECT id, x_tweet_id, CASE id % 20 WHEN 16 THEN 'deleted' WHEN 1 THEN 'suspended' WHEN 6 THEN 'scrub_geo' ELSE 'nonsense' END AS event FROM posts)"
 
 
 def _findings(s, d):
-    key = F.col("id") % 4
-    return star.posts(s, d).where("id % 5 = 1").select("x_tweet_id", F.when(key == 0, "deleted").when(key == 1, "suspended").when(key == 2, "scrub_geo").otherwise("nonsense").alias("event"))
+    """A finding for every post; most are of an unknown kind, which is skipped."""
+    key = F.col("id") % 20
+    return star.posts(s, d).select("x_tweet_id", F.when(key == 16, "deleted").when(key == 1, "suspended").when(key == 6, "scrub_geo").otherwise("nonsense").alias("event"))
 
 
 @query(f", {_FINDINGS} SELECT event, count(*) AS n, CASE event WHEN 'deleted' THEN 'scrubbed' WHEN 'suspended' THEN 'hidden' ELSE 'kept' END AS effect FROM findings WHERE event <> 'nonsense' GROUP BY event")
@@ -530,6 +532,20 @@ def stream_daily_counts(s, d):
     return s.table(name)
 
 
+@plain("SELECT event_id, event_type FROM events")
+def stream_distinct_events(s, d):
+    """The events file twice as one stream; each event is written once."""
+    from trendloom.sources.shared import shared_dir
+    from trendloom.streaming.ingest import distinct_posts
+
+    schema = star.table(s, d, "events").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    path = f"{shared_dir(s)}/stream-{uuid4().hex}"
+    once = distinct_posts(stream.union(stream), "event_id", "ts").select("event_id", "event_type")
+    once.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-rows").awaitTermination()
+    return s.read.schema(once.schema).parquet(f"{path}-rows")
+
+
 # -- model output, extraction, summaries ---------------------------------------------------
 
 _RAW = "raws AS (SELECT doc_id, quality, toxic, doc_id % 7 AS k FROM labels)"
@@ -632,3 +648,107 @@ def repository_urls(s, d):
     made = F.concat(F.lit("http://www.github.com/"), F.upper(urls.part(F.col("url"), 2)), F.lit("/Repo.git/tree/main?ref=1#x"))
     df = star.table(s, d, "pages").select("page_id", made.alias("u"))
     return df.select("page_id", urls.canonicalize(F.col("u")).alias("canonical"), F.lower(urls.repository_ref(F.col("u"))["owner"]).alias("owner"))
+
+
+# -- landing, sinks, labels ----------------------------------------------------------------
+
+
+def _landed(s, d):
+    """Search pages of one post each, as JSON read by the page schema; purged posts have a
+    time that is none, reposts are counted under the older name."""
+    p, none = star.posts(s, d), F.lit(None).cast("string")
+    post = F.struct(
+        F.col("x_tweet_id").alias("id"), F.lit("text").alias("text"), F.col("author_id").cast("string").alias("author_id"), F.when(F.col("purged_at").isNull(), F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("never").alias("created_at"),
+        F.struct("like_count", F.col("repost_count").alias("retweet_count"), "reply_count", "quote_count").alias("public_metrics"),
+        F.struct(F.array(F.struct(F.lit("https://t.example/1").alias("url"), F.col("post_url").alias("expanded_url"), none.alias("unwound_url"))).alias("urls")).alias("entities"),
+        F.array(F.struct(F.when(F.col("status") == "classified", "retweeted").otherwise("quoted").alias("type"), F.lit("1").alias("id"))).alias("referenced_tweets"),
+    )
+    return p.select(F.from_json(F.to_json(F.struct(F.array(post).alias("data"))), landing.PAGE_SCHEMA).alias("p")).select("p.*")
+
+
+@query("SELECT x_tweet_id, CASE WHEN purged_at IS NULL THEN posted_at END AS posted_at, like_count, repost_count, 'https://posts.example/' || id AS primary_url, status = 'classified' AS is_repost, false AS is_reply, purged_at IS NULL AS mappable FROM posts")
+def landed_posts(s, d):
+    return landing.map_posts(_landed(s, d)).select("x_tweet_id", "posted_at", "like_count", "repost_count", "primary_url", "is_repost", "is_reply", "mappable")
+
+
+@query("SELECT count(*) AS billable FROM posts")
+def billable_resources(s, d):
+    return landing.billable(_landed(s, d)).select(F.col("billable").cast("long").alias("billable"))
+
+
+@plain("SELECT s_suppkey AS id, CASE WHEN floor(s_acctbal) >= 0 THEN floor(s_acctbal)::BIGINT END AS stars, 'Python' AS primary_language, NULL::VARCHAR AS license, 'data,rust' AS topics, TIMESTAMP '2024-01-02 03:04:05' AS pushed_at, true AS is_archived FROM supplier")
+def repository_bodies(s, d):
+    body = F.concat(F.lit('{"stargazers_count": '), F.floor("s_acctbal").cast("long").cast("string"), F.lit(', "topics": [" Data", "data", "", "Rust "], "language": " Python ", "license": {"spdx_id": ""}, "pushed_at": "2024-01-02T03:04:05Z", "archived": true}'))
+    found = landing.map_repository(star.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), body.alias("body")))
+    return found.select("id", "stars", "primary_language", "license", F.array_join("topics", ",").alias("topics"), "pushed_at", "is_archived")
+
+
+@plain("""SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN p_size ELSE 1 END::BIGINT AS contributors,
+    CASE WHEN p_size < 10 THEN 'found' WHEN p_size < 20 THEN 'unchanged' WHEN p_size < 30 THEN 'not_found' WHEN p_size < 40 THEN 'rate_limited' ELSE 'failed' END AS outcome FROM part""")
+def lookup_results(s, d):
+    size = F.col("p_size")
+    link = F.when(size > 25, F.concat(F.lit('<https://api.example/r?per_page=1&page=2>; rel="next", <https://api.example/r?per_page=1&page='), size.cast("string"), F.lit('>; rel="last"')))
+    status = F.when(size < 10, 200).when(size < 20, 304).when(size < 30, 410).when(size < 40, 429).otherwise(503)
+    return star.table(s, d, "part").select(F.col("p_partkey").alias("id"), landing.contributors(link, F.lit(1)).alias("contributors"), landing.lookup_outcome(status).alias("outcome"))
+
+
+@query("SELECT primary_tweet_id, CASE WHEN discovered_at >= TIMESTAMP '1997-01-01' THEN 0.0 ELSE score END::DOUBLE AS score FROM projects")
+def published_projects(s, d):
+    p = star.projects(s, d).select("primary_tweet_id", "score", "discovered_at")
+    incoming = p.where(F.col("discovered_at") >= at("1997-01-01")).withColumn("score", F.lit(0.0))
+    return ledger.publish(p, incoming).select("primary_tweet_id", "score")
+
+
+@query("SELECT project_id, technology_id FROM project_technology WHERE project_id NOT IN (SELECT id FROM projects WHERE NOT is_visible) UNION ALL SELECT id, 'none' FROM projects WHERE NOT is_visible")
+def synced_technologies(s, d):
+    changed = star.projects(s, d).where("not is_visible").select("id")
+    incoming = changed.select(F.col("id").alias("project_id"), F.lit("none").alias("technology_id"))
+    return ledger.sync_technologies(star.project_technology(s, d), incoming, changed).select("project_id", "technology_id")
+
+
+@query("SELECT id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status, CASE WHEN status = 'running' THEN TIMESTAMP '2024-01-31' ELSE finished_at END AS finished_at FROM runs")
+def finished_runs(s, d):
+    runs = star.stage_runs(s, d)
+    return ledger.finish_runs(runs, runs.where("status = 'running'"), at(EVENTS_NOW), "completed").select("id", "status", "finished_at")
+
+
+@plain(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '#([\pL\pM\pN_]+)', 1), lambda x: lower(x)))), ',') AS hashtags,
+    array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '@([A-Za-z0-9_]{1,15})', 1), lambda x: lower(x)))), ',') AS mentions FROM documents""")
+def post_tags(s, d):
+    joined = lambda tags: F.array_join(F.array_sort(tags), ",")
+    return star.table(s, d, "documents").select("doc_id", joined(text.hashtags_from(F.col("text"))).alias("hashtags"), joined(text.mentions_from(F.col("text"))).alias("mentions"))
+
+
+@plain(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(Bearer\s+)[A-Za-z0-9\-._~+/=%]{8,}', '\1[redacted]', 'g'), '(?i)([?&](?:access_token|bearer_token|token|api_key|key|secret)=)[^&\s]+', '\1[redacted]', 'g'), '(A{21})[A-Za-z0-9%._-]{10,}', '[redacted]', 'g')) AS redacted FROM documents""")
+def redacted_texts(s, d):
+    return star.table(s, d, "documents").select("doc_id", F.sha2(trends.redact_secrets(F.col("text")), 256).alias("redacted"))
+
+
+@plain(rf"""SELECT doc_id, sha256('model' || chr(0) || 'classify' || chr(0) || concat_ws(chr(10), '<post>', substring(replace(replace(text, '<post>', '&lt;post&gt;'), '</post>', '&lt;/post&gt;'), 1, {MAX_POST}), '</post>', 'language: ' || lang, 'has_repository_link: ' || CASE WHEN contains(text, 'http') THEN 'true' ELSE 'false' END)) AS key FROM documents""")
+def prompt_cache_keys(s, d):
+    from trendloom.functions.verdicts import cache_key, prompt
+
+    asked = prompt(F.col("text"), F.col("lang"), F.contains("text", F.lit("http")))
+    return star.table(s, d, "documents").select("doc_id", cache_key(F.lit("model"), F.lit("classify"), asked).alias("key"))
+
+
+@plain("SELECT doc_id AS id, quality = 1 AS launch, quality <> 1 AS cache_hit, CASE WHEN doc_id = (SELECT min(doc_id) FROM labels WHERE quality = 1) THEN 0.01 ELSE 0 END::DOUBLE AS cost_usd FROM labels")
+def model_answers(s, d):
+    """Equal questions are asked once, and those in the cache never."""
+    from trendloom.functions.verdicts import cache_key
+    from trendloom.sources.model_cache import answer, stub_model
+
+    asked = star.table(s, d, "labels").select(F.col("doc_id").alias("id"), F.lit("classify").alias("system"), F.when(F.col("quality") == 1, "we launch today").otherwise("good morning").alias("user"))
+    cache = s.range(1).select(cache_key(F.lit("model"), F.lit("classify"), F.lit("good morning")).alias("key"), F.lit('{"is_project": false}').alias("raw"), at("2024-01-30").alias("cached_at"))
+    out = answer(asked, cache, stub_model, "model", at(EVENTS_NOW), cost=0.01)
+    return out.select("id", (F.get_json_object("raw", "$.is_project") == "true").alias("launch"), "cache_hit", "cost_usd")
+
+
+@query("""SELECT id, floor(score + 0.5)::BIGINT::VARCHAR AS score, upper(substring(category, 1, 1)) || substring(replace(category, '-', ' '), 2) AS category, '@' || author AS author FROM visible""")
+def feed_labels(s, d):
+    return _visible(s, d).select("id", trends.score_label(F.col("score")).alias("score"), trends.sentence(F.col("category")).alias("category"), trends.handle(F.col("author")).alias("author"))
+
+
+@plain(r"SELECT page_id, url AS href, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS link FROM pages")
+def page_links(s, d):
+    return star.table(s, d, "pages").select("page_id", trends.safe_href(F.col("url")).alias("href"), trends.short_link(F.col("url")).alias("link"))
