@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions.signals import pattern
-from trendloom.functions.urls import appears_in, classify_urls, well_formed
+from trendloom.functions.urls import appears_in, classify_urls, let, well_formed
 from trendloom.plans.catalogs import (
     CATEGORIES, CLASSIFY_MINIMUM_CONFIDENCE, EXTRACT_MINIMUM_CONFIDENCE, FALLBACK_CATEGORY, MAX_DESCRIPTION, MAX_NAME, MAX_POST, MAX_REASON, NAME_PLACEHOLDERS, PROJECT_TYPES, TECHNOLOGIES, Technology,
 )
@@ -175,10 +175,12 @@ def unsupported(suggestions: Column, detected: Column) -> Column:
 
 def extract_projects(df: DataFrame, raw_col: str = "raw", text_col: str = "text", urls_col: str = "post_urls", minimum: float = EXTRACT_MINIMUM_CONFIDENCE) -> DataFrame:
     """df with the validated fields of an extraction, accepted and reject_reason."""
-    raw = F.col(raw_col)
-    last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
-    body = F.when((F.instr(raw, "{") > 0) & (F.instr(raw, "}") > 0), F.substr(raw, F.instr(raw, "{"), last - F.instr(raw, "{") + 1))
-    df = df.withColumn("_v", F.try_parse_json(body))
+
+    def body(raw: Column) -> Column:
+        last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
+        return F.when((F.instr(raw, "{") > 0) & (F.instr(raw, "}") > 0), F.substr(raw, F.instr(raw, "{"), last - F.instr(raw, "{") + 1))
+
+    df = df.withColumn("_v", let(F.col(raw_col), lambda raw: F.try_parse_json(body(raw))))  # short where a filter repeats it
     v = F.col("_v")
 
     def text(*names: str) -> Column:
