@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trendloom.functions.urls import canonicalize, is_shortener
+from trendloom.functions.urls import canonicalize, is_shortener, let
 from trendloom.plans.catalogs import INVISIBLE
 
 _ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -45,7 +45,7 @@ def collapse(text: Column) -> Column:
 
 def readable_from(text: Column) -> Column:
     """The built-in part of readable(): invisible characters, NBSP, white space."""
-    return collapse(F.translate(F.translate(text, INVISIBLE, ""), " ", " "))
+    return collapse(F.translate(text, "\u00a0" + INVISIBLE, " "))
 
 
 def readable(text: Column) -> Column:
@@ -63,7 +63,7 @@ def fingerprint_source_from(clean: Column) -> Column:
 
 def fingerprint_from(source: Column) -> Column:
     """Null below 12 code points, else the SHA-256 in hex."""
-    return F.when(F.length(source) >= 12, F.sha2(source, 256))
+    return let(source, lambda s: F.when(F.length(s) >= 12, F.sha2(s, 256)))
 
 
 def hashtags_from(clean: Column) -> Column:
