@@ -205,6 +205,28 @@ def test_html_page():
     assert html_text.main_text(PAGE) == "Big title\n\nFirst paragraph with many words, really; yes. And more text follows here, so it is long.\n\nShort.\n\none\n\nitem two"
 
 
+def _paragraphs(n, word="text"):
+    return [f"Paragraph {i} of {word}, with many words in it; and a mark or two, to be long enough." for i in range(n)]
+
+
+def _marked_up(paragraphs):
+    return "".join(f"<p>{p}</p>" for p in paragraphs)
+
+
+def test_html_article_in_several_parts():
+    big, small = _paragraphs(17), _paragraphs(3, "the rest")
+    whole = "\n\n".join(big + small)
+    head = '<html><body><nav><a href=/>Home</a></nav><div class="ad">Buy this now, please, it is very good.</div>'
+    for body in (
+        f"<div id=content><div class=box>{_marked_up(big)}</div><div class=box>{_marked_up(small)}</div></div>",
+        f"<main><article>{_marked_up(big)}</article><article>{_marked_up(small)}</article></main>",
+        f"<article>{_marked_up(big)}</article><article>{_marked_up(small)}</article>",
+        f"<main><article>{_marked_up(big)}</article><div>{_marked_up(small)}</div></main>",
+        f"<div>{_marked_up(big)}</div><section><div>{_marked_up(small)}</div></section>",
+    ):
+        assert html_text.main_text(f"{head}{body}<footer><p>Imprint, and so on; all of it.</p></footer></body></html>") == whole
+
+
 def test_html_query(spark):
     for r in QUERIES["op3_html_extraction"](spark, SF).collect():
         assert r.n_chars == len(r.text) and "©" not in r.text.split("\n\n")[-1][:2]

@@ -4,9 +4,10 @@ A page's text nodes are grouped by their tag path, root to leaf (names with id a
 For each path the length of its text and its punctuation are summed and divided by its
 nodes; the two ratios are fused, smoothed along the page, and thresholded against the
 page's spread to find content nodes. These choose the content's container, the deepest one
-that holds most of their text; its nodes, and a heading right above it, are the article, without the parts that name
-themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) and without low-ratio paths that are mostly links.
+that holds all of them, or the article element (else main) around it; its nodes, and a
+heading right above it, are the article, without the parts that name themselves as
+something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) and
+without low-ratio paths that are mostly links.
 
 A block is the text between two block-level tags: character references are decoded, white
 space becomes one space and the ends are trimmed; blocks are joined by an empty line.
@@ -25,6 +26,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,6 @@ BLOCK = {
     "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTAINER = {"article", "main", "section", "div", "td", "body", "html", "center"}
-#: Share of the content's characters that the container holds at least.
-HOLDS = 0.8
 #: Elements that are never part of an article.
 NEVER = {"nav", "aside", "footer", "form", "menu", "head", "button", "select", "option", "dialog", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "status"}
@@ -186,19 +186,15 @@ def main_text(page: str) -> str:
         return ""
     ratio = path_ratios(kept)
     threshold = max(ratio.max() - max(2.0 * ratio.std(), 1.5), 0.0)
-    size: dict[int, int] = {}  # content characters in each element
-    total = 0
+    common: tuple[int, ...] | None = None  # the elements around all content
     for n, r in zip(kept, ratio, strict=True):
         n.ratio = float(r)
         if r >= threshold and not n.link:
-            total += len(n.text)
-            for e in n.chain:
-                size[e] = size.get(e, 0) + len(n.text)
-    holds = [e for e, s in size.items() if tags[e] in CONTAINER and s >= HOLDS * total]
-    container = max(holds, default=None)  # elements are numbered as they open: the deepest
-    marked = [e for e in size if tags[e] in ("article", "main") and 2 * size[e] > total]
-    if marked:  # an article holds its parts together
-        container = min(marked) if tags[min(marked)] == "article" else max(marked)
+            common = n.chain if common is None else commonprefix((common, n.chain))
+    around = common or ()
+    container = next((e for e in reversed(around) if tags[e] in CONTAINER), None)
+    for tag in ("main", "article"):  # these hold their parts together
+        container = next((e for e in around if tags[e] == tag), container)
     inside = next((n.chain for n in kept if container in n.chain), ())
     above = set(inside[: inside.index(container)]) if inside else set()
     above = {e for e in above if tags[e] not in ("html", "body")}
