@@ -227,6 +227,30 @@ def test_html_article_in_several_parts():
         assert html_text.main_text(f"{head}{body}<footer><p>Imprint, and so on; all of it.</p></footer></body></html>") == whole
 
 
+def test_html_article_in_a_wrapper_with_a_name():
+    text = _paragraphs(9)
+    part, note = _marked_up(text), '<div class="cookie-notice">We use cookies, ok?</div><div class=sidebar><p>Read this too, please.</p></div>'
+    talk = f'<div class="comments">{_marked_up(_paragraphs(12, "a comment"))}</div>'
+    for body in (
+        f"<div class='layout has-sidebar'>{part}{note}</div>",
+        f"<div id='search-results-page'><div class=content>{part}</div>{note}</div>",
+        f"<section class='legal'>{part}</section>{note}",
+        f"<div class='reviews'>{part}</div>{note}",
+        f"<div class='layout has-sidebar'><article>{part}</article>{note}</div>",
+        f"<div class='search-page'><div class='legal'><main>{part}</main></div>{note}</div>",
+        f"<section class='legal'>{_marked_up(text[:3])}</section><section class='reviews'>{_marked_up(text[3:6])}</section><section class='search'>{_marked_up(text[6:])}</section>",
+        f"<article><div class='legal'>{part}</div></article>{note}",
+        f"<article><div class='reviews'>{part}</div></article>{note}",
+        f"<div class='layout has-sidebar'><article>{part}</article></div><article><div class=ad>Buy this.</div></article>{note}",
+        # names that hold: longer discussions beside an article, and beside a plain part
+        f"<article>{part}</article>{talk}{note}",
+        f"<div class=content>{part}</div>{talk}{note}",
+        f"<div class='has-sidebar'><div class=content>{part}</div>{talk}{note}</div>",
+        f"<div class=content>{part}</div><div class='related'><article>{_marked_up(_paragraphs(2, 'a card'))}</article></div>",
+    ):
+        assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>Imprint</footer></body></html>") == "\n\n".join(text), body
+
+
 def test_html_query(spark):
     for r in QUERIES["op3_html_extraction"](spark, SF).collect():
         assert r.n_chars == len(r.text) and "©" not in r.text.split("\n\n")[-1][:2]

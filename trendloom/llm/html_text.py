@@ -9,6 +9,11 @@ heading right above it, are the article, without the parts that name themselves
 something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) and
 without low-ratio paths that are mostly links.
 
+A name (a word of an id or class) is believed of a part beside the article element, and else
+of a small part only: one that holds the main element or over half of the content is left to
+the ratios, whatever its name. Discussions may be longer than what they discuss: they are
+believed if other content is left.
+
 A block is the text between two block-level tags: character references are decoded, white
 space becomes one space and the ends are trimmed; blocks are joined by an empty line.
 
@@ -55,6 +60,10 @@ NAMES = {
     "disqus", "replies", "reply", "responses", "reviews", "form", "login", "signup", "signin", "subscribe", "subscription", "newsletter", "search", "share", "sharing", "social", "related", "recommended", "recommendations",
     "pager", "pagination", "paging", "skip", "copyright", "legal", "disclaimer", "banner", "masthead", "topbar", "toolbar",
 }
+#: Those whose parts may be longer than the article.
+DISCUSSION = {"comment", "comments", "discussion", "disqus", "replies", "reply", "responses", "reviews"}
+#: Share of the content's characters that is left at least beside the parts whose names are believed.
+REST = 0.1
 _PUNCT = ".,;:!?。，、！？¿¡…"
 #: An opening tag on the left closes an open one on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -65,7 +74,8 @@ class _Open:
     tag: str
     label: str
     number: int
-    other: bool  # names itself as something else than the article
+    other: bool  # is something else than the article, by its tag or role
+    named: str  # names itself as something else, "part" or "discussion"; or ""
 
 
 @dataclass
@@ -77,39 +87,44 @@ class _Node:
     block: int
     text: str
     other: bool
+    named: tuple[int, ...]  # elements that name themselves as something else
     link: bool
     ratio: float = field(default=0.0)
 
 
 def _other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not in_article):
-        return True
-    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+    return tag in NEVER or (tag == "header" and not in_article) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+
+
+def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str:
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
-    return bool(names & NAMES) or (not in_article and "header" in names)
+    if names & NAMES - DISCUSSION or (not in_article and "header" in names):
+        return "part"
+    return "discussion" if names & DISCUSSION else ""
 
 
 @lru_cache(maxsize=4096)
-def _label(tag: str, written: str, in_article: bool) -> tuple[str, bool]:
-    """An element's label in paths, and whether it names itself as something else."""
+def _label(tag: str, written: str, in_article: bool) -> tuple[str, bool, str]:
+    """An element's label in paths, whether it is something else, and whether it names itself so."""
     attributes = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTRIBUTE.findall(written)} if written else {}
     label = tag + "".join(f".{c}" for c in attributes.get("class", "").split()) + (f"#{attributes['id']}" if attributes.get("id") else "")
-    return label, _other(tag, attributes, in_article)
+    return label, _other(tag, attributes, in_article), _named(tag, attributes, in_article)
 
 
-def text_nodes(page: str) -> tuple[list[_Node], dict[int, str]]:
-    """The page's text nodes in order, and the tag of each element number."""
+def text_nodes(page: str) -> tuple[list[_Node], dict[int, str], dict[int, str]]:
+    """The page's text nodes in order, the tag of each element number, and the kind of those
+    that name themselves as something else."""
     stack: list[_Open] = []
     nodes: list[_Node] = []
     tags: dict[int, str] = {}
+    kinds: dict[int, str] = {}
     at = number = block = 0
 
     def add(text: str) -> None:
         if text.strip():
-            nodes.append(_Node(tuple(o.label for o in stack), tuple(o.number for o in stack), block, html.unescape(text), any(o.other for o in stack), any(o.tag == "a" for o in stack)))
+            nodes.append(_Node(tuple(o.label for o in stack), tuple(o.number for o in stack), block, html.unescape(text), any(o.other for o in stack), tuple(o.number for o in stack if o.named), any(o.tag == "a" for o in stack)))
         elif text and nodes:
             nodes[-1].text += " "
 
@@ -155,10 +170,12 @@ def text_nodes(page: str) -> tuple[list[_Node], dict[int, str]]:
                     break
         number += 1
         tags[number] = tag
-        label, other = _label(tag, m[3], any(o.tag in ("article", "main") for o in stack))
-        stack.append(_Open(tag, label, number, other))
+        label, other, named = _label(tag, m[3], any(o.tag in ("article", "main") for o in stack))
+        if named:
+            kinds[number] = named
+        stack.append(_Open(tag, label, number, other, named))
     add(page[at:])
-    return nodes, tags
+    return nodes, tags, kinds
 
 
 def path_ratios(nodes: list[_Node]) -> np.ndarray:
@@ -179,13 +196,56 @@ def path_ratios(nodes: list[_Node]) -> np.ndarray:
     return np.convolve(padded, kernel, mode="valid")
 
 
+def rated(nodes: list[_Node]) -> tuple[np.ndarray, float]:
+    """The nodes' ratios, and the threshold from which they are content."""
+    ratio = path_ratios(nodes)
+    return ratio, max(ratio.max() - max(2.0 * ratio.std(), 1.5), 0.0)
+
+
+def believed(nodes: list[_Node], tags: dict[int, str], kinds: dict[int, str]) -> set[int]:
+    """The elements, of those that name themselves as something else, that are so."""
+    free = any(not n.named and any(tags[e] in ("article", "main") for e in n.chain) for n in nodes)  # an article in no such part
+    inside, holds, mains = set(), set(), set()  # in an article or main; around one; around a main
+    for n in nodes:
+        for k in [k for k in n.chain if tags[k] in ("article", "main")] if n.named else ():
+            inside.update(e for e in n.named if e > k)
+            holds.update(e for e in n.named if e < k)
+            mains.update(e for e in n.named if e < k and tags[k] == "main")
+    ratio, threshold = rated(nodes)
+    content = [n for n, r in zip(nodes, ratio, strict=True) if r >= threshold and not n.link]
+    size = dict.fromkeys(kinds, 0)  # content characters in each
+    for n in content:
+        for e in n.named:
+            size[e] += len(n.text)
+    total = sum(len(n.text) for n in content)
+    beside = {e for e in kinds if free and e not in inside | mains and (2 * size[e] <= total or e not in holds or kinds[e] == "discussion")}
+    content = [n for n in content if beside.isdisjoint(n.named)]
+    total = sum(len(n.text) for n in content)
+    size = dict.fromkeys(kinds, 0)
+    for n in content:
+        for e in n.named:
+            size[e] += len(n.text)
+
+    def left(without: set[int]) -> bool:
+        return sum(len(n.text) for n in content if without.isdisjoint(n.named)) >= REST * total
+
+    small = {e for e in kinds if e not in mains and 2 * size[e] <= total}
+    talks = {e for e in kinds if e not in mains and kinds[e] == "discussion"}
+    for out in (small | talks, small):
+        if left(out):
+            return beside | out
+    return beside | {e for e in small if size[e] < REST * total}
+
+
 def main_text(page: str) -> str:
-    nodes, tags = text_nodes(page)
+    nodes, tags, kinds = text_nodes(page)
     kept = [n for n in nodes if not n.other]
+    if kept and any(n.named for n in kept):
+        others = believed(kept, tags, kinds)
+        kept = [n for n in kept if others.isdisjoint(n.named)]
     if not kept:
         return ""
-    ratio = path_ratios(kept)
-    threshold = max(ratio.max() - max(2.0 * ratio.std(), 1.5), 0.0)
+    ratio, threshold = rated(kept)
     common: tuple[int, ...] | None = None  # the elements around all content
     for n, r in zip(kept, ratio, strict=True):
         n.ratio = float(r)
