@@ -196,6 +196,22 @@ def test_licenses_with_edits_and_by_full_alignment(spark):
     assert out[0].coverage > 0.95 and doc[out[0].spans[0].start :].startswith("Permission is hereby granted")
 
 
+def _scan(text, templates=None):
+    index = licenses.Index(templates or licenses.TEMPLATES)
+    hits = licenses._hits([text.encode()], index)
+    return {m["license_id"]: [text[s["start"] : s["end"]] for s in m["spans"]] for m in licenses._matches(text, hits.get(0, []), index, licenses.COVERAGE)}
+
+
+def test_each_repeat_of_a_short_notice_has_a_span():
+    notice = licenses.TEMPLATES["mit"]
+    for gap in range(14):
+        for times in (2, 3, 7):
+            text = "start " + (" " + "other " * gap).join([notice] * times) + " end"
+            assert _scan(text) == {"mit": [notice] * times}, (gap, times)
+    text = licenses.TEMPLATES["apache-2.0-header"]
+    assert _scan(f"{text}\n{text}")["apache-2.0-header"] == [text[:-1]] * 2
+
+
 PAGE = """<html><head><title>T</title><script>var a='</p>';</script></head><body><header class="site-header"><a href=/>Home</a></header><div class="cookie-notice">We use cookies, ok?</div>
 <div id=wrap><div class="content"><h1>Big  title</h1><p>First paragraph with many words, really; yes. And more text follows here, so it is long.</p><p>Short.</p><ul><li>one</li><li>item <a href=x>two</a></li></ul>
 <form><label>Name</label><input></form></div><div class=sidebar><ul><li><a href=1>Link 1</a></ul></div><section id="comments"><p>Great post! I liked it, very much so, indeed and more.</p></section></div><footer>&copy; 2020</footer></body></html>"""

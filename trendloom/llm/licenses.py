@@ -2,9 +2,9 @@
 
 Word shingles of the templates are winnowed into an inverted index (fingerprint -> template
 and place), which is small and broadcast; its size is checked. Each text's fingerprints are
-winnowed the same way and looked up; hits that lie near one diagonal make a candidate, and
-a banded alignment of the template's words against the text around it gives the matched
-words and their span. Matches that cover enough of a template are reported.
+winnowed the same way and looked up; a banded alignment of the template's words against the
+text around a hit gives the matched words and their span, until no hit is outside a span.
+Matches that cover enough of a template are reported.
 
 Any run of K + W - 1 words that text and template share has a common fingerprint.
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +124,8 @@ def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, in
     return best
 
 
-def _hits(texts: list[bytes], index: Index) -> dict[int, list[tuple[int, int]]]:
-    """Text number -> (template, text place - template place) of each common fingerprint."""
+def _hits(texts: list[bytes], index: Index) -> dict[int, list[tuple[int, int, int]]]:
+    """Text number -> (template, text place, template place) of each common fingerprint."""
     folded = [t.translate(_FOLD) for t in texts]
     hashes, start = word_hashes(b" ".join(folded))
     if len(hashes) < K or not len(index.prints):
@@ -139,36 +140,50 @@ def _hits(texts: list[bytes], index: Index) -> dict[int, list[tuple[int, int]]]:
     at = at[(at >= 0) & (at < len(shingles))]
     values = shingles[at]
     low, high = np.searchsorted(index.prints, values, "left"), np.searchsorted(index.prints, values, "right")
-    found: dict[int, list[tuple[int, int]]] = {}
+    found: dict[int, list[tuple[int, int, int]]] = {}
     for i in np.flatnonzero((high > low) & (values != most)).tolist():
         d = int(owner[at[i]])
         place = int(at[i] - first[d])
-        found.setdefault(d, []).extend((int(index.owner[x]), place - int(index.place[x])) for x in range(low[i], high[i]))
+        found.setdefault(d, []).extend((int(index.owner[x]), place, int(index.place[x])) for x in range(low[i], high[i]))
     return found
 
 
-def _matches(text: str, hits: list[tuple[int, int]], index: Index, coverage: float) -> list[dict]:
+def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Every occurrence of template around the hits, (text place, template place) in order:
+    (matched words, first and last + 1 word), not overlapping. A hit outside the occurrences
+    so far is aligned in the text after them, and where another occurrence aligns better,
+    again in the text on the hit's side of that one."""
+    taken: list[tuple[int, int, int]] = []
+    for place, group in groupby(hits, key=lambda h: h[0]):
+        end = taken[-1][2] if taken else 0
+        if place < end:
+            continue
+        best = (0, 0, 0)
+        for _, i in group:
+            shift = place - i
+            lo, hi = max(end, shift - BAND), min(len(words), shift + len(template) + BAND)
+            while hi - lo >= least:
+                n, a, b = align(template, words[lo:hi], shift - lo)
+                if not n or n < least:
+                    break
+                a, b = lo + a, lo + b
+                if a <= place < b:
+                    best = max(best, (n, a, b), key=lambda x: (x[0], x[1] - x[2]))
+                    break
+                lo, hi = (lo, a) if place < a else (b, hi)
+        if best[0]:
+            taken.append(best)
+    return taken
+
+
+def _matches(text: str, hits: list[tuple[int, int, int]], index: Index, coverage: float) -> list[dict]:
     spots = list(_WORD.finditer(text))
     words = [m.group().translate(_UPPER) for m in spots]
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    last: tuple[int, int] | None = None
-    for t, shift in sorted(set(hits)):
-        if last and last[0] == t and shift - last[1] <= BAND // 2:
-            continue  # the band of the candidate before holds it
-        last = (t, shift)
-        template = index.words[t]
-        lo = max(0, shift - BAND)
-        n, a, b = align(template, words[lo : max(shift, 0) + len(template) + BAND], shift - lo)
-        if n >= coverage * len(template):
-            found.setdefault(t, []).append((n, lo + a, lo + b))
     out = []
-    for t, all_spans in sorted(found.items(), key=lambda x: index.names[x[0]]):
-        taken: list[tuple[int, int, int]] = []
-        for n, a, b in sorted(all_spans, key=lambda x: (x[1], -x[0])):
-            if not taken or a >= taken[-1][2]:
-                taken.append((n, a, b))
-            elif n > taken[-1][0]:
-                taken[-1] = (n, a, b)
+    for t, own in groupby(sorted(set(hits)), key=lambda h: h[0]):
+        taken = _occurrences(words, index.words[t], [h[1:] for h in own], coverage * len(index.words[t]))
+        if not taken:
+            continue
         most = max(n for n, _, _ in taken)
         out.append({"license_id": index.names[t], "matched_words": most, "template_words": len(index.words[t]), "coverage": most / len(index.words[t]), "spans": [{"start": spots[a].start(), "end": spots[b - 1].end()} for _, a, b in taken]})
     return out
