@@ -212,6 +212,18 @@ def test_each_repeat_of_a_short_notice_has_a_span():
     assert _scan(f"{text}\n{text}")["apache-2.0-header"] == [text[:-1]] * 2
 
 
+def test_every_edit_of_one_word_is_found():
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses._WORD.findall(template)
+        for i in range(len(words)):
+            for new in (["changed"], [], [words[i], "added"]):
+                text = " ".join(["intro", *words[:i], *new, *words[i + 1 :], "outro"])
+                assert name in _scan(text), text
+    assert "mit" in _scan("x Released under the MIT Licence y") and "apache-2.0" in _scan("Licensed under the Apache Licence, Version 2.0")
+    assert "mit" in _scan("Released here under now the old MIT new License")
+    assert _scan("mit und mit under the sun, released") == {}
+
+
 PAGE = """<html><head><title>T</title><script>var a='</p>';</script></head><body><header class="site-header"><a href=/>Home</a></header><div class="cookie-notice">We use cookies, ok?</div>
 <div id=wrap><div class="content"><h1>Big  title</h1><p>First paragraph with many words, really; yes. And more text follows here, so it is long.</p><p>Short.</p><ul><li>one</li><li>item <a href=x>two</a></li></ul>
 <form><label>Name</label><input></form></div><div class=sidebar><ul><li><a href=1>Link 1</a></ul></div><section id="comments"><p>Great post! I liked it, very much so, indeed and more.</p></section></div><footer>&copy; 2020</footer></body></html>"""

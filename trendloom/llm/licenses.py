@@ -1,17 +1,20 @@
-"""License scans: winnowed fingerprints pick candidates, banded alignment confirms them.
+"""License scans: fingerprints of rare words pick candidates, banded alignment confirms them.
 
-Word shingles of the templates are winnowed into an inverted index (fingerprint -> template
-and place), which is small and broadcast; its size is checked. Each text's fingerprints are
-winnowed the same way and looked up; a banded alignment of the template's words against the
-text around a hit gives the matched words and their span, until no hit is outside a span.
-Matches that cover enough of a template are reported.
+The templates' word fingerprints are an inverted index (word -> template and place), which
+is small and broadcast; its size is checked. A match may miss so many of a template's words
+and no more, so of any places by one more than these it has one at least: each slice of
+texts is looked up by the places whose words are rarest in it. Where the text around a hit
+has enough of the template's words, a banded alignment of the template's words against it
+gives the matched words and their span, until no hit is outside a span. Matches that cover
+enough of a template are reported.
 
-Any run of K + W - 1 words that text and template share has a common fingerprint.
+So nothing that the alignment would accept within BAND words of a hit's diagonal is missed,
+whichever words are changed, added or left out.
 
 Texts are read in tasks and nothing is shuffled. Words: lower-cased ASCII letters, digits
 and all non-ASCII characters; spans are code points, end exclusive.
 
-Edge cases: null and empty texts have no matches; templates of fewer than K words are
+Edge cases: null and empty texts have no matches; templates without words are
 ignored; repeated rows are scanned one by one; a text that holds a template several times
 has a span for each; an empty table or no templates give no rows; input columns other than
 the id are left out of the result.
@@ -20,6 +23,7 @@ the id are left out of the result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,9 +34,8 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import slices, small_batches
 from trendloom.llm.decontam import _FOLD
-from trendloom.llm.neardup import _mix, word_hashes
+from trendloom.llm.neardup import word_hashes
 
-K, W = 3, 3
 BAND = 12
 COVERAGE = 0.8
 #: The templates' words together, at most: the index is broadcast.
@@ -66,40 +69,21 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def _shingles(hashes: np.ndarray) -> np.ndarray:
-    n = max(len(hashes) - K + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for k in range(K):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
-    return _mix(out)
-
-
-def winnow(shingles: np.ndarray) -> np.ndarray:
-    """Places of the smallest shingle of each window of W, the last one if several."""
-    if len(shingles) <= W:
-        return np.array([len(shingles) - 1 - int(np.argmin(shingles[::-1]))]) if len(shingles) else np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(shingles, W)
-    return np.unique(np.arange(len(view)) + W - 1 - np.argmin(view[:, ::-1], axis=1))
-
-
 class Index:
-    """Templates' words, and their fingerprints, sorted, with template and place."""
+    """Templates' words: the sorted vocabulary of fingerprints, and number in it, template
+    and place of each word, by template and place."""
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [[w.group().translate(_UPPER) for w in _WORD.finditer(templates[n])] for n in self.names]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
-        prints, owner, place = [], [], []
-        for t, words in enumerate(self.words):
-            s = _shingles(word_hashes(" ".join(words).encode())[0])
-            at = winnow(s)
-            prints.append(s[at])
-            owner += [t] * len(at)
-            place += at.tolist()
-        flat = np.concatenate([*prints, np.empty(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        self.prints, self.owner, self.place = flat[order], np.array(owner, np.int64)[order], np.array(place, np.int64)[order]
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.owner = np.repeat(np.arange(len(self.words)), self.length)
+        self.place = np.arange(len(self.owner)) - self.start[self.owner]
+        prints = word_hashes(" ".join(w for words in self.words for w in words).encode())[0]
+        self.vocabulary, self.word = np.unique(prints, return_inverse=True)
 
 
 def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, int]:
@@ -124,27 +108,50 @@ def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, in
     return best
 
 
-def _hits(texts: list[bytes], index: Index) -> dict[int, list[tuple[int, int, int]]]:
-    """Text number -> (template, text place, template place) of each common fingerprint."""
+def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[int, list[tuple[int, int, int]]]:
+    """Text number -> (template, text place, template place) of each hit that has enough of
+    the template's words around."""
     folded = [t.translate(_FOLD) for t in texts]
     hashes, start = word_hashes(b" ".join(folded))
-    if len(hashes) < K or not len(index.prints):
+    none = len(index.vocabulary)
+    if not len(hashes) or not none:
         return {}
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in folded]), start, "right")
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    shingles = _shingles(hashes)
-    most = np.iinfo(np.uint64).max
-    shingles[owner[: len(shingles)] != owner[K - 1 :]] = most  # across texts
-    pad = np.full(W - 1, most)
-    at = winnow(np.concatenate((pad, shingles, pad))) - (W - 1)
-    at = at[(at >= 0) & (at < len(shingles))]
-    values = shingles[at]
-    low, high = np.searchsorted(index.prints, values, "left"), np.searchsorted(index.prints, values, "right")
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    word = np.minimum(np.searchsorted(index.vocabulary, hashes), none - 1)
+    word[index.vocabulary[word] != hashes] = none
+    least = np.maximum(np.ceil(coverage * index.length), 1).astype(np.int64)
+    rare = np.lexsort((np.bincount(word, minlength=none + 1)[index.word], index.owner))
+    of = index.owner[rare]
+    rare = rare[np.arange(len(rare)) - index.start[of] <= (index.length - least)[of]]
+    rare = rare[np.argsort(index.word[rare], kind="stable")]
+    at = np.flatnonzero(word < none)
+    low, high = np.searchsorted(index.word[rare], word[at], "left"), np.searchsorted(index.word[rare], word[at], "right")
+    n = high - low
+    hit = rare[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    at = np.repeat(at, n)
+    by = np.argsort(index.owner[hit], kind="stable")
+    at, hit = at[by], hit[by]
+    shift, text = at - index.place[hit], owner[at]
+    lo = np.maximum(first[text], shift - BAND)
+    hi = np.minimum(first[text + 1], shift + index.length[index.owner[hit]] + BAND)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for i in np.flatnonzero((high > low) & (values != most)).tolist():
-        d = int(owner[at[i]])
-        place = int(at[i] - first[d])
-        found.setdefault(d, []).extend((int(index.owner[x]), place, int(index.place[x])) for x in range(low[i], high[i]))
+    member = np.zeros(none + 1, np.int32)
+    ends = np.searchsorted(index.owner[hit], np.arange(len(index.words) + 1))
+    for t in np.flatnonzero(np.diff(ends)).tolist():
+        own = index.word[index.start[t] : index.start[t] + index.length[t]]
+        member[own] = 1
+        held = np.concatenate(([0], np.cumsum(member[word])))
+        member[own] = 0
+        mine = np.arange(ends[t], ends[t + 1])
+        want = Counter(own.tolist())
+        for x in mine[held[hi[mine]] - held[lo[mine]] >= least[t]].tolist():
+            if len(own) < 4 * BAND:  # a longer window is rarely full of a template's words by chance
+                have = Counter(word[lo[x] : hi[x]].tolist())
+                if sum(min(c, have[w]) for w, c in want.items()) < least[t]:
+                    continue
+            d = int(text[x])
+            found.setdefault(d, []).append((t, int(at[x] - first[d]), int(index.place[hit[x]])))
     return found
 
 
@@ -154,6 +161,7 @@ def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, in
     so far is aligned in the text after them, and where another occurrence aligns better,
     again in the text on the hit's side of that one."""
     taken: list[tuple[int, int, int]] = []
+    known: dict[tuple[int, int, int], tuple[int, int, int]] = {}  # hits of one diagonal align once
     for place, group in groupby(hits, key=lambda h: h[0]):
         end = taken[-1][2] if taken else 0
         if place < end:
@@ -163,7 +171,9 @@ def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, in
             shift = place - i
             lo, hi = max(end, shift - BAND), min(len(words), shift + len(template) + BAND)
             while hi - lo >= least:
-                n, a, b = align(template, words[lo:hi], shift - lo)
+                if (lo, hi, shift) not in known:
+                    known[lo, hi, shift] = align(template, words[lo:hi], shift - lo)
+                n, a, b = known[lo, hi, shift]
                 if not n or n < least:
                     break
                 a, b = lo + a, lo + b
@@ -204,7 +214,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         for texts in batches:
             out: list[list[dict]] = []
             for part in slices(texts):
-                hits = _hits([t.encode() for t in part], shared.value)
+                hits = _hits([t.encode() for t in part], shared.value, coverage)
                 out += [_matches(t, hits[i], shared.value, coverage) if i in hits else [] for i, t in enumerate(part)]
             yield pa.array(out, kind)
 
