@@ -154,6 +154,14 @@ def test_dedup_equals_the_sequential_rule(spark):
         assert got == _sequential(posts, stored)
 
 
+def test_dedup_never_leaves_posts_undecided(spark):
+    assert dedup.deduplicate.__defaults__ == (None, None)  # no bound unless one is given
+    chain = [(i, f"x{i}", f"u{(i + 1) // 2}", f"f{i // 2}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)) for i in range(6)]
+    df = spark.createDataFrame(chain, "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
+    with pytest.raises(RuntimeError):
+        dedup.deduplicate(df, most_rounds=2)
+
+
 def test_feed_queries_are_validated():
     bad = [{"page": 0}, {"per_page": 101}, {"sort": "relevance"}, {"search": "x"}, {"min_score": 101}, {"within_days": 8}, {"min_engagement": -1}, {"within_days": 2, "since": dt.datetime(2026, 1, 1)}, {"categories": (" ",)}, {"technologies": ("",)}, {"since": dt.datetime(2026, 2, 1), "until": dt.datetime(2026, 1, 1)}]
     for kwargs in bad:

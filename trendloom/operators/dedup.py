@@ -23,14 +23,16 @@ def first_seen(posts: DataFrame, key: str) -> DataFrame:
     return posts.withColumn("survivor_id", F.when(F.col(key).isNotNull(), F.first("id").over(order)).otherwise(F.col("id")))
 
 
-def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds: int = 100) -> DataFrame:
+def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
     """posts (id, x_tweet_id, url_hash, text_fingerprint, posted_at) with level and
     survivor_id, both null for survivors. stored: survivors of earlier batches, which block
     by URL and fingerprint only and always come first.
 
     A post is settled as a survivor once no undecided or surviving post before it shares a
     key, and as a duplicate once a survivor before it does; each round settles at least the
-    first undecided post of every group.
+    first undecided post of every group, so the rounds end. A chain of posts that alternately
+    share URL and text takes about a round a post. With most_rounds, posts still undecided
+    after so many rounds are an error.
     """
     keys = F.array(F.struct(F.lit(0).alias("level"), F.col("x_tweet_id").alias("key")), F.struct(F.lit(1).alias("level"), F.col("url_hash").alias("key")), F.struct(F.lit(2).alias("level"), F.col("text_fingerprint").alias("key")))
     rows = posts.select(F.struct(F.lit(1).alias("new"), F.col("posted_at").alias("at"), F.col("id").alias("id")).alias("place"), keys.alias("keys"), F.lit("open").alias("state"))
@@ -40,9 +42,11 @@ def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds:
         rows = rows.unionByName(old)
     links = materialize(rows.select("place", F.explode("keys").alias("k")).select("place", "k.level", "k.key").where("key is not null"), "dedup-keys")
     states = materialize(rows.select("place", "state"), "dedup-states")
-    for _ in range(most_rounds):
-        if states.where("state = 'open'").isEmpty():
-            break
+    done = 0
+    while not states.where("state = 'open'").isEmpty():
+        if done == most_rounds:
+            raise RuntimeError(f"posts are undecided after {most_rounds} rounds")
+        done += 1
         now = links.join(states, "place")
         firsts = now.groupBy("level", "key").agg(F.min(F.when(F.col("state") != "gone", F.col("place"))).alias("live"), F.min(F.when(F.col("state") == "kept", F.col("place"))).alias("kept"))
         seen = now.where("state = 'open'").join(firsts, ["level", "key"]).groupBy("place").agg(F.max(F.coalesce(F.col("kept") < F.col("place"), F.lit(False))).alias("gone"), F.min(F.col("live") == F.col("place")).alias("first"))
