@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -279,6 +280,59 @@ def test_html_article_in_a_wrapper_with_a_name():
         assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>Imprint</footer></body></html>") == "\n\n".join(text), body
 
 
+def test_html_keeps_what_an_article_holds():
+    para = _marked_up(_paragraphs(3))
+    body = f"<article><h1>Sums</h1>{para}<math><mi>x</mi><mo>=</mo><mn>2</mn></math><noscript><p>Without scripts</p></noscript><div class='related legal'>A legal text.</div><p><a href=/>All of it a link</a></p><template><p>Held</p></template></article>"
+    want = ["Sums", *_paragraphs(3), "x=2", "Without scripts", "A legal text.", "All of it a link", "Held"]
+    assert html_text.main_text(f"<html><body><nav><a href=/>Home</a></nav>{body}</body></html>") == "\n\n".join(want)
+
+
+#: Pages marked by hand: what belongs to the article is between [[ and ]].
+MARKED = [
+    # no article or main element, no telling names
+    """<html><body><div class=x1><a href=/>Home</a> <a href=/a>News</a> <a href=/b>About us</a></div><div class=x2><h1>[[A walk in the hills]]</h1><div class=x3><p>[[We left early, when the fog was still low; the path was wet, and nobody spoke.]]</p>
+    <p>[[At noon the sun came out.]]</p><ul><li>[[bread]]</li><li>[[cheese, and an apple]]</li></ul><p>[[On the way back, it rained again: not much, but enough to be glad of the coats.]]</p></div></div><div class=x4>Posted in walks</div><div class=x5>&copy; 2020 Hills and Co</div></body></html>""",
+    # a table layout
+    """<html><body><table><tr><td class=l><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td class=m><h2>[[Minutes]]</h2><p>[[The board met on Monday, in the large hall; all members were there.]]</p><p>[[It was agreed that the roof, which leaks, has to be mended before the winter.]]</p>
+    <table><tr><th>[[Item]]</th><th>[[Cost]]</th></tr><tr><td>[[Roof]]</td><td>[[900]]</td></tr></table><p>[[The meeting closed at nine, with thanks to all who had come.]]</p></td></tr></table></body></html>""",
+    # a form around the page, comments longer than the text
+    """<html><body><form id=aspnetForm><div class=menu><a href=1>One</a></div><div id=body><p>[[The bridge is closed from today, says the council, and will be so until May.]]</p><p>[[Buses take the road by the mill instead; the last one leaves at ten.]]</p></div>
+    <div class=comments><p>I use it each day, so this is bad news for me, and for my whole street as well.</p><p>Me too! And the mill road is much too narrow for buses, as everybody here knows.</p><p>They said so last year, too; then nothing was done, as ever, and ever again.</p></div></form></body></html>""",
+    # bare text and breaks
+    """<body><h1>[[Old page]]</h1>[[This page was written by hand, long ago, and has no paragraphs at all; it just goes on.]]<hr>[[After the rule it goes on a bit more, with a few more words, and then it ends.]]<p><a href=/>Back</a></body>""",
+    # an article with its own header, an advert inside, and a share line of links
+    """<html><body><header><a href=/>Site</a><p>The best site, for all who like sites, and for you.</p></header><article><header><h1>[[Rain]]</h1><p>[[By A. Writer]]</p></header><p>[[It has rained for days, and there is no end to it, they say.]]</p><div class="ad">Buy boots, good boots, now!</div>
+    <blockquote>[[Never seen such rain, said one of them.]]</blockquote><pre>[[mm  12]]</pre><p>[[More is to come, from the west, by Friday.]]</p></article><aside><p>Read this as well, it is about snow, and very long, and very good.</p></aside><footer>Imprint</footer></body></html>""",
+]
+
+
+def test_html_pages_marked_by_hand():
+    for page in MARKED:
+        want = [" ".join(x.split()) for x in re.findall(r"\[\[(.*?)\]\]", page, re.S)]
+        assert html_text.main_text(page.replace("[[", "").replace("]]", "")).split("\n\n") == want
+
+
+def test_html_ratios_decide(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = [r or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
+    real, rng = html_text.path_ratios, np.random.default_rng(0)
+    want = [html_text.main_text(p) for p in pages]
+    for other in (lambda p: np.ones(len(p.nodes)), lambda p: rng.random(len(p.nodes)), lambda p: rng.permutation(real(p))):
+        monkeypatch.setattr(html_text, "path_ratios", other)
+        assert np.mean([html_text.main_text(p) != w for p, w in zip(pages, want, strict=True)]) > 0.5
+    monkeypatch.setattr(html_text, "path_ratios", real)
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", p).replace('class="ad"', 'class="x1"') for p in pages]
+    assert np.mean([html_text.main_text(p) == w for p, w in zip(bare, want, strict=True)]) > 0.9
+
+
+def test_html_deep_pages_take_linear_time():
+    for page in ("<div>x" * 100_000, "<b><article>" + "<span>" * 100_000 + "</b>x" * 100_000, "<li><span>" * 50_000 + "<p>x</p>" * 50_000):
+        began = time.process_time()
+        assert html_text.main_text(page)
+        assert time.process_time() - began < 4  # a quadratic one takes minutes
+
+
 def test_html_query(spark):
     for r in QUERIES["op3_html_extraction"](spark, SF).collect():
         assert r.n_chars == len(r.text) and "©" not in r.text.split("\n\n")[-1][:2]

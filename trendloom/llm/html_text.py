@@ -1,27 +1,33 @@
 """Main text of web pages by tag-path ratios.
 
-A page's text nodes are grouped by their tag path, root to leaf (names with id and class).
-For each path the length of its text and its punctuation are summed and divided by its
-nodes; the two ratios are fused, smoothed along the page, and thresholded against the
-page's spread to find content nodes. These choose the content's container, the deepest one
-that holds all of them, or the article element (else main) around it; its nodes, and a
-heading right above it, are the article, without the parts that name themselves as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments) and
-without low-ratio paths that are mostly links.
-
-A name (a word of an id or class) is believed of a part beside the article element, and else
-of a small part only: one that holds the main element or over half of the content is left to
-the ratios, whatever its name. Discussions may be longer than what they discuss: they are
-believed if other content is left.
+A page's text nodes are grouped by their tag path, root to leaf (names with classes). For
+each path the length of its text and its punctuation are summed and divided by its nodes;
+the two ratios are fused on a log scale and smoothed along the page, so that neighbours of little text lower it, and a path whose labels
+name something else than an article (a menu, header, footer, sidebar, notice, advert, form
+or discussion) loses LABEL_COST of it. Nodes of at least the page's own threshold are content
+nodes. Nothing else decides which part of a page is its article: it is the deepest element
+that holds all content nodes, grown to the article element (else main) around it, with a
+heading right above. What is in there stays, but for labelled parts below the threshold and,
+outside an article element, low blocks that are mostly links and low parts at either end.
+
+A label is believed of a part beside the article element, and else of a part that holds
+neither the main element nor over half of the content by the ratios alone: a wrapper named
+has-sidebar, or a form around the whole page, costs nothing. A text that begins with a
+copyright sign labels its element as a footer. Discussions may be longer than
+what they discuss: they are believed if other content is left.
 
 A block is the text between two block-level tags: character references are decoded, white
-space becomes one space and the ends are trimmed; blocks are joined by an empty line.
+space becomes one space and the ends are trimmed; blocks are joined by an empty line. Text of
+scripts, styles, frames, title and text areas is not read; that of any other element is,
+noscript, math, svg, object, canvas and template among them.
 
-Pages are independent: they are read in tasks and nothing is shuffled. Parsing is linear.
+Pages are independent: they are read in tasks and nothing is shuffled. Elements and paths are
+trees of parent links, so time and memory are linear in a page however deep it nests.
 
-Edge cases: null and empty pages, and pages without content, give the empty text;
-unclosed and stray tags are tolerated; repeated rows are read one by one; result columns
-replace input columns of the same name.
+Edge cases: null and empty pages, and pages without content, give the empty text; very long
+and very deep pages are read whole; unclosed and stray tags are tolerated; where two parts are
+equally good both stay; repeated rows are read one by one; result columns replace input
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,9 +35,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -44,238 +48,297 @@ _TOKEN = re.compile(r"<(?:!--|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "object", "canvas", "math", "xmp"}
+#: Elements whose text isn't the page's.
+RAW = {"script", "style", "textarea", "title", "iframe"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
     "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-CONTAINER = {"article", "main", "section", "div", "td", "body", "html", "center"}
-#: Elements that are never part of an article.
-NEVER = {"nav", "aside", "footer", "form", "menu", "head", "button", "select", "option", "dialog", "fieldset", "label"}
+#: Elements that say nothing of what they hold.
+PLAIN = {"section", "div", "td", "body", "html", "center", "span", "table", "tbody", "tr"}
+#: Elements and roles that are something else than an article.
+OTHER = {"nav", "aside", "footer", "menu", "head", "button", "select", "option", "dialog", "fieldset", "label"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "status"}
-#: Words in an id or class that name a part as something else than the article.
+#: Words in an id or class that name a part as something else.
 NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "promoted", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "toc",
-    "footer", "foot", "sidebar", "aside", "side", "rail", "widget", "widgets", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "toast", "comment", "comments", "discussion",
-    "disqus", "replies", "reply", "responses", "reviews", "form", "login", "signup", "signin", "subscribe", "subscription", "newsletter", "search", "share", "sharing", "social", "related", "recommended", "recommendations",
-    "pager", "pagination", "paging", "skip", "copyright", "legal", "disclaimer", "banner", "masthead", "topbar", "toolbar",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "promoted", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs",
+    "footer", "sidebar", "aside", "notice", "notices", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "form", "login", "signup", "signin", "subscribe", "newsletter", "masthead", "topbar",
 }
-#: Those whose parts may be longer than the article.
-DISCUSSION = {"comment", "comments", "discussion", "disqus", "replies", "reply", "responses", "reviews"}
-#: Share of the content's characters that is left at least beside the parts whose names are believed.
+#: Those that do so of a part beside an article only.
+BESIDE = {"header", "reviews", "related", "recommended", "recommendations", "share", "sharing", "social", "search", "legal", "disclaimer", "copyright", "pager", "pagination", "widget", "widgets", "side", "rail", "skip", "toolbar", "banner"}
+DISCUSSION = {"comment", "comments", "discussion", "disqus", "replies", "reply", "responses"}
+#: Share of the content's characters that is left at least beside the parts whose labels are believed.
 REST = 0.1
-_PUNCT = ".,;:!?。，、！？¿¡…"
+#: What a label costs, and how far below the page's mean a content node may be, on the log scale of the fused ratio.
+LABEL_COST = 12.0
+BELOW = 1.0
+KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
+_PUNCT = re.compile("[.,;:!?。，、！？¿¡…]")
+_COPYRIGHT = re.compile(r"\s*+(?:©|\(c\) |copyright\b)", re.I)
 #: An opening tag on the left closes an open one on the right.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-
-@dataclass
-class _Open:
-    tag: str
-    label: str
-    number: int
-    other: bool  # is something else than the article, by its tag or role
-    named: str  # names itself as something else, "part" or "discussion"; or ""
-
-
-@dataclass
-class _Node:
-    """A text node: its path of labels, the numbers of its elements, its block and text."""
-
-    path: tuple[str, ...]
-    chain: tuple[int, ...]
-    block: int
-    text: str
-    other: bool
-    named: tuple[int, ...]  # elements that name themselves as something else
-    link: bool
-    ratio: float = field(default=0.0)
-
-
-def _other(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    return tag in NEVER or (tag == "header" and not in_article) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-
-
-def _named(tag: str, attributes: dict[str, str], in_article: bool) -> str:
-    if tag in ("html", "body", "article", "main"):
-        return ""
-    names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
-    if names & NAMES - DISCUSSION or (not in_article and "header" in names):
-        return "part"
-    return "discussion" if names & DISCUSSION else ""
+#: A closing tag other than those on the right doesn't reach beyond these.
+_WALLS = {"article", "main", "body", "td", "table"}
+_REACH = {"body", "html", "article", "main", "table", "tr", "tbody", "div", "section"}
 
 
 @lru_cache(maxsize=4096)
-def _label(tag: str, written: str, in_article: bool) -> tuple[str, bool, str]:
-    """An element's label in paths, whether it is something else, and whether it names itself so."""
+def _label(tag: str, written: str, in_article: bool) -> tuple[str, str]:
+    """An element's label in paths, and what it calls itself: "other", "part", "discussion" or ""."""
     attributes = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTRIBUTE.findall(written)} if written else {}
-    label = tag + "".join(f".{c}" for c in attributes.get("class", "").split()) + (f"#{attributes['id']}" if attributes.get("id") else "")
-    return label, _other(tag, attributes, in_article), _named(tag, attributes, in_article)
-
-
-def text_nodes(page: str) -> tuple[list[_Node], dict[int, str], dict[int, str]]:
-    """The page's text nodes in order, the tag of each element number, and the kind of those
-    that name themselves as something else."""
-    stack: list[_Open] = []
-    nodes: list[_Node] = []
-    tags: dict[int, str] = {}
-    kinds: dict[int, str] = {}
-    at = number = block = 0
-
-    def add(text: str) -> None:
+    label = tag + "".join(f".{c}" for c in attributes.get("class", "").split())
+    if tag in OTHER or (tag == "header" and not in_article) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return label, "other"
+    if tag in ("html", "body", "article", "main"):
+        return label, ""
+    names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
+    if tag == "form" or names & NAMES or (not in_article and names & BESIDE):
+        return label, "part"
+    return label, "discussion" if names & DISCUSSION else ""
+
+
+class Page:
+    """A parsed page. Elements by number in page order, 0 around all: tag, parent, path (a
+    number for each tag path), kind (what it calls itself), link (in an a). Text segments:
+    element, block and text; `nodes` are the numbers of those that are not blank."""
+
+    def __init__(self, page: str):
+        self.tag, self.parent, self.path, self.kind, self.link = [""], [-1], [0], [""], [False]
+        self.element: list[int] = []
+        self.block: list[int] = []
+        self.text: list[str] = []
+        self.nodes: list[int] = []
+        self._parse(page)
+        self.labelled = [False] * len(self.tag)  # is, or is inside, what a label says
+
+    def _add(self, element: int, block: int, text: str) -> None:
         if text.strip():
-            nodes.append(_Node(tuple(o.label for o in stack), tuple(o.number for o in stack), block, html.unescape(text), any(o.other for o in stack), tuple(o.number for o in stack if o.named), any(o.tag == "a" for o in stack)))
-        elif text and nodes:
-            nodes[-1].text += " "
-
-    look = 0
-    while (look := page.find("<", max(look, at))) >= 0:
-        m = _TOKEN.match(page, look)
-        if not m:  # a bare <
-            look += 1
-            continue
-        add(page[at:look])
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = len(page) if end < 0 else end + 3
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in BLOCK:
-            block += 1
-        elif tag == "br" and nodes:
-            nodes[-1].text += " "
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "td", "table") and tag not in ("body", "html", "article", "main", "table", "tr", "tbody", "div", "section"):
-                    break  # a stray closing tag
-            continue
-        if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = len(page) if not end else page.find(">", end.end()) + 1 or len(page)
-            continue
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            continue
-        if tag in BLOCK:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "p" or stack[i].tag in _CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        number += 1
-        tags[number] = tag
-        label, other, named = _label(tag, m[3], any(o.tag in ("article", "main") for o in stack))
-        if named:
-            kinds[number] = named
-        stack.append(_Open(tag, label, number, other, named))
-    add(page[at:])
-    return nodes, tags, kinds
-
-
-def path_ratios(nodes: list[_Node]) -> np.ndarray:
-    """Fused ratio of each node: its path's characters a node times one plus its path's
-    punctuation a node, on a log scale, smoothed with the neighbours."""
-    chars: dict[tuple, int] = {}
-    marks: dict[tuple, int] = {}
-    count: dict[tuple, int] = {}
-    for n in nodes:
-        chars[n.path] = chars.get(n.path, 0) + len(n.text.strip())
-        marks[n.path] = marks.get(n.path, 0) + sum(map(n.text.count, _PUNCT))
-        count[n.path] = count.get(n.path, 0) + 1
-    own = np.array([np.log1p(chars[n.path] / count[n.path] * (1 + marks[n.path] / count[n.path])) for n in nodes])
-    if len(own) < 2:
-        return own
-    kernel = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
-    padded = np.pad(own, 2, mode="edge")
-    return np.convolve(padded, kernel, mode="valid")
-
-
-def rated(nodes: list[_Node]) -> tuple[np.ndarray, float]:
-    """The nodes' ratios, and the threshold from which they are content."""
-    ratio = path_ratios(nodes)
-    return ratio, max(ratio.max() - max(2.0 * ratio.std(), 1.5), 0.0)
-
-
-def believed(nodes: list[_Node], tags: dict[int, str], kinds: dict[int, str]) -> set[int]:
-    """The elements, of those that name themselves as something else, that are so."""
-    free = any(not n.named and any(tags[e] in ("article", "main") for e in n.chain) for n in nodes)  # an article in no such part
-    inside, holds, mains = set(), set(), set()  # in an article or main; around one; around a main
-    for n in nodes:
-        for k in [k for k in n.chain if tags[k] in ("article", "main")] if n.named else ():
-            inside.update(e for e in n.named if e > k)
-            holds.update(e for e in n.named if e < k)
-            mains.update(e for e in n.named if e < k and tags[k] == "main")
-    ratio, threshold = rated(nodes)
-    content = [n for n, r in zip(nodes, ratio, strict=True) if r >= threshold and not n.link]
-    size = dict.fromkeys(kinds, 0)  # content characters in each
-    for n in content:
-        for e in n.named:
-            size[e] += len(n.text)
-    total = sum(len(n.text) for n in content)
-    beside = {e for e in kinds if free and e not in inside | mains and (2 * size[e] <= total or e not in holds or kinds[e] == "discussion")}
-    content = [n for n in content if beside.isdisjoint(n.named)]
-    total = sum(len(n.text) for n in content)
-    size = dict.fromkeys(kinds, 0)
-    for n in content:
-        for e in n.named:
-            size[e] += len(n.text)
-
-    def left(without: set[int]) -> bool:
-        return sum(len(n.text) for n in content if without.isdisjoint(n.named)) >= REST * total
-
-    small = {e for e in kinds if e not in mains and 2 * size[e] <= total}
-    talks = {e for e in kinds if e not in mains and kinds[e] == "discussion"}
-    for out in (small | talks, small):
-        if left(out):
-            return beside | out
-    return beside | {e for e in small if size[e] < REST * total}
-
-
-def main_text(page: str) -> str:
-    nodes, tags, kinds = text_nodes(page)
-    kept = [n for n in nodes if not n.other]
-    if kept and any(n.named for n in kept):
-        others = believed(kept, tags, kinds)
-        kept = [n for n in kept if others.isdisjoint(n.named)]
+            self.nodes.append(len(self.text))
+            text = html.unescape(text)
+            if not self.kind[element] and _COPYRIGHT.match(text) and self.tag[element] in ("div", "p", "small", "span", "td", "center"):
+                self.kind[element] = "part"
+        elif not text:
+            return
+        self.element.append(element)
+        self.block.append(block)
+        self.text.append(text)
+
+    def _parse(self, page: str) -> None:
+        stack = [0]
+        at_tag: dict[str, list[int]] = {}  # places in the stack of each tag's open elements
+        walls: list[int] = []
+        blocks: list[int] = []
+        paths: dict[tuple[int, str], int] = {}
+        articles = block = at = look = 0  # articles: how many are open
+
+        def close(place: int) -> None:
+            nonlocal articles
+            while len(stack) > place:
+                tag = self.tag[stack.pop()]
+                at_tag[tag].pop()
+                articles -= tag in ("article", "main")
+                for places in (walls, blocks):
+                    if places and places[-1] == len(stack):
+                        places.pop()
+
+        while (look := page.find("<", max(look, at))) >= 0:
+            m = _TOKEN.match(page, look)
+            if not m:  # a bare <
+                look += 1
+                continue
+            self._add(stack[-1], block, page[at:look])
+            at = m.end()
+            if m[0] == "<!--":
+                end = page.find("-->", at)
+                at = len(page) if end < 0 else end + 3
+                continue
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            block += tag in BLOCK
+            if tag == "br":
+                self._add(stack[-1], block, " ")
+            if m[1]:
+                places = at_tag.get(tag)
+                if places and (tag in _REACH or not walls or walls[-1] <= places[-1]):
+                    close(places[-1])
+                continue
+            empty = m[3].endswith("/") and m[3][-2:-1] in ("", " ", '"', "'")  # not the end of a bare value
+            if tag in RAW and not empty:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                at = len(page) if not end else page.find(">", end.end()) + 1 or len(page)
+                continue
+            if tag in VOID or empty and tag not in BLOCK:
+                continue
+            if tag in BLOCK:  # a block ends an open paragraph
+                while blocks and self.tag[stack[blocks[-1]]] in ("p", *_CLOSES.get(tag, ())):
+                    close(blocks[-1])
+            label, kind = _label(tag, m[3], articles > 0)
+            up, place = stack[-1], len(stack)
+            key = (self.path[up], label)
+            stack.append(len(self.tag))
+            self.tag.append(tag)
+            self.parent.append(up)
+            self.path.append(paths.setdefault(key, len(paths) + 1))
+            self.kind.append(kind)
+            self.link.append(self.link[up] or tag == "a")
+            at_tag.setdefault(tag, []).append(place)
+            articles += tag in ("article", "main")
+            if tag in _WALLS:
+                walls.append(place)
+            if tag in BLOCK:
+                blocks.append(place)
+        self._add(stack[-1], block, page[at:])
+
+    def up(self, own: dict[int, int]) -> list[int]:
+        """The sum of own (by element) over each element and all inside it."""
+        out = [0] * len(self.tag)
+        for e, v in own.items():
+            out[e] += v
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def down(self, own: list[bool]) -> list[bool]:
+        """Whether own holds of an element or of any around it."""
+        out = list(own)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+    def chars(self, nodes) -> dict[int, int]:
+        """Characters of some nodes, by element."""
+        out: dict[int, int] = {}
+        for i in nodes:
+            out[self.element[i]] = out.get(self.element[i], 0) + len(self.text[i])
+        return out
+
+
+def text_ratios(page: Page) -> np.ndarray:
+    """For each node its path's characters a node times one plus its path's punctuation a
+    node, on a log scale, smoothed with the neighbours."""
+    sums: dict[int, list[int]] = {}
+    for i in page.nodes:
+        own = sums.setdefault(page.path[page.element[i]], [0, 0, 0])
+        text = page.text[i]
+        own[0] += len(text.strip())
+        own[1] += len(_PUNCT.findall(text))
+        own[2] += 1
+    of = {p: np.log1p(c / n * (1 + k / n)) for p, (c, k, n) in sums.items()}
+    ratio = np.array([of[page.path[page.element[i]]] for i in page.nodes])
+    # neighbours lower what stands alone; they don't lift what is low by itself
+    return np.minimum(ratio, np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, mode="valid")) if len(ratio) > 1 else ratio
+
+
+def threshold(page: Page, ratio: np.ndarray) -> float:
+    """From which a node is content: a little below the mean over the text's characters,
+    where what is below 0 or in links weighs next to nothing."""
+    size = np.array([0.01 if page.link[page.element[i]] else len(page.text[i]) for i in page.nodes])
+    weight = size * np.exp(np.minimum(ratio, 0.0))
+    return float((ratio * weight).sum() / weight.sum()) - BELOW
+
+
+def believed(page: Page, ratio: np.ndarray) -> list[bool]:
+    """Whether an element is, or is inside, what its label says. ratio: without labels."""
+    n = len(page.tag)
+    marked = [t in ("article", "main") for t in page.tag]
+    other = page.down([k == "other" for k in page.kind])
+    named = [k in ("part", "discussion") for k in page.kind]
+    if not any(named):
+        return other
+    in_named, in_marked = page.down(named), page.down(marked)
+    texts = {page.element[i] for i in page.nodes if not other[page.element[i]]}
+    free = any(in_marked[e] and not in_named[e] for e in texts)  # an article in no such part
+    around = page.up({e: 1 for e in range(n) if marked[e] and not other[e]})
+    mains = page.up({e: 1 for e in range(n) if page.tag[e] == "main" and not other[e]})
+    kept = [k for k, i in enumerate(page.nodes) if page.element[i] in texts]
     if not kept:
+        return other
+    least = threshold(page, np.where([page.element[i] in texts for i in page.nodes], ratio, -50.0))
+    content = [page.nodes[k] for k in kept if ratio[k] >= least and not page.link[page.element[page.nodes[k]]]]
+    size = page.up(page.chars(content))
+    total = size[0]
+    talk = [k == "discussion" for k in page.kind]
+    beside = [named[e] and free and not (in_marked[e] and not marked[e]) and not mains[e] and (2 * size[e] <= total or not around[e] or talk[e]) for e in range(n)]
+    gone = page.down(beside)
+    size = page.up(page.chars(i for i in content if not gone[page.element[i]]))
+    total = size[0]
+    small = [named[e] and not mains[e] and 2 * size[e] <= total for e in range(n)]
+    tries = [[s or (t and not m) for s, t, m in zip(small, talk, mains, strict=True)], small, [s and z < REST * total for s, z in zip(small, size, strict=True)]]
+    for out in tries:
+        without = page.down([a or b for a, b in zip(beside, out, strict=True)])
+        left = sum(len(page.text[i]) for i in content if not without[page.element[i]])
+        if left >= REST * total or out is tries[-1]:
+            break
+    return [a or b for a, b in zip(other, without, strict=True)]
+
+
+def path_ratios(page: Page) -> np.ndarray:
+    """The fused ratio of each node: of text and punctuation, less the cost of its path's
+    labels, which page.labelled keeps."""
+    ratio = text_ratios(page)
+    page.labelled = believed(page, ratio)
+    return ratio - LABEL_COST * np.array([page.labelled[page.element[i]] for i in page.nodes])
+
+
+def main_text(source: str) -> str:
+    page = Page(source)
+    if not page.nodes:
+        return ""
+    ratio = path_ratios(page)
+    if all(page.labelled[page.element[i]] for i in page.nodes):
         return ""
-    ratio, threshold = rated(kept)
-    common: tuple[int, ...] | None = None  # the elements around all content
-    for n, r in zip(kept, ratio, strict=True):
-        n.ratio = float(r)
-        if r >= threshold and not n.link:
-            common = n.chain if common is None else commonprefix((common, n.chain))
-    around = common or ()
-    container = next((e for e in reversed(around) if tags[e] in CONTAINER), None)
-    for tag in ("main", "article"):  # these hold their parts together
-        container = next((e for e in around if tags[e] == tag), container)
-    inside = next((n.chain for n in kept if container in n.chain), ())
-    above = set(inside[: inside.index(container)]) if inside else set()
-    above = {e for e in above if tags[e] not in ("html", "body")}
-    blocks: dict[int, list[str]] = {}
-    links: dict[int, list[int]] = {}
-    for n in kept:
-        heading = tags[n.chain[-1]] in ("h1", "h2") and len(n.chain) > 1 and n.chain[-2] in above and n.chain[-1] < container if n.chain and container else False
-        if container is None or container in n.chain or heading:
-            blocks.setdefault(n.block, []).append(n.text)
-            of = links.setdefault(n.block, [0, 0, 0])
-            of[0] += len(n.text.strip())
-            of[1] += len(n.text.strip()) * n.link
-            of[2] = max(of[2], n.ratio >= threshold)
+    least = threshold(page, ratio)
+    seeds = {i for i, r in zip(page.nodes, ratio.tolist(), strict=True) if r >= least and not page.link[page.element[i]]}
+    inside, article = region_of(page, seeds)
+    blocks: dict[int, list] = {}  # texts, characters, characters in links, whether a content node is there
+    for i, (e, b) in enumerate(zip(page.element, page.block, strict=True)):
+        if inside[e] and (i in seeds or not page.labelled[e]):
+            of = blocks.setdefault(b, [[], 0, 0, False])
+            of[0].append(page.text[i])
+            of[1] += len(page.text[i].strip())
+            of[2] += len(page.text[i].strip()) * page.link[e]
+            of[3] = of[3] or i in seeds
     out = []
-    for b, parts in blocks.items():
+    for parts, size, linked, content in blocks.values():
         text = " ".join("".join(parts).split())
-        if text and (links[b][2] or 2 * links[b][1] <= links[b][0]):
+        if text and (article or content or 2 * linked <= size):
             out.append(text)
     return "\n\n".join(out)
 
 
+def region_of(page: Page, seeds: set[int]) -> tuple[list[bool], bool]:
+    """Whether each element is in the article that the content nodes span, and whether an
+    article element holds them."""
+    held: dict[int, int] = {}
+    for i in seeds:
+        held[page.element[i]] = held.get(page.element[i], 0) + 1
+    held = page.up(held)
+    top = max((e for e in range(len(held)) if held[e] == held[0]), default=0) if seeds else 0
+    while page.tag[top] not in PLAIN | {"", "article", "main"}:
+        top = page.parent[top]
+    around = [top]
+    while around[-1]:
+        around.append(page.parent[around[-1]])
+    marked = [e for t in ("article", "main") for e in reversed(around) if page.tag[e] == t]
+    top = marked[0] if marked else top
+    over = {e for e in around if e < top}
+    own = [False] * len(page.tag)
+    own[top] = True
+    for e in range(1, top):  # headings right above
+        up = page.parent[e]
+        own[e] = up in over and (page.tag[e] == "h1" or page.tag[e] == "h2" and page.tag[up] not in ("html", "body", ""))
+    inside = page.down(own)
+    if not marked and held[top]:  # plain parts before the first content node, and after the last
+        children = [e for e in range(top + 1, len(page.tag)) if page.parent[e] == top]
+        full = [e for e in children if held[e]]
+        cut = [False] * len(page.tag)
+        for e in children if full else ():
+            cut[e] = page.tag[e] in PLAIN and not full[0] <= e <= full[-1]
+        inside = [a and not b for a, b in zip(inside, page.down(cut), strict=True)]
+    return inside, bool(marked) and page.tag[top] == "article"
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with text, the main text of each."""
     small_batches(pages.sparkSession)
