@@ -35,15 +35,41 @@ def test_quality(spark, docs, none):
     assert quality.score_documents(docs, model).columns.count("score") == 1
 
 
-def test_rules(docs, none):
-    out = {(r.doc_id, r.lang): r for r in rules.apply_rules(docs, complete=True, measures=["n_words", "n_repeat_words"]).collect()}
+def test_rules(spark, docs, none):
+    measured = rules.apply_rules(docs, measures=["n_words", "n_repeat_words", "word_chars"])
+    out = {(r.doc_id, r.lang): r for r in measured.collect()}
+    assert measured.columns.count("n_words") == 1 and measured.columns.count("kept") == 1
     assert out[1, "en"].n_words == 0 and out[1, "en"].failed_rule == "few_words" and not out[1, "en"].kept
-    assert out[5, "en"].n_repeat_words == 300_000
+    assert out[5, "en"].n_repeat_words == 300_000 and out[5, "en"].word_chars == 1_200_000 and out[3, "en"].n_words == 0
     assert rules.apply_rules(docs).count() == len(ROWS)
-    assert rules.apply_rules(none).count() == 0
-    lazy = {(r.doc_id, r.text): r.kept for r in rules.apply_rules(docs).collect()}
-    full = {(r.doc_id, r.text): r.kept for r in rules.apply_rules(docs, complete=True).collect()}
-    assert lazy == full
+    assert rules.apply_rules(none).count() == 0 and [p["rule"].name for p in rules.plan_cascade(none)] == [r.name for r in rules.RULES]
+    for text, name in ((("7 8 9 10 11 12 a " * 9), "letters"), ("".join(f"- point {i} of many\n" for i in range(9)), "bullets"), ("".join(f"line {i} goes on...\n" for i in range(9)), "cut_lines"), ("7" * 300_000 + " a b c d e f g h i j k", "word_length")):
+        row = rules.apply_rules(spark.createDataFrame([(text,)], "text string"), rules=[r for r in rules.RULES if r.name == name]).first()
+        assert row.failed_rule == name
+
+
+def test_rules_skip_what_is_rejected(spark, monkeypatch):
+    """A rejected row never reaches a later rule's measures; the order follows rejection per cost."""
+    docs = spark.createDataFrame([("too short",)] * 30 + [("these words are enough for the first of the two rules to pass",)], "text string")
+    seen = {r.text: r.n_letter_words for r in rules.apply_rules(docs, seen=["n_letter_words"]).collect()}
+    assert seen == {"too short": None, docs.collect()[-1].text: 13}
+    bomb = rules.Measure((), lambda: F.when(F.col("_text") == "too short", F.raise_error(F.lit("evaluated"))).otherwise(F.lit(0)).cast("long"), {"chars": 100})
+    monkeypatch.setitem(rules.MEASURES, "n_bomb", bomb)
+    dear = rules.Rule("bomb", ("n_bomb",), lambda: F.col("n_bomb") > 0)
+    monkeypatch.setattr(rules, "plan_cascade", lambda *a: [{"rule": r} for r in (rules.BASE[0], dear)])
+    assert rules.apply_rules(docs, rules=[dear, rules.BASE[0]]).where("kept").count() == 1
+    monkeypatch.setattr(rules, "plan_cascade", lambda *a: [{"rule": r} for r in (dear, rules.BASE[0])])
+    with pytest.raises(Exception, match="evaluated"):
+        rules.apply_rules(docs, rules=[dear, rules.BASE[0]]).collect()
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    docs = spark.createDataFrame([("too short",)] * 30 + [("- a\n" * 20,)] * 5, "text string")
+    plan = rules.plan_cascade(docs)
+    rank = [p["rejects"] / p["cost"] for p in plan]
+    assert rank == sorted(rank, reverse=True) and plan[0]["rule"].name == "few_words" and plan == rules.plan_cascade(docs)
+    free = {p["rule"].name: p["cost"] for p in rules.plan_cascade(docs, measures=["n_words", "n_symbols"])}
+    assert free["symbols"] == free["few_words"] == 1 < free["letters"]
 
 
 def test_bpe(spark, docs, none, ranks):

@@ -40,7 +40,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    out = rules.apply_rules(docs, complete=True, measures=base)
+    out = rules.apply_rules(docs, measures=base)
     failed = rules.BASE[0].rejects() | rules.BASE[1].rejects()
     return out.select("doc_id", *base, failed.alias("base_failed"), "kept")
 
@@ -147,11 +147,15 @@ ORACLE_SQL = {
                 coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-                coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
+                coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+                len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+                len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet_lines,
+                len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\n\x0b\f\r]*$'))) AS n_cut_lines
             FROM k LEFT JOIN c USING (rid)),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
-                OR word_chars < 2 * n_words OR word_chars > 30 * n_words) AS kept
+                OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 100 * n_letter_words < 50 * n_words
+                OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_cut_lines > 30 * n_lines) AS kept
         FROM b""",
 }

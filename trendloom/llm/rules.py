@@ -1,18 +1,23 @@
 """Quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Each rule's cost and selectivity are estimated on a sample; rules then run in the order
-of rejection per cost. A rule's measures are computed only for rows that no earlier rule
-has rejected, unless all measures are asked for. The order changes the work, never which
-rows are kept: a row is kept if it meets every rule.
-
-Edge cases: null text has no words and counts as the empty text (it fails few_words);
-repeated rows are judged one by one; an empty table gives an empty result and rules keep
-their given order; input columns named like a result are replaced.
+Each rule's cost and selectivity are estimated on a sample drawn over the whole table; rules
+then run in the order of rejection per cost. A rule's measures are computed only for rows that
+no earlier rule has rejected, but for those that the caller wants of every row, which cost a
+rule nothing more. The order changes the work, never which rows are kept: a row is kept if it
+meets every rule.
+
+A rule's cost is counted, not timed: the operations of the measures it needs, which grow with
+a text's characters, words and lines. So equal tables give equal orders, and rules of equal
+rank keep their given order.
+
+Edge cases: null text has no words and counts as the empty text (it fails few_words); very long
+texts are measured whole, in time linear in their length but for sorting the windows of those
+that repeat some; repeated rows are judged one by one; an empty table gives an empty result and
+rules keep their given order; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -21,18 +26,19 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import with_columns
 
-#: Rows at most, and characters of a row at most, of the sample on which cost and
-#: selectivity are estimated. It only orders the rules.
-SAMPLE_ROWS = 500
-SAMPLE_CHARS = 20_000
+#: Rows, about, of the sample on which cost and selectivity are estimated; it only orders the rules.
+SAMPLE_ROWS = 2000
 
 _SPACE = " \t\n\x0b\f\r"
+_GAP = r"[\x20\x09-\x0D]+"
+#: Where a word begins whose first letter comes after the rest of the match.
+_LETTER_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
 
 def _windows() -> Column:
-    w = lambda i: F.get("_hashes", i)
-    grams = F.transform("_hashes", lambda x, i: F.xxhash64(x, w(i + 1), w(i + 2), w(i + 3), w(i + 4)))
-    return F.slice(grams, 1, F.greatest(F.size("_hashes") - 4, F.lit(0)))
+    w = lambda i: F.get("_words", i)
+    grams = F.transform("_words", lambda x, i: F.xxhash64(x, w(i + 1), w(i + 2), w(i + 3), w(i + 4)))
+    return F.slice(grams, 1, F.greatest(F.size("_words") - 4, F.lit(0)))
 
 
 def _repeated_at() -> Column:
@@ -52,21 +58,40 @@ def _text() -> Column:
     return F.coalesce(F.col("_text"), F.lit(""))
 
 
-#: Measures: name -> (measures it needs, expression). A name with an underscore is internal.
-MEASURES: dict[str, tuple[Sequence[str], Callable[[], Column]]] = {
-    "_words": ((), lambda: F.filter(F.split(_text(), r"[\x20\x09-\x0D]+"), lambda w: w != "")),
-    "n_words": (("_words",), lambda: F.size("_words").cast("long")),
-    "word_chars": ((), lambda: F.length(F.translate(_text(), _SPACE, "")).cast("long")),
-    "n_symbols": ((), lambda: (F.length(_text()) - F.length(F.translate(_text(), "#*$%&|<>", ""))).cast("long")),
-    "_lines": ((), lambda: F.filter(F.split(_text(), "\n"), lambda x: F.translate(x, _SPACE, "") != "")),
-    "n_lines": (("_lines",), lambda: F.size("_lines").cast("long")),
-    "n_dup_lines": (("_lines",), lambda: (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")),
-    "_hashes": (("_words",), lambda: F.transform("_words", lambda w: F.xxhash64(w))),
-    "_windows": (("_hashes",), _windows),
+def _marked_lines(pattern: str) -> Column:
+    return F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(pattern)))).cast("long")
+
+
+#: What the costs below multiply, for a text.
+SIZES = {"chars": lambda: F.length(_text()), "words": lambda: F.size(F.split(_text(), _GAP)), "lines": lambda: F.regexp_count(_text(), F.lit("\n")) + 1}
+
+
+@dataclass(frozen=True)
+class Measure:
+    """needs: measures it is computed from. cost: operations for each character, word or line."""
+
+    needs: tuple[str, ...]
+    value: Callable[[], Column]
+    cost: dict[str, float]
+
+
+#: A name with an underscore is internal.
+MEASURES: dict[str, Measure] = {
+    "_words": Measure((), lambda: F.when(F.btrim(_text(), F.lit(_SPACE)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(_text(), F.lit(_SPACE)), _GAP)), {"chars": 2, "words": 4}),
+    "n_words": Measure(("_words",), lambda: F.size("_words").cast("long"), {}),
+    "word_chars": Measure(("_words",), lambda: F.length(F.array_join("_words", "")).cast("long"), {"words": 2, "chars": 0.2}),
+    "n_symbols": Measure((), lambda: F.regexp_count(_text(), F.lit("[#*$%&|<>]")).cast("long"), {"chars": 1}),
+    "_lines": Measure((), lambda: F.filter(F.split(_text(), "\n"), lambda x: F.ltrim(x, F.lit(_SPACE)) != ""), {"chars": 1, "lines": 8}),
+    "n_lines": Measure(("_lines",), lambda: F.size("_lines").cast("long"), {}),
+    "n_dup_lines": Measure(("_lines",), lambda: (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), {"chars": 0.5, "lines": 5}),
+    "_windows": Measure(("_words",), _windows, {"words": 30}),
     # The rest of the work is for texts in which some window occurs again.
-    "_sorted": (("_windows",), lambda: F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))),
-    "_at": (("_sorted",), _repeated_at),
-    "n_repeat_words": (("_at",), lambda: F.coalesce(_covered(), F.lit(0)).cast("long")),
+    "_sorted": Measure(("_windows",), lambda: F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))), {"words": 10}),
+    "_at": Measure(("_sorted",), _repeated_at, {"words": 2}),
+    "n_repeat_words": Measure(("_at",), lambda: F.coalesce(_covered(), F.lit(0)).cast("long"), {"words": 1}),
+    "n_letter_words": Measure((), lambda: F.regexp_count(_text(), F.lit(_LETTER_WORD)).cast("long"), {"chars": 3}),
+    "n_bullet_lines": Measure(("_lines",), lambda: _marked_lines(r"^[\x20\x09]*[-*\u2022]"), {"chars": 0.5, "lines": 8}),
+    "n_cut_lines": Measure(("_lines",), lambda: _marked_lines(r"(?:\.\.\.|\u2026)[\x20\x09-\x0D]*$"), {"chars": 2, "lines": 8}),
 }
 
 
@@ -89,59 +114,57 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words")),
     Rule("duplicate_lines", ("n_lines", "n_dup_lines"), lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
     Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 30 * F.col("n_words"))),
+    Rule("letters", ("n_words", "n_letter_words"), lambda: 100 * F.col("n_letter_words") < 50 * F.col("n_words")),
+    Rule("bullets", ("n_lines", "n_bullet_lines"), lambda: 100 * F.col("n_bullet_lines") > 90 * F.col("n_lines")),
+    Rule("cut_lines", ("n_lines", "n_cut_lines"), lambda: 100 * F.col("n_cut_lines") > 30 * F.col("n_lines")),
 )
 
 
 def _add(df: DataFrame, names: Sequence[str], have: set[str], alive: Column | None = None) -> DataFrame:
     for name in names:
         if name not in have:
-            needs, expr = MEASURES[name]
-            df = _add(df, needs, have, alive)
-            df = df.withColumn(name, expr() if alive is None else F.when(alive, expr()))
+            measure = MEASURES[name]
+            df = _add(df, measure.needs, have, alive)
+            df = df.withColumn(name, measure.value() if alive is None else F.when(alive, measure.value()))
             have.add(name)
     return df
 
 
-def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Rules in the order of rejection per cost, each {rule, cost_s, rejects}, measured one
-    by one on a bounded sample; reading stops once it is full."""
-    texts = docs.select(F.col(text_col).alias("_text")).where(F.coalesce(F.length(text_col), F.lit(0)) <= SAMPLE_CHARS).sample(0.2, seed=7).take(sample_rows)
-    sample = docs.sparkSession.createDataFrame([(r[0],) for r in texts], "_text string").repartition(4).persist()
-    found = []
-    try:
-        sample.count()
-        for rule in rules:
-            measured = _add(sample, rule.needs, set())
-            began = time.perf_counter()
-            share = measured.agg(F.avg(F.coalesce(rule.rejects(), F.lit(False)).cast("double"))).first()[0]
-            found.append({"rule": rule, "cost_s": time.perf_counter() - began, "rejects": share or 0.0})
-    finally:
-        sample.unpersist()
-    return sorted(found, key=lambda x: -x["rejects"] / max(x["cost_s"], 1e-6))
-
-
-def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", complete: bool = False, measures: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _closure(names: Sequence[str]) -> set[str]:
+    return {n for name in names for n in (name, *_closure(MEASURES[name].needs))}
+
+
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", measures: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS) -> list[dict]:
+    """Rules in the order of rejection per cost, each {rule, cost, rejects}: operations for a
+    row, beside the measures that every row gets, and the share of rows it rejects. Both come
+    from one pass over a sample of about sample_rows rows, drawn from every part of docs."""
+    total = docs.count()
+    share = min(1.0, sample_rows / total) if total else 1.0
+    sample = docs.select(F.col(text_col).alias("_text")).sample(share, seed=7)
+    sample = _add(sample, [n for r in rules for n in r.needs], set())
+    sizes = [F.avg(size()).alias(name) for name, size in SIZES.items()]
+    found = sample.agg(*sizes, *[F.avg(F.coalesce(r.rejects(), F.lit(False)).cast("double")).alias(f"_{i}") for i, r in enumerate(rules)]).first().asDict()
+    given = _closure(measures)
+    plan = []
+    for i, rule in enumerate(rules):
+        own = [MEASURES[m].cost for m in _closure(rule.needs) - given]
+        plan.append({"rule": rule, "cost": 1 + sum(k * (found[of] or 0.0) for cost in own for of, k in cost.items()), "rejects": found[f"_{i}"] or 0.0})
+    return sorted(plan, key=lambda x: -x["rejects"] / x["cost"])
+
+
+def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", measures: Sequence[str] = (), seen: Sequence[str] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with failed_rule (the first rule of the cascade that rejects, or null) and kept.
 
-    complete: compute the measures of all rules for all rows. Measures named in `measures`
-    are returned too; without complete they are null where the cascade had ended before.
+    measures: computed for every row, and returned. seen: returned as the cascade leaves them,
+    null where it had ended before.
     """
-    order = [x["rule"] for x in plan_cascade(docs, rules, text_col, sample_rows)]
-    df, have = with_columns(docs, _text=F.col(text_col)), set()
+    order = [x["rule"] for x in plan_cascade(docs, rules, text_col, measures, sample_rows)]
     hidden = {m.lower() for m in MEASURES} | {"failed_rule", "kept", "_text"}
-    given = [c for c in docs.columns if c.lower() not in hidden]
-    df = df.select(*[F.col(f"`{c}`") for c in given], "_text")
-    if complete:
-        df = _add(df, [n for r in order for n in r.needs] + list(measures), have)
-        failed = F.lit(None).cast("string")
-        for rule in reversed(order):
-            failed = F.when(rule.rejects(), rule.name).otherwise(failed)
-        df = df.withColumn("failed_rule", failed)
-    else:
-        df = df.withColumn("failed_rule", F.lit(None).cast("string"))
-        for rule in order:
-            alive = F.col("failed_rule").isNull()
-            df = _add(df, rule.needs, have, alive)
-            df = df.withColumn("failed_rule", F.when(alive & rule.rejects(), rule.name).otherwise(F.col("failed_rule")))
-        df = _add(df, measures, have)
-    return df.select(*[F.col(f"`{c}`") for c in given], *measures, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
+    given = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in hidden]
+    df, have = with_columns(docs, _text=F.col(text_col)).select(*given, "_text"), set()
+    df = _add(df, measures, have).withColumn("failed_rule", F.lit(None).cast("string"))
+    for rule in order:
+        alive = F.col("failed_rule").isNull()
+        df = _add(df, rule.needs, have, alive)
+        df = df.withColumn("failed_rule", F.when(alive & rule.rejects(), rule.name).otherwise(F.col("failed_rule")))
+    return df.select(*given, *measures, *seen, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
