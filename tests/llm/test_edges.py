@@ -73,9 +73,9 @@ def test_rules_are_ordered_by_rejection_per_cost(spark):
 
 
 def test_bpe(spark, docs, none, ranks):
-    out = bpe.encode(docs, ranks).select("doc_id", "ids", bpe.decode(spark, ranks)("ids").alias("b")).collect()
+    out = bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids", bpe.decode(spark, ranks)("ids").alias("b")).collect()
     assert sorted((r.doc_id or 0, bytes(r.b).decode()) for r in out) == sorted((i or 0, t or "") for i, t in ROWS)
-    assert bpe.encode(none, ranks).count() == 0
+    assert bpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
     assert spark.createDataFrame([(None,)], "ids array<int>").select(bpe.decode(spark, ranks)("ids")).first()[0] is None
 
 

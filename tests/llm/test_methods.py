@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy on small tables."""
 
+import hashlib
 import random
 import re
 import time
@@ -7,11 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trendloom.llm import bpe, decontam, html_text, licenses, neardup, pii, quality, sharding
+from trendloom.llm.common import materialize
 from trendloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +34,23 @@ def test_words_merge_as_the_library_does(text):
 def test_bpe_query(spark):
     got = {r.doc_id: r for r in QUERIES["op5_byte_bpe"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        assert got[r.doc_id].n_tokens == len(TIKTOKEN.encode_ordinary(r.text or ""))
+        ids = TIKTOKEN.encode_ordinary(r.text or "")
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == want
+
+
+def test_bpe_few_buckets_and_several_spans(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(7)
+    docs = materialize(docs.select("doc_id", "text", "lang"), "bpe-docs")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN, n_buckets=3, span=2).collect()}
+    assert got == {r.doc_id: TIKTOKEN.encode_ordinary(r.text or "") for r in docs.collect()}
+
+
+@given(st.text(alphabet="ab é\n1'.s\u3000", max_size=60), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+def test_long_texts_split_alike_in_slices(text, most):
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    assert [t for part in bpe._slices(text, most) for t in find(part)] == find(text)
 
 
 def _brute_spans(t):

@@ -1,21 +1,30 @@
-"""Byte-level BPE encoding and decoding through a global shuffle of distinct words.
+"""Byte-level BPE encoding and decoding through a shuffle of distinct words.
 
 Encoding takes two shuffles:
   1. Texts are split into pre-tokens with their positions, a chunk of some MB at a time.
-     A chunk's pre-tokens become its distinct words (dealt into buckets by hash) and one
+     A chunk's pre-tokens become its distinct words (dealt into BUCKETS by hash) and one
      array of positions: word numbers in text order, the smallest for the most frequent.
-  2. Words meet by bucket, so that each distinct word of the corpus is in one task, which
-     encodes it once, whatever the number of chunks that have it.
+  2. Words meet by bucket, so that each distinct word is in one task, which encodes it once,
+     whatever the number of chunks that have it. The chunks of SPAN partitions of the input
+     (some 2,000 chunks, 32 GB of text) share their buckets; beyond that there are more
+     buckets, not larger ones. So the rows grow as the chunks do, a task holds the distinct
+     words of one bucket at a time, and a word is encoded once for each 32 GB.
   3. The ids return to their chunk, and the texts' ids are put together by position.
 A word that fills the corpus is one entry for each chunk, so no key is hot.
 
+A chunk is known by its partition and its order in there: docs must be read from files (as
+from materialize), where a task that runs again reads the same rows in the same order.
+
 Decoding joins ids with the token-byte table, which has a fixed size (the vocabulary).
 
-Ranks are a dict from token bytes to id, read from a rank file; its path is the caller's.
+Ranks are a dict from token bytes to id, read from a rank file; its path and the pattern of
+the split before merges are the caller's.
 
 Edge cases: null and empty texts have no ids; repeated rows and null keys each give a row;
-an empty table gives no rows; one very long word is merged in n log n steps; a text longer
-than a chunk is a chunk of its own; other columns are left out of the result.
+an empty table gives no rows; one very long word is merged in n log n steps; a very long text
+is split a slice at a time, at a space between two letters, where no pre-token reaches
+across, and one longer than a chunk is a chunk of its own; words of equal count are numbered
+in order; other columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -36,12 +45,12 @@ from trendloom.llm.common import small_batches
 CHUNK_BYTES = 16 << 20
 #: Texts are split into words so many characters at a time.
 PART_CHARS = 1 << 20
+#: Rows of words for each chunk at most, and input partitions that share buckets.
+BUCKETS = 512
+SPAN = 256
 #: A word that a chunk has so often is frequent.
 OFTEN = 4
 
-#: The split before merges of the public 50k vocabularies (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _NEVER = 1 << 60
 
 
@@ -153,6 +162,22 @@ def _unfront(data: bytes) -> Iterator[bytes]:
         yield word
 
 
+def _slices(text: str, most: int = PART_CHARS) -> Iterator[str]:
+    """A text in parts that split into the same pre-tokens as the whole: each but the first
+    begins with a space between two letters."""
+    import regex
+
+    if len(text) <= most:
+        yield text
+        return
+    cut, at = regex.compile(r"(?<=\p{L}) (?=\p{L})"), 0
+    while at < len(text):
+        found = cut.search(text, at + most)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 class _Chunk:
     """Texts as numbers of distinct words."""
 
@@ -164,14 +189,17 @@ class _Chunk:
         self.tokens: list[str] = []
         self.chars = self.waiting = 0
 
-    def add(self, key, tokens: list[str], chars: int) -> None:
+    def add(self, key, text: str, find) -> None:
         self.ids.append(key)
-        self.sizes.append(len(tokens))
-        self.tokens += tokens
-        self.chars += chars + 16
-        self.waiting += chars
-        if self.waiting >= PART_CHARS:
-            self.number()
+        self.sizes.append(0)
+        self.chars += len(text) + 16
+        for part in _slices(text):
+            tokens = find(part)
+            self.sizes[-1] += len(tokens)
+            self.tokens += tokens
+            self.waiting += len(part)
+            if self.waiting >= PART_CHARS:
+                self.number()
 
     def number(self) -> None:
         coded = pa.array(self.tokens, pa.string()).dictionary_encode()
@@ -205,20 +233,21 @@ class _Chunk:
         return payload, [(b, _front([words[i] for i in by[lo:hi].tolist()])) for b, (lo, hi) in enumerate(zip(starts, ends, strict=True)) if hi > lo]
 
 
-def _split(n_buckets: int, schema: pa.Schema):
+def _split(pattern: str, n_buckets: int, span: int, schema: pa.Schema):
     """Texts -> for each chunk a row of positions (kind 1) and a row of words for each
-    bucket (kind 0)."""
+    bucket (kind 0). Keys are dealt in turn, so partitions get equally many buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(PATTERN).findall
+        find = regex.compile(pattern).findall
         part, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
         def flush() -> pa.RecordBatch:
             nonlocal number, chunk
             name = part << 32 | number
             payload, words = chunk.rows(n_buckets)
-            rows = [(name, 1, name, 0, payload, chunk.ids), *((-1 - b, 0, name, b, data, None) for b, data in words)]
+            base = part // span * n_buckets
+            rows = [(part, 1, name, 0, payload, chunk.ids), *((base + b, 0, name, b, data, None) for b, data in words)]
             number, chunk = number + 1, _Chunk()
             return pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
@@ -228,7 +257,7 @@ def _split(n_buckets: int, schema: pa.Schema):
                 text = texts[i].as_py() or ""
                 if chunk.ids and chunk.chars + len(text) > CHUNK_BYTES:
                     yield flush()
-                chunk.add(batch.column(0)[i].as_py(), find(text), len(text))
+                chunk.add(batch.column(0)[i].as_py(), text, find)
         if chunk.ids:
             yield flush()
 
@@ -236,15 +265,18 @@ def _split(n_buckets: int, schema: pa.Schema):
 
 
 def _encode(ranks, schema: pa.Schema):
-    """Rows of words -> rows of their ids; rows of positions pass. All rows of a bucket are
-    in one partition, so a word is encoded once."""
+    """Rows of words, sorted by key -> rows of their ids; rows of positions pass. All rows of
+    a bucket follow each other in one partition, so a word of it is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         known: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 if row.column(1)[0].as_py() == 0:
+                    if (key := row.column(0)[0].as_py()) != last:
+                        known, last = {}, key
                     counts, out = [], []
                     for word in _unfront(row.column(4)[0].as_py()):
                         got = known.get(word)
@@ -302,20 +334,20 @@ def _join(schema: pa.Schema):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
-    """(id_col, ids) for each row of docs. n_buckets: twice the shuffle partitions if not
-    given, so that a bucket grows no faster than a partition."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS, span: int = SPAN) -> DataFrame:
+    """(id_col, ids) for each row of docs, which must be read from files."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = small_batches(docs.sparkSession)
-    n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType
     id_type = to_arrow_type(kind)
     rows = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("ids", pa.list_(id_type))])
     ddl = f"key bigint, kind int, chunk bigint, bucket int, payload binary, ids array<{kind.simpleString()}>"
     shared = spark.sparkContext.broadcast(ranks)
-    parts = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_split(n_buckets, rows), ddl)
-    coded = parts.repartition("key").mapInArrow(_encode(shared, rows), ddl)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_split(pattern, n_buckets, span, rows), ddl)
+    met = parts.repartitionById(tasks, (F.col("key") % tasks).cast("int")).sortWithinPartitions("kind", "key")
+    coded = met.mapInArrow(_encode(shared, rows), ddl)
     whole = coded.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     return whole.mapInArrow(_join(pa.schema([(id_col, id_type), ("ids", pa.list_(pa.int32()))])), f"`{id_col}` {kind.simpleString()}, ids array<int>")
 

@@ -65,7 +65,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     tables = spark.sparkContext.broadcast((bpe.token_bytes(ranks), [str(i) for i in range(max(ranks.values()) + 1)]))
 
     @F.arrow_udf("struct<ids:string,decoded:string>")
