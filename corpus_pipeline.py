@@ -48,7 +48,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode texts to ids, and decode the ids."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = materialize(bpe.encode(docs, ranks), "ids")  # decoding gets tasks of its own
+    coded = materialize(bpe.encode(docs, ranks, public_tokenizers.PATTERN), "ids")  # decoding gets tasks of its own
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.decode(spark, ranks)("ids").cast("string").alias("text"))
 
 
