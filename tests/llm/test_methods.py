@@ -204,6 +204,25 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     assert out[out.doc_id >= 5000].shard.nunique() == 1
 
 
+def test_sharding_query_by_law(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = QUERIES["op6_sharding"](spark, sf).toPandas()
+    assert len(out) == len(texts) and all(out["size"] == [len(texts[i]) + 16 for i in out.doc_id]) and all(out.text_crc32 == [zlib.crc32(texts[i]) for i in out.doc_id])
+    load = out.groupby("shard")["size"].sum()
+    assert len(load) == 40 and load.max() / load.mean() < 1.02
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    assert out.assign(text=[texts[i] for i in out.doc_id]).groupby("text").shard.nunique().max() == 1
+
+
+def test_shards_of_a_text_that_holds_a_third_of_all_rows(spark):
+    docs = [(i, "t" * random.Random(i).randint(0, 300)) for i in range(2000)] + [(5000 + i, "x" * 150) for i in range(1000)]
+    out = sharding.shard(spark.createDataFrame([(*d, 1, "s") for d in docs], "doc_id long, text string, shard int, slot string"), 8).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(out) == 3000 and sorted(out.doc_id) == sorted(d[0] for d in docs) and load.max() / load.mean() < 1.1
+    assert out[(out.doc_id < 5000)].groupby("text_crc32").shard.nunique().max() == 1
+
+
 def test_licenses_with_edits_and_by_full_alignment(spark):
     text = licenses.TEMPLATES["mit-text"]
     words = text.split()

@@ -9,18 +9,21 @@ Groups of one size class are interchangeable, so the packing works on classes (s
 number of groups) and fills a bin with as many of a class as fit: the same result as one
 by one. Sizes up to 2^15 bytes are classes of their own; above, sizes are rounded up to 15
 significant bits. Classes with many groups are split by a salt so that ranking the groups
-of a class never gathers more than about SALT_GROUPS of them. The driver sees the classes
-only: at most some 2^15 plus 2^14 for each doubling of size, plus one for each SALT_GROUPS
-groups.
+of a class never gathers more than about SALT_GROUPS of them, or one MOST_SALTS-th of all
+where that is more. The driver sees the classes only: at most some 2^15 plus 2^14 for each
+doubling of size, plus MOST_SALTS.
 
 Only a group larger than a whole shard can't be indivisible in shards of near equal size; it
 is cut by a hash of the row into pieces of about PIECE of a shard, and each piece stays
 together. Every other group is in one shard.
 
+Rows of one text are spread over SPREAD tasks wherever they meet a table by their text.
+
 Edge cases: null text has no bytes and the checksum of the empty text; null texts are equal
-to the empty text; repeated rows and null ids are rows like others; an empty table gives no
-rows; fewer rows than shards leave shards empty; result columns replace input columns of
-the same name.
+to the empty text; very long texts are read once, for their size and hashes; repeated rows and
+null ids are rows like others; groups of equal size are ranked by their hashes; an empty table
+gives no rows; fewer rows than shards leave shards empty; the result has its own columns and
+the id only.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from trendloom.llm.common import materialize, with_columns
 
 OVERHEAD = 16
 SALT_GROUPS = 20_000
+MOST_SALTS = 50_000
+SPREAD = 64
 PIECE = 0.25
 SLOT_ROWS = 20_000
 
@@ -178,11 +183,15 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     key = ["h1", "h2", "size"]
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"))
     cut = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > capacity)).select(*key, F.ceil(F.col("n") * F.col("size") / piece).cast("long").alias("pieces"))
-    rows = rows.join(cut, key, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
+    rows = rows.join(F.broadcast(cut), key, "left")  # groups larger than a shard are fewer than shards
+    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SPREAD)).cast("int"))
 
     key = [*key, "piece"]
-    groups = materialize(rows.groupBy(*key).agg(F.count("*").alias("n")).select(*key, size_class(F.col("n") * F.col("size")).alias("class")), "shard-groups")
-    many = groups.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > SALT_GROUPS).select("class", F.ceil(F.col("n") / SALT_GROUPS).cast("long").alias("salts"))
+    groups = rows.groupBy(*key, "part").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
+    groups = materialize(groups.select(*key, size_class(F.col("n") * F.col("size")).alias("class"), "parts"), "shard-groups")
+    most = max(SALT_GROUPS, groups.count() // MOST_SALTS)
+    many = groups.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > most).select("class", F.ceil(F.col("n") / most).cast("long").alias("salts"))
     groups = groups.join(F.broadcast(many), "class", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*key), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
     classes = sorted(((c, s, n) for c, s, n in groups.groupBy("class", "salt").agg(F.count("*").alias("n")).collect()), reverse=True)
 
@@ -197,8 +206,8 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
 
     rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy(*key)) - 1
     own = groups.withColumn("rank", rank).join(starts, ["class", "salt"])
-    own = own.select(*key, F.element_at(F.filter("bins", lambda b: b["first"] <= F.col("rank")), -1)["shard"].alias("shard"))
-    return _slots(rows.join(own, key).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard"), id_col)
+    own = own.select(*key, F.element_at(F.filter("bins", lambda b: b["first"] <= F.col("rank")), -1)["shard"].alias("shard"), F.explode("parts").alias("part"))
+    return _slots(rows.join(own, [*key, "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard"), id_col)
 
 
 def _slots(rows: DataFrame, id_col: str) -> DataFrame:
