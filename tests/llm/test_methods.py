@@ -107,7 +107,7 @@ def test_marginals_by_enumeration():
 def _windows(texts, size=13):
     out = {}
     for name, t in texts:
-        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
         n = min(size, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             out.setdefault(tuple(w[i : i + n]), set()).add(name)
@@ -134,6 +134,59 @@ def test_decontamination_by_brute_force(spark):
             assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(found))
 
 
+def _longest_by_brute_force(doc, item, size):
+    best = (0, 0, 0)
+    for p in range(len(doc)):
+        for q in range(len(item)):
+            n = 0
+            while p + n < len(doc) and q + n < len(item) and doc[p + n] == item[q + n]:
+                n += 1
+            if n >= size and n > best[0]:
+                best = (n, p, q)
+    return best
+
+
+def test_longest_matches_by_brute_force(spark):
+    random.seed(4)
+    word = lambda k: random.choice("abcdefgh"[:k])
+    items = [(i, " ".join(word(random.choice([1, 2, 3])) for _ in range(random.choice([2, 4, 9, 20])))) for i in range(15)]
+    w = [f"w{i}" for i in range(13)]
+    items.append((50, " ".join([*w, "x", *w, "y", "z"])))
+    docs = [(i, " ".join(word(random.choice([1, 2, 3])) for _ in range(random.randint(0, 60)))) for i in range(30)] + [(99, " ".join([*w, "y", "z"]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window, block in ((4, 500_000), (4, 40), (13, 500_000)):
+        for r in decontam.find_overlaps(d, b, window=window, block_words=block).collect():
+            own = r.text.split()
+            want = {}
+            for k, t in items:
+                item = t.split()
+                found = _longest_by_brute_force(own, item, min(window, len(item)))
+                if found[0]:
+                    want[str(k)] = found
+            assert {m.item_id: (m.words, m.doc_start, m.item_start) for m in r.matches} == want
+            if r.doc_id == 99 and window == 13:
+                assert want["50"] == (15, 0, 14)
+
+
+def test_decontamination_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    bench = [(r.item_id, r.text or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = _windows([(str(k), t) for k, t in bench])
+    sizes = sorted({len(k) for k in want})
+    out = {r.doc_id: r for r in QUERIES["op8_benchmark_decontamination"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        hit, found = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in want:
+                    hit |= set(range(i, i + n))
+                    found |= want[tuple(w[i : i + n])]
+        items = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        got = out[r.doc_id]
+        assert (got.n_words, got.n_hit, got.n_items, got.items_sha256, got.contaminated) == (len(w), len(hit), len(found), items, bool(hit) and 20 * len(hit) >= len(w))
+
+
 def _components(sets, limit=80):
     root = {i: i for i in sets}
 

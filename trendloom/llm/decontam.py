@@ -2,27 +2,31 @@
 
 Each task sorts the suffixes of its shard of training words (a slice of documents) into a
 suffix array, compared to the depth of a window, and binary-searches every benchmark
-suffix in it. Matches give the hit words, the items found and the longest verbatim
-matches with their places; documents with too many hit words are then removed. Documents
+suffix in it. Matches give the hit words, the items found and the longest verbatim match
+with each item and its place; documents with too many hit words are then removed. Documents
 are not shuffled: a match never crosses a document, so shards are independent.
 
 Only suffixes that start a run of enough benchmark words are sorted; a suffix that meets a
 word outside the benchmark within a window's length can't match any window.
 
-The benchmark is broadcast in blocks of at most BLOCK_WORDS words; a larger one takes more
-blocks, each read against all documents.
+The driver reads the benchmark a block of about BLOCK_WORDS words at a time and broadcasts no
+more than that. One that fits a block is searched in one pass; for a larger one the documents
+are written with a row number, each block's hits become a table, and these are joined.
 
 Words: A-Z lower-cased, then runs of characters other than ASCII non-alphanumerics. A
 window is 13 consecutive words of an item; an item of 1 to 12 words is one window.
 
-Edge cases: null or wordless texts have no hits; items that are null or wordless have no
-windows; a null item_id is the empty string; repeated items count once by item_id, repeated
-documents are judged one by one; an empty benchmark hits nothing; result columns replace
-input columns of the same name.
+Edge cases: null or wordless texts have no hits; very long texts are read in pieces and
+matched whole; items that are null or wordless have no windows; a null item_id is the empty
+string; repeated items count once by item_id, repeated documents are judged one by one; of
+equally long matches with an item the first in the document is reported, at its first place
+in the item; an empty benchmark hits nothing; result columns replace input columns of the same
+name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import SLICE_BYTES, small_batches, with_columns
+from trendloom.llm.common import SLICE_BYTES, materialize, small_batches, with_columns
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -45,24 +49,31 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """A block of items: vocabulary, and for each window length the sorted distinct windows
-    with the (item, offset) pairs that have them."""
+    """A block of items: its vocabulary and its numbered distinct windows. by_size has the
+    sorted windows of each length and their numbers; at[k] the numbers of item k's windows by
+    place; owners the items of each window, those of window w from first[w] to first[w + 1]."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.names = [name for name, _ in items]
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
         self.vocab: dict[bytes, int] = {}
-        at: dict[int, dict[tuple, dict[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
+        known: dict[tuple, int] = {}
+        self.at: list[list[np.ndarray]] = [[] for _ in self.names]
+        pairs: list[np.ndarray] = []
+        for name, text in sorted(set(items)):
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
             size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                at.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), {}).setdefault(k, i)
+            if size:
+                own = np.array([known.setdefault(tuple(ids[i : i + size]), len(known)) for i in range(len(ids) - size + 1)])
+                self.at[number[name]].append(own)
+                pairs.append(np.stack([own, np.full(len(own), number[name])]))
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
+        self.owners, self.first = both[1], np.searchsorted(both[0], np.arange(len(known) + 1))
         self.by_size = {}
-        for size, found in at.items():
-            keys = keys_of(np.array(list(found), dtype=">u4"))
+        for size in sorted({len(w) for w in known}):
+            keys = keys_of(np.array([w for w in known if len(w) == size], dtype=">u4"))
             order = np.argsort(keys)
-            owners = list(found.values())
-            self.by_size[size] = (keys[order], [list(owners[i].items()) for i in order])
+            self.by_size[size] = (keys[order], np.array([n for w, n in known.items() if len(w) == size])[order])
 
 
 def keys_of(rows: np.ndarray) -> np.ndarray:
@@ -80,10 +91,10 @@ def starts_of_runs(known: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
-def search(ids: np.ndarray, block: Windows) -> list[tuple[int, np.ndarray, list]]:
-    """(window length, sorted places in ids, owners) for each benchmark window that occurs."""
-    found = []
-    for size, (keys, owners) in block.by_size.items():
+def search(ids: np.ndarray, block: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Benchmark windows that occur in ids: number, place and length of each, by place."""
+    number, place, length = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size, (keys, numbers) in block.by_size.items():
         starts = starts_of_runs(ids > 0, size)
         if not len(starts):
             continue
@@ -91,8 +102,13 @@ def search(ids: np.ndarray, block: Windows) -> list[tuple[int, np.ndarray, list]
         array = np.argsort(suffixes, kind="stable")
         ordered = suffixes[array]
         low, high = np.searchsorted(ordered, keys, "left"), np.searchsorted(ordered, keys, "right")
-        found += [(size, starts[array[low[k] : high[k]]], owners[k]) for k in np.flatnonzero(high > low)]
-    return found
+        n = high - low
+        number.append(np.repeat(numbers, n))
+        place.append(starts[array[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]])
+        length.append(np.full(n.sum(), size))
+    number, place, length = map(np.concatenate, (number, place, length))
+    order = np.argsort(place, kind="stable")
+    return number[order], place[order], length[order]
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
@@ -106,20 +122,80 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in out]
 
 
-def _longest(hits: list[tuple[int, int, int]], names: list[str]) -> list[dict]:
-    """The longest verbatim match with each item, from (item, item place - document place,
-    document place, window length): consecutive windows on one diagonal are one match."""
-    best: dict[int, tuple[int, int, int]] = {}
-    run = None
-    for item, shift, place, size in sorted(hits):
-        if run and run[:2] == (item, shift) and place == run[3] + 1 and size == run[4]:
-            run = (item, shift, run[2], place, size)
-        else:
-            run = (item, shift, place, place, size)
-        length = run[3] - run[2] + size
-        if item not in best or length > best[item][0]:
-            best[item] = (length, run[2], run[2] + shift)
-    return [{"item_id": names[k], "doc_start": p, "item_start": q, "words": n} for k, (n, p, q) in sorted(best.items())]
+class Automaton:
+    """The suffix automaton of a sequence: longest(other) is its longest stretch in another."""
+
+    def __init__(self, seq: list[int]):
+        self.next, self.link, self.size, self.end = [{}], [-1], [0], [0]
+        last = 0
+        for i, x in enumerate(seq):
+            self._state({}, 0, self.size[last] + 1, i + 1)
+            new, p = len(self.next) - 1, last
+            while p >= 0 and x not in self.next[p]:
+                self.next[p][x] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][x]
+                if self.size[p] + 1 != self.size[q]:
+                    self._state(dict(self.next[q]), self.link[q], self.size[p] + 1, self.end[q])
+                    copy = len(self.next) - 1
+                    while p >= 0 and self.next[p].get(x) == q:
+                        self.next[p][x] = copy
+                        p = self.link[p]
+                    self.link[q] = q = copy
+                self.link[new] = q
+            last = new
+
+    def _state(self, moves: dict, link: int, size: int, end: int) -> None:
+        """end: where the state's stretches first end."""
+        self.next.append(moves)
+        self.link.append(link)
+        self.size.append(size)
+        self.end.append(end)
+
+    def longest(self, other: list[int]) -> tuple[int, int, int]:
+        """(length, first place in other, first place in the sequence)."""
+        best, p, n = (0, 0, 0), 0, 0
+        for j, x in enumerate(other):
+            while p and x not in self.next[p]:
+                p = self.link[p]
+                n = self.size[p]
+            if x in self.next[p]:
+                p, n = self.next[p][x], n + 1
+            if n > best[0]:
+                best = (n, j + 1 - n, self.end[p] - n)
+        return best
+
+
+def _longest(number: np.ndarray, place: np.ndarray, item: list[np.ndarray], size: np.ndarray, automata: dict, key: int) -> tuple[int, int, int]:
+    """(words, place in the document, place in the item) of the longest verbatim match with
+    an item, whose windows' numbers by place are given (one list for each text it has).
+    Consecutive windows of both are one match."""
+    best = (0, 0, 0)
+    for t, own in enumerate(item):
+        order = np.argsort(own, kind="stable")
+        at = np.minimum(np.searchsorted(own[order], number), len(own) - 1)
+        met = own[order][at] == number
+        if not met.any():
+            continue
+        p, q, n = place[met], order[at[met]], int(size[met][0])
+        if len(np.unique(own)) == len(own):
+            run = np.concatenate(([0], np.cumsum((np.diff(p) != 1) | (np.diff(q) != 1))))
+            length = np.bincount(run)
+            r = int(length.argmax())
+            k = int(np.searchsorted(run, r))
+            found = (int(length[r]) + n - 1, int(p[k]), int(q[k]))
+        else:  # windows that repeat in the item: any of their places may be the longest
+            if (key, t) not in automata:
+                automata[key, t] = Automaton(own.tolist())
+            seq = np.full(len(p) + int((np.diff(p) != 1).sum()), -1)
+            at_seq = np.arange(len(p)) + np.concatenate(([0], np.cumsum(np.diff(p) != 1)))
+            seq[at_seq] = number[met]
+            length, a, b = automata[key, t].longest(seq.tolist())
+            found = (length + n - 1, int(p[np.searchsorted(at_seq, a)]), b)
+        if found[0] > best[0] or (found[0] == best[0] and found[1:] < best[1:]):
+            best = found
+    return best
 
 
 def mark(texts: list[bytes], block: Windows) -> list[dict]:
@@ -137,32 +213,28 @@ def mark(texts: list[bytes], block: Windows) -> list[dict]:
     ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
     begin = np.cumsum([0, *[n + 1 for n in sizes]])[:-1]
     out = [{"n_words": n, "spans": [], "items": [], "matches": []} for n in sizes]
-    spans: dict[int, list] = {}
-    items: dict[int, set] = {}
-    hits: dict[int, list] = {}
-    for size, places, owners in search(ids, block):
-        docs = np.searchsorted(begin, places, "right") - 1
-        for d, p in zip(docs.tolist(), (places - begin[docs]).tolist(), strict=True):
-            spans.setdefault(d, []).append((p, p + size))
-            items.setdefault(d, set()).update(k for k, _ in owners)
-            hits.setdefault(d, []).extend((k, i - p, p, size) for k, i in owners)
-    for d, found in spans.items():
-        a = np.array(found)
-        out[d] |= {"spans": _merged(a[:, 0], a[:, 1]), "items": sorted({block.names[k] for k in items[d]}), "matches": _longest(hits[d], block.names)}
+    number, place, length = search(ids, block)
+    owner = np.searchsorted(begin, place, "right") - 1
+    ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    automata: dict = {}
+    for d in np.flatnonzero(np.diff(ends)).tolist():  # an item of a document at a time
+        w, p, n = (x[ends[d] : ends[d + 1]] for x in (number, place - begin[owner], length))
+        seen = np.unique(w)
+        items = np.unique(np.concatenate([block.owners[block.first[x] : block.first[x + 1]] for x in seen.tolist()])).tolist()
+        matches = []
+        for k in items:
+            best = _longest(w, p, block.at[k], n, automata, k)
+            matches.append({"item_id": block.names[k], "doc_start": best[1], "item_start": best[2], "words": best[0]})
+        out[d] |= {"spans": _merged(p, p + n), "items": [block.names[k] for k in items], "matches": matches}
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    block, n = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("binary")).where(F.col(text_col).isNotNull())
-    for name, text in rows.toLocalIterator():
-        size = len(words(bytes(text)))
-        if block and n + size > block_words:
-            yield block
-            block, n = [], 0
-        block.append((name, bytes(text)))
-        n += size
-    yield block
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks of about block_words words there are, and each in turn."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.col(text_col).isNotNull()).distinct()
+    n = max(1, math.ceil((rows.agg(F.sum(_n_words(F.col("text").cast("string")))).first()[0] or 0) / block_words))
+    of = F.pmod(F.xxhash64("id"), F.lit(n))  # all texts of an item are in one block
+    return n, ([(r.id, bytes(r.text)) for r in rows.where(of == b).collect()] for b in range(n))
 
 
 def _matcher(spark, block: Windows):
@@ -184,6 +256,7 @@ def _matcher(spark, block: Windows):
             out += mark(part, shared.value)
             yield pa.array(out, kind)
 
+    match.block = shared
     return match
 
 
@@ -191,16 +264,33 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs with n_words, n_hit, hit_spans (words, end exclusive), item_ids (sorted) and
     matches (the longest verbatim match with each item found, and where)."""
     spark = small_batches(docs.sparkSession)
-    found = [_matcher(spark, Windows(block, window))(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) for block in _blocks(benchmark, item_id_col, item_text_col, block_words)]
-    names = [f"_found{i}" for i in range(len(found))]
-    df = with_columns(docs, **dict(zip(names, found, strict=True)))
-    of = lambda field: [F.col(n)[field] for n in names]
-    df = with_columns(
-        df, n_words=F.col(names[0])["n_words"], hit_spans=of("spans")[0] if len(names) == 1 else _union_spans(F.concat(*of("spans"))),
-        item_ids=F.array_sort(F.array_distinct(F.concat(*of("items")))), matches=F.concat(*of("matches")),
-    )
+    n, blocks = _blocks(benchmark, item_id_col, item_text_col, block_words)
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    if n == 1:
+        df = with_columns(docs, _found=_matcher(spark, Windows(next(blocks), window))(text))
+    else:
+        docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
+        hits = []
+        for block in blocks:
+            match = _matcher(spark, Windows(block, window))
+            found = docs.select("_row", match(text).alias("f")).where(F.size("f.spans") > 0)
+            hits.append(materialize(found.select("_row", "f.*"), "decontam-hits"))
+            match.block.destroy()
+        every = hits[0]
+        for more in hits[1:]:
+            every = every.unionByName(more)
+        every = every.groupBy("_row").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")])  # a row a block
+        df = docs.join(every, "_row", "left")
+        none = lambda c: F.coalesce(c, F.array().cast(every.schema[c].dataType))
+        df = df.withColumn("_found", F.struct(_n_words(F.col(text_col)).alias("n_words"), _union_spans(none("spans")).alias("spans"), F.array_sort(none("items")).alias("items"), F.array_sort(none("matches")).alias("matches")))
+        df = df.drop("_row", "spans", "items", "matches")
+    df = with_columns(df, n_words=F.col("_found")["n_words"], hit_spans=F.col("_found")["spans"], item_ids=F.col("_found")["items"], matches=F.col("_found")["matches"])
     df = with_columns(df, n_hit=F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
-    return df.drop(*names)
+    return df.drop("_found")
+
+
+def _n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
 
 
 def _union_spans(spans: Column) -> Column:
