@@ -148,14 +148,14 @@ ORACLE_SQL = {
                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                 coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
-                len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
-                len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullet_lines,
+                length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits,
+                len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t\n\x0b\f\r]*[-*•]'))) AS n_bullet_lines,
                 len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\n\x0b\f\r]*$'))) AS n_cut_lines
             FROM k LEFT JOIN c USING (rid)),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
-                OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 100 * n_letter_words < 50 * n_words
+                OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 100 * n_digits > 50 * word_chars
                 OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_cut_lines > 30 * n_lines) AS kept
         FROM b""",
 }

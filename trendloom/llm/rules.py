@@ -31,8 +31,6 @@ SAMPLE_ROWS = 2000
 
 _SPACE = " \t\n\x0b\f\r"
 _GAP = r"[\x20\x09-\x0D]+"
-#: Where a word begins whose first letter comes after the rest of the match.
-_LETTER_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}"
 
 
 def _windows() -> Column:
@@ -58,8 +56,8 @@ def _text() -> Column:
     return F.coalesce(F.col("_text"), F.lit(""))
 
 
-def _marked_lines(pattern: str) -> Column:
-    return F.size(F.filter("_lines", lambda x: F.rlike(x, F.lit(pattern)))).cast("long")
+def _count_lines(of: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter("_lines", of)).cast("long")
 
 
 #: What the costs below multiply, for a text.
@@ -77,7 +75,7 @@ class Measure:
 
 #: A name with an underscore is internal.
 MEASURES: dict[str, Measure] = {
-    "_words": Measure((), lambda: F.when(F.btrim(_text(), F.lit(_SPACE)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(_text(), F.lit(_SPACE)), _GAP)), {"chars": 2, "words": 4}),
+    "_words": Measure((), lambda: F.array_remove(F.split(_text(), _GAP), ""), {"chars": 2, "words": 4}),
     "n_words": Measure(("_words",), lambda: F.size("_words").cast("long"), {}),
     "word_chars": Measure(("_words",), lambda: F.length(F.array_join("_words", "")).cast("long"), {"words": 2, "chars": 0.2}),
     "n_symbols": Measure((), lambda: F.regexp_count(_text(), F.lit("[#*$%&|<>]")).cast("long"), {"chars": 1}),
@@ -89,9 +87,9 @@ MEASURES: dict[str, Measure] = {
     "_sorted": Measure(("_windows",), lambda: F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))), {"words": 10}),
     "_at": Measure(("_sorted",), _repeated_at, {"words": 2}),
     "n_repeat_words": Measure(("_at",), lambda: F.coalesce(_covered(), F.lit(0)).cast("long"), {"words": 1}),
-    "n_letter_words": Measure((), lambda: F.regexp_count(_text(), F.lit(_LETTER_WORD)).cast("long"), {"chars": 3}),
-    "n_bullet_lines": Measure(("_lines",), lambda: _marked_lines(r"^[\x20\x09]*[-*\u2022]"), {"chars": 0.5, "lines": 8}),
-    "n_cut_lines": Measure(("_lines",), lambda: _marked_lines(r"(?:\.\.\.|\u2026)[\x20\x09-\x0D]*$"), {"chars": 2, "lines": 8}),
+    "n_digits": Measure((), lambda: F.regexp_count(_text(), F.lit("[0-9]")).cast("long"), {"chars": 1}),
+    "n_bullet_lines": Measure(("_lines",), lambda: _count_lines(lambda x: F.rlike(F.left(F.ltrim(x, F.lit(_SPACE)), F.lit(1)), F.lit("[-*\u2022]"))), {"lines": 10}),
+    "n_cut_lines": Measure(("_lines",), lambda: _count_lines(lambda x: F.rlike(F.right(F.rtrim(x, F.lit(_SPACE)), F.lit(3)), F.lit(r"\.\.\.|\u2026$"))), {"chars": 0.5, "lines": 10}),
 }
 
 
@@ -114,7 +112,7 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda: 100 * F.col("n_symbols") > 30 * F.col("n_words")),
     Rule("duplicate_lines", ("n_lines", "n_dup_lines"), lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
     Rule("word_length", ("n_words", "word_chars"), lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 30 * F.col("n_words"))),
-    Rule("letters", ("n_words", "n_letter_words"), lambda: 100 * F.col("n_letter_words") < 50 * F.col("n_words")),
+    Rule("digits", ("word_chars", "n_digits"), lambda: 100 * F.col("n_digits") > 50 * F.col("word_chars")),
     Rule("bullets", ("n_lines", "n_bullet_lines"), lambda: 100 * F.col("n_bullet_lines") > 90 * F.col("n_lines")),
     Rule("cut_lines", ("n_lines", "n_cut_lines"), lambda: 100 * F.col("n_cut_lines") > 30 * F.col("n_lines")),
 )
