@@ -219,6 +219,39 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_near_duplicate_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    sets = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {hash(tuple(w[k : k + 4])) for k in range(max(len(w) - 3, 1))} if w else set()
+    want = _components(sets)
+    out = QUERIES["op9_minhash_near_dedup"](spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+
+
+def test_near_duplicates_in_a_bucket_of_many_tiles(spark, monkeypatch):
+    """Close classes that one pivot doesn't link: chains of edits, a bucket larger than a tile."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    random.seed(9)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(90):
+        w = list(base)
+        for k in range(i // 6, i // 6 + 5):
+            w[k * 3 % 60] = f"x{i % 7}{k}"
+        docs.append((i, " ".join(w)))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in docs for w in [t.split()]}
+    out = neardup.find_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == _components(sets)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(400)] + [(1000 + 7 * i % 300, 1000 + 7 * (i + 1) % 300) for i in range(250)]
+    out = {r.node: r.root for r in neardup.connect(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(out[i] == 0 for i in range(401)) and len({out[n] for e in edges[400:] for n in e}) == 1
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.8, 0.9):

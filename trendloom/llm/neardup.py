@@ -10,8 +10,11 @@ Buckets are never expanded into all pairs:
   1. Each class meets the smallest class of each of its buckets and is confirmed against
      one of them that the sketches leave. Large groups of near copies become one component.
   2. Where a bucket still has several components, its classes are compared by sketch across
-     components, a tile of classes against another at a time, and what the sketches leave is
-     confirmed on the full sets there. Only links that join components leave the task.
+     components, a tile of classes against another at a time. Classes that close sketches
+     connect are a cluster; the same cluster of several bands is one.
+  3. Only classes in a cluster send their sets, once for each different cluster, and pairs
+     across components whose sketches are close are confirmed there. Only links that join
+     components leave the task.
 So no pair of a bucket is skipped unless both are in one component or their sketches differ
 in more than the limit.
 Two sets with similarity 0.8 share no bucket with probability (1 - 0.8^5)^32 < 4e-6, and
@@ -21,13 +24,15 @@ Words: A-Z lower-cased, split at ASCII white space.
 
 Edge cases: null and wordless texts have the empty set, are linked with nothing and are
 their own components; a text of fewer words than a shingle has one shingle, the whole
-sequence; rows with one id are one document; rows with a null id are linked with nothing,
-have a null component and are kept; an empty table gives no rows; result columns replace
-input columns of the same name.
+sequence; very long texts are hashed in pieces and compared whole; rows with one id are one
+document; rows with a null id are linked with nothing, have a null component and are kept; of
+equal documents the smallest id stands for all; an empty table gives no rows; the result has
+its own columns and the id only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +48,7 @@ BANDS, ROWS = 32, 5
 BITS = 1024
 #: Most bits in which two sketches may differ: about 0.8 less 4 standard deviations.
 MOST_BITS = 100
-TILE = 2048
+TILE = 1024
 PIECE_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -216,14 +221,15 @@ def _set_column(words: int):
     return collect
 
 
-def connect(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connect(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, root for each node of an edge; the root is the
-    smallest node. Alternates large-star and small-star steps until nothing changes; each
-    round is written to the shared folder."""
+    smallest node. Alternates large-star and small-star steps until nothing changes, which
+    takes about as many rounds as the logarithm of the longest path; each round is written to
+    the shared folder."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
-        seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    while True:
+        seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(7), "u"))).first()
         if seen == before:
             break
         before = seen
@@ -236,7 +242,29 @@ def connect(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def _links_of(node: list, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray, sets: pa.ListArray, similarity: int) -> Iterator[tuple]:
+def _near(sketch: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of left with the rows of right whose sketches are close."""
+    for lo in range(0, len(left), 64):
+        block = left[lo : lo + 64]
+        bits = np.bitwise_count(sketch[block][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
+        for x, close in zip(block.tolist(), bits <= MOST_BITS, strict=True):
+            yield x, right[close]
+
+
+def _clusters_of(comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows that close sketches across components connect, a cluster at a time."""
+    label = np.arange(len(comp))
+    for x, near in _near(sketch, left, right):
+        for y in near[comp[near] != comp[x]].tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+    order = np.argsort(label, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(rows) > 1:
+            yield rows
+
+
+def _links_of(node: list, comp: np.ndarray, sketch: np.ndarray, sets: pa.ListArray, similarity: int) -> Iterator[tuple]:
     """Links that join components: pairs of different components whose sketches are close
     and whose sets confirm it. At most one fewer than there are classes."""
     _, label = np.unique(comp, return_inverse=True)
@@ -244,68 +272,86 @@ def _links_of(node: list, comp: np.ndarray, left: np.ndarray, right: np.ndarray,
     _, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)  # dense numbers
     size = np.diff(ends)
     mine = np.zeros(int(shingle.max(initial=-1)) + 1, bool)
-    for lo in range(0, len(left), 64):
-        block = left[lo : lo + 64]
-        bits = np.bitwise_count(sketch[block][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int32)
-        for x, near in zip(block.tolist(), bits <= MOST_BITS, strict=True):
-            other = right[near & (label[right] != label[x])]
-            if not len(other):
-                continue
-            own = shingle[ends[x] : ends[x + 1]]
-            mine[own] = True
-            spans = np.concatenate([shingle[ends[y] : ends[y + 1]] for y in other.tolist()])
-            both = np.add.reduceat(mine[spans], np.cumsum(size[other]) - size[other], dtype=np.int64)
-            mine[own] = False
-            for y in other[100 * both >= similarity * (size[x] + size[other] - both)].tolist():
-                if label[x] != label[y]:
-                    label[label == label[y]] = label[x]
-                    yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
-
-
-def _across(similarity: int, id_type: pa.DataType):
-    """Rows (key, i, j, node, comp, tile, sketch, shingles), sorted by key, i, j -> links
-    (a, b) between components within each (key, i, j)."""
-    schema = pa.schema([("a", id_type), ("b", id_type)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple] = set()
-        rest: pa.Table | None = None
-
-        def groups() -> Iterator[pa.Table]:
-            nonlocal rest
-            for batch in batches:
-                whole = pa.Table.from_batches([batch])
-                rest = whole if rest is None else pa.concat_tables([rest, whole])
-                cols = [rest.column(k).to_numpy() for k in range(3)]
-                cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-                start = 0
-                for end in cut.tolist():
-                    yield rest.slice(start, end - start)
-                    start = end
-                rest = rest.slice(start)
-            if rest is not None and len(rest):
-                yield rest
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"a": [p[0] for p in found], "b": [p[1] for p in found]}, schema)
-            found.clear()
-            return out
-
-        for g in groups():
+    every = np.arange(len(node))
+    for x, near in _near(sketch, every, every):
+        other = near[(near > x) & (label[near] != label[x])]
+        if not len(other):
+            continue
+        own = shingle[ends[x] : ends[x + 1]]
+        mine[own] = True
+        both = np.array([np.count_nonzero(mine[shingle[ends[y] : ends[y + 1]]]) for y in other.tolist()])
+        mine[own] = False
+        for y in other[100 * both >= similarity * (size[x] + size[other] - both)].tolist():
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+                yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first n_keys columns, one table for each key."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        rest = whole if rest is None else pa.concat_tables([rest, whole])
+        cols = [rest.column(k).to_numpy() for k in range(n_keys)]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        start = 0
+        for end in cut.tolist():
+            yield rest.slice(start, end - start)
+            start = end
+        rest = rest.slice(start)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _one(group: pa.Table, column: str) -> pa.Array:
+    return pa.concat_arrays(group.column(column).chunks)
+
+
+def _sketches(group: pa.Table) -> np.ndarray:
+    return _one(group, "sketch").flatten().to_numpy().view(np.uint64).reshape(len(group), BITS // 64)
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= 50_000:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held, strict=True), strict=True)), schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*held, strict=True), strict=True)), schema)
+
+
+def _cluster(id_type: pa.DataType):
+    """Rows (key, i, j, node, comp, tile, sketch), sorted by key, i, j -> (cluster, node,
+    comp): a cluster's name is a hash of its nodes."""
+    schema = pa.schema([("cluster", pa.int64()), ("node", id_type), ("comp", id_type)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g in _groups(batches, 3):
             comp = np.array(g.column("comp").to_pylist())
             if len(comp) < 2 or (comp == comp[0]).all():
                 continue
             node, tile = g.column("node").to_pylist(), g.column("tile").to_numpy()
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            one = lambda c: pa.concat_arrays(g.column(c).chunks)  # noqa: E731,B023
-            sketch = one("sketch").flatten().to_numpy().view(np.uint64).reshape(len(node), BITS // 64)
-            found.update(_links_of(node, comp, np.flatnonzero(tile == i), np.flatnonzero(tile == j), sketch, one("shingles"), similarity))
-            if len(found) > 50_000:
-                yield flush()
-        if found:
-            yield flush()
+            for own in _clusters_of(comp, np.flatnonzero(tile == i), np.flatnonzero(tile == j), _sketches(g)):
+                members = sorted((node[x], comp[x].item()) for x in own.tolist())
+                name = int.from_bytes(hashlib.blake2b(repr([m[0] for m in members]).encode(), digest_size=8).digest(), "little", signed=True)
+                yield from ((name, *m) for m in members)
+
+    return lambda batches: _batched(rows(batches), schema)
+
+
+def _confirm(similarity: int, id_type: pa.DataType):
+    """Rows (cluster, node, comp, sketch, shingles), sorted by cluster -> links (a, b)."""
+    schema = pa.schema([("a", id_type), ("b", id_type)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for g in _groups(batches, 1):
+            yield from _links_of(g.column("node").to_pylist(), np.array(g.column("comp").to_pylist()), _sketches(g), _one(g, "shingles"), similarity)
 
-    return run
+    return lambda batches: _batched(rows(batches), schema)
 
 
 def _cross_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -313,15 +359,19 @@ def _cross_links(buckets: DataFrame, comps: DataFrame, sketches: DataFrame, sets
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = buckets.schema["node"].dataType
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
     rows = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y")
     rows = rows.select("key", "node", "comp").join(mixed.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key")
-    rows = rows.join(sketches, "node").join(sets, "node").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int"))
+    rows = rows.join(sketches, "node").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    rows = rows.select("key", "node", "comp", "tile", "sketch", "shingles", other)
-    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "sketch", "shingles")
+    rows = rows.select("key", "node", "comp", "tile", "sketch", other)
+    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp", "tile", "sketch")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_across(similarity, to_arrow_type(kind)), f"a {kind.simpleString()}, b {kind.simpleString()}").distinct()
+    clusters = materialize(rows.mapInArrow(_cluster(arrow), f"cluster bigint, node {name}, comp {name}").distinct(), "clusters")
+    met = clusters.join(sketches, "node").join(sets, "node").select("cluster", "node", "comp", "sketch", "shingles")
+    met = met.repartition("cluster").sortWithinPartitions("cluster")
+    return met.mapInArrow(_confirm(similarity, arrow), f"a {name}, b {name}").distinct()
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -368,7 +418,8 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that another document of their component stands for."""
+    """docs without the rows that another document of their component stands for. A row goes
+    if its id is one that goes, and stays with all its repeats if it is not."""
     found = find_near_duplicates(docs, id_col, text_col, **options)
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
