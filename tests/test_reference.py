@@ -3,13 +3,14 @@
 import datetime as dt
 import json
 import random
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, search, signals, text, trends, urls, verdicts
-from trendloom.operators import compliance, constraints, dedup, feed, ledger, statistics
+from trendloom.operators import compliance, constraints, dedup, feed, ledger, ranking, statistics
 from trendloom.plans import catalogs
 from trendloom.sources import connectors, landing, model_cache
 
@@ -150,16 +151,32 @@ def test_dedup_equals_the_sequential_rule(spark):
         stored = [] if trial < 2 else [(1000, "u1", None), (1001, None, "f2")]
         df = spark.createDataFrame([(i, x, u, t, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)) for i, x, u, t in posts], "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
         old = spark.createDataFrame([(i, u, t, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i)) for i, u, t in stored], "id long, url_hash string, text_fingerprint string, posted_at timestamp")
-        got = {r.id: None if r.level is None else (dedup.LEVELS.index(r.level), r.survivor_id) for r in dedup.deduplicate(df, old).collect()}
-        assert got == _sequential(posts, stored)
+        for few in (0, 50):  # by rounds, and in order
+            got = {r.id: None if r.level is None else (dedup.LEVELS.index(r.level), r.survivor_id) for r in dedup.deduplicate(df, old, few=few).collect()}
+            assert got == _sequential(posts, stored)
+
+
+def test_dedup_of_a_long_chain(spark):
+    chain = [(i, f"x{i}", f"u{(i + 1) // 2}", f"f{i // 2}") for i in range(300)]
+    df = spark.createDataFrame([(*c, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=c[0])) for c in chain], "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
+    got = {r.id: None if r.level is None else (dedup.LEVELS.index(r.level), r.survivor_id) for r in dedup.deduplicate(df).collect()}
+    assert got == _sequential(chain, [])
+
+
+def test_probe_meets_survivors_of_the_batchs_keys_only(spark):
+    at = dt.datetime(2026, 1, 1)
+    stored = [(1, "a", "u1", "f1", at, "classified", None), (2, "b", "u2", "f9", at, "raw", None), (3, "c", "u3", "f3", at, "filtered", 1), (4, "d", "u4", "f4", at, "filtered", None), (5, "e", None, "f5", at, "published", None), (9, "z", "u1", "f1", at, "classified", None)]
+    old = spark.createDataFrame(stored, "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp, status string, duplicate_of_tweet_id long")
+    batch = spark.createDataFrame([(9, "z", "u1", None), (10, "y", "u2", "f5"), (11, "x", "u3", None)], "id long, x_tweet_id string, url_hash string, text_fingerprint string")
+    assert sorted(r.id for r in dedup.probe(batch, old).collect()) == [1, 5]
 
 
 def test_dedup_never_leaves_posts_undecided(spark):
-    assert dedup.deduplicate.__defaults__ == (None, None)  # no bound unless one is given
+    assert dedup.deduplicate.__defaults__ == (None, None, dedup.FEW)  # no bound on rounds unless one is given
     chain = [(i, f"x{i}", f"u{(i + 1) // 2}", f"f{i // 2}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)) for i in range(6)]
     df = spark.createDataFrame(chain, "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
     with pytest.raises(RuntimeError):
-        dedup.deduplicate(df, most_rounds=2)
+        dedup.deduplicate(df, most_rounds=2, few=0)
 
 
 def test_feed_queries_are_validated():
@@ -255,6 +272,54 @@ def test_model_cache(spark):
     assert again[3].raw == "old" and again[3].cache_hit and again[1].cost_usd == 2.0
 
 
+def test_redaction_reaches_every_depth(spark):
+    kind = "a struct<token: string, note: string, more: array<map<string, string>>, key: int>"
+    df = spark.createDataFrame([(("s", "Bearer abcdefgh12", [{"Secret": "x", "k": "?token=1&b=2"}], 3),), (None,)], kind)
+    got = df.select(trends.redact_context(F.col("a"), df.schema["a"].dataType).alias("a")).collect()
+    assert got[0].a.asDict(True) == {"token": "[redacted]", "note": "Bearer [redacted]", "more": [{"Secret": "[redacted]", "k": "?token=[redacted]&b=2"}], "key": None} and got[1].a is None
+
+
+def test_stored_keys_give_the_same_pages(spark):
+    rows = [(i, f"App {i}", "launching compilers" if i % 2 else "queries", '{"components":{"growth":{"contribution":%d}}}' % (i % 3), float(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, name string, description string, score_breakdown string, score double")
+    stored = feed.with_stored_keys(df)
+    for q in (feed.FeedQuery(sort="trending", search="compiler"), feed.FeedQuery(sort="relevance", search="query")):
+        pages = [[r.id for r in feed.filtered(d, q, None, None, None).orderBy(*feed.ordering(q, d)).collect()] for d in (df, stored)]
+        assert pages[0] == pages[1] and pages[0]
+
+
+def test_claims_are_exclusive(spark):
+    at = dt.datetime(2026, 1, 1)
+    posts = spark.createDataFrame([(i, "filtered", at + dt.timedelta(hours=i), None, None) for i in range(5)], "id long, status string, posted_at timestamp, purged_at timestamp, claimed_at timestamp")
+    first, after = ledger.claim_into(posts, "filtered", "pending_classification", 2, F.lit(at))
+    second, _ = ledger.claim_into(after, "filtered", "pending_classification", 9, F.lit(at))
+    assert [r.id for r in first.collect()] == [0, 1] and sorted(r.id for r in second.collect()) == [2, 3, 4]
+    assert {r.id for r in after.where("claimed_at is not null").collect()} == {0, 1} and after.columns == posts.columns
+
+
+def _slugs_one_by_one(names, used):
+    taken, out = set(used), []
+    for name in names:
+        base = re.sub("[^a-z0-9]+", "-", name.lower()).strip("-") or "project"
+        slug, n = base, 2
+        while slug in taken:
+            slug, n = f"{base}-{n}", n + 1
+        taken.add(slug)
+        out.append(slug)
+    return out
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(g, i * 7 - 300, v) for g in ("a", "b", None) for i, v in enumerate([3, 1, 4, 1, 5, 9, 2, 6] * 12)]
+    df = spark.createDataFrame(rows, "g string, at long, v long")
+    for width in (5, 10_000):
+        out = {(r.g, r.at): (r.total, r.n) for r in ranking.numbered(ranking.running_sum(df, ["g"], "at", "v", "total", width), ["g"], "at", "n", width).collect()}
+        for g in ("a", "b", None):
+            own = sorted((at, v) for k, at, v in rows if k == g)
+            assert [out[g, at] for at, _ in own] == [(sum(v for _, v in own[: i + 1]), i + 1) for i in range(len(own))]
+    assert ranking.numbered(df.limit(0), ["g"], "at", "n").count() == 0
+
+
 def test_ledger_and_constraints(spark):
     q = spark.createDataFrame([(1, "a", 1, True), (2, "a", 2, False), (3, "b", 1, True)], "id long, name string, version int, is_active boolean")
     assert [r.name for r in ledger.latest_queries(q).collect()] == ["b"]
@@ -262,6 +327,13 @@ def test_ledger_and_constraints(spark):
     assert ledger.watermark(runs).first().since_id == "10"
     slugs = ledger.unique_slugs(spark.createDataFrame([(1, "My App!"), (2, "my app"), (3, "Ünï")], "id long, name string"), spark.createDataFrame([("my-app",)], "slug string"))
     assert [r.slug for r in slugs.orderBy("id").collect()] == ["my-app-2", "my-app-3", "uni"]
+    names = ["Python", "Python", "Python", "Python 3", "!!", "Python 2", "Python", "Python 3 2"]
+    for used in ([], ["python-3"], ["python", "python-2", "python-4"]):
+        got = ledger.unique_slugs(spark.createDataFrame(list(enumerate(names)), "id long, name string"), spark.createDataFrame([(x,) for x in used], "slug string"))
+        assert [r.slug for r in got.orderBy("id").collect()] == _slugs_one_by_one(names, used)
+    old = spark.createDataFrame([("1", "a", 1)], "x_author_id string, username string, first_seen_at int")
+    new = spark.createDataFrame([("1", "c", 3), ("1", "b", 2), ("2", "x", 5), ("2", "y", 4)], old.schema)
+    assert sorted(tuple(r) for r in ledger.upsert_authors(old, new).collect()) == [("1", "c", 1), ("2", "x", 4)]
     posts = spark.createDataFrame([(1, "raw", None, None, None, "weak"), (2, "rejected", None, 2, None, "odd"), (3, "bogus", None, None, "url", "none")], "id long, status string, reject_reason string, duplicate_of_tweet_id long, duplicate_match_level string, signal_strength string")
     assert sorted((r.id, r.rule) for r in constraints.post_violations(posts).collect()) == [(2, "match_level"), (2, "reject_reason"), (2, "self_duplicate"), (2, "strength"), (3, "match_level"), (3, "status")]
     log = spark.createDataFrame([(1, 1, "running"), (1, 2, "failed"), (2, 1, "running")], "id long, recorded_at int, status string")
@@ -281,6 +353,15 @@ def test_streaming(spark, tmp_path):
         assert q.lastProgress is None or q.lastProgress["batchId"] == i
     out = {r.id: (r.level, r.survivor_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {1: (None, None), 3: ("canonical_url", 1), 4: (None, None), 5: (None, None)}
+    from trendloom.streaming.ingest import insert_step
+
+    for number, rows in enumerate([[(1, "a", None, None, at), (2, "a", None, None, at)], [(3, "old", None, None, dt.datetime(2001, 1, 1)), (4, "a", None, None, at)]]):
+        insert_step(str(tmp_path / "landed"))(spark.createDataFrame(rows, schema), number)
+        insert_step(str(tmp_path / "landed"))(spark.createDataFrame(rows, schema), number)  # a replay
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "landed")).collect()) == [1, 3]  # late posts are accepted
+    nudged = []
+    dedup_step(str(tmp_path / "nudging"), nudged.append)(spark.createDataFrame(batches[0], schema), 7)
+    assert nudged == [7]
     stream = distinct_posts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("distinct_posts").trigger(availableNow=True).start()
     q.awaitTermination()

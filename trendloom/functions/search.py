@@ -2,7 +2,7 @@
 document matches if it has every stem of the query.
 
 Stems are made with regular expressions on arrays of words, so a search stays in built-in
-functions; the token array can be stored at publish time."""
+functions; feed.with_stored_keys stores the token array at publish time."""
 
 from __future__ import annotations
 
@@ -31,14 +31,22 @@ def tokens(text: Column) -> Column:
     return F.transform(words, stem)
 
 
-def matches(text: Column, query: str) -> Column:
+def matches_tokens(have: Column, query: str) -> Column:
+    """Whether a text's tokens hold every stem of the query."""
     want = F.array_distinct(tokens(F.lit(query)))
-    have = tokens(text)
     return (F.size(want) > 0) & F.forall(want, lambda q: F.array_contains(have, q))
 
 
-def rank(text: Column, query: str) -> Column:
+def matches(text: Column, query: str) -> Column:
+    return matches_tokens(tokens(text), query)
+
+
+def rank_tokens(have: Column, query: str) -> Column:
     """Share of the text's tokens that are query stems, damped by length."""
-    want, have = tokens(F.lit(query)), tokens(text)
+    want = tokens(F.lit(query))
     hits = F.size(F.filter(have, lambda t: F.array_contains(want, t)))
     return F.round(hits / (1 + F.log1p(F.size(have).cast("double"))), 6)
+
+
+def rank(text: Column, query: str) -> Column:
+    return rank_tokens(tokens(text), query)

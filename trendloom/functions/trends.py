@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+
+from trendloom.plans.catalogs import SECRET_PATTERNS, SENSITIVE_KEYS
 
 from trendloom.plans.catalogs import SERIES_MAX_DAYS, TREND_MINIMUM_SAMPLE, TREND_STEADY_PERCENT
 
@@ -98,13 +101,29 @@ def safe_href(url: Column) -> Column:
 
 def redact_secrets(text: Column) -> Column:
     """Bearer tokens, secret query values and long app keys."""
-    t = F.regexp_replace(text, r"(?i)(Bearer\s+)[A-Za-z0-9\-._~+/=%]{8,}", "$1[redacted]")
-    t = F.regexp_replace(t, r"(?i)([?&](?:access_token|bearer_token|token|api_key|key|secret)=)[^&\s]+", "$1[redacted]")
-    return F.regexp_replace(t, r"(A{21})[A-Za-z0-9%._-]{10,}", "[redacted]")
-
-
-SENSITIVE_KEYS = ("authorization", "auth", "bearer", "bearer_token", "token", "access_token", "api_key", "apikey", "key", "secret", "client_secret", "consumer_secret", "password", "x_api_bearer_token")
+    for written, instead in SECRET_PATTERNS:
+        text = F.regexp_replace(text, written, instead)
+    return text
 
 
 def redact_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), "[redacted]").otherwise(redact_secrets(v)))
+
+
+def redact_context(value: Column, kind: DataType) -> Column:
+    """Structs, maps and arrays of any depth: values of sensitive keys are replaced whole
+    where they are text, else nulled; other texts lose their secrets; the rest stays."""
+    def field(name: str, v: Column, t: DataType) -> Column:
+        if name.lower() not in SENSITIVE_KEYS:
+            return redact_context(v, t)
+        return F.when(v.isNotNull(), F.lit("[redacted]")) if isinstance(t, StringType) else F.lit(None).cast(t)
+
+    if isinstance(kind, StringType):
+        return redact_secrets(value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[field(f.name, value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redact_context(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), field("key", v, kind.valueType)).otherwise(redact_context(v, kind.valueType)))
+    return value

@@ -9,7 +9,7 @@ pairs of posts, so a hot key costs no more than its rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.sources.shared import materialize
@@ -19,11 +19,61 @@ LEVELS = ("tweet_id", "canonical_url", "text_fingerprint")
 
 def first_seen(posts: DataFrame, key: str) -> DataFrame:
     """posts with survivor_id: the first id with the same key; null keys stand alone."""
-    order = Window.partitionBy(key).orderBy("posted_at", "id")
-    return posts.withColumn("survivor_id", F.when(F.col(key).isNotNull(), F.first("id").over(order)).otherwise(F.col("id")))
+    first = posts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by("id", F.struct("posted_at", "id")).alias("_first"))
+    return posts.join(first, posts[key] == first["_key"], "left").withColumn("survivor_id", F.coalesce("_first", "id")).drop("_key", "_first")
 
 
-def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
+#: Statuses of posts that may block others (fixed values).
+SURVIVORS = ("deduplicated", "filtered", "pending_classification", "classified", "published")
+
+
+def probe(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored posts that a batch can meet (P14, P15, J16): survivors in a later status,
+    not in the batch, that share a URL hash or fingerprint with it. The store is read once
+    and only rows with the batch's keys leave that; it needs no other shuffle where the
+    batch is small."""
+    old = stored
+    if "duplicate_of_tweet_id" in stored.columns:
+        old = old.where(F.col("duplicate_of_tweet_id").isNull())
+    if "status" in stored.columns:
+        old = old.where(F.col("status").isin(*SURVIVORS))
+    old = old.join(batch.select("id"), "id", "left_anti")
+    of = lambda c: batch.select(F.col(c)).where(F.col(c).isNotNull()).distinct().withColumn(f"_{c}", F.lit(True))
+    met = old.join(of("url_hash"), "url_hash", "left").join(of("text_fingerprint"), "text_fingerprint", "left")
+    return met.where("_url_hash or _text_fingerprint").select(*stored.columns)
+
+
+def _in_order(states: DataFrame, links: DataFrame) -> DataFrame:
+    """The states with every open post decided by the rule itself, one after the other, in
+    one task: for few open posts."""
+    now = links.join(states, "place")
+    open_keys = now.where("state = 'open'").select("place", "level", "key")
+    kept = now.where("state = 'kept'").join(open_keys.select("level", "key").distinct(), ["level", "key"], "left_semi").groupBy("level", "key").agg(F.min("place").alias("kept"))
+    posts = open_keys.join(kept, ["level", "key"], "left").groupBy("place").agg(F.collect_list(F.struct(F.concat_ws(":", "level", "key").alias("key"), F.coalesce(F.col("kept") < F.col("place"), F.lit(False)).alias("gone"))).alias("keys"))
+    alone = states.where("state = 'open'").select("place").join(posts.select("place"), "place", "left_anti").select("place", F.lit("kept").alias("state"))
+
+    def decide(batches):
+        import pyarrow as pa
+
+        taken: set[str] = set()
+        for batch in batches:
+            state = []
+            for keys in batch.column("keys").to_pylist():
+                gone = any(k["gone"] or k["key"] in taken for k in keys)
+                if not gone:
+                    taken.update(k["key"] for k in keys)
+                state.append("gone" if gone else "kept")
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(state, pa.string())], names=["place", "state"])
+
+    decided = posts.repartition(1).sortWithinPartitions("place").mapInArrow(decide, states.schema)
+    return states.where("state <> 'open'").unionByName(decided).unionByName(alone)
+
+
+#: So many open posts at most are decided in one task.
+FEW = 50_000
+
+
+def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds: int | None = None, few: int = FEW) -> DataFrame:
     """posts (id, x_tweet_id, url_hash, text_fingerprint, posted_at) with level and
     survivor_id, both null for survivors. stored: survivors of earlier batches, which block
     by URL and fingerprint only and always come first.
@@ -31,8 +81,9 @@ def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds:
     A post is settled as a survivor once no undecided or surviving post before it shares a
     key, and as a duplicate once a survivor before it does; each round settles at least the
     first undecided post of every group, so the rounds end. A chain of posts that alternately
-    share URL and text takes about a round a post. With most_rounds, posts still undecided
-    after so many rounds are an error.
+    share URL and text takes about a round a post, so once no more than `few` posts are open
+    the rule runs over these in one task. With most_rounds, posts still undecided after so
+    many rounds are an error.
     """
     keys = F.array(F.struct(F.lit(0).alias("level"), F.col("x_tweet_id").alias("key")), F.struct(F.lit(1).alias("level"), F.col("url_hash").alias("key")), F.struct(F.lit(2).alias("level"), F.col("text_fingerprint").alias("key")))
     rows = posts.select(F.struct(F.lit(1).alias("new"), F.col("posted_at").alias("at"), F.col("id").alias("id")).alias("place"), keys.alias("keys"), F.lit("open").alias("state"))
@@ -43,7 +94,10 @@ def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds:
     links = materialize(rows.select("place", F.explode("keys").alias("k")).select("place", "k.level", "k.key").where("key is not null"), "dedup-keys")
     states = materialize(rows.select("place", "state"), "dedup-states")
     done = 0
-    while not states.where("state = 'open'").isEmpty():
+    while n := states.where("state = 'open'").count():
+        if n <= few:
+            states = materialize(_in_order(states, links), "dedup-states")
+            break
         if done == most_rounds:
             raise RuntimeError(f"posts are undecided after {most_rounds} rounds")
         done += 1

@@ -38,23 +38,24 @@ class FeedQuery:
     until: datetime | None = None
 
     def __post_init__(self) -> None:
-        def need(ok: bool, message: str) -> None:
-            if not ok:
-                raise ValueError(message)
-
         term = None if self.search is None else self.search.strip()
-        need(self.page >= 1, "page must be 1 or greater.")
-        need(1 <= self.per_page <= MAX_PER_PAGE, f"per_page must be between 1 and {MAX_PER_PAGE}.")
-        need(self.sort in SORTS, f"sort must be one of: {', '.join(SORTS)}.")
-        need(self.sort != "relevance" or bool(term), "sort=relevance requires a search term.")
-        need(term is None or len(term) >= 2, "search must be at least 2 characters.")
-        need(self.min_score is None or 0 <= self.min_score <= 100, "min_score must be between 0 and 100.")
-        need(self.within_days is None or 1 <= self.within_days <= 7, "within_days must be between 1 and 7.")
-        need(self.min_engagement is None or self.min_engagement >= 0, "min_engagement cannot be negative.")
-        need(self.since is None or self.until is None or self.since <= self.until, "since must be earlier than until.")
-        need(self.within_days is None or (self.since is None and self.until is None), "Use either within_days or since/until, not both.")
-        need(all(isinstance(c, str) and c.strip() for c in self.categories), "categories must be non-empty strings.")
-        need(all(isinstance(t, str) and t.strip() for t in self.technologies), "technologies must be non-empty strings.")
+        blank = lambda names: any(not (isinstance(n, str) and n.strip()) for n in names)
+        wrong = {
+            f"page {self.page} is below 1": self.page < 1,
+            f"per_page {self.per_page} is not in 1..{MAX_PER_PAGE}": not 1 <= self.per_page <= MAX_PER_PAGE,
+            f"unknown sort {self.sort}; known: {' '.join(SORTS)}": self.sort not in SORTS,
+            "relevance needs something to search for": self.sort == "relevance" and not term,
+            "a search term has two characters at least": term is not None and len(term) < 2,
+            f"min_score {self.min_score} is not in 0..100": self.min_score is not None and not 0 <= self.min_score <= 100,
+            f"within_days {self.within_days} is not in 1..7": self.within_days is not None and not 1 <= self.within_days <= 7,
+            f"min_engagement {self.min_engagement} is below 0": self.min_engagement is not None and self.min_engagement < 0,
+            "since is after until": self.since is not None and self.until is not None and self.since > self.until,
+            "within_days excludes since and until": self.within_days is not None and (self.since is not None or self.until is not None),
+            "a category has no name": blank(self.categories),
+            "a technology has no name": blank(self.technologies),
+        }
+        if found := [message for message, is_so in wrong.items() if is_so]:
+            raise ValueError("; ".join(found))
 
     @classmethod
     def parse(cls, params: dict[str, str]) -> FeedQuery:
@@ -131,7 +132,7 @@ def filtered(df: DataFrame, q: FeedQuery, now: Column, project_technology: DataF
         has = project_technology.join(wanted, "technology_id").select(F.col("project_id").alias("id"))
         df = df.join(has, "id", "left_semi")
     if q.search is not None:
-        df = df.where(search.matches(searchable(), q.search.strip()))
+        df = df.where(search.matches_tokens(search_tokens(df), q.search.strip()))
     return df
 
 
@@ -139,18 +140,31 @@ def searchable() -> Column:
     return F.concat_ws(" ", "name", "description")
 
 
+#: Columns that publishing may store, so that a page needn't make them again.
+STORED = ("search_tokens", "growth_contribution")
+
+
+def with_stored_keys(projects: DataFrame) -> DataFrame:
+    """projects with the tokens that searches look up and the number that trending sorts by."""
+    return projects.drop(*STORED).withColumns({"search_tokens": search.tokens(searchable()), "growth_contribution": trending_key()})
+
+
+def search_tokens(df: DataFrame) -> Column:
+    return F.col("search_tokens") if "search_tokens" in df.columns else search.tokens(searchable())
+
+
 def trending_key() -> Column:
     return F.coalesce(F.get_json_object("score_breakdown", "$.components.growth.contribution").try_cast("double"), F.lit(0.0))
 
 
-def ordering(q: FeedQuery) -> list[Column]:
+def ordering(q: FeedQuery, df: DataFrame) -> list[Column]:
     """O01-O06; nulls last in rising and first in falling order."""
     down = lambda c: F.col(c).desc_nulls_first()
     if q.sort == "oldest":
         return [F.col("discovered_at").asc_nulls_last(), F.col("id").asc_nulls_last()]
     keys = {
-        "score": [down("score")], "latest": [down("discovered_at")], "engagement": [down("engagement_count")], "trending": [trending_key().desc(), down("score")],
-        "relevance": [search.rank(searchable(), (q.search or "").strip()).desc()],
+        "score": [down("score")], "latest": [down("discovered_at")], "engagement": [down("engagement_count")], "trending": [(F.col("growth_contribution") if "growth_contribution" in df.columns else trending_key()).desc(), down("score")],
+        "relevance": [search.rank_tokens(search_tokens(df), (q.search or "").strip()).desc()],
     }
     return [*keys[q.sort], down("id")]
 
@@ -165,10 +179,10 @@ def with_technologies(page: DataFrame, project_technology: DataFrame, technologi
 
 def feed_page(shown: DataFrame, q: FeedQuery, now: Column, repositories: DataFrame, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
     """One page (J02, O08, J20): the cut is made before technologies and repositories join."""
-    page = filtered(shown, q, now, project_technology, technologies).orderBy(*ordering(q)).offset(q.offset).limit(q.per_page)
+    page = filtered(shown, q, now, project_technology, technologies).orderBy(*ordering(q, shown)).offset(q.offset).limit(q.per_page)
     repos = repositories.select(F.col("id").alias("repository_id"), "stars")
     page = with_technologies(page.join(repos, "repository_id", "left"), project_technology, technologies)
-    return page.orderBy(*ordering(q)).select("id", "slug", "name", "category", "score", "discovered_at", F.col("engagement_count").alias("engagement"), "author", "stars", "technologies")
+    return page.orderBy(*ordering(q, page)).select("id", "slug", "name", "category", "score", "discovered_at", F.col("engagement_count").alias("engagement"), "author", "stars", "technologies")
 
 
 def total(shown: DataFrame, q: FeedQuery, now: Column, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
@@ -204,7 +218,9 @@ def detail(shown: DataFrame, slug: str, repositories: DataFrame, metrics: DataFr
     (A25). Hidden and unknown slugs give no row."""
     one = shown.where(F.col("slug") == slug)
     repos = repositories.select(F.col("id").alias("repository_id"), "stars", "forks")
-    history = metrics.join(one.select(F.col("id").alias("project_id")), "project_id", "left_semi").groupBy("project_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("captured_at", "engagement"))), 1, cap).alias("history"))
+    own = metrics.join(one.select(F.col("id").alias("project_id")), "project_id", "left_semi").select("project_id", "captured_at", "engagement")
+    own = own.orderBy("captured_at", "engagement").limit(cap)  # a slug is one project
+    history = own.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("captured_at", "engagement"))).alias("history"))
     out = with_technologies(one.join(repos, "repository_id", "left"), project_technology, technologies)
     return out.join(history, out["id"] == history["project_id"], "left").drop("project_id")
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.operators.ranking import numbered
 from trendloom.plans.catalogs import STATUSES
+from trendloom.sources.shared import materialize
 
 
 def latest_state(ledger: DataFrame, key: str, at: str = "recorded_at") -> DataFrame:
@@ -49,6 +51,18 @@ def claim(posts: DataFrame, status: str, limit: int) -> DataFrame:
     return posts.where((F.col("status") == status) & F.col("purged_at").isNull()).orderBy(F.col("posted_at").asc_nulls_last(), "id").limit(limit)
 
 
+def claim_into(posts: DataFrame, status: str, into: str, limit: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(claimed posts, posts with these moved on) (T09). The claim is written before either
+    is used, so both agree, and once the second table has replaced the old one no other
+    worker finds the claimed rows."""
+    taken = materialize(claim(posts, status, limit), "claim")
+    mark = taken.select("id").withColumn("_taken", F.lit(True))
+    after = posts.join(mark, "id", "left").withColumn("status", F.when(F.col("_taken"), into).otherwise(F.col("status")))
+    if "claimed_at" in posts.columns:
+        after = after.withColumn("claimed_at", F.when(F.col("_taken"), now).otherwise(F.col("claimed_at")))
+    return taken, after.select(*posts.columns)
+
+
 def stale_first(df: DataFrame, at: str, threshold: Column, limit: int, key: str = "id") -> DataFrame:
     """Rows never done or done before the threshold, never done first."""
     return df.where(F.col(at).isNull() | (F.col(at) < threshold)).orderBy(F.col(at).asc_nulls_first(), key).limit(limit)
@@ -82,8 +96,9 @@ def latest_queries(queries: DataFrame) -> DataFrame:
 
 def current_analysis(analyses: DataFrame) -> DataFrame:
     """The newest analysis of each post is current."""
-    rank = F.row_number().over(Window.partitionBy("tweet_id").orderBy(F.desc("analyzed_at"), F.desc("id")))
-    return analyses.withColumn("is_current", rank == 1)
+    newest = analyses.groupBy("tweet_id").agg(F.max(F.struct("analyzed_at", "id")).alias("_newest"))
+    both = analyses.join(newest, analyses["tweet_id"].eqNullSafe(newest["tweet_id"])).drop(newest["tweet_id"])
+    return both.withColumn("is_current", F.struct("analyzed_at", "id") == F.col("_newest")).drop("_newest")
 
 
 def watermark(runs: DataFrame) -> DataFrame:
@@ -106,17 +121,27 @@ def insert_posts(existing: DataFrame, incoming: DataFrame, authors: DataFrame) -
     return one.join(existing.select("x_tweet_id"), "x_tweet_id", "left_anti")
 
 
-def upsert_authors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Authors with new values over old ones; first_seen_at stays."""
+def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row for each key, the last in order; rows that tie stand in the order of all columns."""
+    every = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(key).agg(F.max_by(every, F.struct(*order, F.to_json(every))).alias("_row")).select("_row.*")
+
+
+def upsert_authors(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("first_seen_at",)) -> DataFrame:
+    """Authors with new values over old ones; of an author that comes in repeatedly the last
+    in order counts, and the first time it was seen stays (S23)."""
     cols = [c for c in existing.columns if c not in ("x_author_id", "first_seen_at")]
-    new = incoming.select("x_author_id", *[F.col(c).alias(f"_{c}") for c in cols], F.col("first_seen_at").alias("_seen"))
+    seen = incoming.groupBy("x_author_id").agg(F.min("first_seen_at").alias("_seen"))
+    new = _newest(incoming, "x_author_id", list(order)).select("x_author_id", *[F.col(c).alias(f"_{c}") for c in cols]).join(seen, "x_author_id")
     both = existing.join(new, "x_author_id", "full_outer")
     return both.select("x_author_id", *[F.coalesce(f"_{c}", c).alias(c) for c in cols], F.coalesce("first_seen_at", "_seen").alias("first_seen_at")).select(*existing.columns)
 
 
-def publish(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Projects by primary post: incoming rows replace theirs."""
-    return existing.join(incoming.select("primary_tweet_id"), "primary_tweet_id", "left_anti").unionByName(incoming, allowMissingColumns=True)
+def publish(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("discovered_at",)) -> DataFrame:
+    """Projects by primary post: incoming rows replace theirs, the last in order where a post
+    comes in repeatedly (S24)."""
+    last = _newest(incoming, "primary_tweet_id", list(order))
+    return existing.join(last.select("primary_tweet_id"), "primary_tweet_id", "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def sync_technologies(bridge: DataFrame, incoming: DataFrame, changed: DataFrame) -> DataFrame:
@@ -129,13 +154,52 @@ def slugify(name: Column) -> Column:
     return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 140)
 
 
+#: A slug's own ending that another name's suffix may look like.
+_ENDING = r"(?:-[0-9]+)+$"
+
+
 def unique_slugs(projects: DataFrame, taken: DataFrame) -> DataFrame:
-    """projects with slug: base, base-2, base-3 in id order, after those that are taken."""
+    """projects with slug: in id order each takes the first of base, base-2, base-3 and so on
+    that neither taken nor an earlier project has (S25). Ids are distinct integers.
+
+    Names meet only if they are alike but for endings of numbers (python, python-3). In each
+    round a name's projects get its free numbers in order; where two ask for one slug, the
+    smaller id has it, and in that family of names the rounds go on from the first that lost.
+    """
     base = F.when(slugify(F.col("name")) == "", "project").otherwise(slugify(F.col("name")))
-    used = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")).groupBy("base").agg(F.max("n").alias("used"))
-    df = projects.withColumn("base", base).join(used, "base", "left")
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id")) + F.coalesce("used", F.lit(0))
-    return df.withColumn("slug", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string")))).drop("base", "used")
+    open_ = materialize(projects.select("id", base.alias("base")).withColumn("family", F.regexp_replace("base", _ENDING, "")), "slugs-open")
+    used = taken.select("slug").distinct()
+    done: list[DataFrame] = []
+    while not open_.isEmpty():
+        asked = _ask(open_, used)
+        first = asked.groupBy("family", "slug").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        lost = asked.join(first, ["family", "slug"]).where("id <> _first").groupBy("family").agg(F.min("id").alias("_lost"))
+        asked = materialize(asked.join(lost, "family", "left"), "slugs-asked")
+        settled = asked.where("_lost is null or id < _lost").select("id", "slug")
+        done.append(settled)
+        open_ = asked.where("id >= _lost").select("id", "base", "family")
+        used = used.unionByName(settled.select("slug"))
+    slugs = done[0] if done else projects.select("id", F.lit(None).cast("string").alias("slug"))
+    for more in done[1:]:
+        slugs = slugs.unionByName(more)
+    return projects.join(slugs, "id")
+
+
+def _ask(open_: DataFrame, used: DataFrame) -> DataFrame:
+    """open_ with slug: the free numbers of each base, in id order. Used numbers of a base
+    leave runs of free ones, and a project's place says in which run its number is."""
+    bases = open_.select("base").distinct()
+    plain = used.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n"))
+    ending = used.select(F.regexp_extract("slug", r"^(.*)-([1-9][0-9]{0,17})$", 1).alias("base"), F.regexp_extract("slug", r"^(.*)-([1-9][0-9]{0,17})$", 2).try_cast("long").alias("n")).where("n >= 2")
+    numbers = plain.unionByName(ending).join(bases, "base", "left_semi").distinct()
+    before = numbered(numbers, ["base"], "n", "at").select("base", "n", (F.col("n") - F.col("at")).alias("free"))  # free ones below n
+    place = numbered(open_, ["base"], "id", "place")
+    runs = before.groupBy("base", "free").agg(F.max("n").alias("last"))  # used numbers with equally many free ones below
+    above = Window.partitionBy("base").orderBy("free")
+    runs = runs.select("base", "free", (F.col("last") - F.col("free")).alias("shift"), F.lead("free").over(above).alias("until"))
+    low = place.join(runs, (place["base"] == runs["base"]) & (place["place"] > runs["free"]) & (runs["until"].isNull() | (place["place"] <= runs["until"])), "left").drop(runs["base"])
+    n = F.col("place") + F.coalesce("shift", F.lit(0))
+    return low.select("id", "base", "family", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string"))).alias("slug"))
 
 
 def snapshots(projects: DataFrame, metrics: DataFrame, now: Column, minutes: int = 180) -> DataFrame:

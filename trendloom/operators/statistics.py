@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import trends
+from trendloom.operators.ranking import running_sum
 from trendloom.plans.catalogs import STAGES
 
 
@@ -93,11 +96,11 @@ def month_spend(ledger: DataFrame, now: Column, at: str = "started_at", cost: st
 
 
 def within_budget(planned: DataFrame, spent, ceiling, run_cap, group: str) -> DataFrame:
-    """Planned calls in order, with what is spent after each and whether it is allowed
-    (H62): its own cost within the run cap and the running sum within the ceiling. The sum
-    runs within a billing group, so groups spread over tasks."""
-    running = F.sum("cost").over(Window.partitionBy(group).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)) + spent
-    return planned.withColumn("projected", running).withColumn("allowed", (F.col("cost") <= run_cap) & (F.col("projected") <= ceiling))
+    """Planned calls in order of position, an integer without repeats, with what is spent
+    after each and whether it is allowed (H62): its own cost within the run cap and the
+    running sum within the ceiling of its billing group."""
+    running = running_sum(planned, [group], "position", "cost", "_running")
+    return running.withColumn("projected", F.col("_running") + spent).drop("_running").withColumn("allowed", (F.col("cost") <= run_cap) & (F.col("projected") <= ceiling))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -134,6 +137,13 @@ def scoring_summary(scored: DataFrame) -> DataFrame:
     return parts.select("*", scored.agg(F.count("score")).scalar().alias("scored"), scored.agg(F.round(F.avg("score"), 5)).scalar().alias("average_score"))
 
 
+def technology_counts(counted: DataFrame, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
+    """Distinct counted projects of a period for each technology."""
+    used = project_technology.join(counted.select(F.col("id").alias("project_id")), "project_id", "left_semi")
+    n = used.groupBy("technology_id").agg(F.count_distinct("project_id").alias("n"))
+    return n.join(technologies.select(F.col("id").alias("technology_id"), "slug"), "technology_id").select("slug", "n")
+
+
 def collection_summary(runs: DataFrame) -> DataFrame:
     """Totals of runs; duplicates are what was returned but not new."""
     repeated = F.greatest(F.lit(0), F.col("posts_returned") - F.col("posts_new"))
@@ -143,8 +153,7 @@ def collection_summary(runs: DataFrame) -> DataFrame:
 def window_strip(counted: DataFrame, last: str, days: int = 7) -> DataFrame:
     """Counts of the last days, zero filled, with bar heights against a peak of at least
     1 (A26, A27)."""
-    first = F.date_format(F.date_sub(F.to_date(F.lit(last)), days - 1), "yyyy-MM-dd")
-    start = counted.sparkSession.range(1).select(first).first()[0]
+    start = str(date.fromisoformat(last) - timedelta(days=days - 1))
     dense = trends.densify(projects_per_day(counted), start, last)
     peak = F.greatest(F.lit(1), F.max("value").over(Window.partitionBy()))  # at most `days` rows
     return dense.select("day", "value", F.round(F.col("value") / peak, 4).alias("height"))

@@ -264,3 +264,15 @@ EXTRACT_MINIMUM_CONFIDENCE = 0.6
 MAX_NAME, MAX_DESCRIPTION, MAX_REASON, MAX_POST = 120, 400, 500, 4000
 #: Categories that an earlier catalog had, and what they are called now.
 CATEGORY_RENAMES = {"ai-ml": "ai", "devtools": "developer-tools", "web": "web-app", "mobile": "mobile-app", "infra": "devops"}
+
+# -- redaction (fixed values) --------------------------------------------------------------
+
+SENSITIVE_KEYS = (
+    "authorization", "auth", "bearer", "bearer_token", "token", "access_token", "api_key", "apikey", "key", "secret",
+    "client_secret", "consumer_secret", "password", "x_api_bearer_token",
+)
+SECRET_PATTERNS = (
+    (r"(?i)(Bearer\s+)[A-Za-z0-9\-._~+/=%]{8,}", "$1[redacted]"),
+    (r"(?i)([?&](?:access_token|bearer_token|token|api_key|key|secret)=)[^&\s]+", "$1[redacted]"),
+    (r"(AAAAAAAAAAAAAAAAAAAAA)[A-Za-z0-9%._-]{10,}", "[redacted]"),
+)

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, search, signals, text, trends, urls
-from trendloom.operators import compliance, constraints, dedup, feed, ledger, statistics
-from trendloom.plans.catalogs import MAX_POST, SHORTENERS, TRACKING_KEYS, Signal
+from trendloom.operators import candidates, compliance, constraints, dedup, feed, ledger, statistics
+from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TRACKING_KEYS, Signal, default_signals
 from trendloom.sources import landing, star
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
 
@@ -107,7 +107,12 @@ def feed_search(s, d):
     return found.select("id", "score")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+
+
+@query(rf""", words AS (SELECT id, list_filter(regexp_split_to_array(lower(name || ' ' || description), '[^\pL\pN]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM visible),
+    ranked AS (SELECT id, round(len(list_filter(w, lambda x: x = 'urgent')) / (1 + ln(1 + len(w))), 6) AS rank FROM words WHERE list_contains(w, 'urgent')),
+    visible2 AS (SELECT v.*, r.rank FROM visible v JOIN ranked r USING (id)) """ + _page_sql("true", "rank DESC, id DESC").replace("FROM visible ", "FROM visible2 "))
 def feed_relevance(s, d):
     return _page(s, d, feed.FeedQuery(search="urgent", sort="relevance"))
 
@@ -132,14 +137,14 @@ def feed_stats(s, d):
     return feed.headline(_visible(s, d), at(ORDERS_NOW)).withColumn("average_score", F.round("average_score", 6))
 
 
-@query("SELECT v.id, v.slug, v.author, (SELECT count(*) FROM metrics m WHERE m.project_id = v.id) AS snapshots, (SELECT min(captured_at) FROM metrics m WHERE m.project_id = v.id) AS first_at FROM visible v WHERE slug = 'order-100'")
+@query("SELECT v.id, v.slug, v.author, (SELECT least(50, count(*)) FROM metrics m WHERE m.project_id = v.id) AS snapshots, (SELECT min(captured_at) FROM metrics m WHERE m.project_id = v.id) AS first_at, (SELECT max(captured_at) FROM (SELECT captured_at FROM metrics m WHERE m.project_id = v.id ORDER BY captured_at LIMIT 50)) AS last_at FROM visible v WHERE slug = 'order-100'")
 def project_detail(s, d):
     m = star.metrics(s, d).select("project_id", "captured_at", F.col("value").alias("engagement"))
-    out = feed.detail(_visible(s, d), "order-100", star.repositories(s, d), m, star.project_technology(s, d), star.technologies(s, d), cap=1_000_000)
-    return out.select("id", "slug", "author", F.size("history").cast("long").alias("snapshots"), F.get("history", 0)["captured_at"].alias("first_at"))
+    out = feed.detail(_visible(s, d), "order-100", star.repositories(s, d), m, star.project_technology(s, d), star.technologies(s, d))
+    return out.select("id", "slug", "author", F.size("history").cast("long").alias("snapshots"), F.get("history", 0)["captured_at"].alias("first_at"), F.element_at("history", -1)["captured_at"].alias("last_at"))
 
 
-@query()
+@query("SELECT id, '{\"slug\":\"' || slug || '\",\"name\":\"' || name || '\",\"category\":\"' || category || '\",\"score\":' || round(score, 2)::VARCHAR || ',\"technologies\":[' || CASE technologies WHEN '' THEN '' ELSE '\"' || replace(technologies, ',', '\",\"') || '\"' END || '],\"links\":{\"self\":\"/api/v1/projects/' || slug || '\"}}' AS item FROM (" + _page_sql("true", "score DESC, id DESC", 100) + ")")
 def feed_json_items(s, d):
     page = feed.feed_page(_visible(s, d), feed.FeedQuery(per_page=100), at(ORDERS_NOW), star.repositories(s, d), star.project_technology(s, d), star.technologies(s, d))
     return feed.summary_resource(page)
@@ -322,11 +327,12 @@ def insert_posts(s, d):
     return ledger.insert_posts(stored, posts.unionByName(posts), star.authors(s, d)).select("id")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS x_author_id, CASE WHEN floor(c_acctbal) > 5000 THEN 'new' ELSE c_name END AS username, 1 AS first_seen_at FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS x_author_id, CASE WHEN floor(c_acctbal) > 5000 THEN 'newest' ELSE c_name END AS username, 1 AS first_seen_at FROM customer")
 def upsert_authors(s, d):
     old = star.authors(s, d).select("x_author_id", "username", F.lit(1).alias("first_seen_at"))
     new = star.authors(s, d).where("followers_count > 5000").select("x_author_id", F.lit("new").alias("username"), F.lit(2).alias("first_seen_at"))
-    return ledger.upsert_authors(old, new)
+    again = new.withColumn("username", F.lit("newest")).withColumn("first_seen_at", F.lit(3))
+    return ledger.upsert_authors(old, again.unionByName(new))
 
 
 @query("SELECT id AS project_id, allowed, projected::DOUBLE AS projected FROM (SELECT id, cost_usd::DECIMAL(10,5) <= 0.05 AND sum(cost_usd::DECIMAL(10,5)) OVER w <= 2 AS allowed, sum(cost_usd::DECIMAL(10,5)) OVER w AS projected FROM runs WINDOW w AS (PARTITION BY stage ORDER BY id ROWS UNBOUNDED PRECEDING))")
@@ -393,7 +399,13 @@ def exact_text_dups(s, d):
     return dedup.first_seen(docs, "key").select(F.col("id").alias("doc_id"), "survivor_id")
 
 
-@query()
+#: The rule one post after the other: kept URLs, fingerprints and ids so far.
+@plain("""WITH RECURSIVE p AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r, sha256(string_split(text, chr(10))[1]) AS u, sha256(text) AS t FROM documents),
+    g AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS id, NULL::VARCHAR AS level, NULL::BIGINT AS survivor_id, []::VARCHAR[] AS us, []::VARCHAR[] AS ts, []::BIGINT[] AS ids
+        UNION ALL SELECT r, id, CASE WHEN a > 0 THEN 'canonical_url' WHEN b > 0 THEN 'text_fingerprint' END, CASE WHEN a > 0 THEN ids[a] WHEN b > 0 THEN ids[b] END,
+            CASE WHEN a + b = 0 THEN list_append(us, u) ELSE us END, CASE WHEN a + b = 0 THEN list_append(ts, t) ELSE ts END, CASE WHEN a + b = 0 THEN list_append(ids, id) ELSE ids END
+        FROM (SELECT p.*, us, ts, ids, coalesce(list_position(us, u), 0) AS a, coalesce(list_position(ts, t), 0) AS b FROM g JOIN p ON p.r = g.r + 1))
+    SELECT id, level, survivor_id FROM g WHERE id IS NOT NULL""")
 def dup_levels_exact(s, d):
     docs = star.table(s, d, "documents")
     posts = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("x_tweet_id"), F.sha2(F.substring_index("text", "\n", 1), 256).alias("url_hash"), F.sha2("text", 256).alias("text_fingerprint"), F.timestamp_seconds("doc_id").alias("posted_at"))
@@ -439,9 +451,18 @@ def shorteners(s, d):
     return star.table(s, d, "pages").select("page_id", urls.is_shortener(F.col("url")).alias("shortener")).where("not shortener")
 
 
-@query()
+def _in(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+_VARIED = "CASE page_id % 8 WHEN 0 THEN 'https://GitHub.com/a/b' WHEN 1 THEN 'https://github.com/a' WHEN 2 THEN 'http://x.vercel.app/y' WHEN 3 THEN 'https://demo.example.org' WHEN 4 THEN 'https://a.example/Playground/1' WHEN 5 THEN 'mailto:a' WHEN 6 THEN 'https://www.surge.sh:80/' ELSE url END"
+
+
+@plain(f"""WITH v AS (SELECT page_id, {_VARIED} AS url FROM pages), h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS h, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) AS p FROM v)
+    SELECT page_id, CASE WHEN h = '' THEN NULL WHEN h IN ({_in(REPOSITORY_HOSTS)}) AND len(list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '0'))) >= 2 THEN 'repository'
+        WHEN h LIKE 'demo.%' OR list_contains([{_in(DEMO_HOSTS)}], h) OR len(list_filter([{_in(DEMO_HOSTS)}], lambda x: ends_with(h, '.' || x))) > 0 OR len(list_filter([{_in(DEMO_PATHS)}], lambda x: starts_with(lower(p), x))) > 0 THEN 'demo' ELSE 'other' END AS kind FROM h""")
 def url_kinds(s, d):
-    return star.table(s, d, "pages").select("page_id", urls.url_kind(F.col("url")).alias("kind"))
+    return star.table(s, d, "pages").select("page_id", urls.url_kind(F.expr(_VARIED)).alias("kind"))
 
 
 @plain(r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\blicens(e|es|ed|ing)\b')")
@@ -449,6 +470,18 @@ def full_text_match(s, d):
     return star.table(s, d, "documents").where(search.matches(F.col("text"), "license")).select("doc_id")
 
 
+#: The whole catalog, with phrases that the test texts hold.
+_CATALOG = [*default_signals(), Signal("the", 3, "launch"), Signal("of the", 2, "build"), Signal("license", -5, "legal"), Signal("de", 1, "launch")]
+_SIGNAL_SQL = " UNION ALL ".join("SELECT doc_id, {} AS w FROM documents WHERE regexp_matches({}, '{}')".format(x.weight, "text" if x.case_sensitive else "lower(text)", signals.pattern(x.phrase if x.case_sensitive else x.phrase.lower(), x.whole_word, x.case_sensitive).split(")", 1)[1].replace("'", "''")) for x in _CATALOG)
+
+
+@plain(f"SELECT doc_id, sum(w)::INTEGER AS score, count(*)::INTEGER AS n_signals FROM ({_SIGNAL_SQL}) GROUP BY doc_id")
+def signal_catalog(s, d):
+    docs = star.table(s, d, "documents").select("doc_id", F.col("text").alias("normalized_text"), F.lit(False).alias("has_link"), F.lit(False).alias("has_repository_link"), F.lit(False).alias("is_repost"))
+    out = signals.apply_filter(docs, _CATALOG)
+    return out.select("doc_id", F.col("signal_score").alias("score"), F.size("signal_matches").alias("n_signals")).where("n_signals > 0")
+
+
 # -- display -------------------------------------------------------------------------------
 
 
@@ -696,7 +729,8 @@ def lookup_results(s, d):
 def published_projects(s, d):
     p = star.projects(s, d).select("primary_tweet_id", "score", "discovered_at")
     incoming = p.where(F.col("discovered_at") >= at("1997-01-01")).withColumn("score", F.lit(0.0))
-    return ledger.publish(p, incoming).select("primary_tweet_id", "score")
+    earlier = incoming.withColumn("score", F.lit(-1.0)).withColumn("discovered_at", F.lit(at("1990-01-01")))
+    return ledger.publish(p, earlier.unionByName(incoming)).select("primary_tweet_id", "score")
 
 
 @query("SELECT project_id, technology_id FROM project_technology WHERE project_id NOT IN (SELECT id FROM projects WHERE NOT is_visible) UNION ALL SELECT id, 'none' FROM projects WHERE NOT is_visible")
@@ -752,3 +786,80 @@ def feed_labels(s, d):
 @plain(r"SELECT page_id, url AS href, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\.', '') AS link FROM pages")
 def page_links(s, d):
     return star.table(s, d, "pages").select("page_id", trends.safe_href(F.col("url")).alias("href"), trends.short_link(F.col("url")).alias("link"))
+
+
+# -- candidates, links, rescoring ----------------------------------------------------------
+
+
+@plain("""WITH RECURSIVE n AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS r, CASE s_suppkey % 3 WHEN 0 THEN 'shop' ELSE 'shop-' || s_suppkey % 7 END AS base FROM supplier),
+    g AS (SELECT 0::BIGINT AS r, NULL::BIGINT AS id, NULL::VARCHAR AS slug, ['shop-4', 'shop-2', 'shop-4-2', 'shop-x'] AS used
+        UNION ALL SELECT r, id, pick, list_append(used, pick) FROM (SELECT n.r, n.id, used, CASE WHEN NOT list_contains(used, base) THEN base ELSE base || '-' || list_min(list_filter(range(2, n.r + 9), lambda k: NOT list_contains(used, base || '-' || k))) END AS pick FROM g JOIN n ON n.r = g.r + 1))
+    SELECT id, slug FROM g WHERE id IS NOT NULL""")
+def taken_slugs(s, d):
+    """Names that end in numbers, and slugs that are taken."""
+    key = F.col("s_suppkey")
+    p = star.table(s, d, "supplier").select(key.alias("id"), F.when(key % 3 == 0, "Shop!").otherwise(F.concat(F.lit("Shop "), (key % 7).cast("string"))).alias("name"))
+    return ledger.unique_slugs(p, s.createDataFrame([(x,) for x in ("shop-4", "shop-2", "shop-4-2", "shop-x")], "slug string")).select("id", "slug")
+
+
+def _candidate_posts(s, d):
+    i = F.col("id")
+    text = {"text": F.concat(F.lit("t"), i.cast("string")), "normalized_text": F.when(i % 2 == 0, F.concat(F.lit("n"), i.cast("string"))), "canonical_url": F.when(i % 4 == 0, F.col("post_url")), "primary_url": F.when(i % 3 == 0, F.when(i % 8 == 0, F.col("post_url")).otherwise(F.concat("post_url", F.lit("?a"))))}
+    return star.posts(s, d).withColumns(text)
+
+
+@query("""SELECT t.id, CASE WHEN t.id % 2 = 0 THEN 'n' ELSE 't' END || t.id AS text, array_to_string(list_distinct_ordered, ',') AS known_urls, list_distinct_ordered[1] AS url, 'https://x.com/' || a.username || '/status/' || x_tweet_id AS source_post_url
+    FROM (SELECT *, list_filter([CASE WHEN id % 4 = 0 THEN 'https://posts.example/' || id END, CASE WHEN id % 3 = 0 AND id % 8 <> 0 THEN 'https://posts.example/' || id || '?a' WHEN id % 3 = 0 AND id % 4 <> 0 THEN 'https://posts.example/' || id END], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM posts) t JOIN authors a ON a.id = t.author_id""")
+def extraction_candidates(s, d):
+    out = candidates.extraction_candidates(_candidate_posts(s, d), star.authors(s, d))
+    return out.select("id", "text", F.array_join("known_urls", ",").alias("known_urls"), "url", "source_post_url")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN like_count END AS like_count, CASE WHEN id % 3 = 0 THEN quote_count END AS quote_count FROM posts")
+def known_metrics(s, d):
+    fetched = star.posts(s, d).withColumn("metrics_updated_at", F.when(F.col("id") % 3 == 0, F.col("posted_at")))
+    return candidates.known_metrics(fetched).select("id", "like_count", "quote_count")
+
+
+@query("SELECT p.id AS project_id, (t.id % 100) / 100.0 AS confidence FROM projects p JOIN posts t ON t.id = p.primary_tweet_id WHERE t.id % 2 = 0 AND t.id % 7 <> 0")
+def project_confidences(s, d):
+    i = F.col("id")
+    analyses = star.posts(s, d).select(i.alias("tweet_id"), (i % 2 == 0).alias("is_current"), F.when(i % 7 != 0, (i % 100) / 100.0).alias("confidence"))
+    return candidates.confidences(star.projects(s, d), analyses)
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN -1 WHEN aged_out_at IS NOT NULL OR id % 10 = 1 THEN NULL WHEN known IS NOT NULL THEN known ELSE top + dense_rank() OVER (PARTITION BY known IS NULL AND pending ORDER BY first) END AS repository_id
+    FROM (SELECT *, min(CASE WHEN pending THEN id END) OVER (PARTITION BY id % 7, id % 4, pending) AS first FROM (
+        SELECT p.id, p.aged_out_at, (p.id % 5 <> 0 AND p.id % 10 <> 1 AND p.aged_out_at IS NULL) AS pending, (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey % 3 = p.id % 7 AND s_suppkey % 4 = p.id % 4) AS known, (SELECT max(s_suppkey) FROM supplier) AS top FROM projects p))""")
+def repository_links(s, d):
+    i, k = F.col("id"), F.col("s_suppkey")
+    name = F.concat(F.lit("https://github.com/Own"), (i % 7).cast("string"), F.lit("/Repo"), (i % 4).cast("string"))
+    url = F.when(i % 10 == 1, "https://example.org/x/y").when(i % 2 == 0, F.concat(F.lit("https://github.com"), F.upper(F.substr(name, F.lit(19))))).otherwise(name)
+    p = star.projects(s, d).select("id", "aged_out_at", F.when(i % 5 == 0, F.lit(-1)).cast("long").alias("repository_id"), url.alias("repository_url"))
+    r = star.table(s, d, "supplier").select(k.cast("long").alias("id"), F.lit("github.com").alias("host"), F.concat(F.lit("own"), (k % 3).cast("string")).alias("owner"), F.concat(F.lit("repo"), (k % 4).cast("string")).alias("name"))
+    return candidates.link_repositories(p, r)[0].select("id", "repository_id")
+
+
+@query(_PERIODS + " SELECT t.slug, count(DISTINCT x.project_id) AS n FROM tagged c JOIN project_technology x ON x.project_id = c.id JOIN technologies t ON t.id = x.technology_id WHERE c.period = 'current' GROUP BY 1")
+def technology_counts(s, d):
+    return statistics.technology_counts(_tagged(s, d).where("period = 'current'"), star.project_technology(s, d), star.technologies(s, d))
+
+
+@query("SELECT id, scored_at FROM (SELECT id, CASE WHEN id % 4 <> 0 THEN discovered_at END AS scored_at FROM projects WHERE is_visible) WHERE scored_at IS NULL OR scored_at < TIMESTAMP '1993-01-01' - INTERVAL 180 MINUTE ORDER BY scored_at NULLS FIRST, id LIMIT 3000")
+def rescore_queue(s, d):
+    p = star.projects(s, d).where("is_visible").select("id", F.when(F.col("id") % 4 != 0, F.col("discovered_at")).alias("scored_at"))
+    return ledger.stale_first(p, "scored_at", at("1993-01-01") - F.make_dt_interval(mins=F.lit(180)), 3000)
+
+
+@query("SELECT count(*) FILTER (id % 3 <> 0) AS accepted, count(*) FILTER (id % 3 = 0) AS rejected, sum(id % 4)::BIGINT AS technologies, sum(id % 2)::BIGINT AS dropped FROM posts")
+def extraction_summary(s, d):
+    i = F.col("id").cast("int")
+    names = lambda n: F.array_repeat(F.lit("x"), n)
+    out = statistics.extraction_summary(star.posts(s, d).select((i % 3 != 0).alias("accepted"), names(i % 4).alias("technologies"), names(i % 2).alias("dropped_technologies")))
+    return out.select("accepted", "rejected", "technologies", "dropped")
+
+
+@query("SELECT coalesce(CASE id % 4 WHEN 0 THEN 'fetched' WHEN 1 THEN 'not-modified' WHEN 2 THEN 'gone' END, 'none') AS value, count(*) AS n FROM posts GROUP BY 1")
+def enrichment_outcomes(s, d):
+    outcome = F.when(F.col("id") % 4 == 0, "fetched").when(F.col("id") % 4 == 1, "not-modified").when(F.col("id") % 4 == 2, "gone")
+    return statistics.histogram(star.posts(s, d).select(outcome.alias("outcome")), "outcome")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trendloom.operators.dedup import deduplicate
+from trendloom.operators.dedup import deduplicate, probe
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", late: str = "1 day") -> DataFrame:
@@ -18,7 +19,8 @@ def daily_counts(events: DataFrame, ts: str = "ts", key: str = "event_type", lat
 
 
 def distinct_posts(posts: DataFrame, key: str = "x_tweet_id", ts: str = "posted_at", late: str = "7 days") -> DataFrame:
-    """Bounded idempotence: a post id counts once within the watermark."""
+    """Bounded idempotence: a post id counts once within the watermark, and posts that come
+    later than that are dropped. insert_step has no such bound."""
     return posts.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
@@ -28,20 +30,45 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup_step(store: str) -> Callable[[DataFrame, int], None]:
-    """Exact deduplication against all earlier survivors (T08): each batch is checked
-    against the stored ones and its result is written under the batch's number, so a
-    replayed batch replaces its own rows and never sees them."""
+def _stored(spark: SparkSession, store: str, before: int) -> DataFrame | None:
+    """What earlier batches wrote, or None if there is nothing."""
+    try:
+        return spark.read.parquet(store).where(F.col("batch") < before)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """The batch's posts, one for each post id, without those whose id is stored."""
+    one = batch.groupBy("x_tweet_id").agg(F.min_by(F.struct(*batch.columns), F.struct("posted_at", "id")).alias("_row")).select("_row.*")
+    if stored is None:
+        return one
+    known = stored.select("x_tweet_id").join(batch.select("x_tweet_id"), "x_tweet_id", "left_semi")
+    return one.join(known, "x_tweet_id", "left_anti")
+
+
+def insert_step(store: str) -> Callable[[DataFrame, int], None]:
+    """Idempotent landing without a watermark (T07): a post that is stored adds nothing, and
+    one that comes late is accepted, however late. Each batch is written under its number."""
+    def step(batch: DataFrame, number: int) -> None:
+        _unseen(batch, _stored(batch.sparkSession, store, number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return step
+
+
+def dedup_step(store: str, nudge: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """Exact deduplication against earlier survivors (T08): each batch meets only the stored
+    posts that share its keys, and its result is written under the batch's number, so a
+    replayed batch replaces its own rows and never sees them. nudge is called with the number
+    once the batch is stored, to start the next stage (T11)."""
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = None
-        try:
-            before = spark.read.parquet(store).where((F.col("batch") < number) & F.col("level").isNull()).select("id", "x_tweet_id", "url_hash", "text_fingerprint", "posted_at")
-            known = before.select("x_tweet_id")
-            batch = batch.join(known, "x_tweet_id", "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        deduplicate(batch, before).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        stored = _stored(batch.sparkSession, store, number)
+        new = _unseen(batch, stored)
+        before = None if stored is None else probe(new, stored.where(F.col("level").isNull()).select("id", "x_tweet_id", "url_hash", "text_fingerprint", "posted_at"))
+        deduplicate(new, before).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        if nudge is not None:
+            nudge(number)
 
     return step
