@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.sources.shared import materialize, shared_dir  # noqa: F401
+
 #: Python works through a column of long texts in slices of about so many bytes.
 SLICE_BYTES = 1 << 20
 #: Rows at most that go to Python at once: texts may be long.
@@ -21,31 +21,6 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Where the session has none (tests on one machine), a folder of its own is set; on a
-    cluster the setting is required, as a local folder would be seen by one machine only.
-    """
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends there, and files
-    outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Append columns; an input column of the same name (in any case) is replaced."""
     names = {c.lower() for c in columns}

@@ -12,11 +12,11 @@ All matching is linear in the length of a text.
 
 Spans are kind, start, end in code points, end exclusive, ordered by start, then kind in
 the order of KINDS. An added span that overlaps a base span or an earlier added one is
-dropped.
+dropped; of added spans with one start the kind that comes first in KINDS stays.
 
-Edge cases: null and empty texts have no spans; repeated rows are judged one by one; an
-empty table, or one without candidates, adds nothing; result columns replace input columns
-of the same name.
+Edge cases: null and empty texts have no spans; very long texts are matched whole, as all
+patterns are linear; repeated rows are judged one by one; an empty table, or one without
+candidates, adds nothing; result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,14 @@ _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk-|AIza)[A-Za-z0-9_-]{12,64}(?![A-Za-z0-9_-])")
 _ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_=.-]{6,128})")
 
-_NAMES = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl", "us", "ca"}
+#: Gazetteers of public registries (fixed values). Any two letters may be a country's domain.
+DOMAINS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi", "travel", "jobs", "museum", "coop", "aero", "app", "dev", "xyz", "online", "site", "shop", "store", "tech", "cloud", "blog", "email", "page", "agency", "company", "systems", "solutions", "example", "test"}
+#: Ranges of card numbers' first digits, and the lengths issued in them.
+ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("62", "62", (16, 17, 18, 19)), ("50", "50", (16, 17, 18, 19)), ("56", "58", (16, 17, 18, 19))]
+#: Country calling codes by their first digits; in Europe, Africa, Asia and America some have a third digit.
+CALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "85", "87", "88", "96", "97", "99"}
+#: Beginnings of addresses that are no host's own: this network, loopback, link-local, multicast and reserved ones.
+NO_HOSTS = {"0", "127", *map(str, range(224, 256))}
 _CUES = {
     "email": ("mail", "contact", "write", "correo", "kontakt"), "ip": ("ip", "host", "server", "address", "client", "adresse"),
     "card": ("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon"),
@@ -117,15 +125,10 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     more += [("phone", m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text)]
     more += [("secret", m.start(), m.end()) for m in _KEY.finditer(text)]
     more += [("secret", m.start(1), m.end(1)) for m in _ASSIGNED.finditer(text)]
-    taken = [(a, b) for _, a, b in base]
-    return base, sorted({s for s in more if not _overlaps(taken, s)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
-
-
-def _overlaps(taken: list[tuple[int, int]], span: tuple[str, int, int]) -> bool:
-    """taken: sorted by start; spans of one kind never overlap, so a few of the last that
-    begin before the span's end are enough."""
-    i = bisect_left(taken, (span[2], 0))
-    return any(a < span[2] and span[1] < b for a, b in taken[max(0, i - 6) : i])
+    starts = [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # how far the base spans go up to each
+    free = lambda s: not (i := bisect_left(starts, s[2])) or reach[i - 1] <= s[1]
+    return base, sorted({s for s in more if free(s)}, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def votes(text: str, span: tuple[str, int, int], is_base: bool) -> tuple:
@@ -137,15 +140,20 @@ def votes(text: str, span: tuple[str, int, int], is_base: bool) -> tuple:
     strict = 1 if is_base else -1 if kind in ("ip", "card") else 0
     gaz = 0
     if kind == "email":
-        gaz = 1 if re.split(r"[^A-Za-z0-9-]+", s.rstrip(")]"))[-1].lower() in _NAMES else 0
+        ending = re.split(r"[^A-Za-z0-9-]+", s.rstrip(")]"))[-1].lower()
+        gaz = 1 if ending in DOMAINS or (len(ending) == 2 and ending.isalpha()) else -1
     elif kind == "ip":
-        gaz = -1 if s.split(".")[0] in ("0", "127", "255") or max(map(len, s.split("."))) > 3 else 0
+        parts = s.split(".")
+        gaz = -1 if parts[0] in NO_HOSTS or any(len(x) > 1 and x[0] == "0" for x in parts) else 0
     elif kind == "card":
-        gaz = 1 if d[:1] == "4" or d[:2] in ("34", "37", "51", "52", "53", "54", "55", "60", "65") else -1
+        gaz = 1 if any(low <= d[: len(low)] <= high and len(d) in sizes for low, high, sizes in ISSUERS) else -1
     elif kind == "phone":
-        gaz = 1 if len(d) in (10, 11, 12) and d[-10] not in "01" else 0
-    elif _KEY.fullmatch(s):
-        gaz = 1
+        national = len(d) == 10 and d[0] not in "01" and d[3] not in "01"
+        gaz = 1 if (d[:1] in CALLING or d[:2] in CALLING if s[:1] == "+" else national) else -1
+    elif _KEY.fullmatch(s):  # with the beginning of an issuer's keys
+        strict = gaz = 1
+    elif re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}", s):  # written as ordinary words and numbers are
+        gaz = -1
     words = re.findall(r"[^\W\d_]+", before)[-4:]
     cue = any(w in _CUES[kind] for w in words)
     context = 1 if cue else -1 if any(w in _ANTI for w in words) else 0
@@ -166,32 +174,31 @@ class Model:
     reliability: np.ndarray
 
 
-#: What a labeler's votes (-1, 0, 1) are like before any are seen, for other matches and
-#: for personal data; it weighs as much as PRIOR_SHARE of the corpus's spans.
-PRIOR = np.array([[0.45, 0.45, 0.10], [0.05, 0.45, 0.50]])
+#: What votes (-1, 0, 1) are like before any are seen, for other matches and for personal
+#: data, of the regex labeler and of the others; they weigh as much as PRIOR_SHARE of the
+#: corpus's spans.
+PRIOR = np.array([[[0.50, 0.49, 0.01], [0.01, 0.44, 0.55]], *[[[0.45, 0.45, 0.10], [0.05, 0.45, 0.50]]] * 3])
 PRIOR_SHARE = 0.2
 
 
 def _expect(patterns: list[tuple], counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Two-class EM: posterior of each pattern, and P(vote | class) of each labeler. The
-    regex labeler's verdicts are known: what meets a base rule is personal data, what
-    fails it is not; the posteriors of all other patterns are estimated."""
+    """Two-class EM: posterior of each pattern, and P(vote | class) of each labeler. No
+    labeler's vote is taken for the truth."""
     v = np.array([p[1:5] for p in patterns]) + 1
     kinds = np.array([KINDS.index(p[0]) for p in patterns])
-    known = v[:, 0] != 1
-    post = np.where(known, v[:, 0] == 2, 1 / (1 + np.exp(-1.5 * (v - 1).sum(1))))  # starts at the majority
+    post = 1 / (1 + np.exp(-1.5 * (v - 1).sum(1)))  # starts at the majority
     table = np.zeros((4, 2, 3))
     for _ in range(rounds):
         share = np.stack([1 - post, post]) * counts
         for j in range(4):
             for c in range(2):
-                table[j, c] = np.bincount(v[:, j], share[c], minlength=3) + PRIOR[c] * PRIOR_SHARE * counts.sum()
+                table[j, c] = np.bincount(v[:, j], share[c], minlength=3) + PRIOR[j, c] * PRIOR_SHARE * counts.sum()
         table /= table.sum(2, keepdims=True)
         log = np.zeros((2, len(patterns)))
         for c in range(2):
             prior = (np.bincount(kinds, share[c], minlength=len(KINDS)) + 1.0) / (np.bincount(kinds, counts, minlength=len(KINDS)) + 2.0)
-            log[c] = np.log(prior[kinds]) + sum(np.log(table[j, c, v[:, j]]) for j in range(1, 4))
-        post = np.where(known, post, 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50))))
+            log[c] = np.log(prior[kinds]) + sum(np.log(table[j, c, v[:, j]]) for j in range(4))
+        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
     return post, table
 
 
