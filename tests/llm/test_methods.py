@@ -348,7 +348,7 @@ def test_shards_of_a_text_that_holds_a_third_of_all_rows(spark):
     assert out[(out.doc_id < 5000)].groupby("text_crc32").shard.nunique().max() == 1
 
 
-def test_licenses_with_edits_and_by_full_alignment(spark):
+def test_licenses_with_edits(spark):
     text = licenses.TEMPLATES["mit-text"]
     words = text.split()
     del words[20]
@@ -360,6 +360,52 @@ def test_licenses_with_edits_and_by_full_alignment(spark):
     assert out[0].coverage > 0.95 and doc[out[0].spans[0].start :].startswith("Permission is hereby granted")
 
 
+def _full_alignment(template, text):
+    """The best local alignment without a band: 2 for a match, -1 for a mismatch or a gap."""
+    best, above = (0, 0), [(0, 0)] * (len(text) + 1)
+    for word in template:
+        row = [(0, 0)]
+        for j, other in enumerate(text):
+            s, n = above[j]
+            cell = (s + 2, n + 1) if word == other else (s - 1, n)
+            cell = max(cell, (above[j + 1][0] - 1, above[j + 1][1]), (row[-1][0] - 1, row[-1][1]), key=lambda c: c[0])
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1], key=lambda c: c[0])
+        above = row
+    return best[1]
+
+
+def test_coverage_by_full_alignment():
+    """No match that a full alignment finds, within the band's shifts, is missed, and none is
+    reported with fewer words."""
+    rng = random.Random(12)
+    for _ in range(150):
+        template = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 3)) for _ in range(rng.choice([6, 15, 40]))]
+        text = [w for w in template if rng.random() > 0.05]
+        for _ in range(rng.randint(0, 4)):
+            text.insert(rng.randrange(len(text) + 1), rng.choice(["new", *template]))
+        text = [w if rng.random() > 0.06 else "other" for w in text]
+        text = [rng.choice("xyz") for _ in range(rng.randint(0, 9))] + text + [rng.choice("xyz") for _ in range(rng.randint(0, 9))]
+        n = _full_alignment(template, text)
+        got = licenses.Index({"t": " ".join(template)})
+        hits = licenses._hits([" ".join(text).encode()], got)
+        found = licenses._matches(" ".join(text), hits.get(0, []), got, licenses.COVERAGE)
+        if n >= licenses.COVERAGE * len(template):
+            assert found and found[0]["matched_words"] >= n, (template, text)
+
+
+def test_licenses_with_long_insertions():
+    text = licenses.TEMPLATES["mit-text"].split()
+    for at in (20, 45, 70):
+        for k in (12, 15, 40, 80):
+            new = text[:at] + [f"filler{i}" for i in range(k)] + text[at:]
+            found = _scan("start " + " ".join(new) + " end")["mit-text"]
+            assert found == [" ".join(new)[:-1]] or (at == 70 and len(found) == 1), (at, k)  # 70 words alone are enough
+    twice = text[:30] + ["one"] * 20 + text[30:60] + ["two"] * 20 + text[60:]
+    assert "mit-text" in _scan(" ".join(twice))
+    assert "mit-text" not in _scan(" ".join(sorted(text))) and "mit-text" not in _scan(" ".join(text[:40]))
+
+
 def _scan(text, templates=None):
     index = licenses.Index(templates or licenses.TEMPLATES)
     hits = licenses._hits([text.encode()], index)

@@ -5,19 +5,24 @@ is small and broadcast; its size is checked. A match may miss so many of a templ
 and no more, so of any places by one more than these it has one at least: each slice of
 texts is looked up by the places whose words are rarest in it. Where the text around a hit
 has enough of the template's words, a banded alignment of the template's words against it
-gives the matched words and their span, until no hit is outside a span. Matches that cover
-enough of a template are reported.
+gives the matched words and their span, until no hit is outside a span. Where the band alone
+holds too few, the rest of the template is aligned before and after the stretch found, on the
+diagonals that most of its words lie on: stretches in order are one match, whatever was put
+in between, up to as many words as the template has. Matches that cover enough of a template
+are reported, with the words between stretches counted in `inserted_words`.
 
 So nothing that the alignment would accept within BAND words of a hit's diagonal is missed,
 whichever words are changed, added or left out.
 
 Texts are read in tasks and nothing is shuffled. Words: lower-cased ASCII letters, digits
-and all non-ASCII characters; spans are code points, end exclusive.
+and all non-ASCII characters; spans are code points, end exclusive. A scan finds the words of
+a notice; whether a sentence around it denies it ("is not released under") is not its business.
 
-Edge cases: null and empty texts have no matches; templates without words are
-ignored; repeated rows are scanned one by one; a text that holds a template several times
-has a span for each; an empty table or no templates give no rows; input columns other than
-the id are left out of the result.
+Edge cases: null and empty texts have no matches; very long texts are scanned whole;
+templates without words are ignored; repeated rows are scanned one by one; a text that holds a
+template several times has a span for each; of equally good alignments at a hit the first
+counts, and templates of equal coverage each have their row; an empty table or no templates
+give no rows; input columns other than the id are left out of the result.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ from trendloom.llm.neardup import word_hashes
 
 BAND = 12
 COVERAGE = 0.8
+#: Words at least of a stretch that is matched apart from the best one, and of a template for which such are looked for.
+FRAGMENT = 5
+CHAINED = 20
 #: The templates' words together, at most: the index is broadcast.
 MAX_TEMPLATE_WORDS = 2_000_000
 
@@ -62,6 +70,17 @@ TEMPLATES: dict[str, str] = {
     "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsl-1.0-text": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, '
+    "and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+    "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) '
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
@@ -86,28 +105,50 @@ class Index:
         self.vocabulary, self.word = np.unique(prints, return_inverse=True)
 
 
-def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, int]:
+def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, int, int, int]:
     """Local alignment of words in a band around text place = template place + lead: 2 for
     a match, -1 for a mismatch or a gap. Returns (matched words, first and last + 1 of the
-    aligned words of text)."""
-    score, best = 0, (0, 0, 0)
-    above: dict[int, tuple[int, int, int]] = {}  # text place -> (score, matched, first)
+    aligned words of text, and of template)."""
+    score, best = 0, (0, 0, 0, 0, 0)
+    above: dict[int, tuple[int, int, int, int]] = {}  # text place -> (score, matched, first of text, of template)
     for i, word in enumerate(template):
-        row: dict[int, tuple[int, int, int]] = {}
+        row: dict[int, tuple[int, int, int, int]] = {}
         for j in range(max(0, i + lead - BAND), min(len(text), i + lead + BAND + 1)):
-            s, n, first = above.get(j - 1, (0, 0, j))
-            cell = (s + 2, n + 1, first) if word == text[j] else (s - 1, n, first)
+            s, n, first, own = above.get(j - 1, (0, 0, j, i))
+            cell = (s + 2, n + 1, first, own) if word == text[j] else (s - 1, n, first, own)
             for gap in (above.get(j), row.get(j - 1)):
                 if gap and gap[0] - 1 > cell[0]:
                     cell = (gap[0] - 1, *gap[1:])
             if cell[0] > 0:
                 row[j] = cell
                 if cell[0] > score:
-                    score, best = cell[0], (cell[1], cell[2], j + 1)
+                    score, best = cell[0], (cell[1], cell[2], j + 1, cell[3], i + 1)
         above = row
     return best
 
 
+def chain(template: list[str], text: list[str], lead: int, depth: int = 6) -> tuple[int, int, int]:
+    """Stretches of a banded alignment in the order of the template, found around the best
+    one: (matched words, first and last + 1 of text). A further stretch has FRAGMENT words at
+    least."""
+    n, a, b, i, j = align(template, text, lead)
+    if not n:
+        return 0, 0, 0
+    for before in (True, False):
+        part, rest = (template[:i], text[:a]) if before else (template[j:], text[b:])
+        if depth and len(part) >= FRAGMENT and len(rest) >= FRAGMENT:
+            places: dict[str, list[int]] = {}
+            for k, w in enumerate(part):
+                places.setdefault(w, []).append(k)
+            diagonals = Counter(y - k for y, w in enumerate(rest) for k in places.get(w, ()))
+            if diagonals:
+                at = max(diagonals, key=lambda x: (diagonals[x], -abs(x if not before else x - len(rest) + len(part))))
+                m, c, d = chain(part, rest, at, depth - 1)
+                if m >= FRAGMENT:
+                    n, a, b = (n + m, c, b) if before else (n + m, a, b + d)
+    return n, a, b
+
+
 def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[int, list[tuple[int, int, int]]]:
     """Text number -> (template, text place, template place) of each hit that has enough of
     the template's words around."""
@@ -133,8 +174,10 @@ def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[
     by = np.argsort(index.owner[hit], kind="stable")
     at, hit = at[by], hit[by]
     shift, text = at - index.place[hit], owner[at]
-    lo = np.maximum(first[text], shift - BAND)
-    hi = np.minimum(first[text + 1], shift + index.length[index.owner[hit]] + BAND)
+    own = index.length[index.owner[hit]]
+    wide = np.where(own >= CHAINED, own, BAND)
+    lo = np.maximum(first[text], shift - wide)
+    hi = np.minimum(first[text + 1], shift + own + wide)
     found: dict[int, list[tuple[int, int, int]]] = {}
     member = np.zeros(none + 1, np.int32)
     ends = np.searchsorted(index.owner[hit], np.arange(len(index.words) + 1))
@@ -146,10 +189,9 @@ def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[
         mine = np.arange(ends[t], ends[t + 1])
         want = Counter(own.tolist())
         for x in mine[held[hi[mine]] - held[lo[mine]] >= least[t]].tolist():
-            if len(own) < 4 * BAND:  # a longer window is rarely full of a template's words by chance
-                have = Counter(word[lo[x] : hi[x]].tolist())
-                if sum(min(c, have[w]) for w, c in want.items()) < least[t]:
-                    continue
+            have = Counter(word[lo[x] : hi[x]].tolist())
+            if sum(min(c, have[w]) for w, c in want.items()) < least[t]:
+                continue
             d = int(text[x])
             found.setdefault(d, []).append((t, int(at[x] - first[d]), int(index.place[hit[x]])))
     return found
@@ -161,28 +203,37 @@ def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, in
     so far is aligned in the text after them, and where another occurrence aligns better,
     again in the text on the hit's side of that one."""
     taken: list[tuple[int, int, int]] = []
-    known: dict[tuple[int, int, int], tuple[int, int, int]] = {}  # hits of one diagonal align once
+    known: dict[tuple, tuple[int, int, int]] = {}  # hits of one diagonal align once
+
+    def found(lo: int, hi: int, shift: int, whole: bool) -> tuple[int, int, int]:
+        key = (lo, hi, shift, whole)
+        if key not in known:
+            part = words[lo:hi]
+            n, a, b = chain(template, part, shift - lo) if whole else align(template, part, shift - lo)[:3]
+            known[key] = (n, lo + a, lo + b)
+        return known[key]
+
     for place, group in groupby(hits, key=lambda h: h[0]):
         end = taken[-1][2] if taken else 0
         if place < end:
             continue
-        best = (0, 0, 0)
-        for _, i in group:
-            shift = place - i
-            lo, hi = max(end, shift - BAND), min(len(words), shift + len(template) + BAND)
-            while hi - lo >= least:
-                if (lo, hi, shift) not in known:
-                    known[lo, hi, shift] = align(template, words[lo:hi], shift - lo)
-                n, a, b = known[lo, hi, shift]
-                if not n or n < least:
-                    break
-                a, b = lo + a, lo + b
-                if a <= place < b:
-                    best = max(best, (n, a, b), key=lambda x: (x[0], x[1] - x[2]))
-                    break
-                lo, hi = (lo, a) if place < a else (b, hi)
-        if best[0]:
-            taken.append(best)
+        best, group = (0, 0, 0), list(group)
+        for whole in (False, True) if len(template) >= CHAINED else (False,):
+            room = len(template) if whole else BAND
+            for _, i in group:
+                shift = place - i
+                lo, hi = max(end, shift - room), min(len(words), shift + len(template) + room)
+                while hi - lo >= least:
+                    n, a, b = found(lo, hi, shift, whole)
+                    if not n or n < least:
+                        break
+                    if a <= place < b:
+                        best = max(best, (n, a, b), key=lambda x: (x[0], x[1] - x[2]))
+                        break
+                    lo, hi = (lo, a) if place < a else (b, hi)
+            if best[0]:
+                taken.append(best)
+                break
     return taken
 
 
@@ -194,20 +245,20 @@ def _matches(text: str, hits: list[tuple[int, int, int]], index: Index, coverage
         taken = _occurrences(words, index.words[t], [h[1:] for h in own], coverage * len(index.words[t]))
         if not taken:
             continue
-        most = max(n for n, _, _ in taken)
-        out.append({"license_id": index.names[t], "matched_words": most, "template_words": len(index.words[t]), "coverage": most / len(index.words[t]), "spans": [{"start": spots[a].start(), "end": spots[b - 1].end()} for _, a, b in taken]})
+        most, extra = max((n, n - (b - a)) for n, a, b in taken)  # of equally good ones the tightest
+        out.append({"license_id": index.names[t], "matched_words": most, "template_words": len(index.words[t]), "coverage": most / len(index.words[t]), "inserted_words": max(-extra, 0), "spans": [{"start": spots[a].start(), "end": spots[b - 1].end()} for _, a, b in taken]})
     return out
 
 
-_FOUND = "array<struct<license_id:string,matched_words:bigint,template_words:bigint,coverage:double,spans:array<struct<start:bigint,end:bigint>>>>"
+_FOUND = "array<struct<license_id:string,matched_words:bigint,template_words:bigint,coverage:double,inserted_words:bigint,spans:array<struct<start:bigint,end:bigint>>>>"
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """(id_col, license_id, matched_words, template_words, coverage, spans): a row for each
+    """(id_col, license_id, matched_words, template_words, coverage, inserted_words, spans): a row for each
     text and template of which at least `coverage` is matched."""
     shared = small_batches(docs.sparkSession).sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    kind = pa.list_(pa.struct([("license_id", pa.string()), ("matched_words", pa.int64()), ("template_words", pa.int64()), ("coverage", pa.float64()), ("spans", span)]))
+    kind = pa.list_(pa.struct([("license_id", pa.string()), ("matched_words", pa.int64()), ("template_words", pa.int64()), ("coverage", pa.float64()), ("inserted_words", pa.int64()), ("spans", span)]))
 
     @F.arrow_udf(_FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
