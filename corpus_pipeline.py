@@ -6,7 +6,9 @@ ids and text, which is what the ids decode to.
 
 Nulls: a document without text has the score of an empty text; where the classifier keeps
 it, it goes through all stages and has no tokens. A document without doc_id is never a near
-duplicate. Empty tables pass through every stage.
+duplicate. Very long texts go through whole. Of near duplicates the smallest doc_id stays; rows
+that repeat an id stay or go together. Extra columns stay up to the last stage, whatever their
+names. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
