@@ -141,3 +141,32 @@ def test_chat(spark):
     assert [out[1].formatted[s.start : s.end] for s in out[1].loss_spans] == ["right"] and out[1].loss_turns == [False, True]
     assert [tuple(t) for t in out[None].back] == [("", "")] and [tuple(t) for t in out[2].back] == [("tool", "x")] * 2
     assert chat.format_chats(log.limit(0)).count() == 0
+
+
+def test_chat_of_long_texts_and_null_keys(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    long = "x\\</s>" * 60_000
+    rows = [(None, i % 3, None if i % 2 else "user", None) for i in range(200)] + [(7, None, "assistant", long), (7, None, "assistant", long)]
+    out = {r.conv_id: r for r in chat.format_chats(chat.events_from_rows(spark.createDataFrame(rows, kind))).select("*", chat.read_back(F.col("formatted")).alias("back")).collect()}
+    assert len(out[None].back) == 200 and out[None].n_turns == 200 and all(t.text == "" for t in out[None].back)
+    assert [tuple(t) for t in out[7].back] == [("assistant", long)] * 2  # equal rows both count
+
+
+def test_html_of_repeated_and_clashing_rows(spark):
+    long = "<article>" + "<p>One more line, and then another.</p>" * 30_000 + "</article>"
+    pages = spark.createDataFrame([(1, long, 5, "u"), (1, long, 5, "u")], "page_id long, html string, TEXT long, url string")
+    out = html_text.extract(pages)
+    assert out.columns == ["page_id", "html", "url", "text"] and [r.text.count("\n\n") for r in out.collect()] == [29_999] * 2
+
+
+def test_ties_of_licenses(spark):
+    same = {"a": "this text may be used by all", "b": "this text may be used by all"}
+    out = licenses.find_licenses(spark.createDataFrame([(1, "x this text may be used by all y")], "doc_id long, text string"), same).collect()
+    assert sorted(r.license_id for r in out) == ["a", "b"] and {r.coverage for r in out} == {1.0}
+
+
+def test_encoding_leaves_other_columns(spark, docs, ranks):
+    out = bpe.encode(docs.withColumnRenamed("score", "ids"), ranks, public_tokenizers.PATTERN)
+    assert out.columns == ["doc_id", "ids"] and out.count() == len(ROWS)
+    out = sharding.shard(docs.withColumnRenamed("score", "shard").withColumnRenamed("lang", "slot"), 2)
+    assert out.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and out.count() == len(ROWS)

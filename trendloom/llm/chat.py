@@ -18,7 +18,8 @@ no control string is left inside a text and reading back is exact.
 
 Edge cases: null text and null role are empty strings; null turn or seq sorts first; rows
 that tie on turn and seq sort by kind, role, text and all count; a null conv_id is a
-conversation of its own; an empty log gives no conversations; other columns are ignored.
+conversation of its own; very long texts are rendered whole, a conversation being one row; an
+empty log gives no conversations; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The model is fitted on at most MAX_FIT_DOCS labelled documents of at most MAX_FI
 characters each, those with the smallest hashes of their ids (a bounded sample); scoring
 reads every whole text in tasks and shuffles nothing.
 
-Edge cases: null and empty texts have one empty line and get a score as any other;
+Edge cases: null and empty texts have one empty line and get a score as any other; very long
+texts are scored whole, in time linear in their length; documents whose ids have one hash are
+taken in the order of their ids;
 repeated rows are scored one by one; without labelled rows of both kinds all weights are 0
 and every score is 0.5; a null label is no label; a result column replaces an input column
 of the same name.
