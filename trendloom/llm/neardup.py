@@ -48,7 +48,7 @@ BANDS, ROWS = 32, 5
 BITS = 1024
 #: Most bits in which two sketches may differ: about 0.8 less 4 standard deviations.
 MOST_BITS = 100
-TILE = 1024
+TILE = 512
 PIECE_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
