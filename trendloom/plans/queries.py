@@ -387,10 +387,16 @@ def text_fingerprint(s, d):
     return df.select("doc_id", text.fingerprint_from(F.col("_s")).alias("fingerprint")).where("fingerprint is not null")
 
 
-@query()
+_PRIMARY = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'https://t.co/abc' WHEN 3 THEN 'ftp://example.com/a' ELSE 'https://Example.com/a/?utm_source=x&b=1' END"
+
+
+@plain(rf"""WITH n AS (SELECT doc_id, {_PRIMARY} AS url, trim(regexp_replace(nfc_normalize(text), '[\s\x85\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS t FROM documents),
+    f AS (SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(t, '@[A-Za-z0-9_]{{1,15}}', ' ', 'g'), '#([\pL\pN_]+)', '\1', 'g')), '[^\pL\pN\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM n)
+    SELECT doc_id AS id, sha256(t) AS text_hash, CASE WHEN doc_id % 5 = 4 THEN 'https://example.com/a?b=1' END AS canonical_url, CASE WHEN doc_id % 5 = 4 THEN sha256('https://example.com/a?b=1') END AS url_hash, CASE WHEN length(s) >= 12 THEN sha256(s) END AS text_fingerprint,
+        CASE WHEN t = '' THEN 'no-text' WHEN doc_id % 5 < 2 THEN 'no-link' WHEN doc_id % 5 = 2 THEN 'unresolved-link' WHEN doc_id % 5 = 3 THEN 'no-link' END AS reject_reason FROM f""")
 def normalize_posts(s, d):
-    docs = star.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("https://example.com/a?ref=x").alias("primary_url"))
-    return text.normalize_posts(docs).select("id", F.sha2("normalized_text", 256).alias("text_hash"), "canonical_url", "text_fingerprint", "reject_reason")
+    docs = star.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", F.expr(_PRIMARY).alias("primary_url"))
+    return text.normalize_posts(docs).select("id", F.sha2("normalized_text", 256).alias("text_hash"), "canonical_url", "url_hash", "text_fingerprint", "reject_reason")
 
 
 @plain("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS survivor_id FROM documents")
@@ -863,3 +869,53 @@ def extraction_summary(s, d):
 def enrichment_outcomes(s, d):
     outcome = F.when(F.col("id") % 4 == 0, "fetched").when(F.col("id") % 4 == 1, "not-modified").when(F.col("id") % 4 == 2, "gone")
     return statistics.histogram(star.posts(s, d).select(outcome.alias("outcome")), "outcome")
+
+
+#: Every component, each with missing inputs in some rows.
+_ROWS = """SELECT o_orderkey AS id, o_orderdate AS posted_at, o_orderkey % 900 AS l, o_orderkey % 17 AS r, o_orderkey % 5 AS c, o_orderkey % 3 AS q, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 5000 END AS f,
+    CASE WHEN o_orderkey % 3 > 0 THEN 0.9 END AS k1, CASE WHEN o_orderkey % 2 > 0 THEN 0.7 END AS k2, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7000 END AS stars, o_orderkey % 600 AS forks, CASE WHEN o_orderkey % 7 > 1 THEN o_orderdate - to_days(CAST(o_orderkey % 300 AS INTEGER)) END AS pushed,
+    o_orderkey % 3 AS n, CASE WHEN o_orderkey % 11 = 0 THEN 0.5 ELSE 3.0 END AS hours, (o_orderkey % 400)::DOUBLE AS rise FROM orders"""
+_NOW = "(posted_at + INTERVAL 30 HOUR)"
+
+
+@plain(f"""WITH x AS ({_ROWS}), e AS (SELECT *, (l + 3 * r + 2 * c + 3 * q)::DOUBLE AS w, greatest(coalesce(f, 0), 250)::DOUBLE AS reach FROM x),
+    p AS (SELECT *, least(1, ln(1 + w) / ln(1201)) AS absolute, CASE WHEN w > 0 THEN least(1, ln(1 + w / reach) / ln(1.1)) ELSE 0 END * CASE WHEN w / reach > 0.5 THEN 0.5 ELSE 1 END AS term,
+        epoch({_NOW} - pushed) / 86400 AS days, 0.45 * least(1, ln(1 + coalesce(stars, 0)) / ln(5001)) + 0.2 * least(1, ln(1 + forks) / ln(501)) AS base FROM e),
+    v AS (SELECT *, CASE WHEN f IS NULL THEN absolute ELSE 0.45 * absolute + 0.55 * term END AS engagement, pow(2, -26.0 / 36) AS recency, CASE WHEN k1 IS NULL THEN k2 WHEN k2 IS NULL THEN k1 ELSE 0.7 * k1 + 0.3 * k2 END AS confidence,
+        CASE WHEN pushed IS NOT NULL THEN least(1, base + 0.35 * greatest(0, least(1, 1 - greatest(0, days) / 180))) WHEN stars IS NOT NULL THEN least(1, base / 0.65) END AS github, CASE WHEN n = 2 AND hours >= 1 THEN CASE WHEN rise > 0 THEN least(1, ln(1 + rise / hours) / ln(41)) ELSE 0 END END AS growth FROM p),
+    t AS (SELECT *, CASE WHEN github IS NULL THEN 0.15 ELSE 0 END + CASE WHEN growth IS NULL THEN 0.1 ELSE 0 END AS pool, 0.6 + CASE WHEN confidence IS NULL THEN 0 ELSE 0.15 END + CASE WHEN github IS NULL THEN 0 ELSE 0.15 END + CASE WHEN growth IS NULL THEN 0 ELSE 0.1 END AS have FROM v)
+    SELECT id, round(100 * (0.35 * engagement + 0.25 * recency + 0.15 * coalesce(confidence, 0) + 0.15 * coalesce(github, 0) + 0.1 * coalesce(growth, 0)) * (1 + pool / have), 5) AS score, confidence IS NOT NULL AS has_confidence, github IS NOT NULL AS has_github, growth IS NOT NULL AS has_growth, round(0.1 * (1 + pool / have), 4) * (growth IS NOT NULL)::INTEGER AS growth_weight FROM t""")
+def score_with_history(s, d):
+    k = F.col("o_orderkey")
+    o = star.table(s, d, "orders").withColumn("posted_at", F.col("o_orderdate").cast("timestamp"))
+    at_ = lambda h: F.timestamp_seconds(F.col("posted_at").cast("double") + h * 3600)
+    entry = lambda h, n: F.struct(at_(h).alias("captured_at"), n.cast("bigint").alias("like"), F.lit(0).cast("bigint").alias("repost"), F.lit(0).cast("bigint").alias("reply"), F.lit(None).cast("bigint").alias("quote"))
+    hours = F.when(k % 11 == 0, 0.5).otherwise(3.0)
+    df = o.select(
+        k.alias("id"), "posted_at", at_(30).alias("now"), (k % 900).alias("like"), (k % 17).alias("repost"), (k % 5).alias("reply"), (k % 3).alias("quote"), F.lit(None).cast("long").alias("bookmark"), F.when(k % 4 > 0, k % 5000).alias("author_followers"),
+        F.when(k % 3 > 0, 0.9).alias("classification_confidence"), F.when(k % 2 > 0, 0.7).alias("extraction_confidence"), F.when(k % 5 > 0, k % 7000).alias("repository_stars"), (k % 600).alias("repository_forks"), F.when(k % 7 > 1, at_(-24 * (k % 300))).alias("repository_pushed_at"),
+        F.slice(F.array(entry(hours, k % 400 + 5), entry(F.lit(0.0), F.lit(5))), 1, (k % 3).cast("int")).alias("history"),
+    )
+    out, of = scoring.score(df), lambda name: F.col("score_breakdown")[name]
+    return out.select("id", "score", *[of(n)["available"].alias(f"has_{n}") for n in ("confidence", "github", "growth")], of("growth")["effective_weight"].alias("growth_weight"))
+
+
+@query("SELECT id, CASE s WHEN 'created' THEN CASE WHEN started_at < TIMESTAMP '2024-01-10' THEN 'expire' ELSE 'upload' END WHEN 'complete' THEN CASE WHEN started_at < TIMESTAMP '2024-01-20' THEN 'expire' ELSE 'collect' END WHEN 'failed' THEN 'none' ELSE 'poll' END AS step FROM (SELECT *, ['created', 'uploaded', 'in_progress', 'complete', 'failed'][1 + id % 5] AS s FROM runs)")
+def compliance_steps(s, d):
+    runs = star.stage_runs(s, d)
+    state = F.element_at(F.array(*map(F.lit, ("created", "uploaded", "in_progress", "complete", "failed"))), (1 + F.col("id") % 5).cast("int"))
+    later = lambda n: F.timestamp_seconds(F.col("started_at").cast("double") + n * 86400)
+    return runs.select("id", compliance.next_step(state, later(21), later(11), at("2024-01-31")).alias("step"))
+
+
+@query("SELECT id, CASE WHEN k = 1 THEN 'deployed' ELSE state END AS state FROM (SELECT id, 'in_progress' AS state, 0 AS k FROM runs WHERE id % 5 IN (0, 1, 2) ORDER BY id DESC LIMIT 1)")
+def compliance_open_job(s, d):
+    jobs = star.stage_runs(s, d).select("id", F.when(F.col("id") % 5 < 3, "in_progress").otherwise("complete_and_collected").alias("state"))
+    return compliance.open_job(jobs).select("id", "state")
+
+
+@query(f", {_FINDINGS} SELECT p.id, CASE WHEN f.event = 'deleted' THEN '' ELSE 't' || p.id END AS text, CASE WHEN f.event = 'deleted' THEN NULL ELSE 'https://e.com/' || p.id END AS canonical_url, CASE WHEN f.event = 'deleted' THEN '{{\"redacted\":true}}' ELSE '{{}}' END AS raw_payload FROM posts p LEFT JOIN findings f ON f.id = p.id")
+def compliance_texts(s, d):
+    name = lambda x: F.concat(F.lit(x), F.col("id").cast("string"))
+    posts = star.posts(s, d).withColumns({"text": name("t"), "canonical_url": name("https://e.com/"), "raw_payload": F.lit("{}")})
+    return compliance.apply_to_posts(posts, _findings(s, d), at("2002-01-01")).select("id", "text", "canonical_url", "raw_payload")
