@@ -207,7 +207,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy(*key)) - 1
     own = groups.withColumn("rank", rank).join(starts, ["class", "salt"])
     own = own.select(*key, F.element_at(F.filter("bins", lambda b: b["first"] <= F.col("rank")), -1)["shard"].alias("shard"), F.explode("parts").alias("part"))
-    return _slots(rows.join(own, [*key, "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard"), id_col)
+    return _slots(rows.join(own, [*key, "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard"), id_col).select(id_col, "size", "text_crc32", "shard", "slot")
 
 
 def _slots(rows: DataFrame, id_col: str) -> DataFrame:
