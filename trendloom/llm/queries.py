@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, decontam, html_text, licenses, neardup, pii, quality, rules, sharding
+from trendloom.llm import bpe, chat, decontam, divergence, html_text, licenses, neardup, pii, quality, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "license_id", "matched_words", "template_words", "coverage", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", span), ",").alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -114,6 +118,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -158,4 +163,25 @@ ORACLE_SQL = {
                 OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 100 * n_digits > 50 * word_chars
                 OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_cut_lines > 30 * n_lines) AS kept
         FROM b""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        k AS (SELECT row_number() OVER () AS rid, * FROM d),
+        o AS (SELECT rid, lang, source, unnest(terms) AS term FROM k),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+        lt AS (SELECT lang, sum(lang_n)::HUGEINT AS lang_total, count(*)::HUGEINT AS kinds FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        gt AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT gt.lang, gt.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gt.total + 2 * lt.kinds) AS p,
+                1 + (1000000000::HUGEINT * (kept.lang_n + 2)) // (lt.lang_total + 2 * lt.kinds) AS q
+            FROM gt JOIN kept USING (lang) JOIN lt USING (lang) LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = kept.term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        allpairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+            FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source),
+        u AS (SELECT * FROM allpairs UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 10""",
 }
