@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import bpe, chat, decontam, divergence, html_text, licenses, neardup, pii, quality, rules, sharding
+from trendloom.llm import alignment, bpe, chat, ctw, decontam, divergence, html_text, licenses, neardup, pii, quality, rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,18 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    out = alignment.align_documents(table(spark, sf_dir, "documents"), a, b)
+    return out.withColumn("groups_sha256", F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"), ~ctw.held_out(F.col("doc_id")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_quality_classifier": op2_quality_classifier,
@@ -119,6 +131,8 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_source_divergence": op11_source_divergence,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL = {
