@@ -284,7 +284,7 @@ def test_stored_keys_give_the_same_pages(spark):
     df = spark.createDataFrame(rows, "id long, name string, description string, score_breakdown string, score double")
     stored = feed.with_stored_keys(df)
     for q in (feed.FeedQuery(sort="trending", search="compiler"), feed.FeedQuery(sort="relevance", search="query")):
-        pages = [[r.id for r in feed.filtered(d, q, None, None, None).orderBy(*feed.ordering(q, d)).collect()] for d in (df, stored)]
+        pages = [[r.id for r in page.orderBy(*feed.ordering(q, page)).collect()] for page in (feed.filtered(d, q, None, None, None) for d in (df, stored))]
         assert pages[0] == pages[1] and pages[0]
 
 

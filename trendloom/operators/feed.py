@@ -109,8 +109,9 @@ def counted(projects: DataFrame, posts: DataFrame, first: Column, last: Column)
     return projects.where(F.col("is_visible") & F.col("discovered_at").between(first, last)).join(posts, "primary_tweet_id")
 
 
-def filtered(df: DataFrame, q: FeedQuery, now: Column, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
-    """The query's filters over visible projects."""
+def filtered(df: DataFrame, q: FeedQuery, now: Column, project_technology: DataFrame, technologies: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The query's filters over visible projects (P03-P11). found: what search_index.find gives
+    for the search, so that no text is read for it."""
     if q.categories:
         df = df.where(F.col("category").isin(*q.categories))
     if q.project_type is not None:
@@ -131,8 +132,11 @@ def filtered(df: DataFrame, q: FeedQuery, now: Column, project_technology: DataF
         wanted = technologies.where(F.col("slug").isin(*q.technologies)).select(F.col("id").alias("technology_id"))
         has = project_technology.join(wanted, "technology_id").select(F.col("project_id").alias("id"))
         df = df.join(has, "id", "left_semi")
-    if q.search is not None:
-        df = df.where(search.matches_tokens(search_tokens(df), q.search.strip()))
+    if q.search is not None and found is not None:
+        df = df.join(found.select("id", F.col("rank").alias("search_rank")), "id")
+    elif q.search is not None:
+        df = with_search_tokens(df)
+        df = df.where(search.matches_tokens(F.col("search_tokens"), q.search.strip()))
     return df
 
 
@@ -149,8 +153,8 @@ def with_stored_keys(projects: DataFrame) -> DataFrame:
     return projects.drop(*STORED).withColumns({"search_tokens": search.tokens(searchable()), "growth_contribution": trending_key()})
 
 
-def search_tokens(df: DataFrame) -> Column:
-    return F.col("search_tokens") if "search_tokens" in df.columns else search.tokens(searchable())
+def with_search_tokens(df: DataFrame) -> DataFrame:
+    return df if "search_tokens" in df.columns else df.withColumn("search_tokens", search.tokens(searchable()))
 
 
 def trending_key() -> Column:
@@ -158,13 +162,14 @@ def trending_key() -> Column:
 
 
 def ordering(q: FeedQuery, df: DataFrame) -> list[Column]:
-    """O01-O06; nulls last in rising and first in falling order."""
+    """O01-O06; nulls last in rising and first in falling order. df is filtered: relevance needs
+    what a search leaves in it."""
     down = lambda c: F.col(c).desc_nulls_first()
     if q.sort == "oldest":
         return [F.col("discovered_at").asc_nulls_last(), F.col("id").asc_nulls_last()]
     keys = {
         "score": [down("score")], "latest": [down("discovered_at")], "engagement": [down("engagement_count")], "trending": [(F.col("growth_contribution") if "growth_contribution" in df.columns else trending_key()).desc(), down("score")],
-        "relevance": [search.rank_tokens(search_tokens(df), (q.search or "").strip()).desc()],
+        "relevance": [(F.col("search_rank") if "search_rank" in df.columns else search.rank_tokens(F.col("search_tokens"), (q.search or "").strip())).desc()],
     }
     return [*keys[q.sort], down("id")]
 
@@ -177,9 +182,10 @@ def with_technologies(page: DataFrame, project_technology: DataFrame, technologi
     return page.join(own, page["id"] == own["project_id"], "left").drop("project_id").withColumn("technologies", F.coalesce("technologies", F.array().cast("array<string>")))
 
 
-def feed_page(shown: DataFrame, q: FeedQuery, now: Column, repositories: DataFrame, project_technology: DataFrame, technologies: DataFrame) -> DataFrame:
+def feed_page(shown: DataFrame, q: FeedQuery, now: Column, repositories: DataFrame, project_technology: DataFrame, technologies: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One page (J02, O08, J20): the cut is made before technologies and repositories join."""
-    page = filtered(shown, q, now, project_technology, technologies).orderBy(*ordering(q, shown)).offset(q.offset).limit(q.per_page)
+    page = filtered(shown, q, now, project_technology, technologies, found)
+    page = page.orderBy(*ordering(q, page)).offset(q.offset).limit(q.per_page)
     repos = repositories.select(F.col("id").alias("repository_id"), "stars")
     page = with_technologies(page.join(repos, "repository_id", "left"), project_technology, technologies)
     return page.orderBy(*ordering(q, page)).select("id", "slug", "name", "category", "score", "discovered_at", F.col("engagement_count").alias("engagement"), "author", "stars", "technologies")

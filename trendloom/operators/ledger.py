@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.transliterate import slug
 from trendloom.operators.ranking import numbered
 from trendloom.plans.catalogs import STATUSES
 from trendloom.sources.shared import materialize
@@ -150,8 +151,8 @@ def sync_technologies(bridge: DataFrame, incoming: DataFrame, changed: DataFrame
 
 
 def slugify(name: Column) -> Column:
-    s = F.regexp_replace(F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 140)
+    """At most 140 characters of the name as a slug; '' where nothing is left of it."""
+    return F.substring(slug(name), 1, 140)
 
 
 #: A slug's own ending that another name's suffix may look like.

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, search, signals, text, trends, urls
-from trendloom.operators import candidates, compliance, constraints, dedup, feed, ledger, statistics
+from trendloom.operators import candidates, compliance, constraints, dedup, feed, ledger, search_index, statistics
 from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TRACKING_KEYS, Signal, default_signals
 from trendloom.sources import landing, star
+from trendloom.sources.shared import shared_dir
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,16 +109,49 @@ def feed_search(s, d):
     return found.select("id", "score")
 
 
-_STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
-
-
-@query(rf""", words AS (SELECT id, list_filter(regexp_split_to_array(lower(name || ' ' || description), '[^\pL\pN]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM visible),
-    ranked AS (SELECT id, round(len(list_filter(w, lambda x: x = 'urgent')) / (1 + ln(1 + len(w))), 6) AS rank FROM words WHERE list_contains(w, 'urgent')),
+@query(r""", words AS (SELECT id, regexp_split_to_array(lower(name || ' ' || description), '[^\pL\pN]+') AS w FROM visible),
+    hits AS (SELECT id, len(list_filter(w, lambda x: x IN ('urgent', 'urgently'))) AS n FROM words),
+    ranked AS (SELECT id, round(0.1 * list_sum(list_transform(range(1, n + 1), lambda i: 1.0 / (i * i)))::DOUBLE / 1.64493406685, 6) AS rank FROM hits WHERE n > 0),
     visible2 AS (SELECT v.*, r.rank FROM visible v JOIN ranked r USING (id)) """ + _page_sql("true", "rank DESC, id DESC").replace("FROM visible ", "FROM visible2 "))
 def feed_relevance(s, d):
     return _page(s, d, feed.FeedQuery(search="urgent", sort="relevance"))
 
 
+@query(r""", visible2 AS (SELECT v.*, round(1 - (1 - sqrt(0.01 / (1.005 + 0.05 * exp(3 / 1.5 - 2)))), 6) AS rank FROM visible v WHERE description LIKE '%urgent%') """ + _page_sql("true", "rank DESC, id DESC").replace("FROM visible ", "FROM visible2 "))
+def feed_search_indexed(s, d):
+    """Two words through the stored index: Order 1, then its priority; each text has both once, three words apart."""
+    path = f"{shared_dir(s)}/search-{uuid4().hex}"
+    search_index.add_batch(path, star.projects(s, d).select("id", feed.searchable().alias("text")), 1, first=True)
+    q = feed.FeedQuery(search="Orders, urgently", sort="relevance")
+    page = feed.feed_page(_visible(s, d), q, at(ORDERS_NOW), star.repositories(s, d), star.project_technology(s, d), star.technologies(s, d), search_index.find(s, path, q.search))
+    return page.withColumn("technologies", F.array_join("technologies", ","))
+
+
+#: What the stems of the query below have as words in texts with their usual endings.
+_FORMS = {"anat": "anat(e|es|ed|ing|ly|er|erly|ered|ering|or|ored|ingly|edly|ation|ations|ating|ated|able|ably|ive|ement|eant)?", "ertion": "ertion(s|es|ed|ing|ly|ingly|edly|able|eant|ative)?", "licens": "licens(e|es|ed|ing)"}
+_FORM = lambda q, t: f"(SELECT list_sort(list_distinct(list_transform(list_filter(range(1, len(w) + 1), lambda i: regexp_full_match(w[i], '{_FORMS[t]}')), lambda i: least(i, 16383))))[1:255])"  # noqa: E731, ARG005
+_PAIR = lambda a, b: f"list_transform(flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: abs(x - y)))), lambda g: CASE WHEN g = 0 THEN 0.0 ELSE ln(1 - sqrt(0.01 * CASE WHEN g > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(g / 1.5 - 2)) END)) END)"
+
+
+@plain(rf"""WITH t AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'Licensed under the license; anat ' || source ELSE text END AS text FROM documents),
+    w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL),
+    p AS (SELECT id, {_FORM("q", "anat")} AS a, {_FORM("q", "ertion")} AS e, {_FORM("q", "licens")} AS l FROM w)
+    SELECT 'licensing' AS q, id, round(0.1 * list_sum(list_transform(range(1, len(l) + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685, 6) AS rank FROM p WHERE len(l) > 0
+    UNION ALL SELECT 'anating the ertioned', id, round(1 - exp(list_sum({_PAIR("a", "e")})), 6) FROM p WHERE len(a) > 0 AND len(e) > 0
+    UNION ALL SELECT 'license: anats, ertions', id, round(1 - exp(list_sum({_PAIR("a", "e")}) + list_sum({_PAIR("a", "l")}) + list_sum({_PAIR("e", "l")})), 6) FROM p WHERE len(a) > 0 AND len(e) > 0 AND len(l) > 0""")
+def search_index_ranks(s, d):
+    """Documents indexed in three batches: all texts, some of them changed, some taken out; one word,
+    two, three, and stop words alone, which find nothing."""
+    path, docs = f"{shared_dir(s)}/search-{uuid4().hex}", star.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    search_index.add_batch(path, docs, 1, first=True)
+    changed = docs.where("id % 7 = 0").withColumn("text", F.concat(F.lit("Licensed under the license; anat "), "source"))
+    search_index.add_batch(path, changed, 2)
+    search_index.add_batch(path, docs.where("id % 11 = 0").withColumn("text", F.lit(None).cast("string")), 3)
+    search_index.add_batch(path, changed, 2)  # a replay
+    asked = ("licensing", "anating the ertioned", "license: anats, ertions", "the of and")
+    return reduce(DataFrame.unionByName, [search_index.find(s, path, q).select(F.lit(q).alias("q"), "id", "rank") for q in asked])
+
+
 @query("SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS last_page, 3 < greatest(1, ceil(count(*) / 20.0)) AS has_more, 3 > greatest(1, ceil(count(*) / 20.0)) AS is_beyond_end FROM visible WHERE category = 'high'")
 def feed_total(s, d):
     return feed.total(_visible(s, d), feed.FeedQuery(page=3, categories=("high",)), at(ORDERS_NOW), star.project_technology(s, d), star.technologies(s, d))
@@ -808,6 +843,16 @@ def taken_slugs(s, d):
     return ledger.unique_slugs(p, s.createDataFrame([(x,) for x in ("shop-4", "shop-2", "shop-4-2", "shop-x")], "slug string")).select("id", "slug")
 
 
+@plain("""WITH n AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN 'lodz-app' WHEN 1 THEN 'user-at-home' WHEN 2 THEN 'privet-mir' WHEN 3 THEN 'slam' WHEN 4 THEN 'nodejs-' || replace(lower(s_name), '#', '') ELSE 'strasse-no-' || (s_suppkey % 4) END AS base FROM supplier),
+    r AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n)
+    SELECT id, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM r""")
+def transliterated_slugs(s, d):
+    """Names with strokes, in Cyrillic and in Arabic, with signs and an at sign."""
+    key = F.col("s_suppkey")
+    names = F.when(key % 6 == 0, "Łódź app").when(key % 6 == 1, "user@home").when(key % 6 == 2, "Привет, мир!").when(key % 6 == 3, "سلام").when(key % 6 == 4, F.concat(F.lit("Node.js "), "s_name")).otherwise(F.concat(F.lit("Straße_nø  "), (key % 4).cast("string")))
+    return ledger.unique_slugs(star.table(s, d, "supplier").select(key.alias("id"), names.alias("name")), s.createDataFrame([], "slug string")).select("id", "slug")
+
+
 def _candidate_posts(s, d):
     i = F.col("id")
     text = {"text": F.concat(F.lit("t"), i.cast("string")), "normalized_text": F.when(i % 2 == 0, F.concat(F.lit("n"), i.cast("string"))), "canonical_url": F.when(i % 4 == 0, F.col("post_url")), "primary_url": F.when(i % 3 == 0, F.when(i % 8 == 0, F.col("post_url")).otherwise(F.concat("post_url", F.lit("?a"))))}
