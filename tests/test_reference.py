@@ -341,7 +341,7 @@ def test_ledger_and_constraints(spark):
 
 
 def test_streaming(spark, tmp_path):
-    from trendloom.streaming.ingest import dedup_step, distinct_posts, run_available
+    from trendloom.streaming.ingest import begin_store, dedup_step, distinct_posts, run_available
 
     schema = "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp"
     at = dt.datetime(2026, 1, 1)
@@ -360,6 +360,9 @@ def test_streaming(spark, tmp_path):
         insert_step(str(tmp_path / "landed"))(spark.createDataFrame(rows, schema), number)  # a replay
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "landed")).collect()) == [1, 3]  # late posts are accepted
     nudged = []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        dedup_step(str(tmp_path / "mistyped"))(spark.createDataFrame(batches[0], schema), 7)
+    begin_store(spark, str(tmp_path / "nudging"))
     dedup_step(str(tmp_path / "nudging"), nudged.append)(spark.createDataFrame(batches[0], schema), 7)
     assert nudged == [7]
     stream = distinct_posts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from trendloom.functions import scoring, search, signals, text, trends, urls
-from trendloom.operators import candidates, compliance, constraints, dedup, feed, ledger, search_index, statistics
+from trendloom.operators import candidates, claims, compliance, constraints, dedup, feed, ledger, search_index, statistics
 from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TRACKING_KEYS, Signal, default_signals
-from trendloom.sources import landing, star
+from trendloom.sources import keyed, landing, star
 from trendloom.sources.shared import shared_dir
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
+from trendloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,6 +308,46 @@ def claim_classified(s, d):
     return ledger.claim(star.posts(s, d), "classified", 200).select("id", "posted_at")
 
 
+@query("""SELECT id, CASE WHEN n <= 100 THEN 'first' WHEN n <= 160 THEN 'second' WHEN n <= 240 THEN 'third' ELSE 'later' END AS worker FROM
+    (SELECT id, row_number() OVER (ORDER BY posted_at, id) AS n FROM posts WHERE status = 'classified' AND purged_at IS NULL) WHERE n <= 240 OR n BETWEEN 241 AND 270""")
+def exclusive_claims(s, d):
+    """Workers that claim from one table one after another: the first finishes its posts, the second's
+    lease ends and its posts go to the third with further ones, the rest to the last."""
+    store, posts, now = f"{shared_dir(s)}/claims-{uuid4().hex}", star.posts(s, d), datetime(2026, 1, 1)
+    lease, first = claims.claim_exclusively(posts, store, "classified", 100, "first", now)
+    claims.finish(first.select("id"), store, lease, now)
+    _, second = claims.claim_exclusively(posts, store, "classified", 60, "second", now, minutes=5)
+    _, third = claims.claim_exclusively(posts, store, "classified", 80, "third", now, minutes=30)
+    later = now + timedelta(minutes=6)
+    _, again = claims.claim_exclusively(posts, store, "classified", 90, "later", later)
+    named = [df.select("id", F.lit(n).alias("worker")) for df, n in ((first, "first"), (second, "second"), (third, "third"))]
+    return reduce(DataFrame.unionByName, [*named, again.join(second.select("id"), "id", "left_anti").select("id", F.lit("later").alias("worker"))])
+
+
+@plain("""WITH a AS (SELECT doc_id AS id, doc_id % 3 AS batch, md5(text) AS fp FROM documents),
+    f AS (SELECT *, first_value(id) OVER (PARTITION BY fp ORDER BY batch, id) AS first FROM a)
+    SELECT id, CASE WHEN first <> id THEN 'text_fingerprint' END AS level, CASE WHEN first <> id THEN first END AS survivor_id FROM f""")
+def dedup_by_batches(s, d):
+    """Texts in three batches, one of them replayed; each batch meets the stored keys of its own texts."""
+    docs = star.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("x_tweet_id"), F.lit(None).cast("string").alias("url_hash"), F.md5("text").alias("text_fingerprint"), F.timestamp_seconds("doc_id").alias("posted_at"))
+    store = f"{shared_dir(s)}/dedup-{uuid4().hex}"
+    for number in (0, 1, 1, 2):
+        ingest.dedup_step(store)(docs.where(F.col("id") % 3 == number), number)
+    return s.read.parquet(store).select("id", "level", "survivor_id")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS x_author_id, c_name || CASE WHEN c_custkey % 5 = 0 THEN ' 3' WHEN c_custkey % 2 = 0 THEN ' 2' ELSE ' 1' END AS username,
+    CASE WHEN c_custkey % 10 < 7 THEN 1 WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END AS first_seen_at FROM customer WHERE c_custkey % 10 < 7 OR c_custkey % 2 = 0 OR c_custkey % 5 = 0""")
+def authors_by_bucket(s, d):
+    """Authors in three batches over a table by bucket: each batch rewrites the buckets of its authors."""
+    path, key = f"{shared_dir(s)}/authors-{uuid4().hex}", F.col("c_custkey")
+    schema = StructType().add("x_author_id", StringType()).add("username", StringType()).add("first_seen_at", IntegerType())
+    for number, chosen in ((1, key % 10 < 7), (2, key % 2 == 0), (3, key % 5 == 0)):
+        rows = star.table(s, d, "customer").where(chosen).select(key.cast("string").alias("x_author_id"), F.concat("c_name", F.lit(f" {number}")).alias("username"), F.lit(number).alias("first_seen_at"))
+        keyed.upsert(path, rows, "x_author_id", ledger.upsert_authors, number, schema, 32)
+    return keyed.read_table(s, path, schema)
+
+
 @query("SELECT id, fetched_at FROM repositories WHERE fetch_failed_count < 3 AND (fetched_at IS NULL OR fetched_at < TIMESTAMP '2024-01-15') AND id IN (SELECT repository_id FROM projects WHERE is_visible AND aged_out_at IS NULL) ORDER BY fetched_at NULLS FIRST, id LIMIT 40")
 def enrichment_queue(s, d):
     return ledger.enrichable(star.repositories(s, d), star.projects(s, d), at("2024-01-15"), 3, 40).select("id", "fetched_at")
