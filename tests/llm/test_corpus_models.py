@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trendloom.llm import alignment, ctw, divergence
-from trendloom.llm.chunks import pack, ranges, unpack
+from trendloom.llm.chunks import pack, pack_sorted, ranges, unpack, unpack_sorted
 from trendloom.llm.common import materialize
 from trendloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -44,6 +44,7 @@ def none(spark):
 @settings(max_examples=100, deadline=None)
 def test_numbers_pack(numbers):
     assert unpack(pack(np.array(numbers, np.int64))).tolist() == numbers
+    assert unpack_sorted(pack_sorted(np.array(sorted(numbers), np.uint64) << np.uint64(16))).tolist() == [n << 16 for n in sorted(numbers)]
 
 
 def test_ranges():

@@ -10,19 +10,28 @@ from pyspark.sql.types import StructType
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32 as planes of bytes, the low ones first, after their count of planes:
+    """Numbers from 0 on as planes of bytes, the low ones first, after their count of planes:
     planes of high bytes are mostly zeros and compress well."""
-    n = np.ascontiguousarray(numbers, "<u4")
+    n = np.ascontiguousarray(numbers, "<u8")
     planes = max(1, (int(n.max()).bit_length() + 7) // 8) if len(n) else 1
-    return bytes([planes]) + n.view(np.uint8).reshape(-1, 4)[:, :planes].T.tobytes()
+    return bytes([planes]) + n.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     planes = data[0]
     held = np.frombuffer(data, np.uint8, offset=1).reshape(planes, -1)
-    out = np.zeros((held.shape[1], 4), np.uint8)
+    out = np.zeros((held.shape[1], 8), np.uint8)
     out[:, :planes] = held.T
-    return out.view("<u4").ravel()
+    return out.view("<i8").ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising numbers, by their distances."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)).astype(np.uint64)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.chunks import chunk_id, pack, schema_of, unpack
+from trendloom.llm.chunks import chunk_id, pack, pack_sorted, schema_of, unpack, unpack_sorted
 from trendloom.llm.common import materialize, slices, small_batches
 
 #: Bytes of context at most; a gram with its document's number in a slice has 64 bits, so 5 is the most.
@@ -158,7 +158,7 @@ def gather(docs: DataFrame, train: Column, key: str = "doc_id", text_col: str =
             ends = np.append(at[1:], len(to))
             for i in range(0, len(at), 64):
                 some = list(zip(at[i : i + 64], ends[i : i + 64], strict=True))
-                yield rows(None, bucket=to[at[i : i + 64]].tolist(), grams=[keys[a:b].tobytes() for a, b in some], counts=[counts[a:b].tobytes() for a, b in some])
+                yield rows(None, bucket=to[at[i : i + 64]].tolist(), grams=[pack_sorted(keys[a:b]) for a, b in some], counts=[pack(counts[a:b]) for a, b in some])
 
         for batch in batches:
             start, kind = 0, batch[key].type
@@ -312,14 +312,15 @@ def _top(rows: list[tuple[int, int, int, int]]) -> list[list[Level]]:
 
 
 def train_trees(table: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """chunk, grams, logs: the log10 probability of each gram of each chunk, from gather's table."""
+    """chunk, grams, logs: the log10 probability (in single precision) of each gram of each chunk,
+    from gather's table."""
     spark = table.sparkSession
     rows = table.where(F.col("bucket").isNotNull()).select("bucket", "chunk", "grams", "counts")
     least = min(2, depth)
 
     def read(own: pa.Table) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        grams = [np.frombuffer(x, np.uint64) for x in own["grams"].to_pylist()]
-        return grams, [(g, np.frombuffer(c, np.int64)) for g, c in zip(grams, own["counts"].to_pylist(), strict=True)]
+        grams = [unpack_sorted(x) for x in own["grams"].to_pylist()]
+        return grams, [(g, unpack(c)) for g, c in zip(grams, own["counts"].to_pylist(), strict=True)]
 
     def sums(own: pa.Table) -> pa.Table:
         """Nodes of depth 1 as far as this bucket has them."""
@@ -348,7 +349,7 @@ def train_trees(table: DataFrame, depth: int = DEPTH) -> DataFrame:
         keys, counts = _merge(parts)
         levels = build(keys, counts, depth, least)
         logs = log_probabilities(keys, (levels if depth > 1 else []) + shared.value, depth)
-        return pa.table({"chunk": own["chunk"], "grams": own["grams"], "logs": pa.array([logs[np.searchsorted(keys, g)].tobytes() for g in grams], pa.binary())})
+        return pa.table({"chunk": own["chunk"], "grams": own["grams"], "logs": pa.array([logs[np.searchsorted(keys, g)].astype(np.float32).tobytes() for g in grams], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(answer, "chunk long, grams binary, logs binary")
 
@@ -376,8 +377,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text_co
         count, names = found["count"].to_numpy(), found["word"].to_pylist()
         logs_of = np.log10(count + SMOOTH)
         parts = answers.filter(answers["grams"].is_valid())
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in parts["grams"].to_pylist()] or [np.zeros(0, np.uint64)])
-        logs = np.concatenate([np.frombuffer(x, np.float64) for x in parts["logs"].to_pylist()] or [np.zeros(0)])
+        keys = np.concatenate([unpack_sorted(x) for x in parts["grams"].to_pylist()] or [np.zeros(0, np.uint64)])
+        logs = np.concatenate([np.frombuffer(x, np.float32) for x in parts["logs"].to_pylist()] or [np.zeros(0, np.float32)])
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
         batches = []
