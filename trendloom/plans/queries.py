@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from trendloom.functions import scoring, search, signals, text, trends, urls
 from trendloom.operators import candidates, claims, compliance, constraints, dedup, feed, ledger, search_index, statistics
 from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TRACKING_KEYS, Signal, default_signals
-from trendloom.sources import keyed, landing, star
+from trendloom.sources import keyed, landing, paged, star
 from trendloom.sources.shared import shared_dir
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
 from trendloom.streaming import ingest
@@ -348,6 +348,25 @@ def authors_by_bucket(s, d):
     return keyed.read_table(s, path, schema)
 
 
+@plain("SELECT CAST(o_orderkey AS VARCHAR) AS x_tweet_id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS query, o_comment_size AS n FROM (SELECT o_orderkey, length(o_orderpriority) AS o_comment_size FROM orders)")
+def paged_stream(s, d):
+    """Posts that a paged search gives in two runs of a stream, the second from the offset of the
+    first: every post once, in pages of ten to a hundred, queries side by side."""
+    folder, out = f"{shared_dir(s)}/posts-{uuid4().hex}", f"{shared_dir(s)}/paged-{uuid4().hex}"
+    key = F.col("o_orderkey")
+    name = F.when(key % 2 == 0, "even").otherwise("odd").alias("query")
+    posts = star.table(s, d, "orders").select(key.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.lit("7").alias("author_id"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), name)
+    middle = star.table(s, d, "orders").agg(F.percentile_approx(key, 0.6)).first()[0]
+    s.dataSource.register(paged.PagedSearch)
+    options = {"queries": '{"even": "even", "odd": "odd"}', "folder": folder, "now": "2026-01-02T00:00:00", "page_size": 100, "max_pages": 1_000_000, "max_posts": 1_000_000_000}
+    for now in (F.col("id").cast("long") <= middle, F.col("id").cast("long") > middle):
+        posts.where(now).write.mode("append").partitionBy("query").json(folder)
+        run = s.readStream.format("paged_search").options(**options).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
+        run.awaitTermination()
+    found = landing.map_posts(landing.pages_of(s.read.parquet(out)))
+    return found.select("x_tweet_id", F.substring_index("page", "/", 1).alias("query"), F.length("text").cast("long").alias("n"))
+
+
 @query("SELECT id, fetched_at FROM repositories WHERE fetch_failed_count < 3 AND (fetched_at IS NULL OR fetched_at < TIMESTAMP '2024-01-15') AND id IN (SELECT repository_id FROM projects WHERE is_visible AND aged_out_at IS NULL) ORDER BY fetched_at NULLS FIRST, id LIMIT 40")
 def enrichment_queue(s, d):
     return ledger.enrichable(star.repositories(s, d), star.projects(s, d), at("2024-01-15"), 3, 40).select("id", "fetched_at")

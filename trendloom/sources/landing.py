@@ -29,6 +29,12 @@ def stream_pages(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return spark.readStream.schema(PAGE_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def pages_of(rows: DataFrame) -> DataFrame:
+    """The pages of the paged source (body is JSON) in the form of read_pages; page is query/number."""
+    body = F.from_json("body", PAGE_SCHEMA)
+    return rows.select(body.alias("b"), F.concat_ws("/", "query", F.col("page").cast("string")).alias("page")).select("b.*", "page")
+
+
 def map_posts(pages: DataFrame) -> DataFrame:
     """A row for each post, with mappable: it has an id, a text and a valid time. Older
     field names fill in (S05, S06, S08)."""
