@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import scoring, search, signals, text, trends, urls, verdicts
-from trendloom.operators import compliance, constraints, dedup, feed, ledger, ranking, statistics
+from trendloom.operators import components, compliance, constraints, dedup, feed, ledger, ranking, statistics
 from trendloom.plans import catalogs
 from trendloom.sources import connectors, landing, model_cache
 
@@ -144,15 +144,15 @@ def _sequential(posts, stored=()):
 
 def test_dedup_equals_the_sequential_rule(spark):
     fixed = [(1, "a", "u1", "f1"), (2, "b", "u1", "f2"), (3, "c", "u2", "f2")]
-    for trial in range(4):
+    for trial in range(3):
         rng = random.Random(trial)
         pick = lambda p, n: rng.choice([None, *[f"{p}{k}" for k in range(n)]])  # noqa: E731,B023
         posts = fixed if trial == 0 else [(i, pick("x", 40) or f"y{i}", pick("u", 8), pick("f", 8)) for i in range(1, 40)]
         stored = [] if trial < 2 else [(1000, "u1", None), (1001, None, "f2")]
         df = spark.createDataFrame([(i, x, u, t, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)) for i, x, u, t in posts], "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
         old = spark.createDataFrame([(i, u, t, dt.datetime(2025, 1, 1) + dt.timedelta(seconds=i)) for i, u, t in stored], "id long, url_hash string, text_fingerprint string, posted_at timestamp")
-        for few in (0, 50):  # by rounds, and in order
-            got = {r.id: None if r.level is None else (dedup.LEVELS.index(r.level), r.survivor_id) for r in dedup.deduplicate(df, old, few=few).collect()}
+        for rounds in (0, 99):  # by components, by rounds
+            got = {r.id: None if r.level is None else (dedup.LEVELS.index(r.level), r.survivor_id) for r in dedup.deduplicate(df, old, rounds).collect()}
             assert got == _sequential(posts, stored)
 
 
@@ -171,12 +171,14 @@ def test_probe_meets_survivors_of_the_batchs_keys_only(spark):
     assert sorted(r.id for r in dedup.probe(batch, old).collect()) == [1, 5]
 
 
-def test_dedup_never_leaves_posts_undecided(spark):
-    assert dedup.deduplicate.__defaults__ == (None, None, dedup.FEW)  # no bound on rounds unless one is given
-    chain = [(i, f"x{i}", f"u{(i + 1) // 2}", f"f{i // 2}", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)) for i in range(6)]
-    df = spark.createDataFrame(chain, "id long, x_tweet_id string, url_hash string, text_fingerprint string, posted_at timestamp")
-    with pytest.raises(RuntimeError):
-        dedup.deduplicate(df, most_rounds=2, few=0)
+def test_components_of_chains_and_stars(spark):
+    chain, star, odd = [(i, i + 1) for i in range(500)], [(1000, 1000 + i) for i in range(1, 50)], [(2002, 2001), (2001, 2003), (7000, 7000)]
+    rng = random.Random(1)
+    names = dict(zip(range(501), rng.sample(range(501), 501), strict=True))  # the chain's nodes in any order
+    edges = [(names[a], names[b]) for a, b in chain] + star + odd
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(1000, 1050), 1000), 2001: 2001, 2002: 2001, 2003: 2001}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_feed_queries_are_validated():

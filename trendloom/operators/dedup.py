@@ -3,8 +3,8 @@
 The rule is sequential: in order of (posted_at, id), a post is a duplicate if an earlier
 survivor has its post id, URL hash or text fingerprint; a duplicate never blocks later
 posts. `first_seen` is the fast path for one key; `deduplicate` is exact for all three:
-rounds over keys until every post is decided, with one aggregate for each key instead of
-pairs of posts, so a hot key costs no more than its rows.
+rounds over keys until most posts are decided, with one aggregate for each key instead of
+pairs of posts, so a hot key costs no more than its rows; chains go by components.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.operators.components import connected_components
 from trendloom.sources.shared import materialize
 
 LEVELS = ("tweet_id", "canonical_url", "text_fingerprint")
@@ -43,47 +44,53 @@ def probe(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return met.where("_url_hash or _text_fingerprint").select(*stored.columns)
 
 
-def _in_order(states: DataFrame, links: DataFrame) -> DataFrame:
-    """The states with every open post decided by the rule itself, one after the other, in
-    one task: for few open posts."""
+def _by_component(states: DataFrame, links: DataFrame) -> DataFrame:
+    """The states with every open post decided by the rule itself. Open posts that share keys,
+    directly or over others, are a component; components are decided side by side, the posts of
+    each in order in one task, which holds the component's keys."""
     now = links.join(states, "place")
-    open_keys = now.where("state = 'open'").select("place", "level", "key")
+    open_keys = materialize(now.where("state = 'open'").select("place", "level", "key"), "dedup-open")
     kept = now.where("state = 'kept'").join(open_keys.select("level", "key").distinct(), ["level", "key"], "left_semi").groupBy("level", "key").agg(F.min("place").alias("kept"))
+    first = open_keys.groupBy("level", "key").agg(F.min("place.id").alias("b"))
+    component = connected_components(open_keys.join(first, ["level", "key"]).select(F.col("place.id").alias("a"), "b"))
     posts = open_keys.join(kept, ["level", "key"], "left").groupBy("place").agg(F.collect_list(F.struct(F.concat_ws(":", "level", "key").alias("key"), F.coalesce(F.col("kept") < F.col("place"), F.lit(False)).alias("gone"))).alias("keys"))
+    posts = posts.join(component.withColumnRenamed("node", "_id"), F.col("place.id") == F.col("_id"), "left").select(F.coalesce("component", "place.id").alias("component"), "place", "keys")
     alone = states.where("state = 'open'").select("place").join(posts.select("place"), "place", "left_anti").select("place", F.lit("kept").alias("state"))
 
     def decide(batches):
         import pyarrow as pa
 
         taken: set[str] = set()
+        at = None
         for batch in batches:
             state = []
-            for keys in batch.column("keys").to_pylist():
+            for component, keys in zip(batch.column("component").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                if component != at:
+                    at, taken = component, set()
                 gone = any(k["gone"] or k["key"] in taken for k in keys)
                 if not gone:
                     taken.update(k["key"] for k in keys)
                 state.append("gone" if gone else "kept")
             yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(state, pa.string())], names=["place", "state"])
 
-    decided = posts.repartition(1).sortWithinPartitions("place").mapInArrow(decide, states.schema)
+    decided = posts.repartition("component").sortWithinPartitions("component", "place").mapInArrow(decide, states.schema)
     return states.where("state <> 'open'").unionByName(decided).unionByName(alone)
 
 
-#: So many open posts at most are decided in one task.
-FEW = 50_000
+#: Rounds over keys before what is left goes by components: short chains end in these.
+ROUNDS = 3
 
 
-def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds: int | None = None, few: int = FEW) -> DataFrame:
+def deduplicate(posts: DataFrame, stored: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """posts (id, x_tweet_id, url_hash, text_fingerprint, posted_at) with level and
     survivor_id, both null for survivors. stored: survivors of earlier batches, which block
     by URL and fingerprint only and always come first.
 
     A post is settled as a survivor once no undecided or surviving post before it shares a
-    key, and as a duplicate once a survivor before it does; each round settles at least the
-    first undecided post of every group, so the rounds end. A chain of posts that alternately
-    share URL and text takes about a round a post, so once no more than `few` posts are open
-    the rule runs over these in one task. With most_rounds, posts still undecided after so
-    many rounds are an error.
+    key, and as a duplicate once a survivor before it does. A round settles at least the first
+    undecided post of every group by one aggregate; a chain of posts that alternately share URL
+    and text takes about a round a post, so after some rounds the open posts are split into
+    connected components, in which the rule runs in order. Both ways give the same result.
     """
     keys = F.array(F.struct(F.lit(0).alias("level"), F.col("x_tweet_id").alias("key")), F.struct(F.lit(1).alias("level"), F.col("url_hash").alias("key")), F.struct(F.lit(2).alias("level"), F.col("text_fingerprint").alias("key")))
     rows = posts.select(F.struct(F.lit(1).alias("new"), F.col("posted_at").alias("at"), F.col("id").alias("id")).alias("place"), keys.alias("keys"), F.lit("open").alias("state"))
@@ -94,12 +101,10 @@ def deduplicate(posts: DataFrame, stored: DataFrame | None = None, most_rounds:
     links = materialize(rows.select("place", F.explode("keys").alias("k")).select("place", "k.level", "k.key").where("key is not null"), "dedup-keys")
     states = materialize(rows.select("place", "state"), "dedup-states")
     done = 0
-    while n := states.where("state = 'open'").count():
-        if n <= few:
-            states = materialize(_in_order(states, links), "dedup-states")
+    while not states.where("state = 'open'").isEmpty():
+        if done == rounds:
+            states = materialize(_by_component(states, links), "dedup-states")
             break
-        if done == most_rounds:
-            raise RuntimeError(f"posts are undecided after {most_rounds} rounds")
         done += 1
         now = links.join(states, "place")
         firsts = now.groupBy("level", "key").agg(F.min(F.when(F.col("state") != "gone", F.col("place"))).alias("live"), F.min(F.when(F.col("state") == "kept", F.col("place"))).alias("kept"))
