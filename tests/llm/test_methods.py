@@ -348,6 +348,38 @@ def test_shards_of_a_text_that_holds_a_third_of_all_rows(spark):
     assert out[(out.doc_id < 5000)].groupby("text_crc32").shard.nunique().max() == 1
 
 
+def test_shards_of_rows_without_ids(spark):
+    """One text is half of all bytes; its rows have null or repeated ids."""
+    docs = [(i, "t" * random.Random(i).randint(0, 300)) for i in range(800)] + [(None if i % 2 else 7, "y" * 1000) for i in range(400)]
+    out = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 8).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(out) == 1200 and len(load) == 8 and load.max() / load.mean() < 1.1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
+def test_long_personal_data_is_found_whole(spark):
+    """Secrets, local parts and domains of any length: no part of a span stays in the redacted text."""
+    rng = random.Random(4)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    rows, plants = [], []
+    for n in (12, 65, 100, 240, 500, 2000):
+        for k in range(6):
+            word = "".join(rng.choice(letters) for _ in range(n - 2)) + "a7"
+            kind, text = [("secret", f"api_key={word}"), ("secret", f"use ghp_{word} now"), ("secret", f"token: sk-{word}"), ("email", f"mail {word}@host.example.org please"), ("email", f"contact {word} [at] example [dot] com"), ("email", f"write to a@{word}.example.com")][k]
+            rows.append((len(rows), f"Some words before. {text} And some after."))
+            plants.append((kind, word))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, (kind, word) in enumerate(plants):
+        assert f"<{kind.upper()}>" in clean[i] and not any(word[j : j + 8] in clean[i] for j in range(0, len(word) - 7)), (kind, len(word), clean[i][:80])
+        assert clean[i].startswith("Some words before.") and clean[i].endswith("And some after.")
+    long = "a" * 200_000
+    began = time.perf_counter()
+    for text in (long, long + "@", "sk-" * 60_000, "api_key=" * 20_000, "x [at] " * 30_000, ("a" * 60 + " at b.") * 3000):
+        pii.candidates(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_licenses_with_edits(spark):
     text = licenses.TEMPLATES["mit-text"]
     words = text.split()

@@ -45,10 +45,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63}){1,8}")
+#: No part has a longest length; possessive repeats keep the search linear.
+_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk-|AIza)[A-Za-z0-9_-]{12,64}(?![A-Za-z0-9_-])")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_=.-]{6,128})")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk-|AIza)[A-Za-z0-9_-]{12,}+")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?([A-Za-z0-9+/_=.-]{6,}+)")
 
 #: Gazetteers of public registries (fixed values). Any two letters may be a country's domain.
 DOMAINS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "mobi", "travel", "jobs", "museum", "coop", "aero", "app", "dev", "xyz", "online", "site", "shop", "store", "tech", "cloud", "blog", "email", "page", "agency", "company", "systems", "solutions", "example", "test"}
