@@ -173,7 +173,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("crc"),
-        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
+        F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), F.monotonically_increasing_id().alias("row"),
     )
     rows = materialize(rows, "shard-rows")  # ids and hashes only; texts are read once
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -184,8 +184,8 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"))
     cut = groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") > capacity)).select(*key, F.ceil(F.col("n") * F.col("size") / piece).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(cut), key, "left")  # groups larger than a shard are fewer than shards
-    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", F.lit(5)), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SPREAD)).cast("int"))
+    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", "row", F.lit(5)), F.col("pieces")), F.lit(0).cast("long"))).drop("pieces")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "row", F.lit(7)), F.lit(SPREAD)).cast("int"))
 
     key = [*key, "piece"]
     groups = rows.groupBy(*key, "part").agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
@@ -207,7 +207,7 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy(*key)) - 1
     own = groups.withColumn("rank", rank).join(starts, ["class", "salt"])
     own = own.select(*key, F.element_at(F.filter("bins", lambda b: b["first"] <= F.col("rank")), -1)["shard"].alias("shard"), F.explode("parts").alias("part"))
-    return _slots(rows.join(own, [*key, "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard"), id_col).select(id_col, "size", "text_crc32", "shard", "slot")
+    return _slots(rows.join(own, [*key, "part"]).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", F.col("row").alias("_row")), id_col).select(id_col, "size", "text_crc32", "shard", "slot")
 
 
 def _slots(rows: DataFrame, id_col: str) -> DataFrame:
@@ -215,11 +215,11 @@ def _slots(rows: DataFrame, id_col: str) -> DataFrame:
     rows = materialize(rows, "shard-placed")
     n = rows.count()
     buckets = max(1, n // SLOT_ROWS)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "size", "text_crc32", "_row"), F.lit(buckets)).cast("int"))
     shift = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = shift.select("shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
-    at = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(id_col, "size", "text_crc32")) - 1
+    at = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(id_col, "size", "text_crc32", "_row")) - 1
     rows = rows.withColumn("_at", at).join(shift, ["shard", "_bucket"])
     return with_columns(rows, slot=(F.col("_at") + F.col("_shift")).cast("long")).drop("_at", "_shift", "_bucket")
 
