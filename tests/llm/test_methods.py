@@ -421,7 +421,7 @@ def test_coverage_by_full_alignment():
         n = _full_alignment(template, text)
         got = licenses.Index({"t": " ".join(template)})
         hits = licenses._hits([" ".join(text).encode()], got)
-        found = licenses._matches(" ".join(text), hits.get(0, []), got, licenses.COVERAGE)
+        found = licenses._matches(" ".join(text), hits.get(0, []), got)
         if n >= licenses.COVERAGE * len(template):
             assert found and found[0]["matched_words"] >= n, (template, text)
 
@@ -438,10 +438,53 @@ def test_licenses_with_long_insertions():
     assert "mit-text" not in _scan(" ".join(sorted(text))) and "mit-text" not in _scan(" ".join(text[:40]))
 
 
+def test_licenses_are_found_alike_in_any_company(spark):
+    """A text's rows depend on the text alone: edited texts alone, in pairs, in one slice and in any partitions."""
+    words, rng, texts = licenses.TEMPLATES["mit-text"].split(), random.Random(8), []
+    for _ in range(60):
+        own = [w for w in words if rng.random() > 0.09]
+        for _ in range(rng.randint(0, 5)):
+            own.insert(rng.randrange(len(own)), rng.choice(["new", "software", "the", "copy"]))
+        texts.append(" ".join(w if rng.random() > 0.09 else "changed" for w in own))
+    index = licenses.Index(licenses.TEMPLATES)
+    alone = [licenses._matches(t, licenses._hits([t.encode()], index).get(0, []), index) for t in texts]
+    whole = licenses._hits([t.encode() for t in texts], index)
+    assert [licenses._matches(t, whole.get(i, []), index) for i, t in enumerate(texts)] == alone
+    for i, t in enumerate(texts):
+        other = licenses._hits([b"the software is provided to any person", t.encode(), texts[0].encode()], index)
+        assert licenses._matches(t, other.get(1, []), index) == alone[i]
+    split = lambda t: [w.lower() for w in licenses._WORD.findall(t)]
+    n = [_full_alignment(split(" ".join(words)), split(t)) for t in texts]
+    due = [i for i in range(60) if n[i] >= licenses.COVERAGE * len(split(" ".join(words)))]
+    assert len(due) > 10 and all(any(m["license_id"] == "mit-text" and m["matched_words"] >= n[i] for m in alone[i]) for i in due)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [sorted(map(repr, licenses.find_licenses(docs.repartition(k)).collect())) for k in (1, 7)]
+    assert rows[0] == rows[1] and sorted(map(repr, licenses.find_licenses(docs).where("doc_id = 1").collect())) == [r for r in rows[0] if "doc_id=1," in r]
+
+
+def test_licenses_with_insertions_of_any_length():
+    for name in ("mit", "gpl-3.0", "cc-by-4.0", "apache-2.0", "cc0-1.0"):
+        words = licenses._WORD.findall(licenses.TEMPLATES[name])
+        for at in range(2, len(words) - 1):
+            text = " ".join(["x", *words[:at], *[f"put{i}" for i in range(14)], *words[at:], "y"])
+            assert name in _scan(text), text
+    words = licenses._WORD.findall(licenses.TEMPLATES["mit-text"])
+    index = licenses.Index(licenses.TEMPLATES)
+    every = " ".join(" ".join([*words[i : i + 8], *["put"] * 15]) for i in range(0, len(words), 8))
+    twice = " ".join([*words[:30], *["one"] * 100, *words[30:60], *["two"] * 100, *words[60:]])
+    for text in (every, twice):
+        found = {m["license_id"]: m for m in licenses._matches(text, licenses._hits([text.encode()], index)[0], index)}
+        assert found["mit-text"]["coverage"] == 1.0
+    far = " ".join([*words[:40], *["put"] * 500, *words[40:]])
+    assert "mit-text" not in _scan(far)
+    wide = licenses._matches(far, licenses._hits([far.encode()], index, 600)[0], index, 600)
+    assert "mit-text" in {m["license_id"] for m in wide}
+
+
 def _scan(text, templates=None):
     index = licenses.Index(templates or licenses.TEMPLATES)
     hits = licenses._hits([text.encode()], index)
-    return {m["license_id"]: [text[s["start"] : s["end"]] for s in m["spans"]] for m in licenses._matches(text, hits.get(0, []), index, licenses.COVERAGE)}
+    return {m["license_id"]: [text[s["start"] : s["end"]] for s in m["spans"]] for m in licenses._matches(text, hits.get(0, []), index)}
 
 
 def test_each_repeat_of_a_short_notice_has_a_span():
@@ -553,18 +596,19 @@ def test_html_pages_marked_by_hand():
         assert html_text.main_text(page.replace("[[", "").replace("]]", "")).split("\n\n") == want
 
 
-def test_html_ratios_decide(monkeypatch):
+def test_html_ratios_decide_where_labels_are_hidden(monkeypatch):
+    """With telling tags and names hidden most pages keep their text by the ratios alone, and anything in
+    the ratios' place changes it. With labels left on these pages need no ratios."""
     import pyarrow.parquet as pq
 
     pages = [r or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
-    real, rng = html_text.path_ratios, np.random.default_rng(0)
+    real, rng = html_text.text_ratios, np.random.default_rng(0)
     want = [html_text.main_text(p) for p in pages]
-    for other in (lambda p: np.ones(len(p.nodes)), lambda p: rng.random(len(p.nodes)), lambda p: rng.permutation(real(p))):
-        monkeypatch.setattr(html_text, "path_ratios", other)
-        assert np.mean([html_text.main_text(p) != w for p, w in zip(pages, want, strict=True)]) > 0.5
-    monkeypatch.setattr(html_text, "path_ratios", real)
     bare = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", p).replace('class="ad"', 'class="x1"') for p in pages]
     assert np.mean([html_text.main_text(p) == w for p, w in zip(bare, want, strict=True)]) > 0.9
+    for other in (lambda p: np.ones(len(p.nodes)), lambda p: rng.random(len(p.nodes)), lambda p: rng.permutation(real(p))):
+        monkeypatch.setattr(html_text, "text_ratios", other)
+        assert np.mean([html_text.main_text(p) != w for p, w in zip(bare, want, strict=True)]) > 0.5
 
 
 def test_html_deep_pages_take_linear_time():

@@ -2,13 +2,16 @@
 
 A page's text nodes are grouped by their tag path, root to leaf (names with classes). For
 each path the length of its text and its punctuation are summed and divided by its nodes;
-the two ratios are fused on a log scale and smoothed along the page, so that neighbours of little text lower it, and a path whose labels
-name something else than an article (a menu, header, footer, sidebar, notice, advert, form
-or discussion) loses LABEL_COST of it. Nodes of at least the page's own threshold are content
-nodes. Nothing else decides which part of a page is its article: it is the deepest element
-that holds all content nodes, grown to the article element (else main) around it, with a
-heading right above. What is in there stays, but for labelled parts below the threshold and,
-outside an article element, low blocks that are mostly links and low parts at either end.
+the two ratios are fused on a log scale and smoothed along the page, so that neighbours of
+little text lower it, and a path whose labels name something else than an article (a menu,
+header, footer, sidebar, notice, advert, form or discussion) loses LABEL_COST of it. Nodes of
+at least the page's own threshold are content nodes. The article is the deepest element that
+holds all content nodes, grown to the article element (else main) around it, with a heading
+right above. What is in there stays, but for labelled parts below the threshold and, outside
+an article element, low blocks that are mostly links and low parts at either end.
+
+So on a page whose labels tell all its parts, labels decide the text and the ratios only that
+nothing speaks against them; where labels are missing the ratios decide it alone.
 
 A label is believed of a part beside the article element, and else of a part that holds
 neither the main element nor over half of the content by the ratios alone: a wrapper named

@@ -1,18 +1,18 @@
-"""License scans: fingerprints of rare words pick candidates, banded alignment confirms them.
-
-The templates' word fingerprints are an inverted index (word -> template and place), which
-is small and broadcast; its size is checked. A match may miss so many of a template's words
-and no more, so of any places by one more than these it has one at least: each slice of
-texts is looked up by the places whose words are rarest in it. Where the text around a hit
-has enough of the template's words, a banded alignment of the template's words against it
-gives the matched words and their span, until no hit is outside a span. Where the band alone
-holds too few, the rest of the template is aligned before and after the stretch found, on the
-diagonals that most of its words lie on: stretches in order are one match, whatever was put
-in between, up to as many words as the template has. Matches that cover enough of a template
-are reported, with the words between stretches counted in `inserted_words`.
-
-So nothing that the alignment would accept within BAND words of a hit's diagonal is missed,
-whichever words are changed, added or left out.
+"""License scans: winnowed fingerprints of templates pick candidates, banded alignment confirms them.
+
+Each template has fingerprints: hashes of pairs of neighbouring words, of which the least of
+each two in a row is kept (winnowing), so any three of its words in a row hold one. A template
+of fewer than SHORT words has single words instead, as many as coverage leaves no way
+around, the rarest by the templates themselves. The inverted index from fingerprint to
+template and place is small and broadcast; its size is checked. All pairs and words of a text
+are looked up in it: which places are candidates depends on the text and the templates alone.
+
+Where the text around a hit has enough of the template's words, a banded alignment of the
+template's words against it gives a stretch; what is left of the template is aligned before
+and after it, on the diagonals that most of its words lie on, until no stretch of due length
+is found. Stretches in order are one match, whatever was put in between, within `max_inserted`
+words before and after the place that the hit gives the template. Matches that cover enough of
+a template are reported, with the words between stretches counted in `inserted_words`.
 
 Texts are read in tasks and nothing is shuffled. Words: lower-cased ASCII letters, digits
 and all non-ASCII characters; spans are code points, end exclusive. A scan finds the words of
@@ -43,9 +43,10 @@ from trendloom.llm.neardup import word_hashes
 
 BAND = 12
 COVERAGE = 0.8
-#: Words at least of a stretch that is matched apart from the best one, and of a template for which such are looked for.
-FRAGMENT = 5
-CHAINED = 20
+#: A template of fewer words has fingerprints of single words.
+SHORT = 20
+#: Words that may stand before or after a hit beyond the template's own.
+MAX_INSERTED = 400
 #: The templates' words together, at most: the index is broadcast.
 MAX_TEMPLATE_WORDS = 2_000_000
 
@@ -88,21 +89,48 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Fingerprints of two words in a row, from theirs."""
+    return (first * np.uint64(0x9E3779B97F4A7C15)) ^ (second + np.uint64(0xD6E8FEB86659FD93))
+
+
+def fragment(n: int) -> int:
+    """Words at least of a stretch that is matched apart from the best one of a template of n words."""
+    return max(2, min(5, n // 4))
+
+
 class Index:
-    """Templates' words: the sorted vocabulary of fingerprints, and number in it, template
-    and place of each word, by template and place."""
+    """Templates' words: the sorted vocabulary, and number in it, template and place of each
+    word; and the fingerprints in order, with the template and place of each."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.words = [[w.group().translate(_UPPER) for w in _WORD.finditer(templates[n])] for n in self.names]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.owner = np.repeat(np.arange(len(self.words)), self.length)
-        self.place = np.arange(len(self.owner)) - self.start[self.owner]
+        self.least = np.maximum(np.ceil(coverage * self.length - 1e-9), 1).astype(np.int64)
         prints = word_hashes(" ".join(w for words in self.words for w in words).encode())[0]
         self.vocabulary, self.word = np.unique(prints, return_inverse=True)
+        common = Counter(w for words in self.words for w in words)
+        one: list[tuple[int, int, int]] = []
+        two: list[tuple[int, int, int]] = []
+        for t, words in enumerate(self.words):
+            own = prints[self.start[t] : self.start[t] + len(words)]
+            if len(words) < SHORT:
+                places = sorted(range(len(words)), key=lambda i: (common[words[i]], -len(words[i]), i))[: len(words) - int(self.least[t]) + 1]
+                one += [(int(own[i]), t, i) for i in places]
+            else:
+                pairs = _pairs(own[:-1], own[1:])
+                kept = {i if pairs[i] < pairs[i + 1] else i + 1 for i in range(len(pairs) - 1)}
+                two += [(int(pairs[i]), t, i) for i in sorted(kept)]
+        self.one, self.two = (self._sorted(x) for x in (one, two))
+
+    @staticmethod
+    def _sorted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = sorted(rows)
+        return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
 
 
 def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, int, int, int]:
@@ -127,29 +155,39 @@ def align(template: list[str], text: list[str], lead: int) -> tuple[int, int, in
     return best
 
 
-def chain(template: list[str], text: list[str], lead: int, depth: int = 6) -> tuple[int, int, int]:
+def chain(template: list[str], text: list[str], lead: int, least: int | None = None) -> tuple[int, int, int]:
     """Stretches of a banded alignment in the order of the template, found around the best
-    one: (matched words, first and last + 1 of text). A further stretch has FRAGMENT words at
-    least."""
+    one: (matched words, first and last + 1 of text). A further stretch has least words."""
+    least = fragment(len(template)) if least is None else least
     n, a, b, i, j = align(template, text, lead)
     if not n:
         return 0, 0, 0
     for before in (True, False):
         part, rest = (template[:i], text[:a]) if before else (template[j:], text[b:])
-        if depth and len(part) >= FRAGMENT and len(rest) >= FRAGMENT:
-            places: dict[str, list[int]] = {}
-            for k, w in enumerate(part):
-                places.setdefault(w, []).append(k)
-            diagonals = Counter(y - k for y, w in enumerate(rest) for k in places.get(w, ()))
-            if diagonals:
-                at = max(diagonals, key=lambda x: (diagonals[x], -abs(x if not before else x - len(rest) + len(part))))
-                m, c, d = chain(part, rest, at, depth - 1)
-                if m >= FRAGMENT:
-                    n, a, b = (n + m, c, b) if before else (n + m, a, b + d)
+        if len(part) < least or len(rest) < least:
+            continue
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(part):
+            places.setdefault(w, []).append(k)
+        diagonals = Counter(y - k for y, w in enumerate(rest) for k in places.get(w, ()))
+        if diagonals:
+            at = max(diagonals, key=lambda x: (diagonals[x], -abs(x if not before else x - len(rest) + len(part)), x))
+            m, c, d = chain(part, rest, at, least)
+            if m >= least:
+                n, a, b = (n + m, c, b) if before else (n + m, a, b + d)
     return n, a, b
 
 
-def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[int, list[tuple[int, int, int]]]:
+def _looked_up(prints: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in prints, template, place in it) of each fingerprint found in the index."""
+    low, high = np.searchsorted(table[0], prints, "left"), np.searchsorted(table[0], prints, "right")
+    at = np.flatnonzero(high > low)
+    n = (high - low)[at]
+    hit = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(at, n), table[1][hit], table[2][hit]
+
+
+def _hits(texts: list[bytes], index: Index, max_inserted: int = MAX_INSERTED) -> dict[int, list[tuple[int, int, int]]]:
     """Text number -> (template, text place, template place) of each hit that has enough of
     the template's words around."""
     folded = [t.translate(_FOLD) for t in texts]
@@ -161,26 +199,19 @@ def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     word = np.minimum(np.searchsorted(index.vocabulary, hashes), none - 1)
     word[index.vocabulary[word] != hashes] = none
-    least = np.maximum(np.ceil(coverage * index.length), 1).astype(np.int64)
-    rare = np.lexsort((np.bincount(word, minlength=none + 1)[index.word], index.owner))
-    of = index.owner[rare]
-    rare = rare[np.arange(len(rare)) - index.start[of] <= (index.length - least)[of]]
-    rare = rare[np.argsort(index.word[rare], kind="stable")]
-    at = np.flatnonzero(word < none)
-    low, high = np.searchsorted(index.word[rare], word[at], "left"), np.searchsorted(index.word[rare], word[at], "right")
-    n = high - low
-    hit = rare[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    at = np.repeat(at, n)
-    by = np.argsort(index.owner[hit], kind="stable")
-    at, hit = at[by], hit[by]
-    shift, text = at - index.place[hit], owner[at]
-    own = index.length[index.owner[hit]]
-    wide = np.where(own >= CHAINED, own, BAND)
-    lo = np.maximum(first[text], shift - wide)
-    hi = np.minimum(first[text + 1], shift + own + wide)
-    found: dict[int, list[tuple[int, int, int]]] = {}
+    known = np.flatnonzero(word < none)
+    pair = known[:-1][(np.diff(known) == 1) & (owner[known[:-1]] == owner[known[1:]])]
+    found = [_looked_up(hashes[known], index.one), _looked_up(_pairs(hashes[pair], hashes[pair + 1]), index.two)]
+    at = np.concatenate([known[found[0][0]], pair[found[1][0]]])
+    template, place = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+    by = np.lexsort((place, at, template))
+    at, template, place = at[by], template[by], place[by]
+    shift, text = at - place, owner[at]
+    lo = np.maximum(first[text], shift - max_inserted)
+    hi = np.minimum(first[text + 1], shift + index.length[template] + max_inserted)
+    out: dict[int, list[tuple[int, int, int]]] = {}
     member = np.zeros(none + 1, np.int32)
-    ends = np.searchsorted(index.owner[hit], np.arange(len(index.words) + 1))
+    ends = np.searchsorted(template, np.arange(len(index.words) + 1))
     for t in np.flatnonzero(np.diff(ends)).tolist():
         own = index.word[index.start[t] : index.start[t] + index.length[t]]
         member[own] = 1
@@ -188,16 +219,19 @@ def _hits(texts: list[bytes], index: Index, coverage: float = COVERAGE) -> dict[
         member[own] = 0
         mine = np.arange(ends[t], ends[t + 1])
         want = Counter(own.tolist())
-        for x in mine[held[hi[mine]] - held[lo[mine]] >= least[t]].tolist():
-            have = Counter(word[lo[x] : hi[x]].tolist())
-            if sum(min(c, have[w]) for w, c in want.items()) < least[t]:
-                continue
-            d = int(text[x])
-            found.setdefault(d, []).append((t, int(at[x] - first[d]), int(index.place[hit[x]])))
-    return found
+        enough: dict[tuple[int, int], bool] = {}  # hits of one window count its words once
+        for x in mine[held[hi[mine]] - held[lo[mine]] >= index.least[t]].tolist():
+            window = int(lo[x]), int(hi[x])
+            if window not in enough:
+                have = Counter(word[window[0] : window[1]].tolist())
+                enough[window] = sum(min(c, have[w]) for w, c in want.items()) >= index.least[t]
+            if enough[window]:
+                d = int(text[x])
+                out.setdefault(d, []).append((t, int(at[x] - first[d]), int(place[x])))
+    return out
 
 
-def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, int]], least: float) -> list[tuple[int, int, int]]:
+def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, int]], least: int, max_inserted: int) -> list[tuple[int, int, int]]:
     """Every occurrence of template around the hits, (text place, template place) in order:
     (matched words, first and last + 1 word), not overlapping. A hit outside the occurrences
     so far is aligned in the text after them, and where another occurrence aligns better,
@@ -205,11 +239,10 @@ def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, in
     taken: list[tuple[int, int, int]] = []
     known: dict[tuple, tuple[int, int, int]] = {}  # hits of one diagonal align once
 
-    def found(lo: int, hi: int, shift: int, whole: bool) -> tuple[int, int, int]:
-        key = (lo, hi, shift, whole)
+    def found(lo: int, hi: int, shift: int) -> tuple[int, int, int]:
+        key = (lo, hi, shift)
         if key not in known:
-            part = words[lo:hi]
-            n, a, b = chain(template, part, shift - lo) if whole else align(template, part, shift - lo)[:3]
+            n, a, b = chain(template, words[lo:hi], shift - lo)
             known[key] = (n, lo + a, lo + b)
         return known[key]
 
@@ -217,32 +250,29 @@ def _occurrences(words: list[str], template: list[str], hits: list[tuple[int, in
         end = taken[-1][2] if taken else 0
         if place < end:
             continue
-        best, group = (0, 0, 0), list(group)
-        for whole in (False, True) if len(template) >= CHAINED else (False,):
-            room = len(template) if whole else BAND
-            for _, i in group:
-                shift = place - i
-                lo, hi = max(end, shift - room), min(len(words), shift + len(template) + room)
-                while hi - lo >= least:
-                    n, a, b = found(lo, hi, shift, whole)
-                    if not n or n < least:
-                        break
-                    if a <= place < b:
-                        best = max(best, (n, a, b), key=lambda x: (x[0], x[1] - x[2]))
-                        break
-                    lo, hi = (lo, a) if place < a else (b, hi)
-            if best[0]:
-                taken.append(best)
-                break
+        best = (0, 0, 0)
+        for _, i in group:
+            shift = place - i
+            lo, hi = max(end, shift - max_inserted), min(len(words), shift + len(template) + max_inserted)
+            while hi - lo >= least:
+                n, a, b = found(lo, hi, shift)
+                if n < least:
+                    break
+                if a <= place < b:
+                    best = max(best, (n, a, b), key=lambda x: (x[0], x[1] - x[2]))
+                    break
+                lo, hi = (lo, a) if place < a else (b, hi)
+        if best[0]:
+            taken.append(best)
     return taken
 
 
-def _matches(text: str, hits: list[tuple[int, int, int]], index: Index, coverage: float) -> list[dict]:
+def _matches(text: str, hits: list[tuple[int, int, int]], index: Index, max_inserted: int = MAX_INSERTED) -> list[dict]:
     spots = list(_WORD.finditer(text))
     words = [m.group().translate(_UPPER) for m in spots]
     out = []
     for t, own in groupby(sorted(set(hits)), key=lambda h: h[0]):
-        taken = _occurrences(words, index.words[t], [h[1:] for h in own], coverage * len(index.words[t]))
+        taken = _occurrences(words, index.words[t], [h[1:] for h in own], int(index.least[t]), max_inserted)
         if not taken:
             continue
         most, extra = max((n, n - (b - a)) for n, a, b in taken)  # of equally good ones the tightest
@@ -253,10 +283,10 @@ def _matches(text: str, hits: list[tuple[int, int, int]], index: Index, coverage
 _FOUND = "array<struct<license_id:string,matched_words:bigint,template_words:bigint,coverage:double,inserted_words:bigint,spans:array<struct<start:bigint,end:bigint>>>>"
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, max_inserted: int = MAX_INSERTED) -> DataFrame:
     """(id_col, license_id, matched_words, template_words, coverage, inserted_words, spans): a row for each
     text and template of which at least `coverage` is matched."""
-    shared = small_batches(docs.sparkSession).sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, coverage))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kind = pa.list_(pa.struct([("license_id", pa.string()), ("matched_words", pa.int64()), ("template_words", pa.int64()), ("coverage", pa.float64()), ("inserted_words", pa.int64()), ("spans", span)]))
 
@@ -265,8 +295,8 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         for texts in batches:
             out: list[list[dict]] = []
             for part in slices(texts):
-                hits = _hits([t.encode() for t in part], shared.value, coverage)
-                out += [_matches(t, hits[i], shared.value, coverage) if i in hits else [] for i, t in enumerate(part)]
+                hits = _hits([t.encode() for t in part], shared.value, max_inserted)
+                out += [_matches(t, hits[i], shared.value, max_inserted) if i in hits else [] for i, t in enumerate(part)]
             yield pa.array(out, kind)
 
     found = docs.select(F.col(id_col), F.explode(scan(F.coalesce(F.col(text_col), F.lit("")))).alias("_found"))
