@@ -7,9 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from trendloom.functions import search, transliterate
+from trendloom.functions import search, signals, transliterate
 from trendloom.functions.stemming import stem
 from trendloom.operators import feed, ledger, search_index
+from trendloom.plans.catalogs import Signal
 
 # Words and stems of the stemmer's published sample, and pairs of one meaning.
 SAMPLE = """
@@ -104,6 +105,21 @@ def test_feed_by_index_and_by_texts(spark, tmp_path):
     assert pages[0] == pages[1] == [7, 5, 3, 1, 8, 6, 4, 2, 0]
 
 
+def test_phrases_in_one_pass_find_what_each_pattern_finds(spark):
+    """The automaton's candidates hold all that any pattern matches, letters with odd cases included."""
+    catalog = [*signals.default_signals(), Signal("kit", 1, "a"), Signal("ship it", 2, "b", whole_word=False), Signal("Iss", 1, "c"), Signal("C++", 1, "d"), Signal("Éa", 1, "e", case_sensitive=True)]
+    rng = random.Random(2)
+    parts = [s.phrase for s in catalog] + ["\u212Ait", "K\u0131t", "k\u0130t", "\u017Fhip \n it", "I\u017Fs", "reship its", "c++", "éa", "Éa", "x", " ", "\t", "launchED"]
+    texts = [rng.choice(["", " ", "_"]).join(rng.choice(parts) for _ in range(rng.randrange(0, 9))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "id int, text string").repartition(2)
+    counts = F.array(*[signals.occurrences(F.col("text"), s) for s in catalog])
+    got = signals.with_matches(df, F.col("text"), catalog).select("signal_matches", counts.alias("n")).collect()
+    for r in got:
+        want = [(s.phrase, s.weight, s.group, n) for s, n in zip(catalog, r.n, strict=True) if n]
+        assert [tuple(m) for m in r.signal_matches or []] == want
+    assert signals.with_matches(df, F.col("text"), []).first().signal_matches == []
+
+
 def test_slugs(spark):
     names = {
         "Łódź app": "lodz-app", "user@home": "user-at-home", "Привет, мир": "privet-mir", "سلام": "slam", "Node.js": "nodejs", "snake_case  name": "snake-case-name", "C++ & Rust!": "c-rust", "Straße Øst": "strasse-ost",

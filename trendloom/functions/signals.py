@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.phrases import candidates, literals
 from trendloom.functions.urls import host
 from trendloom.plans.catalogs import REPOSITORY_HOSTS, STRENGTHS, STRUCTURAL, Signal, default_signals
 
@@ -28,13 +29,17 @@ def occurrences(text: Column, signal: Signal) -> Column:
     return F.regexp_count(text, F.lit(pattern(signal.phrase, signal.whole_word, signal.case_sensitive)))
 
 
-def matches(text: Column, signals: Sequence[Signal]) -> Column:
-    """Signals that occur, in catalog order: array of (phrase, weight, group, n). One
-    combined search first: most texts hold no phrase at all."""
-    found = F.array(*[F.struct(F.lit(s.phrase).alias("phrase"), F.lit(s.weight).alias("weight"), F.lit(s.group).alias("group"), occurrences(text, s).alias("n")) for s in signals])
-    none = F.array().cast("array<struct<phrase:string,weight:int,group:string,n:int>>")
-    any_of = "|".join(f"(?:{pattern(s.phrase, s.whole_word, s.case_sensitive).split(')', 1)[1]})" for s in signals)
-    return F.when(text.rlike("(?iuU)" + any_of), F.filter(found, lambda m: m["n"] > 0)).otherwise(none)
+def with_matches(posts: DataFrame, text: Column, signals: Sequence[Signal], name: str = "signal_matches") -> DataFrame:
+    """posts with the signals that occur, in catalog order: array of (phrase, weight, group, n). The
+    patterns run for phrases that the text may hold only, however long the catalog is."""
+    if not signals:
+        return posts.withColumn(name, F.array().cast("array<struct<phrase:string,weight:int,group:string,n:int>>"))
+    df = posts.withColumn("_text", text).withColumn("_found", candidates([s.phrase for s in signals])(F.col("_text")))
+    of = lambda field: literals([getattr(s, field) for s in signals])
+    phrases, weights, groups = of("phrase"), of("weight"), of("group")
+    patterns = literals([pattern(s.phrase, s.whole_word, s.case_sensitive) for s in signals])
+    each = F.transform("_found", lambda i: F.struct(F.get(phrases, i).alias("phrase"), F.get(weights, i).alias("weight"), F.get(groups, i).alias("group"), F.regexp_count(F.col("_text"), F.get(patterns, i)).alias("n")))
+    return df.withColumn(name, F.filter(each, lambda m: m["n"] > 0)).drop("_text", "_found")
 
 
 def strength(total: Column) -> Column:
@@ -55,7 +60,7 @@ def apply_filter(posts: DataFrame, signals: Sequence[Signal] | None = None, text
     signal_score, signal_strength, decision (pass or reject) and reject_reason. A phrase
     counts once however often it occurs."""
     signals = default_signals() if signals is None else signals
-    df = posts.withColumn("signal_matches", matches(F.coalesce(F.col(text_col), F.lit("")), signals))
+    df = with_matches(posts, F.coalesce(F.col(text_col), F.lit("")), signals)
     points = F.when(F.col("has_repository_link"), STRUCTURAL["repository_link"]).when(F.col("has_link"), STRUCTURAL["any_link"]).otherwise(0) + F.when(F.col("is_repost"), STRUCTURAL["repost"]).otherwise(0)
     total = F.aggregate("signal_matches", F.lit(0), lambda a, m: a + m["weight"]) + points
     df = df.withColumn("signal_score", total).withColumn("signal_strength", strength(F.col("signal_score")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.phrases import candidates, candidates_in_each, literals
 from trendloom.functions.signals import pattern
 from trendloom.functions.urls import appears_in, classify_urls, let, well_formed
 from trendloom.plans.catalogs import (
@@ -140,22 +141,28 @@ def _squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "")
 
 
-def detect_technologies(text: Column, urls: Column, catalog: tuple[Technology, ...] = TECHNOLOGIES) -> Column:
-    """Array of (slug, name, kind, source, evidence): the first alias in the text, else
-    the first in an address, addresses in order (J18)."""
-    def first(x: Column, t: Technology, sensitive: bool) -> Column:
-        found = F.lit(None).cast("string")
-        for a in reversed(t.aliases):
-            found = F.when(x.rlike(pattern(a, True, sensitive)), a).otherwise(found)
-        return found
+def with_technologies(df: DataFrame, text: Column, urls: Column, catalog: tuple[Technology, ...] = TECHNOLOGIES, name: str = "technologies") -> DataFrame:
+    """df with an array of (slug, name, kind, source, evidence) in catalog order: the first alias in
+    the text, else the first in an address, addresses in order (J18). The patterns run for aliases
+    that a text may hold only, however long the catalog is."""
+    aliases = [(i, a) for i, t in enumerate(catalog) for a in t.aliases]
+    owner, spelled = literals([i for i, _ in aliases]), literals([a for _, a in aliases])
+    exact, loose = literals([pattern(a, True, catalog[i].case_sensitive) for i, a in aliases]), literals([pattern(a, True, False) for _, a in aliases])
+    names = [a for _, a in aliases]
+    df = df.withColumns({"_text": text, "_addresses": urls}).withColumns({"_in_text": candidates(names)(F.col("_text")), "_in_urls": candidates_in_each(names)(F.col("_addresses"))})
+    df = df.withColumns({
+        "_in_text": F.filter("_in_text", lambda i: F.regexp_like(F.col("_text"), F.get(exact, i))),
+        "_in_urls": F.filter("_in_urls", lambda p: F.regexp_like(F.get("_addresses", p["at"]), F.get(loose, p["phrase"]))),
+    })
+    found = F.array_sort(F.array_union(F.transform("_in_text", lambda i: F.get(owner, i)), F.transform("_in_urls", lambda p: F.get(owner, p["phrase"]))))
 
-    def entry(t: Technology) -> Column:
-        hit = first(text, t, t.case_sensitive)
-        link = F.get(F.filter(F.transform(urls, lambda u: first(u, t, False)), lambda x: x.isNotNull()), 0)
-        found = F.struct(F.lit(t.slug).alias("slug"), F.lit(t.name).alias("name"), F.lit(t.kind).alias("kind"), F.when(hit.isNotNull(), "text").otherwise("url").alias("source"), F.coalesce(hit, link).alias("evidence"))
-        return F.when(hit.isNotNull() | link.isNotNull(), found)
+    def entry(t: Column) -> Column:
+        hit = F.get(spelled, F.array_min(F.filter("_in_text", lambda i: F.get(owner, i) == t)))
+        link = F.get(spelled, F.array_min(F.filter("_in_urls", lambda p: F.get(owner, p["phrase"]) == t))["phrase"])
+        of = lambda field: F.get(literals([getattr(c, field) for c in catalog]), t).alias(field)
+        return F.struct(of("slug"), of("name"), of("kind"), F.when(hit.isNotNull(), "text").otherwise("url").alias("source"), F.coalesce(hit, link).alias("evidence"))
 
-    return F.filter(F.array(*map(entry, catalog)), lambda x: x.isNotNull())
+    return df.withColumn(name, F.transform(found, entry)).drop("_text", "_addresses", "_in_text", "_in_urls")
 
 
 def resolve_technology(raw: Column, catalog: tuple[Technology, ...] = TECHNOLOGIES) -> Column:
@@ -194,7 +201,7 @@ def extract_projects(df: DataFrame, raw_col: str = "raw", text_col: str = "text"
     )
     mine = F.filter("_claimed", lambda u: u.isNotNull() & (u != "") & well_formed(u) & appears_in(u, F.col(urls_col)))
     df = df.withColumn("_urls", F.array_distinct(F.concat(mine, F.filter(urls_col, lambda u: u.isNotNull() & well_formed(u)))))
-    df = df.withColumn("_kinds", classify_urls(F.col("_urls"))).withColumn("technologies", detect_technologies(F.col(text_col), F.col("_urls")))
+    df = with_technologies(df.withColumn("_kinds", classify_urls(F.col("_urls"))), F.col(text_col), F.col("_urls"))
     reason = F.when(v.isNull(), "unreadable").when(F.col("name").isNull(), "no-project-name").when(F.col("confidence").isNull(), "no-confidence").when(F.col("confidence") < minimum, "low-extraction-confidence")
     df = df.select(
         "*", resolve_category(F.col("_category")).alias("category"), F.col("_kinds.repository").alias("repository_url"), F.col("_kinds.website").alias("website_url"), F.col("_kinds.demo").alias("demo_url"),

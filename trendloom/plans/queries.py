@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 
 from trendloom.functions import scoring, search, signals, text, trends, urls
 from trendloom.operators import candidates, claims, compliance, constraints, dedup, feed, ledger, search_index, statistics
-from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TRACKING_KEYS, Signal, default_signals
+from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TECHNOLOGIES, TRACKING_KEYS, Signal, default_signals
 from trendloom.sources import keyed, landing, paged, star
 from trendloom.sources.shared import shared_dir
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
@@ -728,12 +728,45 @@ def extraction_accepted(s, d):
 
 @plain(r"SELECT doc_id, CASE WHEN regexp_matches(text, '\bThe\b') THEN 'The' WHEN regexp_matches(text, '\bIs\b') THEN 'Is' END AS evidence FROM documents WHERE regexp_matches(text, '\b(The|Is)\b')")
 def technology_detect(s, d):
-    from trendloom.functions.verdicts import detect_technologies
+    from trendloom.functions.verdicts import with_technologies
     from trendloom.plans.catalogs import Technology
 
     catalog = (Technology("the", "The", "word", ("The", "Is"), True), Technology("none", "None", "word", ("zzzz",)))
-    found = detect_technologies(F.col("text"), F.array().cast("array<string>"), catalog)
-    return star.table(s, d, "documents").select("doc_id", F.get(found, 0)["evidence"].alias("evidence")).where("evidence is not null")
+    found = with_technologies(star.table(s, d, "documents").select("doc_id", "text"), F.col("text"), F.array().cast("array<string>"), catalog)
+    return found.select("doc_id", F.get("technologies", 0)["evidence"].alias("evidence")).where("evidence is not null")
+
+
+#: Ends of texts and addresses that name technologies, some only nearly.
+_NAMING = ("built with Next.js and Ruby on Rails", "a rust colored Rust tool, cargo install it", "GO modules, golang, go get", "PostgreSQL&psql (mongo)", "typescript/TS; vue.jsx, vue", "nothing here but gophers and javascripts", "gpt-4o on AWS\nLambda", "K8S in docker run", "hugging  face + PyTorch", "_redis redis_ redis", "clickhouse.", "amazon web\tservices")
+_ADDRESSES = ("https://pkg.go.dev/x", "https://vercel.app/docker", "https://crates.io/crates/py", "https://e.com/svelte-kit", "https://bun.sh", "https://e.com/")
+_LISTED = lambda values: "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for v in values) + "]"
+def _alias_sql(table: str, column: str, order: str) -> str:
+    """A row for each text and alias in it: letters, digits, marks and underscores bound words."""
+    found = []
+    for t, tech in enumerate(TECHNOLOGIES):
+        for k, alias in enumerate(tech.aliases):
+            exact = tech.case_sensitive and column == "text"
+            body = alias.replace(".", r"\.").replace(" ", r"[ \t\n]+")
+            word = max(alias.split(), key=len)
+            held = f"contains({column}, '{word}')" if exact else f"contains(lower({column}), '{word.lower()}')"
+            found.append(rf"SELECT doc_id, {t} AS t, '{tech.slug}' AS slug, '{alias}' AS alias, {order} + {k} AS k FROM {table} WHERE {held} AND regexp_matches({column}, '{'' if exact else '(?i)'}(^|[^\pL\pN\pM_]){body}($|[^\pL\pN\pM_])')")
+    return " UNION ALL ".join(found)
+
+
+@plain(rf"""WITH d AS (SELECT doc_id, text || ' ' || ({_LISTED(_NAMING)})[1 + doc_id % 12] AS text, [({_LISTED(_ADDRESSES)})[1 + doc_id % 6], ({_LISTED(_ADDRESSES)})[1 + (doc_id // 6) % 6]] AS urls FROM documents),
+    u AS (SELECT doc_id, unnest(urls) AS url, unnest([0, 1000]) AS pos FROM d),
+    x AS (SELECT doc_id, t, slug, arg_min(alias, k) AS alias FROM ({_alias_sql("d", "text", "0")}) GROUP BY ALL),
+    y AS (SELECT doc_id, t, slug, arg_min(alias, k) AS alias FROM ({_alias_sql("u", "url", "pos")}) GROUP BY ALL)
+    SELECT doc_id, slug, CASE WHEN x.alias IS NOT NULL THEN 'text' ELSE 'url' END AS source, coalesce(x.alias, y.alias) AS evidence FROM x FULL JOIN y USING (doc_id, t, slug)""")
+def technology_catalog(s, d):
+    """The whole technology catalog over texts and addresses."""
+    from trendloom.functions.verdicts import with_technologies
+
+    key = F.col("doc_id")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    docs = star.table(s, d, "documents").select(key, F.concat_ws(" ", "text", pick(_NAMING, key % 12)).alias("text"), F.array(pick(_ADDRESSES, key % 6), pick(_ADDRESSES, F.floor(key / 6) % 6)).alias("urls"))
+    found = with_technologies(docs, F.col("text"), F.col("urls"))
+    return found.select("doc_id", F.explode("technologies").alias("t")).select("doc_id", "t.slug", "t.source", "t.evidence")
 
 
 @plain("SELECT count(*) FILTER (p) AS passed, count(*) FILTER (NOT p) AS rejected, 0::BIGINT AS failed, round(count(*) FILTER (p) / count(*), 3) AS pass_rate FROM (SELECT regexp_matches(lower(text), '\\bthe\\b') AS p FROM documents)")
