@@ -39,8 +39,14 @@ def composed(text: Column) -> Column:
     return run(text)
 
 
+def _ascii_or(text: Column, plain: str, wide: str) -> Column:
+    """Runs of a character class become one space, by a pattern for ASCII where the text has nothing
+    else: Unicode classes take several times as long."""
+    return let(text, lambda t: F.when(F.octet_length(t) == F.length(t), F.regexp_replace(t, plain, " ")).otherwise(F.regexp_replace(t, wide, " ")))
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(_ascii_or(text, r"[ \t\n\x0B\f\r]+", r"(?U)\s+"))
 
 
 def readable_from(text: Column) -> Column:
@@ -54,11 +60,14 @@ def readable(text: Column) -> Column:
 
 def fingerprint_source_from(clean: Column) -> Column:
     """Of readable text: no repost mark, URLs, mentions, punctuation or case."""
-    s = F.regexp_replace(clean, r"^RT @[A-Za-z0-9_]{1,15}:(?U)\s*", "")
-    s = F.regexp_replace(s, r"(?iu)https?://(?U)\S+", " ")
-    s = F.regexp_replace(s, r"@[A-Za-z0-9_]{1,15}", " ")
-    s = F.regexp_replace(s, r"(?U)#(\w+)", "$1")
-    return collapse(F.regexp_replace(F.lower(s), r"(?U)[^\p{L}\p{N}\s]+", " "))
+    def bare(c: Column) -> Column:
+        s = F.regexp_replace(c, r"^RT @[A-Za-z0-9_]{1,15}:(?U)\s*", "")
+        s = F.regexp_replace(s, r"(?iu)https?://(?U)\S+", " ")
+        s = F.regexp_replace(s, r"@[A-Za-z0-9_]{1,15}", " ")
+        return F.regexp_replace(s, r"(?U)#(\w+)", "$1")
+
+    s = let(clean, lambda c: F.lower(F.when(c.contains("@") | c.contains("#") | c.contains("://"), bare(c)).otherwise(c)))
+    return F.trim(_ascii_or(s, "[^a-z0-9]+", r"(?U)[^\p{L}\p{N}]+"))  # signs and white space between words alike
 
 
 def fingerprint_from(source: Column) -> Column:
