@@ -278,7 +278,7 @@ def test_redaction_reaches_every_depth(spark):
     kind = "a struct<token: string, note: string, more: array<map<string, string>>, key: int>"
     df = spark.createDataFrame([(("s", "Bearer abcdefgh12", [{"Secret": "x", "k": "?token=1&b=2"}], 3),), (None,)], kind)
     got = df.select(trends.redact_context(F.col("a"), df.schema["a"].dataType).alias("a")).collect()
-    assert got[0].a.asDict(True) == {"token": "[redacted]", "note": "Bearer [redacted]", "more": [{"Secret": "[redacted]", "k": "?token=[redacted]&b=2"}], "key": None} and got[1].a is None
+    assert got[0].a.asDict(True) == {"token": "[redacted]", "note": "Bearer [redacted]", "more": [{"Secret": "[redacted]", "k": "?token=[redacted]&b=2"}], "key": "[redacted]"} and got[1].a is None
 
 
 def test_stored_keys_give_the_same_pages(spark):
@@ -320,6 +320,9 @@ def test_running_sums_over_ranges(spark):
             own = sorted((at, v) for k, at, v in rows if k == g)
             assert [out[g, at] for at, _ in own] == [(sum(v for _, v in own[: i + 1]), i + 1) for i in range(len(own))]
     assert ranking.numbered(df.limit(0), ["g"], "at", "n").count() == 0
+    far = spark.range(4000).select(F.when(F.col("id") == 3999, F.lit(10**15)).otherwise(F.col("id")).alias("at"), F.lit("g").alias("g"), F.lit(1).alias("v"))
+    out = ranking.running_sum(far, ["g"], "at", "v", "total", 500)  # an outlying value widens no range
+    assert sorted(r.total for r in out.collect()) == list(range(1, 4001))
 
 
 def test_ledger_and_constraints(spark):

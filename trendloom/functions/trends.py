@@ -111,12 +111,11 @@ def redact_map(values: Column) -> Column:
 
 
 def redact_context(value: Column, kind: DataType) -> Column:
-    """Structs, maps and arrays of any depth: values of sensitive keys are replaced whole
-    where they are text, else nulled; other texts lose their secrets; the rest stays."""
+    """Structs, maps and arrays of any depth: values of sensitive keys are replaced whole, whatever
+    their type; other texts lose their secrets; the rest stays. A map whose values aren't text keeps
+    one type for all of them, so that of a sensitive key becomes null."""
     def field(name: str, v: Column, t: DataType) -> Column:
-        if name.lower() not in SENSITIVE_KEYS:
-            return redact_context(v, t)
-        return F.when(v.isNotNull(), F.lit("[redacted]")) if isinstance(t, StringType) else F.lit(None).cast(t)
+        return F.when(v.isNotNull(), F.lit("[redacted]")) if name.lower() in SENSITIVE_KEYS else redact_context(v, t)
 
     if isinstance(kind, StringType):
         return redact_secrets(value)
@@ -125,5 +124,5 @@ def redact_context(value: Column, kind: DataType) -> Column:
     if isinstance(kind, ArrayType):
         return F.transform(value, lambda v: redact_context(v, kind.elementType))
     if isinstance(kind, MapType):
-        return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), field("key", v, kind.valueType)).otherwise(redact_context(v, kind.valueType)))
+        return F.transform_values(value, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit("[redacted]") if isinstance(kind.valueType, StringType) else F.lit(None)).otherwise(redact_context(v, kind.valueType)))
     return value

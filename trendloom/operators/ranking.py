@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.sources.shared import materialize
+
 RANGE_ROWS = 20_000
 
 
 def running_sum(df: DataFrame, by: list[str], at: str, value: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with name: the sum of value over the rows of its group up to its own, in the order
     of at, an integer without nulls that no two rows of a group share."""
-    low, high, n = df.agg(F.min(at), F.max(at), F.count("*")).first()
-    width = max(1, (high - low + 1) * range_rows // max(n, 1)) if n else 1
-    rows = df.withColumn("_range", F.floor((F.col(at) - F.lit(low)) / F.lit(width)))
+    n = df.count()
+    # ranges by a sample of the order column, so that an outlying value widens none; written, so that they stay
+    rows = materialize(df.repartitionByRange(max(1, n // range_rows), at).withColumn("_range", F.spark_partition_id()), "ranges")
     own = Window.partitionBy(*by, "_range")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_sum")).select(*by, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
