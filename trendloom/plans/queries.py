@@ -860,6 +860,35 @@ def lookup_results(s, d):
     return star.table(s, d, "part").select(F.col("p_partkey").alias("id"), landing.contributors(link, F.lit(1)).alias("contributors"), landing.lookup_outcome(status).alias("outcome"))
 
 
+@plain("""WITH a AS (SELECT p_partkey AS id, p_size, p_partkey % 7 AS way FROM part),
+    one AS (SELECT id, way, p_size, CASE WHEN way < 5 THEN p_size ELSE NULL END AS stars, CASE WHEN way < 5 THEN 'e' || p_size END AS etag, CASE WHEN way < 5 THEN 1 WHEN way = 5 THEN NULL ELSE 1 END AS fetched,
+        CASE WHEN way = 5 THEN 1 ELSE 0 END AS failed, CASE WHEN way = 6 THEN 'moved permanently' END AS gone FROM a)
+    SELECT id, CASE WHEN way = 1 THEN stars + 1 ELSE stars END AS stars, CASE WHEN way = 1 THEN 'n' || p_size ELSE etag END AS etag, CASE WHEN way IN (0, 1, 3) THEN 2 ELSE fetched END AS round,
+        CASE WHEN way = 2 THEN 1 WHEN way = 5 THEN 2 ELSE failed END AS failed, coalesce(CASE WHEN way = 3 THEN 'private' END, gone) AS gone,
+        CASE WHEN way = 0 THEN 'e' || p_size || ' unchanged' WHEN way = 6 THEN NULL ELSE coalesce(etag, '-') END AS asked FROM one""")
+def conditional_lookups(s, d):
+    """Two rounds of recorded answers: what was found is asked with its ETag and may be unchanged, new,
+    private, throttled or failing; what moved isn't asked again."""
+    from trendloom.operators import enrichment
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    none = {"stars": "bigint", "forks": "bigint", "open_issues": "bigint", "primary_language": "string", "license": "string", "description": "string", "default_branch": "string", "topics": "array<string>", "pushed_at": "timestamp",
+            "is_archived": "boolean", "is_fork": "boolean", "etag": "string", "fetched_at": "timestamp", "gone_at": "timestamp", "gone_reason": "string", "last_error": "string"}
+    parts = star.table(s, d, "part")
+    repositories = parts.select(key.alias("id"), F.lit("o").alias("owner"), F.lit("n").alias("name"), F.lit(0).alias("fetch_failed_count"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    body = lambda n: F.concat(F.lit('{"stargazers_count": '), n.cast("string"), F.lit("}"))
+    nothing = F.lit(None).cast("int")
+    way = key % 7
+    first = parts.select(key.alias("id"), F.when(way < 5, 200).when(way == 5, 503).otherwise(301).alias("status"), body(size).alias("body"), F.concat(F.lit("e"), size.cast("string")).alias("etag"), nothing.alias("retry_after"), F.lit(9).alias("remaining"))
+    after = enrichment.apply_answers(repositories, first, at("2024-01-01"))
+    asked = enrichment.requests(after.where("gone_at is null"))
+    second = parts.join(asked, key == F.col("id")).select(
+        "id", F.when(way == 0, 304).when(way == 1, 200).when(way == 2, 502).when(way.isin(3, 4), 403).otherwise(500).alias("status"), F.when(way == 1, body(size + 1)).alias("body"),
+        F.concat(F.lit("n"), size.cast("string")).alias("etag"), nothing.alias("retry_after"), F.when(way == 4, 0).otherwise(9).alias("remaining"), F.when(way == 0, F.concat("if_none_match", F.lit(" unchanged"))).otherwise(F.coalesce("if_none_match", F.lit("-"))).alias("asked"))
+    end = enrichment.apply_answers(after, second, at("2024-01-02"))
+    return end.join(second.select("id", "asked"), "id", "left").select("id", "stars", "etag", F.dayofmonth("fetched_at").alias("round"), F.col("fetch_failed_count").alias("failed"), F.col("gone_reason").alias("gone"), "asked")
+
+
 @query("SELECT primary_tweet_id, CASE WHEN discovered_at >= TIMESTAMP '1997-01-01' THEN 0.0 ELSE score END::DOUBLE AS score FROM projects")
 def published_projects(s, d):
     p = star.projects(s, d).select("primary_tweet_id", "score", "discovered_at")
