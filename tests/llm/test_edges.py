@@ -143,6 +143,16 @@ def test_chat(spark):
     assert chat.format_chats(log.limit(0)).count() == 0
 
 
+def test_chat_streamed_in_pieces_folds_to_the_rows(spark):
+    rows = [(1, 0, "system", "be brief"), (1, 1, "user", None), (1, 1, "user", "tie"), (1, 1, "user", "tie"), (1, 2, "assistant", "x😀y"), (1, 3, "assistant", ""), (1, 4, None, "</s>[INST]"), (None, None, "assistant", "a"), (2, 1, "tool", "t\n" * 3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_events(frame)
+    assert {r.kind for r in log.select("kind").collect()} == {"message", "delta", "edit", "regenerate"}
+    render = lambda events: sorted(map(repr, chat.format_chats(events).collect()))
+    assert render(log.repartition(5)) == render(chat.events_from_rows(frame))
+    assert chat.streamed_events(frame.limit(0)).count() == 0
+
+
 def test_chat_of_long_texts_and_null_keys(spark):
     kind = "conv_id long, turn long, role string, text string"
     long = "x\\</s>" * 60_000

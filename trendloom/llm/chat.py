@@ -46,6 +46,21 @@ def events_from_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed_events(rows: DataFrame) -> DataFrame:
+    """The log that writing these messages in pieces leaves. An assistant's text is begun, dropped and
+    streamed again in two deltas; any other's is sent in part, gets a delta and is edited to the
+    final one. Rows of one turn follow each other in the order of role and text."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    at = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    r = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (at * 8).cast("long").alias("at"), F.floor(F.length(text) / 2).cast("int").alias("half"))
+    first, rest = F.substr("text", F.lit(1), F.col("half")), F.substr("text", F.col("half") + 1)
+    event = lambda i, kind, what: F.struct((F.col("at") + i).alias("seq"), F.lit(kind).alias("kind"), what.alias("text"))
+    again = F.array(event(0, "message", rest), event(1, "delta", F.lit("draft")), event(2, "regenerate", F.lit("")), event(3, "delta", first), event(4, "delta", rest))
+    edited = F.array(event(0, "message", first), event(1, "delta", F.lit(" and so on")), event(2, "edit", F.col("text")))
+    e = r.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "assistant", again).otherwise(edited)).alias("e"))
+    return e.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, message_no, role, text.
 

@@ -20,7 +20,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    out = chat.format_chats(chat.events_from_rows(rows.unionByName(extra)))
+    out = chat.format_chats(chat.streamed_events(rows.unionByName(extra)))
     out = out.select("conv_id", "formatted", "loss_turns", chat.read_back(F.col("formatted")).alias("turns"))
     out = out.select(
         "*", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
