@@ -157,3 +157,8 @@ def window_strip(counted: DataFrame, last: str, days: int = 7) -> DataFrame:
     dense = trends.densify(projects_per_day(counted), start, last)
     peak = F.greatest(F.lit(1), F.max("value").over(Window.partitionBy()))  # at most `days` rows
     return dense.select("day", "value", F.round(F.col("value") / peak, 4).alias("height"))
+
+
+def top_projects(projects: DataFrame, n: int = 10) -> DataFrame:
+    """The n visible projects of the highest score, the newest id first among equals."""
+    return projects.where("is_visible").orderBy(F.col("score").desc_nulls_first(), F.desc("id")).limit(n)

@@ -250,7 +250,7 @@ def facet_trend(s, d):
 
 @query("SELECT id, score FROM projects p WHERE is_visible ORDER BY score DESC, id DESC LIMIT 10")
 def top_projects(s, d):
-    return star.projects(s, d).where("is_visible").orderBy(F.desc("score"), F.desc("id")).limit(10).select("id", "score")
+    return statistics.top_projects(star.projects(s, d)).select("id", "score")
 
 
 @query(f", {_COUNTED}, s AS (SELECT strftime(c.d, '%Y-%m-%d') AS day, count(p.id) AS value FROM (SELECT unnest(range(TIMESTAMP '2001-07-26', TIMESTAMP '2001-08-02', INTERVAL 1 DAY)) AS d) c LEFT JOIN counted p ON date_trunc('day', p.discovered_at) = c.d GROUP BY 1) SELECT day, value, round(value / greatest(1, max(value) OVER ()), 4) AS height FROM s")
@@ -736,6 +736,23 @@ def technology_detect(s, d):
     return found.select("doc_id", F.get("technologies", 0)["evidence"].alias("evidence")).where("evidence is not null")
 
 
+@plain(r"""WITH f AS (SELECT doc_id, doc_id % 3 = 0 AS link, doc_id % 6 = 0 AS repo, doc_id % 5 = 0 AS repost, regexp_matches(lower(text), '(^|[^\pL\pN\pM_])the([^\pL\pN\pM_]|$)') AS the,
+        regexp_matches(lower(text), '(^|[^\pL\pN\pM_])is([^\pL\pN\pM_]|$)') AS is_, regexp_matches(lower(text), '(^|[^\pL\pN\pM_])by([^\pL\pN\pM_]|$)') AS by_, regexp_matches(lower(text), '(^|[^\pL\pN\pM_])license([^\pL\pN\pM_]|$)') AS lic FROM documents),
+    p AS (SELECT *, 4 * the::INT - 2 * is_::INT - 2 * by_::INT - 5 * lic::INT + CASE WHEN repo THEN 3 WHEN link THEN 1 ELSE 0 END - 4 * repost::INT AS total FROM f)
+    SELECT doc_id, total, CASE WHEN total >= 5 THEN 'strong' WHEN total >= 3 THEN 'medium' WHEN total >= 1 THEN 'weak' ELSE 'none' END AS strength,
+        CASE WHEN (is_ OR by_ OR lic) AND total < 5 THEN CASE WHEN lic THEN 'legal' WHEN is_ THEN 'news' ELSE 'ad' END WHEN NOT the AND NOT repo THEN 'no-signal' WHEN total < 1 THEN 'no-signal' END AS reason,
+        list_aggregate(list_filter([CASE WHEN the THEN 'the' END, CASE WHEN is_ THEN 'is' END, CASE WHEN by_ THEN 'by' END, CASE WHEN lic THEN 'license' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS phrases FROM p""")
+def signal_breakdown(s, d):
+    """Several negatives, of which the worst and then the first gives the reason; links, repository links
+    and reposts; the parts of the score read back from its JSON."""
+    flag = lambda n, name: (F.col("doc_id") % n == 0).alias(name)
+    docs = star.table(s, d, "documents").select("doc_id", F.col("text").alias("normalized_text"), flag(3, "has_link"), flag(6, "has_repository_link"), flag(5, "is_repost"))
+    out = signals.apply_filter(docs, [Signal("the", 4, "launch"), Signal("is", -2, "news"), Signal("by", -2, "ad"), Signal("license", -5, "legal")])
+    parts = F.from_json(signals.breakdown(out), "total int, strength string, matches array<struct<phrase:string>>")
+    out = out.select("doc_id", "reject_reason", parts.alias("p"))
+    return out.select("doc_id", "p.total", "p.strength", F.col("reject_reason").alias("reason"), F.nullif(F.array_join("p.matches.phrase", ","), F.lit("")).alias("phrases"))
+
+
 #: Ends of texts and addresses that name technologies, some only nearly.
 _NAMING = ("built with Next.js and Ruby on Rails", "a rust colored Rust tool, cargo install it", "GO modules, golang, go get", "PostgreSQL&psql (mongo)", "typescript/TS; vue.jsx, vue", "nothing here but gophers and javascripts", "gpt-4o on AWS\nLambda", "K8S in docker run", "hugging  face + PyTorch", "_redis redis_ redis", "clickhouse.", "amazon web\tservices")
 _ADDRESSES = ("https://pkg.go.dev/x", "https://vercel.app/docker", "https://crates.io/crates/py", "https://e.com/svelte-kit", "https://bun.sh", "https://e.com/")
