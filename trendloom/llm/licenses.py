@@ -210,21 +210,21 @@ def _hits(texts: list[bytes], index: Index, max_inserted: int = MAX_INSERTED) ->
     lo = np.maximum(first[text], shift - max_inserted)
     hi = np.minimum(first[text + 1], shift + index.length[template] + max_inserted)
     out: dict[int, list[tuple[int, int, int]]] = {}
-    member = np.zeros(none + 1, np.int32)
+    local = np.zeros(none + 1, np.int64)  # a template's words from 1 on, 0: another word
     ends = np.searchsorted(template, np.arange(len(index.words) + 1))
     for t in np.flatnonzero(np.diff(ends)).tolist():
-        own = index.word[index.start[t] : index.start[t] + index.length[t]]
-        member[own] = 1
-        held = np.concatenate(([0], np.cumsum(member[word])))
-        member[own] = 0
+        own, want = np.unique(index.word[index.start[t] : index.start[t] + index.length[t]], return_counts=True)
+        local[own] = np.arange(1, len(own) + 1)
+        here = local[word]
+        local[own] = 0
+        held = np.concatenate(([0], np.cumsum(here > 0)))
         mine = np.arange(ends[t], ends[t + 1])
-        want = Counter(own.tolist())
         enough: dict[tuple[int, int], bool] = {}  # hits of one window count its words once
         for x in mine[held[hi[mine]] - held[lo[mine]] >= index.least[t]].tolist():
             window = int(lo[x]), int(hi[x])
             if window not in enough:
-                have = Counter(word[window[0] : window[1]].tolist())
-                enough[window] = sum(min(c, have[w]) for w, c in want.items()) >= index.least[t]
+                have = np.bincount(here[window[0] : window[1]], minlength=len(own) + 1)[1:]
+                enough[window] = int(np.minimum(have, want).sum()) >= index.least[t]
             if enough[window]:
                 d = int(text[x])
                 out.setdefault(d, []).append((t, int(at[x] - first[d]), int(place[x])))
