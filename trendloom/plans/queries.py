@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
@@ -17,7 +17,7 @@ from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITOR
 from trendloom.sources import keyed, landing, paged, star
 from trendloom.sources.shared import shared_dir
 from trendloom.sources.star import EVENTS_NOW, ORDERS_NOW, SQL
-from trendloom.streaming import ingest
+from trendloom.streaming import compliance_job, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1085,6 +1085,31 @@ def score_with_history(s, d):
     return out.select("id", "score", *[of(n)["available"].alias(f"has_{n}") for n in ("confidence", "github", "growth")], of("growth")["effective_weight"].alias("growth_weight"))
 
 
+_TICKS = "SELECT user_id % 20 AS job, event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS tick FROM events"
+
+
+@plain(f"""WITH RECURSIVE t AS (SELECT job, tick, CASE event_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'complete' WHEN 2 THEN 'rejected' WHEN 3 THEN 'failed' ELSE '' END AS answer FROM ({_TICKS})),
+    s AS (SELECT DISTINCT job, 0::BIGINT AS tick, '' AS step, '' AS state, 0::BIGINT AS made FROM t
+        UNION ALL SELECT job, tick, step, CASE step WHEN 'expire' THEN 'expired' WHEN 'collect' THEN 'collected' WHEN 'poll' THEN CASE answer WHEN 'failed' THEN 'failed' ELSE 'in_progress' END
+            ELSE CASE answer WHEN 'accepted' THEN 'in_progress' WHEN 'rejected' THEN 'failed' ELSE 'created' END END, CASE step WHEN 'create' THEN tick ELSE made END
+        FROM (SELECT t.job, t.tick, t.answer, s.made, CASE s.state WHEN 'created' THEN CASE WHEN 10 * (t.tick - s.made) > 15 THEN 'expire' ELSE 'upload' END
+            WHEN 'in_progress' THEN CASE WHEN 10 * (t.tick - s.made) > 40 THEN 'expire' WHEN t.answer = 'complete' THEN 'collect' ELSE 'poll' END ELSE 'create' END AS step FROM s JOIN t ON t.job = s.job AND t.tick = s.tick + 1))
+    SELECT job::VARCHAR AS job, tick, step, state FROM s WHERE tick > 0""")
+def compliance_job_stream(s, d):
+    """Ticks every ten minutes for twenty jobs, in three micro-batches of which the second brings the
+    first's ticks again: each tick is one step of its job."""
+    ticks, out = f"{shared_dir(s)}/ticks-{uuid4().hex}", f"{shared_dir(s)}/steps-{uuid4().hex}"
+    job = F.col("user_id") % 20
+    rows = star.table(s, d, "events").select(job.cast("string").alias("job"), F.row_number().over(Window.partitionBy(job).orderBy("event_id")).cast("long").alias("tick"), (F.col("event_id") % 5).cast("int").alias("way"))
+    answer = F.when(F.col("way") == 0, "accepted").when(F.col("way") == 1, "complete").when(F.col("way") == 2, "rejected").when(F.col("way") == 3, "failed")
+    rows = rows.select("job", "tick", F.timestamp_seconds(F.lit(1767225600) + 600 * F.col("tick")).alias("at"), answer.alias("answer"))
+    for chosen in (F.col("tick") <= 40, F.col("tick") <= 90, F.col("tick") > 90):
+        rows.where(chosen).write.mode("append").parquet(ticks)
+        stream = s.readStream.schema(rows.schema).parquet(ticks)
+        compliance_job.steps(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(out)
+
+
 @query("SELECT id, CASE s WHEN 'created' THEN CASE WHEN started_at < TIMESTAMP '2024-01-10' THEN 'expire' ELSE 'upload' END WHEN 'complete' THEN CASE WHEN started_at < TIMESTAMP '2024-01-20' THEN 'expire' ELSE 'collect' END WHEN 'failed' THEN 'none' ELSE 'poll' END AS step FROM (SELECT *, ['created', 'uploaded', 'in_progress', 'complete', 'failed'][1 + id % 5] AS s FROM runs)")
 def compliance_steps(s, d):
     runs = star.stage_runs(s, d)
