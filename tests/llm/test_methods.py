@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy on small tables."""
 
 import hashlib
+import html
 import random
 import re
 import time
@@ -596,9 +597,9 @@ def test_html_pages_marked_by_hand():
         assert html_text.main_text(page.replace("[[", "").replace("]]", "")).split("\n\n") == want
 
 
-def test_html_ratios_decide_where_labels_are_hidden(monkeypatch):
-    """With telling tags and names hidden most pages keep their text by the ratios alone, and anything in
-    the ratios' place changes it. With labels left on these pages need no ratios."""
+def test_html_ratios_decide(monkeypatch):
+    """With all labels left on, anything in the ratios' place changes most pages; with telling tags
+    and names hidden most pages keep their text by the ratios alone."""
     import pyarrow.parquet as pq
 
     pages = [r or "" for r in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()]
@@ -606,9 +607,22 @@ def test_html_ratios_decide_where_labels_are_hidden(monkeypatch):
     want = [html_text.main_text(p) for p in pages]
     bare = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", p).replace('class="ad"', 'class="x1"') for p in pages]
     assert np.mean([html_text.main_text(p) == w for p, w in zip(bare, want, strict=True)]) > 0.9
-    for other in (lambda p: np.ones(len(p.nodes)), lambda p: rng.random(len(p.nodes)), lambda p: rng.permutation(real(p))):
+    for other in (lambda p: np.ones(len(p.nodes)), lambda p: np.full(len(p.nodes), 5.0), lambda p: rng.random(len(p.nodes)), lambda p: rng.permutation(real(p))):
         monkeypatch.setattr(html_text, "text_ratios", other)
-        assert np.mean([html_text.main_text(p) != w for p, w in zip(bare, want, strict=True)]) > 0.5
+        assert np.mean([html_text.main_text(p) != w for p, w in zip(pages, want, strict=True)]) > 0.5
+
+
+def test_html_given_pages_hold_their_article():
+    """The given pages are written in one form: their article element, and nothing beside it."""
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if p and "</article>" in p]
+    assert len(pages) > 200
+    for page in pages:
+        inner = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>", "", page[page.index("<article") : page.rindex("</article>")])
+        inner = re.sub(r"(?i)</?(?:p|h[1-6]|div|li|ul|ol|article|section|blockquote|table|tr|td|th|pre)\b[^>]*>", "\0", inner)
+        inner = re.sub(r"<[a-zA-Z/][^>]*>", lambda m: " " if m[0].startswith("<br") else "", inner)
+        assert html_text.main_text(page).split("\n\n") == [" ".join(html.unescape(b).split()) for b in inner.split("\0") if b.strip()]
 
 
 def test_html_deep_pages_take_linear_time():

@@ -3,15 +3,19 @@
 A page's text nodes are grouped by their tag path, root to leaf (names with classes). For
 each path the length of its text and its punctuation are summed and divided by its nodes;
 the two ratios are fused on a log scale and smoothed along the page, so that neighbours of
-little text lower it, and a path whose labels name something else than an article (a menu,
-header, footer, sidebar, notice, advert, form or discussion) loses LABEL_COST of it. Nodes of
-at least the page's own threshold are content nodes. The article is the deepest element that
-holds all content nodes, grown to the article element (else main) around it, with a heading
-right above. What is in there stays, but for labelled parts below the threshold and, outside
-an article element, low blocks that are mostly links and low parts at either end.
-
-So on a page whose labels tell all its parts, labels decide the text and the ratios only that
-nothing speaks against them; where labels are missing the ratios decide it alone.
+little text lower it. Labels and links are further features of a path: one that names
+something else than an article (a menu, header, footer, sidebar, notice, advert, form or
+discussion) loses COST of it, a link LINK_COST, in spreads (standard deviations) of the page's
+own ratios. A menu's label costs little, as its ratios tell it apart; that of a discussion or a
+footer, which may be prose, costs more. Nodes of at least the page's own threshold are content
+nodes. The article is the deepest element that holds all content nodes, grown to the article
+element (else main) around it, with a heading right above. What is in there stays, but for
+labelled parts below the threshold and, outside an article element, low blocks that are mostly
+links and low parts at either end.
+
+So the ratios lead: a label weighs only as much as the page's ratios differ, and a labelled part
+whose ratio stands out by more than its cost is content. Where labels are missing the ratios
+decide alone.
 
 A label is believed of a part beside the article element, and else of a part that holds
 neither the main element nor over half of the content by the ratios alone: a wrapper named
@@ -61,6 +65,8 @@ BLOCK = {
 PLAIN = {"section", "div", "td", "body", "html", "center", "span", "table", "tbody", "tr"}
 #: Elements and roles that are something else than an article.
 OTHER = {"nav", "aside", "footer", "menu", "head", "button", "select", "option", "dialog", "fieldset", "label"}
+MENUS = {"nav", "menu", "button", "select", "option"}
+MENU_ROLES = {"navigation", "menu", "menubar"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form", "status"}
 #: Words in an id or class that name a part as something else.
 NAMES = {
@@ -72,9 +78,11 @@ BESIDE = {"header", "reviews", "related", "recommended", "recommendations", "sha
 DISCUSSION = {"comment", "comments", "discussion", "disqus", "replies", "reply", "responses"}
 #: Share of the content's characters that is left at least beside the parts whose labels are believed.
 REST = 0.1
-#: What a label costs, and how far below the page's mean a content node may be, on the log scale of the fused ratio.
-LABEL_COST = 12.0
-BELOW = 1.0
+#: What the label of a path costs, more the more such parts are written like an article; what a link costs; and
+#: how far below the mean a content node may be: all in spreads of the page's own ratios.
+COST = {"menu": 0.5, "part": 2.5, "other": 2.5, "foot": 4.0, "copyright": 4.0, "discussion": 4.0}
+LINK_COST = 0.75
+BELOW = 0.5
 KERNEL = np.array([0.06, 0.24, 0.4, 0.24, 0.06])
 _PUNCT = re.compile("[.,;:!?。，、！？¿¡…]")
 _COPYRIGHT = re.compile(r"\s*+(?:©|\(c\) |copyright\b)", re.I)
@@ -87,11 +95,12 @@ _REACH = {"body", "html", "article", "main", "table", "tr", "tbody", "div", "sec
 
 @lru_cache(maxsize=4096)
 def _label(tag: str, written: str, in_article: bool) -> tuple[str, str]:
-    """An element's label in paths, and what it calls itself: "other", "part", "discussion" or ""."""
+    """An element's label in paths, and what it calls itself: a key of COST or ""."""
     attributes = {a[0].lower(): a[1] or a[2] or a[3] or "" for a in _ATTRIBUTE.findall(written)} if written else {}
     label = tag + "".join(f".{c}" for c in attributes.get("class", "").split())
-    if tag in OTHER or (tag == "header" and not in_article) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return label, "other"
+    role = attributes.get("role", "").lower()
+    if tag in OTHER or (tag == "header" and not in_article) or role in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return label, "foot" if "footer" == tag or role == "contentinfo" else "menu" if tag in MENUS or role in MENU_ROLES else "other"
     if tag in ("html", "body", "article", "main"):
         return label, ""
     names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
@@ -119,7 +128,7 @@ class Page:
             self.nodes.append(len(self.text))
             text = html.unescape(text)
             if not self.kind[element] and _COPYRIGHT.match(text) and self.tag[element] in ("div", "p", "small", "span", "td", "center"):
-                self.kind[element] = "part"
+                self.kind[element] = "copyright"
         elif not text:
             return
         self.element.append(element)
@@ -233,20 +242,20 @@ def text_ratios(page: Page) -> np.ndarray:
     return np.minimum(ratio, np.convolve(np.pad(ratio, 2, mode="edge"), KERNEL, mode="valid")) if len(ratio) > 1 else ratio
 
 
-def threshold(page: Page, ratio: np.ndarray) -> float:
-    """From which a node is content: a little below the mean over the text's characters,
-    where what is below 0 or in links weighs next to nothing."""
+def threshold(page: Page, ratio: np.ndarray, counted: np.ndarray, spread: float) -> float:
+    """From which a node is content: a little below the mean over the counted text's characters,
+    where text in links weighs next to nothing, as does what isn't counted."""
     size = np.array([0.01 if page.link[page.element[i]] else len(page.text[i]) for i in page.nodes])
-    weight = size * np.exp(np.minimum(ratio, 0.0))
-    return float((ratio * weight).sum() / weight.sum()) - BELOW
+    weight = size * np.where(counted, 1.0, 1e-6)
+    return float((ratio * weight).sum() / weight.sum()) - BELOW * spread - 1e-9
 
 
 def believed(page: Page, ratio: np.ndarray) -> list[bool]:
     """Whether an element is, or is inside, what its label says. ratio: without labels."""
     n = len(page.tag)
     marked = [t in ("article", "main") for t in page.tag]
-    other = page.down([k == "other" for k in page.kind])
-    named = [k in ("part", "discussion") for k in page.kind]
+    other = page.down([k in ("menu", "other", "foot") for k in page.kind])
+    named = [k in ("part", "copyright", "discussion") for k in page.kind]
     if not any(named):
         return other
     in_named, in_marked = page.down(named), page.down(marked)
@@ -257,7 +266,7 @@ def believed(page: Page, ratio: np.ndarray) -> list[bool]:
     kept = [k for k, i in enumerate(page.nodes) if page.element[i] in texts]
     if not kept:
         return other
-    least = threshold(page, np.where([page.element[i] in texts for i in page.nodes], ratio, -50.0))
+    least = threshold(page, ratio, np.array([page.element[i] in texts for i in page.nodes]), float(ratio.std()))
     content = [page.nodes[k] for k in kept if ratio[k] >= least and not page.link[page.element[page.nodes[k]]]]
     size = page.up(page.chars(content))
     total = size[0]
@@ -276,23 +285,29 @@ def believed(page: Page, ratio: np.ndarray) -> list[bool]:
     return [a or b for a, b in zip(other, without, strict=True)]
 
 
-def path_ratios(page: Page) -> np.ndarray:
-    """The fused ratio of each node: of text and punctuation, less the cost of its path's
-    labels, which page.labelled keeps."""
+def path_ratios(page: Page) -> tuple[np.ndarray, float]:
+    """The fused ratio of each node, which is that of text and punctuation less the cost of its
+    path's labels, and the page's threshold. page.labelled keeps which labels are believed."""
     ratio = text_ratios(page)
     page.labelled = believed(page, ratio)
-    return ratio - LABEL_COST * np.array([page.labelled[page.element[i]] for i in page.nodes])
+    spread = float(ratio.std())
+    cost = [COST.get(k, 0.0) for k in page.kind]
+    for e in range(1, len(cost)):
+        cost[e] = max(cost[e], cost[page.parent[e]])
+    own = np.array([page.labelled[page.element[i]] for i in page.nodes])
+    linked = np.array([page.link[page.element[i]] for i in page.nodes])
+    fused = ratio - spread * (own * np.array([cost[page.element[i]] for i in page.nodes]) + linked * LINK_COST)
+    return fused, threshold(page, fused, ~own, spread)
 
 
 def main_text(source: str) -> str:
     page = Page(source)
     if not page.nodes:
         return ""
-    ratio = path_ratios(page)
+    ratio, least = path_ratios(page)
     if all(page.labelled[page.element[i]] for i in page.nodes):
         return ""
-    least = threshold(page, ratio)
-    seeds = {i for i, r in zip(page.nodes, ratio.tolist(), strict=True) if r >= least and not page.link[page.element[i]]}
+    seeds = {i for i, r in zip(page.nodes, ratio.tolist(), strict=True) if r >= least}
     inside, article = region_of(page, seeds)
     blocks: dict[int, list] = {}  # texts, characters, characters in links, whether a content node is there
     for i, (e, b) in enumerate(zip(page.element, page.block, strict=True)):
