@@ -50,7 +50,7 @@ def recency(c: ScoringConfig) -> tuple[Column, Column, Column]:
 
 
 def confidence(c: ScoringConfig) -> tuple[Column, Column, Column]:
-    a, b = F.col("classification_confidence"), F.col("extraction_confidence")
+    a, b = (F.when(F.col(n).isNotNull(), clamp(F.col(n))) for n in ("classification_confidence", "extraction_confidence"))
     value = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a * c.classification_share + b * c.extraction_share)
     return F.coalesce(clamp(value), F.lit(0.0)), a.isNotNull() | b.isNotNull(), F.lit(False)
 
@@ -64,17 +64,27 @@ def github(c: ScoringConfig) -> tuple[Column, Column, Column]:
     return F.when(known, clamp(value)).otherwise(0.0), known, F.lit(True)
 
 
+def ends() -> tuple[Column, Column]:
+    """The first and last entry of history."""
+    ordered = F.sort_array(F.transform("history", lambda h: F.struct(h["captured_at"].alias("at"), h["like"].alias("like"), h["repost"].alias("repost"), h["reply"].alias("reply"), h["quote"].alias("quote"))))
+    return F.get(ordered, 0), F.get(ordered, F.size(ordered) - 1)
+
+
+def rise(first: Column, last: Column) -> tuple[Column, Column]:
+    """What engagement gained between two entries, and their distance in hours."""
+    total = lambda h: sum((F.coalesce(h[k], F.lit(0)) for k in ("like", "repost", "reply", "quote")), F.lit(0)).cast("double")
+    return total(last) - total(first), (last["at"].cast("timestamp").cast("double") - first["at"].cast("timestamp").cast("double")) / 3600
+
+
 def growth(c: ScoringConfig) -> tuple[Column, Column, Column]:
     """From history: array of (captured_at, like, repost, reply, quote), any order."""
-    ordered = F.sort_array(F.transform("history", lambda h: F.struct(h["captured_at"].alias("at"), h["like"].alias("like"), h["repost"].alias("repost"), h["reply"].alias("reply"), h["quote"].alias("quote"))))
-    return growth_between(F.get(ordered, 0), F.get(ordered, F.size(ordered) - 1), F.coalesce(F.size("history"), F.lit(0)), c)
+    return growth_between(*ends(), F.coalesce(F.size("history"), F.lit(0)), c)
 
 
 def growth_between(first: Column, last: Column, n: Column, c: ScoringConfig) -> tuple[Column, Column, Column]:
-    total = lambda h: sum((F.coalesce(h[k], F.lit(0)) for k in ("like", "repost", "reply", "quote")), F.lit(0)).cast("double")
-    hours = (last["at"].cast("timestamp").cast("double") - first["at"].cast("timestamp").cast("double")) / 3600
+    delta, hours = rise(first, last)
     known = F.coalesce((n >= 2) & (hours >= c.minimum_interval_hours), F.lit(False))
-    rate = F.greatest(F.lit(0.0), (total(last) - total(first)) / F.when(hours > 0, hours))
+    rate = F.greatest(F.lit(0.0), delta / F.when(hours > 0, hours))
     return F.when(known, log_share(rate, c.rate_per_hour_cap)).otherwise(0.0), known, F.lit(True)
 
 

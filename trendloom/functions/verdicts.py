@@ -174,10 +174,10 @@ def resolve_technology(raw: Column, catalog: tuple[Technology, ...] = TECHNOLOGI
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), _squeezed(raw))
 
 
-def unsupported(suggestions: Column, detected: Column) -> Column:
+def unsupported(suggestions: Column, detected: Column, catalog: tuple[Technology, ...] = TECHNOLOGIES) -> Column:
     """Suggestions that nothing in the post supports, as written."""
     slugs = F.transform(detected, lambda d: d["slug"])
-    return F.array_distinct(F.filter(suggestions, lambda s: ~F.coalesce(F.array_contains(slugs, resolve_technology(s)), F.lit(False))))
+    return F.array_distinct(F.filter(suggestions, lambda s: ~F.coalesce(F.array_contains(slugs, resolve_technology(s, catalog)), F.lit(False))))
 
 
 def extract_projects(df: DataFrame, raw_col: str = "raw", text_col: str = "text", urls_col: str = "post_urls", minimum: float = EXTRACT_MINIMUM_CONFIDENCE) -> DataFrame:

@@ -255,6 +255,28 @@ class ScoringConfig:
         return {k: w / total for k, w in self.weights.items()}
 
 
+# -- what a score report says (fixed values) -----------------------------------------------
+
+SPARSE_NOTE = "only %d of %d components available; score damped by %.2f"
+MISSING_NOTE = "%s unavailable: %s"
+WHY = {
+    "engagement none": "No engagement metrics recorded for this post yet.",
+    "engagement absolute": "Weighted engagement %.1f (absolute only; author reach unknown).",
+    "engagement rate": "Weighted engagement %.1f (absolute %.2f) at a rate of %.4f per follower (rate term %.2f)%s.",
+    "engagement anomaly": " — engagement rate %.2f exceeds %.2f; rate term damped",
+    "recency past": "%.1f hours old, past the %.0f-hour window.",
+    "recency grace": "%.1f hours old, inside the %.0f-hour grace window.",
+    "recency": "%.1f hours old; half-life %.0f hours gives %.3f.",
+    "confidence none": "No classification or extraction confidence recorded.",
+    "confidence": "%.3f from %s.",
+    "github none": "No repository data (project has no repository link, or enrichment has not run).",
+    "github": "%d stars (%.2f), %d forks (%.2f), freshness %s.",
+    "growth few": "Fewer than two metric snapshots; no trajectory exists yet.",
+    "growth close": "Snapshots only %.2f hours apart; too close together to measure a rate.",
+    "growth": "+%d engagement over %.1f hours = %.2f/hour (%.2f).",
+}
+CONFIDENCE_BASES = ("classification confidence only", "extraction confidence only", "blended classification and extraction confidence")
+
 #: Minimum sample, and change in per cent below which a trend is steady.
 TREND_MINIMUM_SAMPLE = 8
 TREND_STEADY_PERCENT = 5.0

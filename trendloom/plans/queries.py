@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from trendloom.functions import scoring, search, signals, text, trends, urls
-from trendloom.operators import candidates, claims, compliance, constraints, dedup, feed, ledger, search_index, statistics
+from trendloom.functions import score_report, scoring, search, signals, text, trends, urls
+from trendloom.operators import candidates, claims, compliance, constraints, dedup, faults, feed, ledger, search_index, statistics
 from trendloom.plans.catalogs import DEMO_HOSTS, DEMO_PATHS, MAX_POST, REPOSITORY_HOSTS, SHORTENERS, TECHNOLOGIES, TRACKING_KEYS, Signal, default_signals
 from trendloom.sources import keyed, landing, paged, star
 from trendloom.sources.shared import shared_dir
@@ -1129,3 +1129,174 @@ def compliance_texts(s, d):
     name = lambda x: F.concat(F.lit(x), F.col("id").cast("string"))
     posts = star.posts(s, d).withColumns({"text": name("t"), "canonical_url": name("https://e.com/"), "raw_payload": F.lit("{}")})
     return compliance.apply_to_posts(posts, _findings(s, d), at("2002-01-01")).select("id", "text", "canonical_url", "raw_payload")
+
+
+# -- score reports, faulty rows, rules of single rows --------------------------------------
+
+
+def _scorable(s, d):
+    """Orders as rows to score, with all parts now known and now not."""
+    k = F.col("o_orderkey")
+    o = star.table(s, d, "orders").withColumn("posted_at", F.col("o_orderdate").cast("timestamp"))
+    at_ = lambda h: F.timestamp_seconds(F.col("posted_at").cast("double") + h * 3600)
+    entry = lambda h, n: F.struct(at_(h).alias("captured_at"), n.cast("bigint").alias("like"), *[F.lit(0).cast("bigint").alias(c) for c in ("repost", "reply", "quote")])
+    counted = lambda n: F.when(k % 4 != 1, n)
+    return o.select(
+        k.alias("id"), "posted_at", at_(k % 240).alias("now"), counted(k % 900).alias("like"), counted(k % 17).alias("repost"), counted(F.lit(0)).alias("reply"), counted(F.lit(0)).alias("quote"), counted(F.lit(1)).alias("bookmark"),
+        F.when(k % 5 > 0, k % 5000).alias("author_followers"), F.when(k % 3 == 0, 0.9).alias("classification_confidence"), F.when(k % 2 == 0, 0.7).alias("extraction_confidence"),
+        F.when(k % 7 > 2, k % 7000).alias("repository_stars"), (k % 600).alias("repository_forks"), F.when(k % 7 > 3, at_(k % 240 - 24 * (k % 300))).alias("repository_pushed_at"),
+        F.slice(F.array(entry(F.when(k % 11 == 0, 0.5).otherwise(3.0), k % 400 + 5), entry(F.lit(0.0), F.lit(5))), 1, (k % 3).cast("int")).alias("history"),
+    )
+
+
+_FIXED = lambda x, n: f"printf('%.{n}f', round({x}, {n}))"
+_SHARE = lambda x, cap: f"CASE WHEN {x} > 0 THEN least(1, ln(1 + {x}) / ln({cap + 1})) ELSE 0 END"
+
+
+@plain(f"""WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 240)::DOUBLE AS age, (o_orderkey % 900 + 3 * (o_orderkey % 17) + 4)::DOUBLE AS w, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5000 END AS f,
+        CASE WHEN o_orderkey % 7 > 2 THEN o_orderkey % 7000 ELSE 0 END::DOUBLE AS stars, (o_orderkey % 600)::DOUBLE AS forks, (o_orderkey % 400)::DOUBLE AS rise FROM orders),
+    y AS (SELECT *, w / greatest(f, 250) AS rate, k % 4 <> 1 AS e, k % 3 = 0 OR k % 2 = 0 AS c, k % 7 > 2 AS g, k % 3 = 2 AND k % 11 <> 0 AS r FROM x),
+    z AS (SELECT *, CASE WHEN NOT e THEN 'No engagement metrics recorded for this post yet.'
+            WHEN f IS NULL THEN 'Weighted engagement ' || {_FIXED("w", 1)} || ' (absolute only; author reach unknown).'
+            ELSE 'Weighted engagement ' || {_FIXED("w", 1)} || ' (absolute ' || {_FIXED(_SHARE("w", 1200), 2)} || ') at a rate of ' || {_FIXED("rate", 4)} || ' per follower (rate term ' || {_FIXED(f"({_SHARE('rate', 0.1)}) * CASE WHEN rate > 0.5 THEN 0.5 ELSE 1 END", 2)}
+                || ')' || CASE WHEN rate > 0.5 THEN ' — engagement rate ' || {_FIXED("rate", 2)} || ' exceeds 0.50; rate term damped' ELSE '' END || '.' END AS why_e,
+        {_FIXED("age", 1)} || CASE WHEN age > 168 THEN ' hours old, past the 168-hour window.' WHEN age <= 4 THEN ' hours old, inside the 4-hour grace window.' ELSE ' hours old; half-life 36 hours gives ' || {_FIXED("pow(2, (4 - age) / 36)", 3)} || '.' END AS why_a,
+        CASE WHEN NOT c THEN 'No classification or extraction confidence recorded.' WHEN k % 6 = 0 THEN '0.840 from blended classification and extraction confidence.' WHEN k % 3 = 0 THEN '0.900 from classification confidence only.' ELSE '0.700 from extraction confidence only.' END AS why_c,
+        CASE WHEN NOT g THEN 'No repository data (project has no repository link, or enrichment has not run).' ELSE printf('%d stars (', stars::BIGINT) || {_FIXED(_SHARE("stars", 5000), 2)} || printf('), %d forks (', forks::BIGINT) || {_FIXED(_SHARE("forks", 500), 2)}
+            || '), freshness ' || CASE WHEN k % 7 = 3 THEN 'unknown' ELSE {_FIXED("greatest(0, 1 - (k % 300) / 180)", 2)} END || '.' END AS why_g,
+        CASE WHEN k % 3 < 2 THEN 'Fewer than two metric snapshots; no trajectory exists yet.' WHEN NOT r THEN 'Snapshots only 0.50 hours apart; too close together to measure a rate.'
+            ELSE printf('+%d engagement over 3.0 hours = ', rise::BIGINT) || {_FIXED("rise / 3", 2)} || '/hour (' || {_FIXED(_SHARE("rise / 3", 40), 2)} || ').' END AS why_r, 1 + e::INT + c::INT + g::INT + r::INT AS n FROM y)
+    SELECT k AS id, CASE WHEN n < 2 THEN 0.85 ELSE 1.0 END::DOUBLE AS dampener, concat_ws(' | ', why_e, why_a, why_c, why_g, why_r) AS why,
+        concat_ws(' | ', CASE WHEN n < 2 THEN 'only ' || n || ' of 5 components available; score damped by 0.85' END, CASE WHEN NOT e THEN 'engagement unavailable: ' || why_e END, CASE WHEN NOT c THEN 'confidence unavailable: ' || why_c END,
+            CASE WHEN NOT g THEN 'github unavailable: ' || why_g END, CASE WHEN NOT r THEN 'growth unavailable: ' || why_r END) AS notes,
+        CASE WHEN r THEN rise::BIGINT END AS delta, CASE WHEN e THEN (k % 900)::BIGINT END AS likes, age AS age_hours FROM z""")
+def score_reports(s, d):
+    """What each score says of itself: reasons, notes (with a dampener where one component is all there
+    is) and inputs, read back from the report's JSON."""
+    said = "struct<why:string,inputs:struct<delta:bigint,likes:bigint,age_hours:double>>"
+    of = F.from_json("score_report", f"dampener double, notes array<string>, components struct<engagement:{said},recency:{said},confidence:{said},github:{said},growth:{said}>")
+    out = score_report.with_report(scoring.score(_scorable(s, d))).select("id", of.alias("r"))
+    part = lambda k: F.col("r.components")[k]
+    return out.select("id", "r.dampener", F.array_join("r.notes", " | ").alias("notes"), F.concat_ws(" | ", *[part(k)["why"] for k in scoring.COMPONENTS]).alias("why"),
+                      part("growth")["inputs"]["delta"].alias("delta"), part("engagement")["inputs"]["likes"].alias("likes"), part("recency")["inputs"]["age_hours"].alias("age_hours"))
+
+
+@plain("""WITH x AS (SELECT o_orderkey % 10 = 0 AS t, o_orderkey % 15 = 0 AS n, o_orderkey % 4 <> 1 AND o_orderkey % 6 = 0 AS c FROM orders)
+    SELECT count(*) AS claimed, count(*) FILTER (NOT (t OR n OR c)) AS done, count(*) FILTER (t OR n OR c) AS failed, count(*) FILTER (t) AS no_time, count(*) FILTER (n) AS no_number, count(*) FILTER (c) AS negative, true AS all_scored FROM x""")
+def scoring_faults(s, d):
+    """Rows that no score can be made of are counted by their faults; all others get one."""
+    k = F.col("id")
+    rows = _scorable(s, d).withColumns({"posted_at": F.when(k % 10 != 0, F.col("posted_at")), "classification_confidence": F.when(k % 15 == 0, F.lit("NaN").cast("double")).otherwise(F.col("classification_confidence")), "like": F.when(k % 6 == 0, F.col("like") - 1000).otherwise(F.col("like"))})
+    checked = faults.with_faults(rows, faults.SCORING_FAULTS)
+    good, _ = faults.split_faults(checked)
+    n = lambda name: F.coalesce(F.get(F.filter("reasons", lambda x: x["fault"] == name), 0)["n"], F.lit(0))
+    scores = scoring.score(good).agg(F.coalesce(F.bool_and((F.col("score") >= 0) & (F.col("score") <= 100)), F.lit(True)))
+    return faults.step_summary(checked).select("claimed", "done", "failed", n("no-post-time").alias("no_time"), n("confidence-not-a-number").alias("no_number"), n("negative-count").alias("negative"), scores.scalar().alias("all_scored"))
+
+
+@plain("SELECT conv_id, turn, CASE WHEN role <> 'user' AND text IS NOT NULL THEN length(text) END::BIGINT AS n, CASE WHEN role = 'user' THEN 'ValueError' WHEN text IS NULL THEN 'TypeError' END AS fault FROM conversations")
+def guarded_rows(s, d):
+    """A step in Python that fails for some rows: the others keep their values."""
+    def measure(role, words):
+        if role == "user":
+            raise ValueError(words)
+        return len(words)
+
+    run = faults.guarded(measure, "bigint")
+    return star.table(s, d, "conversations").select("conv_id", "turn", run("role", "text").alias("r")).select("conv_id", "turn", F.col("r.value").alias("n"), "r.fault")
+
+
+@query(f", {_RAW} SELECT doc_id, CASE WHEN k IN (0, 3) THEN 'filtered' WHEN quality = 1 AND k <> 2 THEN 'classified' ELSE 'rejected' END AS status, CASE WHEN k IN (0, 3) THEN NULL WHEN quality = 0 THEN 'not-a-project' WHEN k = 2 THEN 'low-confidence' END AS reject_reason FROM raws")
+def verdict_states(s, d):
+    from trendloom.functions.verdicts import parse_verdicts
+
+    return parse_verdicts(_raws(s, d)).select("doc_id", "status", "reject_reason")
+
+
+@plain("""SELECT page_id, 'https://github.com/a/b' || CASE WHEN page_id % 2 = 0 THEN '' ELSE '2' END AS repository, CASE WHEN page_id % 3 = 0 THEN 'https://x.vercel.app/' ELSE 'https://demo.e.com/1' END AS demo,
+    CASE WHEN page_id % 5 > 0 THEN 'https://e.com/' || page_id END AS website, CASE WHEN page_id % 5 > 0 THEN 2 ELSE 1 END AS rest FROM pages""")
+def first_links(s, d):
+    """Of several addresses of each kind the first counts."""
+    k = F.col("page_id")
+    at_ = lambda t: F.lit(f"https://{t}")
+    repos = F.when(k % 2 == 0, F.array(at_("github.com/a/b"), at_("github.com/a/b2"))).otherwise(F.array(at_("github.com/a/b2"), at_("github.com/a/b")))
+    demos = F.when(k % 3 == 0, F.array(at_("x.vercel.app/"), at_("demo.e.com/1"))).otherwise(F.array(at_("demo.e.com/1"), at_("x.vercel.app/")))
+    sites = F.when(k % 5 > 0, F.array(F.concat(at_("e.com/"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    found = urls.classify_urls(F.concat(F.array(F.lit("no address")), sites, demos, repos))
+    out = star.table(s, d, "pages").select("page_id", found.alias("f"))
+    return out.select("page_id", "f.repository", F.col("f.demo").alias("demo"), F.when(k % 5 > 0, F.col("f.website")).alias("website"), F.size("f.unclassified").alias("rest"))
+
+
+@plain(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, page_id % 4 <> 1 AND (page_id % 4 <> 3 OR rtrim(path, '/') = '') AS verified FROM p""")
+def verified_links(s, d):
+    """An address that a model names counts where the post holds it, or a part of its path."""
+    k, u = F.col("page_id"), F.col("url")
+    base = F.concat(F.lit("http://"), F.upper(urls.part(u, 2)), urls.part(u, 3))
+    claimed = F.when(k % 4 == 0, F.concat(base, F.lit("/?ref=1"))).when(k % 4 == 1, F.concat(F.regexp_replace(base, "/+$", ""), F.lit("x"))).when(k % 4 == 2, F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/docs/more#a"))).otherwise(F.concat(F.lit("https://"), urls.part(u, 2)))
+    return star.table(s, d, "pages").select("page_id", urls.appears_in(claimed, F.array(F.lit("https://other.example/"), u)).alias("verified"))
+
+
+@query("SELECT author_id, max(id)::VARCHAR AS newest FROM posts GROUP BY 1")
+def newest_posts(s, d):
+    """Ids are text of any length: 9 is older than 10."""
+    return star.posts(s, d).groupBy("author_id").agg(ledger.newest_id(F.col("x_tweet_id")).alias("newest"))
+
+
+@query("""SELECT author_id::VARCHAR AS x_author_id, 'last of ' || min(id) AS username FROM posts GROUP BY 1""")
+def page_authors(s, d):
+    """The last entry of an author counts in a page, the first page across pages."""
+    p = star.posts(s, d)
+    user = lambda name: F.struct(F.col("author_id").cast("string").alias("id"), F.concat(F.lit(name), F.col("x_tweet_id")).alias("username"), F.lit("n").alias("name"))
+    made = F.from_json(F.to_json(F.struct(F.struct(F.array(user("first of "), user("last of ")).alias("users")).alias("includes"))), landing.PAGE_SCHEMA)
+    pages = p.select(made.alias("p"), F.lpad("x_tweet_id", 20, "0").alias("page")).select("p.*", "page")
+    return landing.map_authors(pages).select("x_author_id", "username")
+
+
+@query("SELECT title, count(*) AS n FROM (SELECT 'missing ' || (id % 3) AS title FROM posts WHERE id % 4 = 0) GROUP BY 1")
+def page_errors(s, d):
+    """Errors beside the data; entries that are none are passed over."""
+    key = F.col("id")
+    body = F.concat(F.lit('{"errors": [null, '), F.when(key % 4 == 0, F.concat(F.lit('{"title": "missing '), (key % 3).cast("string"), F.lit('"}'))).otherwise(F.lit("null")), F.lit("]}"))
+    pages = star.posts(s, d).select(F.from_json(body, landing.PAGE_SCHEMA).alias("p")).select("p.*")
+    return landing.partial_errors(pages).groupBy("title").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CASE WHEN fetched_at IS NOT NULL THEN greatest(0, (epoch(TIMESTAMP '2024-01-15') - epoch(fetched_at)) / 86400) END::DOUBLE AS days FROM repositories")
+def repository_ages(s, d):
+    return star.repositories(s, d).select("id", landing.days_since(F.col("fetched_at"), at("2024-01-15")).alias("days"))
+
+
+@query("SELECT t.slug, count(DISTINCT x.project_id) AS n FROM visible v JOIN project_technology x ON x.project_id = v.id JOIN technologies t ON t.id = x.technology_id GROUP BY t.slug, t.name ORDER BY n DESC, t.name LIMIT 1")
+def technology_facet_least(s, d):
+    """A limit below one is one."""
+    return feed.technology_facet(_visible(s, d), star.project_technology(s, d), star.technologies(s, d), limit=-5).select("slug", "n")
+
+
+@plain("""WITH o AS (SELECT doc_id AS id, lang AS u, length(text) AS f, doc_id % 3 = 0 AS new, doc_id % 5 > 0 AND doc_id % 7 > 0 AS survives FROM documents)
+    SELECT id FROM o WHERE NOT new AND survives AND (f IN (SELECT f FROM o WHERE new) OR (id % 2 = 0 AND u IN (SELECT u FROM o WHERE new AND id % 2 = 0)))""")
+def stored_matches(s, d):
+    """The stored posts that a batch can meet by URL or text: survivors of a later status, first of their
+    kind, none of the batch itself."""
+    k = F.col("doc_id")
+    posts = star.table(s, d, "documents").select(k.alias("id"), F.when(k % 2 == 0, F.col("lang")).alias("url_hash"), F.length("text").cast("string").alias("text_fingerprint"), F.when(k % 5 > 0, "published").otherwise("rejected").alias("status"), F.when(k % 7 == 0, k - 1).alias("duplicate_of_tweet_id"))
+    return dedup.probe(posts.where("id % 3 = 0"), posts).select("id")
+
+
+@plain("SELECT strftime(r, '%Y-%m-%d') AS day, (SELECT count(*) FROM orders WHERE o_orderdate::DATE = r::DATE) AS value FROM range(DATE '1995-01-01', DATE '1996-02-05', INTERVAL 1 DAY) t(r)")
+def series_at_most(s, d):
+    """A series of many years is cut after 400 days; a reversed one has none."""
+    orders = star.table(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("value"))
+    return trends.densify(orders, "1995-01-01", "2001-01-01").unionByName(trends.densify(orders, "1996-01-01", "1995-01-01"))
+
+
+@plain(r"""SELECT doc_id, concat_ws(',', CASE WHEN NOT regexp_matches(text, '\bThe\b') THEN 'T-H-E' END, 'Unheard Of') AS dropped FROM documents""")
+def unsupported_technologies(s, d):
+    """Technologies that a model names and nothing in the text supports, as written, once."""
+    from trendloom.functions.verdicts import unsupported, with_technologies
+    from trendloom.plans.catalogs import Technology
+
+    catalog = (Technology("the", "The", "word", ("The",), True),)
+    found = with_technologies(star.table(s, d, "documents").select("doc_id", "text"), F.col("text"), F.array().cast("array<string>"), catalog)
+    named = F.array(F.lit("T-H-E"), F.lit("Unheard Of"), F.lit("Unheard Of"))
+    return found.select("doc_id", F.array_join(unsupported(named, F.col("technologies"), catalog), ",").alias("dropped"))

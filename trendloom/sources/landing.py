@@ -125,5 +125,5 @@ def contributors(link_header: Column, items: Column) -> Column:
 
 
 def days_since(ts: Column, now: Column) -> Column:
-    """Whole and part days, never negative."""
-    return F.greatest(F.lit(0.0), (now.cast("timestamp").cast("double") - ts.cast("timestamp").cast("double")) / 86400)
+    """Whole and part days, never negative; null of no time."""
+    return F.when(ts.isNotNull(), F.greatest(F.lit(0.0), (now.cast("timestamp").cast("double") - ts.cast("timestamp").cast("double")) / 86400))
