@@ -174,6 +174,23 @@ def test_decontamination_by_brute_force(spark):
             assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(found))
 
 
+def test_decontamination_where_many_items_share_a_passage(spark):
+    """Every item of a shared passage is found, in one block or several, with and without the longest matches."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    items = [(i, f"{shared} own{i} " + " ".join(f"t{i}x{j}" for j in range(13))) for i in range(400)]
+    docs = [(1, f"a b {shared} c d"), (2, f"x {shared} own7 " + " ".join(f"t7x{j}" for j in range(13))), (3, "s1 s2 nothing else"), (4, None), (5, " ".join(["word"] * 600 + shared.split()))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (500_000, 4_000):
+        with_them, without = ({r.doc_id: r for r in decontam.find_overlaps(d, b, block_words=block, matches=m).collect()} for m in (True, False))
+        every = sorted(str(i) for i, _ in items)
+        for k, hit, found in ((1, 20, every), (2, 34, every), (3, 0, []), (4, 0, []), (5, 20, every)):
+            for r in (with_them[k], without[k]):
+                assert (r.n_hit, r.item_ids) == (hit, found) and sum(x.end - x.start for x in r.hit_spans) == hit
+            assert len(with_them[k].matches) == len(found) and not without[k].matches
+        assert {m.words for m in with_them[1].matches} == {20} and {m.item_id: m.words for m in with_them[2].matches}["7"] == 34
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, b).collect()) == [3, 4, 5]
+
+
 def _longest_by_brute_force(doc, item, size):
     best = (0, 0, 0)
     for p in range(len(doc)):

@@ -198,7 +198,8 @@ def _longest(number: np.ndarray, place: np.ndarray, item: list[np.ndarray], size
     return best
 
 
-def mark(texts: list[bytes], block: Windows) -> list[dict]:
+def mark(texts: list[bytes], block: Windows, matches: bool = True) -> list[dict]:
+    """For each text its words, hit spans, items found and, if asked, its longest match with each."""
     get, parts, sizes = block.vocab.get, [], []
     for text in texts:
         n, folded = 0, text.translate(_FOLD)
@@ -221,11 +222,11 @@ def mark(texts: list[bytes], block: Windows) -> list[dict]:
         w, p, n = (x[ends[d] : ends[d + 1]] for x in (number, place - begin[owner], length))
         seen = np.unique(w)
         items = np.unique(np.concatenate([block.owners[block.first[x] : block.first[x + 1]] for x in seen.tolist()])).tolist()
-        matches = []
-        for k in items:
+        longest = []
+        for k in items if matches else ():
             best = _longest(w, p, block.at[k], n, automata, k)
-            matches.append({"item_id": block.names[k], "doc_start": best[1], "item_start": best[2], "words": best[0]})
-        out[d] |= {"spans": _merged(p, p + n), "items": [block.names[k] for k in items], "matches": matches}
+            longest.append({"item_id": block.names[k], "doc_start": best[1], "item_start": best[2], "words": best[0]})
+        out[d] |= {"spans": _merged(p, p + n), "items": [block.names[k] for k in items], "matches": longest}
     return out
 
 
@@ -237,7 +238,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
     return n, ([(r.id, bytes(r.text)) for r in rows.where(of == b).collect()] for b in range(n))
 
 
-def _matcher(spark, block: Windows):
+def _matcher(spark, block: Windows, matches: bool):
     shared = spark.sparkContext.broadcast(block)
 
     @F.arrow_udf(MATCH)
@@ -251,28 +252,29 @@ def _matcher(spark, block: Windows):
                 part.append(text.as_py() or b"")
                 size += len(part[-1])
                 if size >= SLICE_BYTES:
-                    out += mark(part, shared.value)
+                    out += mark(part, shared.value, matches)
                     part, size = [], 0
-            out += mark(part, shared.value)
+            out += mark(part, shared.value, matches)
             yield pa.array(out, kind)
 
     match.block = shared
     return match
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, matches: bool = True) -> DataFrame:
     """docs with n_words, n_hit, hit_spans (words, end exclusive), item_ids (sorted) and
-    matches (the longest verbatim match with each item found, and where)."""
+    matches (the longest verbatim match with each item found, and where; empty if they are not
+    asked for, which saves a step for each document and item where many items share passages)."""
     spark = small_batches(docs.sparkSession)
     n, blocks = _blocks(benchmark, item_id_col, item_text_col, block_words)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     if n == 1:
-        df = with_columns(docs, _found=_matcher(spark, Windows(next(blocks), window))(text))
+        df = with_columns(docs, _found=_matcher(spark, Windows(next(blocks), window), matches)(text))
     else:
         docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
         hits = []
         for block in blocks:
-            match = _matcher(spark, Windows(block, window))
+            match = _matcher(spark, Windows(block, window), matches)
             found = docs.select("_row", match(text).alias("f")).where(F.size("f.spans") > 0)
             hits.append(materialize(found.select("_row", "f.*"), "decontam-hits"))
             match.block.destroy()
@@ -312,5 +314,5 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    found = find_overlaps(docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("_text")), benchmark, "_text", **options)
+    found = find_overlaps(docs.select(F.struct(*keep).alias("row"), F.col(text_col).alias("_text")), benchmark, "_text", matches=False, **options)
     return found.where(~contaminated(F.col("n_hit"), F.col("n_words"))).select("row.*")
