@@ -73,3 +73,27 @@ def test_batch_reads_and_caps(spark, tmp_path):
     assert [len(json.loads(r.body)["data"]) for r in rows] == [10, 10, 5] and rows[-1].stop == "exhausted"
     assert [p["id"] for r in rows for p in json.loads(r.body)["data"]] == [str(i) for i in range(100, 75, -1)]
     assert len(read(cursors='{"a": "100"}')) == 1  # an empty page
+
+
+def test_runs_in_parts_read_each_folder_once(spark, tmp_path, monkeypatch):
+    """600 posts in spans of 100 ids: as many lines are parsed for a page's folders as they hold, and
+    parts give every post once, in pages with numbers of their own."""
+    for first in range(0, 600, 100):
+        (tmp_path / "query=a" / f"span={first}").mkdir(parents=True)
+        rows = [{"id": str(i), "text": f"post {i}", "author_id": "7", "created_at": "2026-01-01T00:00:00Z"} for i in range(first, first + 100)]
+        (tmp_path / "query=a" / f"span={first}" / "x.json").write_text("\n".join(map(json.dumps, rows)))
+    options = {"queries": '{"a": "a"}', "folder": str(tmp_path), "now": "2026-01-02T00:00:00", "page_size": "10", "max_pages": "99", "max_posts": "9999", "ids_per_task": "100"}
+    search = paged._Search(options)
+    parsed, loads = [0], json.loads
+    monkeypatch.setattr(paged.json, "loads", lambda line: parsed.__setitem__(0, parsed[0] + 1) or loads(line))
+    assert search.newest("a", None) == "599" and parsed[0] <= 110
+    for since, until in ((None, "599"), ("249", "555"), ("399", "400")):
+        spans = search.spans({"a": since} if since else {}, {"a": until})
+        parsed[0] = 0
+        rows = [(p, page) for p, span in enumerate(spans) for page in search.pages(span)]
+        assert parsed[0] <= 100 * len(spans) + int(until) - int(since or -1)  # each line once, and once more in its page
+        assert [p["id"] for _, r in rows for p in loads(r[3])["data"]] == [str(i) for i in range(int(until), int(since or -1), -1)]
+        numbers = [r[1] for _, r in rows]
+        assert numbers == sorted(set(numbers)) and [r[2] for _, r in rows].count("exhausted") == len(spans)
+    whole = [r for s in paged._Search(options | {"ids_per_task": "0"}).spans({}, {"a": "599"}) for r in search.pages(s)]
+    assert [p["id"] for r in whole for p in loads(r[3])["data"]] == [str(i) for i in range(599, -1, -1)] and [r[1] for r in whole] == list(range(1, 61))

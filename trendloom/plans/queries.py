@@ -351,16 +351,16 @@ def authors_by_bucket(s, d):
 @plain("SELECT CAST(o_orderkey AS VARCHAR) AS x_tweet_id, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS query, o_comment_size AS n FROM (SELECT o_orderkey, length(o_orderpriority) AS o_comment_size FROM orders)")
 def paged_stream(s, d):
     """Posts that a paged search gives in two runs of a stream, the second from the offset of the
-    first: every post once, in pages of ten to a hundred, queries side by side."""
+    first: every post once, in pages of ten to a hundred, queries and ranges of ids side by side."""
     folder, out = f"{shared_dir(s)}/posts-{uuid4().hex}", f"{shared_dir(s)}/paged-{uuid4().hex}"
-    key = F.col("o_orderkey")
+    key, span = F.col("o_orderkey"), 50_000
     name = F.when(key % 2 == 0, "even").otherwise("odd").alias("query")
-    posts = star.table(s, d, "orders").select(key.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.lit("7").alias("author_id"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), name)
+    posts = star.table(s, d, "orders").select(key.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.lit("7").alias("author_id"), F.lit("2026-01-01T00:00:00Z").alias("created_at"), name, (F.floor(key / span) * span).alias("span"))
     middle = star.table(s, d, "orders").agg(F.percentile_approx(key, 0.6)).first()[0]
     s.dataSource.register(paged.PagedSearch)
-    options = {"queries": '{"even": "even", "odd": "odd"}', "folder": folder, "now": "2026-01-02T00:00:00", "page_size": 100, "max_pages": 1_000_000, "max_posts": 1_000_000_000}
+    options = {"queries": '{"even": "even", "odd": "odd"}', "folder": folder, "now": "2026-01-02T00:00:00", "page_size": 100, "max_pages": 1_000_000, "max_posts": 1_000_000_000, "ids_per_task": span}
     for now in (F.col("id").cast("long") <= middle, F.col("id").cast("long") > middle):
-        posts.where(now).write.mode("append").partitionBy("query").json(folder)
+        posts.where(now).repartition("query", "span").write.mode("append").partitionBy("query", "span").json(folder)
         run = s.readStream.format("paged_search").options(**options).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
         run.awaitTermination()
     found = landing.map_posts(landing.pages_of(s.read.parquet(out)))

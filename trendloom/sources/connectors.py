@@ -69,23 +69,28 @@ class Criteria:
         return out
 
 
-def search_pages(source: PostSource, criteria: Criteria, allowed: Callable[[int], bool] = lambda n: True) -> tuple[list[dict], str]:
-    """Pages until the source is exhausted or a cap or the budget stops it."""
-    pages: list[dict] = []
+def each_page(source: PostSource, criteria: Criteria, allowed: Callable[[int], bool] = lambda n: True) -> Iterator[tuple[dict, str | None]]:
+    """Pages as they come, the last with why paging ends: the source is exhausted, or a cap or the
+    budget stops it (S01, S02)."""
     posts, token = 0, None
-    while True:
-        if len(pages) >= criteria.max_pages:
-            return pages, "page_cap"
-        if not allowed(posts):
-            return pages, "budget"
+    for number in range(1, criteria.max_pages + 1):
+        if number == 1 and not allowed(posts):
+            return
         page = source.page(criteria.params(token))
-        pages.append(page)
         posts += len(page.get("data") or [])
         token = (page.get("meta") or {}).get("next_token")
-        if not token:
-            return pages, "exhausted"
-        if posts >= criteria.max_posts:
-            return pages, "post_cap"
+        stop = "exhausted" if not token else "post_cap" if posts >= criteria.max_posts else "page_cap" if number == criteria.max_pages else None if allowed(posts) else "budget"
+        yield page, stop
+        if stop:
+            return
+
+
+def search_pages(source: PostSource, criteria: Criteria, allowed: Callable[[int], bool] = lambda n: True) -> tuple[list[dict], str]:
+    """All pages of a search, and why it ended."""
+    pages, stop = [], "budget" if criteria.max_pages > 0 else "page_cap"
+    for page, stop in each_page(source, criteria, allowed):  # noqa: B007
+        pages.append(page)
+    return pages, stop
 
 
 @dataclass(frozen=True)
