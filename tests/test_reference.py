@@ -93,6 +93,11 @@ def test_trends(spark):
     sparse = spark.createDataFrame([("2026-09-01", 3), ("2026-09-04", 5)], "day string, value long")
     assert [r.value for r in trends.densify(sparse, "2026-09-01", "2026-09-05").orderBy("day").collect()] == [3, 0, 0, 5, 0]
     assert values(spark, [(n,) for n in (None, 5, 999, 1000, 1234, 12345, 1500000, 25000000)], "n long", trends.compact_number(F.col("n"))) == ["—", "5", "999", "1k", "1.2k", "12k", "1.5M", "25M"]
+
+
+def test_compact_numbers_with_a_decimal_from_ten_million_on(spark):
+    rows = [(n,) for n in (None, 12345, 999999, 9949999, 9950000, 10049999, 10050000, 25000000, 12345678901234567)]
+    assert values(spark, rows, "n long", trends.compact_number(F.col("n"), whole_millions=False)) == ["—", "12k", "1000k", "9.9M", "10M", "10M", "10.1M", "25M", "12345678901.2M"]
     assert values(spark, [("Bearer abcdefgh1234 https://x.y/?token=abc&z=1",)], "t string", trends.redact_secrets(F.col("t"))) == ["Bearer [redacted] https://x.y/?token=[redacted]&z=1"]
 
 

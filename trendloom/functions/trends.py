@@ -55,13 +55,14 @@ def humanise(slug: Column) -> Column:
     return F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))
 
 
-def compact_number(n: Column) -> Column:
-    """999, 1.2k, 12k, 3M; a dash for none."""
-    def scaled(v: Column, unit: str) -> Column:
-        short = F.regexp_replace(F.round(v, 1).cast("string"), r"\.0$", "")
-        return F.concat(F.when(v < 10, short).otherwise(F.round(v).cast("long").cast("string")), F.lit(unit))
-
-    return F.when(n.isNull(), "—").when(n < 1000, n.cast("string")).when(n < 1_000_000, scaled(n / 1000, "k")).otherwise(scaled(n / 1_000_000, "M"))
+def compact_number(n: Column, whole_millions: bool = True) -> Column:
+    """999, 1.2k, 12k, 3M; a dash for none. From 10M on whole as the reference has them, or with
+    their decimal (12.3M)."""
+    def scaled(v: Column, unit: str, whole: bool) -> Column:
+        short = F.regexp_replace(F.round(v.cast("decimal(30,6)"), 1).cast("string"), r"\.0$", "")
+        return F.concat(F.when((v >= 10) & F.lit(whole), F.round(v).cast("long").cast("string")).otherwise(short), F.lit(unit))
+
+    return F.when(n.isNull(), "—").when(n < 1000, n.cast("string")).when(n < 1_000_000, scaled(n / 1000, "k", True)).otherwise(scaled(n / 1_000_000, "M", whole_millions))
 
 
 def relative_time(ts: Column, now: Column) -> Column:

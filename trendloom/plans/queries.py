@@ -595,7 +595,7 @@ def display_times(s, d):
 
 @query("SELECT id, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 10000 THEN regexp_replace(round(n / 1000.0, 1)::DECIMAL(10,1)::VARCHAR, '\\.0$', '') || 'k' WHEN n < 1000000 THEN round(n / 1000.0)::INTEGER || 'k' ELSE regexp_replace(round(n / 1000000.0, 1)::DECIMAL(10,1)::VARCHAR, '\\.0$', '') || 'M' END AS label FROM (SELECT id, id * 7 AS n FROM projects)")
 def compact_numbers(s, d):
-    return star.projects(s, d).select("id", trends.compact_number(F.col("id") * 7).alias("label"))
+    return star.projects(s, d).select("id", trends.compact_number(F.col("id") * 7, whole_millions=False).alias("label"))
 
 
 # -- constraints and compliance ------------------------------------------------------------
