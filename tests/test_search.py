@@ -3,12 +3,15 @@
 import math
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trendloom.functions import search, signals, transliterate
-from trendloom.functions.stemming import stem
+from trendloom.functions.batches import list_slices
+from trendloom.functions.stemming import WHOLE_WORDS, common_start, stem
+from trendloom.functions.stemming import stems as stem_arrays
 from trendloom.operators import feed, ledger, search_index
 from trendloom.plans.catalogs import Signal
 
@@ -129,3 +132,31 @@ def test_slugs(spark):
     assert got == list(names.values())
     assert all(v.isascii() and not k.isupper() for k, v in transliterate.TABLE.items())
     assert spark.createDataFrame([("x" * 200,)], "n string").select(F.length(ledger.slugify(F.col("n")))).first()[0] == 140
+
+
+def test_words_begin_as_their_stems_do():
+    ends = "|s|es|ed|ing|ly|er|ies|ied|y|ying|ational|ization|bility|iviti|ically|iveness|fulness|ogy|alism|able|eedly|ll|icate|ative|e|ement|sion".split("|")
+    made = {"".join(b) + e for n in (1, 2, 3) for b in product("abyelst", repeat=n) for e in ends}
+    assert [(w, stem(w)) for w in made | set(SAMPLE[::2]) | set(WHOLE_WORDS) if not w.startswith(common_start(stem(w)))] == []
+
+
+def test_matches_send_only_words_like_the_query(spark, monkeypatch):
+    """Of a text of many words Python gets those that may have the query's stems, each once."""
+    long = " ".join(f"w{i} licensed" for i in range(5000))
+    df = spark.createDataFrame([(1, f"{long} Licensing"), (2, "the of"), (3, None), (4, "licenses sky"), (5, "skies licensee"), (6, "Skies, LICENSE")], "id int, t string")
+    seen = []
+    monkeypatch.setattr(search, "stems", lambda c: seen.append(c) or stem_arrays(c))
+    found = search.matches(F.col("t"), "the license in skies")
+    assert sorted(r.id for r in df.where(found).collect()) == [4, 6]
+    assert {r.id: r.n for r in df.select("id", F.size(seen[0]).alias("n")).collect()} == {1: 2, 2: 0, 3: 0, 4: 2, 5: 2, 6: 2}
+    assert df.where(search.matches(F.col("t"), "of the")).count() == 0
+
+
+def test_stems_work_in_slices(spark):
+    """Batches whose words are more than a slice, with empty and missing arrays between, come out in order."""
+    lists = pa.array([["using"] * 40, None, [], ["feeds", None, "x" * 300], ["used"]] * 50, pa.list_(pa.string()))
+    parts = list(list_slices(lists, 1000))
+    assert len(parts) > 50 and pa.concat_arrays(parts).equals(lists) and len(list(list_slices(lists[:0]))) == 0 and pa.concat_arrays(list(list_slices(lists[3:9], 1))).equals(lists[3:9])
+    rows = [(i, ["using", f"feeds{i}", None] * (i * 200)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).select("id", stem_arrays("w").alias("t"))
+    assert {r.id: r.t for r in df.collect()} == {i: ["use", f"feeds{i}", None] * (i * 200) for i in range(40)}

@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trendloom.functions.stemming import stem, stems
+from trendloom.functions.stemming import common_start, stem, stems
 
 # The stop words of the English configuration, then the constants of the rank.
 STOP_WORDS = (
@@ -58,7 +58,12 @@ def matches_tokens(have: Column, query: str) -> Column:
 
 
 def matches(text: Column, query: str) -> Column:
-    return matches_tokens(tokens(text), query)
+    """The same of a text: only its different words that begin as those of the query's stems are stemmed."""
+    starts = [common_start(t) for t in query_tokens(query)]
+    if not starts:
+        return F.lit(False)
+    like = F.filter(words(text), lambda w: reduce(lambda a, b: a | b, [F.startswith(w, F.lit(x)) for x in starts]))
+    return matches_tokens(stems(F.array_distinct(like)), query)
 
 
 def positions(have: Column, token: str) -> Column:

@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.batches import BATCH_ROWS, SLICE_BYTES, slices, small_batches  # noqa: F401
 from trendloom.sources.shared import materialize, shared_dir  # noqa: F401
 
-#: Python works through a column of long texts in slices of about so many bytes.
-SLICE_BYTES = 1 << 20
-#: Rows at most that go to Python at once: texts may be long.
-BATCH_ROWS = 500
-
-
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Send at most BATCH_ROWS rows to Python at once from now on; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-    return spark
-
 
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """Append columns; an input column of the same name (in any case) is replaced."""
     names = {c.lower() for c in columns}
     keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     return df.select(*keep, *[v.alias(k) for k, v in columns.items()])
-
-
-def slices(column, most: int = SLICE_BYTES):
-    """Lists of str (None: empty) from an Arrow string column, a few MB at a time."""
-    start, n = 0, len(column)
-    if not n:
-        return
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    total = 0
-    for i in range(n):
-        total += int(sizes[i])
-        if total >= most or i == n - 1:
-            yield [x or "" for x in column.slice(start, i + 1 - start).to_pylist()]
-            start, total = i + 1, 0
