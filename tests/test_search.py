@@ -8,7 +8,7 @@ from itertools import combinations, product
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trendloom.functions import search, signals, transliterate
+from trendloom.functions import search, signals, transliterate, verdicts
 from trendloom.functions.batches import list_slices
 from trendloom.functions.stemming import WHOLE_WORDS, common_start, stem
 from trendloom.functions.stemming import stems as stem_arrays
@@ -160,3 +160,15 @@ def test_stems_work_in_slices(spark):
     rows = [(i, ["using", f"feeds{i}", None] * (i * 200)) for i in range(40)]
     df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1).select("id", stem_arrays("w").alias("t"))
     assert {r.id: r.t for r in df.collect()} == {i: ["use", f"feeds{i}", None] * (i * 200) for i in range(40)}
+
+
+def test_a_filter_on_signals_runs_the_automaton_once(spark):
+    """And Python gets few long texts at a time; a technology's automata run once each."""
+    df = spark.createDataFrame([(1, "a launch of the tool"), (2, None), (3, "nothing")], "id int, t string").repartition(1)
+    found = signals.with_matches(df, F.col("t"), [Signal("the", 3, "launch"), Signal("launch", 2, "launch")]).where(F.size("signal_matches") > 0)
+    assert [(r.id, [m.phrase for m in r.signal_matches]) for r in found.collect()] == [(1, ["the", "launch"])]
+    plan = lambda q: q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(found).count("find(") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    known = verdicts.with_technologies(df.where("t is not null"), F.col("t"), F.array(F.lit("https://x.example/rust"))).where(F.size("technologies") > 0)
+    assert plan(known).count("find(") == 2

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
+from trendloom.functions.batches import list_slices, slices
+
 
 def folded(text: str) -> str:
     """Letters that match one another without case become one; both dotless and dotted i do."""
@@ -40,16 +42,17 @@ def _numbers(automaton, text: str | None) -> list[int]:
 
 def candidates(phrases: Sequence[str]) -> Callable[[Column], Column]:
     """A column function: text to the numbers of phrases that it may hold, rising. Its result must be a
-    column of a table before lambdas see it."""
+    column of a table before lambdas see it. Spark runs it where it is written, once: a filter above
+    would have it run again below."""
     phrases = tuple(phrases)
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(phrases)
         for texts in batches:
-            yield pa.array([_numbers(automaton, t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([_numbers(automaton, t) for own in slices(texts) for t in own], pa.list_(pa.int32()))
 
-    return find
+    return find.asNondeterministic()
 
 
 def candidates_in_each(phrases: Sequence[str]) -> Callable[[Column], Column]:
@@ -60,12 +63,12 @@ def candidates_in_each(phrases: Sequence[str]) -> Callable[[Column], Column]:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(phrases)
         for lists in batches:
-            pairs = [[(at, i) for at, t in enumerate(texts or ()) for i in _numbers(automaton, t)] for texts in lists.to_pylist()]
+            pairs = [[(at, i) for at, t in enumerate(texts or ()) for i in _numbers(automaton, t)] for part in list_slices(lists) for texts in part.to_pylist()]
             flat = [p for own in pairs for p in own]
             kind = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32())], names=["at", "phrase"])
             yield pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, pairs))], pa.int32()), kind)
 
-    return find
+    return find.asNondeterministic()
 
 
 def literals(values: Sequence) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.batches import small_batches
 from trendloom.functions.phrases import candidates, literals
 from trendloom.functions.urls import host
 from trendloom.plans.catalogs import REPOSITORY_HOSTS, STRENGTHS, STRUCTURAL, Signal, default_signals
@@ -34,6 +35,7 @@ def with_matches(posts: DataFrame, text: Column, signals: Sequence[Signal], name
     patterns run for phrases that the text may hold only, however long the catalog is."""
     if not signals:
         return posts.withColumn(name, F.array().cast("array<struct<phrase:string,weight:int,group:string,n:int>>"))
+    small_batches(posts.sparkSession)
     df = posts.withColumn("_text", text).withColumn("_found", candidates([s.phrase for s in signals])(F.col("_text")))
     of = lambda field: literals([getattr(s, field) for s in signals])
     phrases, weights, groups = of("phrase"), of("weight"), of("group")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.batches import small_batches
 from trendloom.functions.phrases import candidates, candidates_in_each, literals
 from trendloom.functions.signals import pattern
 from trendloom.functions.urls import appears_in, classify_urls, let, well_formed
@@ -149,6 +150,7 @@ def with_technologies(df: DataFrame, text: Column, urls: Column, catalog: tuple[
     owner, spelled = literals([i for i, _ in aliases]), literals([a for _, a in aliases])
     exact, loose = literals([pattern(a, True, catalog[i].case_sensitive) for i, a in aliases]), literals([pattern(a, True, False) for _, a in aliases])
     names = [a for _, a in aliases]
+    small_batches(df.sparkSession)
     df = df.withColumns({"_text": text, "_addresses": urls}).withColumns({"_in_text": candidates(names)(F.col("_text")), "_in_urls": candidates_in_each(names)(F.col("_addresses"))})
     df = df.withColumns({
         "_in_text": F.filter("_in_text", lambda i: F.regexp_like(F.col("_text"), F.get(exact, i))),
