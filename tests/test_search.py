@@ -172,3 +172,14 @@ def test_a_filter_on_signals_runs_the_automaton_once(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
     known = verdicts.with_technologies(df.where("t is not null"), F.col("t"), F.array(F.lit("https://x.example/rust"))).where(F.size("technologies") > 0)
     assert plan(known).count("find(") == 2
+
+
+def test_indexing_sends_few_texts_at_a_time_and_keeps_no_numbers(spark, tmp_path):
+    """Ids among the words stay out of the stems that Python keeps."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    search_index.add_batch(str(tmp_path), spark.createDataFrame([(1, "order 17 urgently"), (2, "orders 18")], "id long, text string"), 1, first=True)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert [r.id for r in search_index.find(spark, str(tmp_path), "18 order").collect()] == [2]
+    stem.cache_clear()
+    list(stem_arrays.func(iter([pa.array([["order", "17", "18", None, "v2"]])])))
+    assert stem.cache_info().currsize == 1

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.functions import search
+from trendloom.functions.batches import small_batches
 from trendloom.functions.trends import humanise
 
 SORTS = ("score", "latest", "oldest", "engagement", "trending", "relevance")
@@ -150,10 +151,12 @@ STORED = ("search_tokens", "growth_contribution")
 
 def with_stored_keys(projects: DataFrame) -> DataFrame:
     """projects with the tokens that searches look up and the number that trending sorts by."""
+    small_batches(projects.sparkSession)
     return projects.drop(*STORED).withColumns({"search_tokens": search.tokens(searchable()), "growth_contribution": trending_key()})
 
 
 def with_search_tokens(df: DataFrame) -> DataFrame:
+    small_batches(df.sparkSession)
     return df if "search_tokens" in df.columns else df.withColumn("search_tokens", search.tokens(searchable()))
 
 

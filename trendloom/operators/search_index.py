@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import search
+from trendloom.functions.batches import small_batches
 
 BUCKETS = 64
 POSTINGS = "token string, id long, positions array<int>, batch long, bucket int"
@@ -50,7 +51,7 @@ def _postings(texts: DataFrame) -> DataFrame:
 def add_batch(path: str, texts: DataFrame, batch: int, buckets: int = BUCKETS, first: bool = False) -> None:
     """Index texts (id, text), one row an id; a null text takes its id out of the index. first: the
     store is begun."""
-    spark = texts.sparkSession
+    spark = small_batches(texts.sparkSession)
     new = texts.select("id", search.tokens(F.col("text")).alias("stems"), bucket_of(F.col("id"), buckets).alias("bucket"), F.col("text").isNotNull().alias("_is"))
     postings = _postings(new)
     if not first:
