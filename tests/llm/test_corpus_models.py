@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -323,3 +325,59 @@ def test_long_texts_go_by_parts(monkeypatch):
     got = Counter(k for keys, _ in parts for k in keys.tolist())
     padded = b"\n\n\n" + data
     assert got == Counter(int.from_bytes(padded[i - 3 : i][::-1] + padded[i : i + 1], "big") for i in range(3, len(padded)))
+
+
+def random_batches(n):
+    """Texts of 100 kB whose grams hardly ever come twice, each of 2,500 words."""
+    letters = np.random.default_rng(2).integers(97, 123, (n, 2500, 40), np.uint8)
+    letters[:, :, -1] = 32
+    for i in range(0, n, 10):
+        texts = [x.tobytes().decode() for x in letters[i : i + 10]]
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, i + len(texts)), pa.int64()), "text": texts, "train": [True] * len(texts)})
+
+
+def test_memory_of_a_chunk(monkeypatch):
+    """8 MB of such texts took 579 MB at the peak: grams waited for each other, and were merged all at once."""
+    monkeypatch.setattr(ctw, "chunk_id", lambda k: k)
+    batches = list(random_batches(80))
+    tracemalloc.start()
+    try:
+        grams = Counter()
+        for batch in ctw.read_chunks(iter(batches), "doc_id", "text", 5, 256, ctw.CHUNK_BYTES):
+            for row in batch.filter(batch["grams"].is_valid()).to_pylist():
+                grams[row["chunk"]] += int(unpack(row["counts"]).sum())
+        assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    finally:
+        tracemalloc.stop()
+    assert sum(grams.values()) == 80 * 100_000 and len(grams) > 1
+
+
+@pytest.mark.parametrize("limit", ["CHUNK_GRAMS", "CHUNK_WORDS", None])
+def test_chunks_end_at_so_many_entries(monkeypatch, limit):
+    """Each chunk has its own words and grams; over all, the counts are those of the texts."""
+    monkeypatch.setattr(ctw, "chunk_id", lambda k: k)
+    monkeypatch.setattr(ctw, "WAITING", 3)
+    monkeypatch.setattr(ctw, "AT_ONCE", 4)
+    if limit:
+        monkeypatch.setattr(ctw, limit, 5)
+    texts = ["one two three", None, "two two", "", "three four five six seven", "x" * 50]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i]), "text": pa.array([t], pa.string()), "train": [i != 2]}) for i, t in enumerate(texts)]
+    rows = [r for b in ctw.read_chunks(iter(batches), "doc_id", "text", 3, 7, ctw.CHUNK_BYTES) for r in b.to_pylist()]
+    names, grams, words = defaultdict(dict), Counter(), Counter()
+    for r in rows:
+        if r["words"] is not None:
+            names[r["chunk"]] |= dict(enumerate(r["words"], r["first"]))
+            words.update(dict(zip(r["words"], r["times"], strict=True)))
+        if r["grams"] is not None:
+            keys = unpack_sorted(r["grams"])
+            assert set(ctw._bucket(keys, 3, 7).tolist()) == {r["bucket"]} and (keys[1:] > keys[:-1]).all()
+            grams.update(dict(zip(keys.tolist(), unpack(r["counts"]).tolist(), strict=True)))
+    assert (len(names) > 1) == (limit is not None)
+    want = Counter()
+    for i, t in enumerate(texts):
+        data = b"\n\n\n" + b" ".join(tokens_of(t)) + b"\n"
+        want.update({int.from_bytes(data[j - 3 : j][::-1] + data[j : j + 1], "big"): 0 for j in range(3, len(data))} if i == 2 else Counter(int.from_bytes(data[j - 3 : j][::-1] + data[j : j + 1], "big") for j in range(3, len(data))))
+    assert grams == want and words == Counter(w for i, t in enumerate(texts) for w in tokens_of(t) if i != 2)
+    for r in rows:
+        if r["numbers"] is not None:
+            assert [names[r["chunk"]][x] for x in unpack(r["numbers"]).tolist()] == tokens_of(texts[r["doc_id"]])

@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,12 @@ from trendloom.llm.common import materialize, slices, small_batches
 #: Bytes of context at most; a gram with its document's number in a slice has 64 bits, so 5 is the most.
 DEPTH = 5
 CHUNK_BYTES = 32 << 20
-#: Bytes that are sorted at once, and distinct grams that wait to be merged.
-PART_BYTES = 4 << 20
-WAITING = 4 << 20
+#: A chunk also ends at so many distinct grams or words: what holds a chunk in memory grows with them.
+CHUNK_GRAMS, CHUNK_WORDS = 2 << 20, 1 << 20
+#: Bytes that are sorted at once, grams that wait to be merged (at least), and grams that are merged or asked for at once.
+PART_BYTES = 1 << 20
+WAITING = 1 << 18
+AT_ONCE = 1 << 18
 ROW_WORDS = 4096
 #: Buckets at least, and for each partition of the input.
 BUCKETS, BUCKETS_EACH = 256, 4
@@ -89,11 +93,11 @@ class _Grams:
         d = self.depth
         size = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
         data = np.frombuffer(b"".join(self.parts), np.uint8)
-        key = np.zeros(len(data), np.uint64)
-        for i in range(1, d + 1):  # the nearest byte is the highest
-            key[d:] |= data[d - i : len(data) - i].astype(np.uint64) << np.uint64(8 * (d - i) + 24)
-        key |= data.astype(np.uint64) << np.uint64(16)
-        key |= np.repeat(np.array(self.owners, np.uint64), size)
+        key = np.repeat(np.array(self.owners, np.uint64), size)
+        for i in range(d + 1):  # the nearest byte is the highest
+            one = data[d - i : len(data) - i].astype(np.uint64)
+            one <<= np.uint64(8 * (d - i) + 24 if i else 16)
+            key[d:] |= one
         begin = np.cumsum(size) - size
         real = np.ones(len(data), bool)
         for i in range(d):
@@ -101,7 +105,9 @@ class _Grams:
         key = key[real]
         key.sort()
         self.parts, self.owners, self.size = [], [], 0
-        return key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype(np.int64)
+        grams = key >> np.uint64(16)
+        key &= np.uint64(0xFFFF)
+        return grams, key.view(np.int64)
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -109,6 +115,30 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
+class _Counts:
+    """Distinct keys in order with the sums of their counts, from parts that each have theirs in order.
+    What waits is merged once it is as much as what is merged, so memory follows the distinct keys."""
+
+    def __init__(self) -> None:
+        self.merged, self.parts, self.waiting = _merge([]), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting >= max(WAITING, len(self.merged[0])):
+            self.take()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All so far."""
+        parts, self.parts, self.waiting = [self.merged, *self.parts], [], 0
+        largest = max((k for k, _ in parts), key=len)
+        cuts = largest[:: max(1, AT_ONCE * len(largest) // max(1, sum(len(k) for k, _ in parts)))]
+        at = [[0, *np.searchsorted(k, cuts[1:]).tolist(), len(k)] for k, _ in parts]
+        pieces = [_merge([(k[x[i] : x[i + 1]], c[x[i] : x[i + 1]]) for (k, c), x in zip(parts, at, strict=True)]) for i in range(len(at[0]) - 1)]
+        self.merged = tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+        return self.merged
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order with the sums of their counts."""
     if not parts:
@@ -126,6 +156,82 @@ def _bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
 
 
+def _runs_of_buckets(keys: np.ndarray, depth: int, buckets: int) -> dict[int, list[slice]]:
+    """Of sorted keys, where each bucket's are: those of the same near bytes stand together."""
+    shift = np.uint64(8 * max(depth - 1, 1))
+    at = np.searchsorted(keys, np.arange(1 << (16 if depth > 1 else 8), dtype=np.uint64) << shift)
+    ends = np.append(at[1:], len(keys))
+    at, ends = at[full := ends > at], ends[full]
+    out: dict[int, list[slice]] = {}
+    for to, a, b in zip(_bucket(keys[at], depth, buckets).tolist(), at.tolist(), ends.tolist(), strict=True):
+        out.setdefault(to, []).append(slice(a, b))
+    return dict(sorted(out.items()))
+
+
+_KINDS = {"chunk": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "numbers": pa.binary(), "first": pa.int32(), "words": pa.list_(pa.binary()), "times": pa.list_(pa.int64()), "bucket": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
+
+
+def read_chunks(batches: Iterator[pa.RecordBatch], key: str, text_col: str, depth: int, buckets: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of gather, from batches with key, text_col and train."""
+    k, kind = 0, None
+    known: dict[bytes, int] = {}
+    times, counted, size = np.zeros(0, np.int64), _Counts(), 0
+
+    def rows(keys, **columns: list) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        columns["chunk"] = [chunk_id(k)] * n
+        return pa.RecordBatch.from_pydict({key: keys if keys is not None else pa.nulls(n, kind)} | {c: pa.array(columns.get(c, [None] * n), t) for c, t in _KINDS.items()})
+
+    def chunk_rows() -> Iterator[pa.RecordBatch]:
+        names = iter(known)
+        for i in range(0, len(known), ROW_WORDS):
+            some = list(islice(names, ROW_WORDS))
+            yield rows(None, first=[i], words=[some], times=[times[i : i + len(some)].tolist()])
+        keys, counts = counted.take()
+        runs = list(_runs_of_buckets(keys, depth, buckets).items())
+        for i in range(0, len(runs), 64):
+            some = runs[i : i + 64]
+            yield rows(None, bucket=[to for to, _ in some], grams=[pack_sorted(np.concatenate([keys[x] for x in at])) for _, at in some], counts=[pack(np.concatenate([counts[x] for x in at])) for _, at in some])
+
+    for batch in batches:
+        start, kind = 0, batch[key].type
+        for texts in slices(batch[text_col]):
+            held = ~np.array(batch["train"].slice(start, len(texts)).to_pylist(), bool)
+            grams, numbers, n_bytes = _Grams(depth), [], []
+
+            def absorb(part: tuple[np.ndarray, np.ndarray], train: np.ndarray = (~held).astype(np.int64)) -> None:
+                keys, owners = part
+                first = _runs(keys)
+                counted.add(keys[first], np.add.reduceat(train[owners], first))
+
+            for i, text in enumerate(texts):
+                own, spelled = [], []
+                for words in words_of(text):
+                    own.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+                    spelled.append(b" ".join(words))
+                data = b" ".join(x for x in spelled if x) + b"\n"
+                for part in grams.add(i, data):
+                    absorb(part)
+                at = np.concatenate(own)
+                numbers.append(pack(at))
+                n_bytes.append(len(data))
+                if len(times) < len(known):
+                    times = np.append(times, np.zeros(max(len(known) - len(times), len(times)), np.int64))
+                if not held[i]:
+                    np.add.at(times, at, 1)
+            if grams.size:
+                absorb(grams.take())
+            yield rows(batch[key].slice(start, len(texts)), held_out=held.tolist(), n_bytes=n_bytes, numbers=numbers)
+            start += len(texts)
+            size += sum(n_bytes)
+            many = len(counted.merged[0]) + counted.waiting >= CHUNK_GRAMS and len(counted.take()[0]) >= CHUNK_GRAMS
+            if many or size >= chunk_bytes or len(known) >= CHUNK_WORDS:
+                yield from chunk_rows()
+                known, times, counted, size, k = {}, np.zeros(0, np.int64), _Counts(), 0, k + 1
+    if size:
+        yield from chunk_rows()
+
+
 def gather(docs: DataFrame, train: Column, key: str = "doc_id", text_col: str = "text", depth: int = DEPTH, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The table of step 1. A document's row has key, chunk, held_out, n_bytes and numbers (packed);
     a row of words has chunk, first, words, times; a row of grams chunk, bucket, grams, counts."""
@@ -134,73 +240,8 @@ def gather(docs: DataFrame, train: Column, key: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     buckets = buckets or max(BUCKETS, BUCKETS_EACH * docs.rdd.getNumPartitions())
     schema = schema_of(docs, key, "chunk long, held_out boolean, n_bytes long, numbers binary, first int, words array<binary>, times array<long>, bucket int, grams binary, counts binary")
-    kinds = {"chunk": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "numbers": pa.binary(), "first": pa.int32(), "words": pa.list_(pa.binary()), "times": pa.list_(pa.int64()), "bucket": pa.int32(), "grams": pa.binary(), "counts": pa.binary()}
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, kind = 0, None
-        known: dict[bytes, int] = {}
-        times, waiting, size = np.zeros(0, np.int64), [], 0
-
-        def rows(keys, **columns: list) -> pa.RecordBatch:
-            n = len(next(iter(columns.values())))
-            columns["chunk"] = [chunk_id(k)] * n
-            return pa.RecordBatch.from_pydict({key: keys if keys is not None else pa.nulls(n, kind)} | {c: pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()})
-
-        def chunk_rows() -> Iterator[pa.RecordBatch]:
-            names, count = list(known), times[: len(known)].tolist()
-            for i in range(0, len(names), ROW_WORDS):
-                yield rows(None, first=[i], words=[names[i : i + ROW_WORDS]], times=[count[i : i + ROW_WORDS]])
-            keys, counts = _merge(waiting)
-            to = _bucket(keys, depth, buckets)
-            order = np.argsort(to, kind="stable")
-            keys, counts, to = keys[order], counts[order], to[order]
-            at = _runs(to)
-            ends = np.append(at[1:], len(to))
-            for i in range(0, len(at), 64):
-                some = list(zip(at[i : i + 64], ends[i : i + 64], strict=True))
-                yield rows(None, bucket=to[at[i : i + 64]].tolist(), grams=[pack_sorted(keys[a:b]) for a, b in some], counts=[pack(counts[a:b]) for a, b in some])
-
-        for batch in batches:
-            start, kind = 0, batch[key].type
-            for texts in slices(batch[text_col]):
-                held = ~np.array(batch["train"].slice(start, len(texts)).to_pylist(), bool)
-                grams, numbers, n_bytes = _Grams(depth), [], []
-
-                def absorb(part: tuple[np.ndarray, np.ndarray], train: np.ndarray = (~held).astype(np.int64)) -> None:
-                    keys, owners = part
-                    first = _runs(keys)
-                    waiting.append((keys[first], np.add.reduceat(train[owners], first)))
-                    if sum(len(x[0]) for x in waiting) > WAITING:
-                        waiting[:] = [_merge(waiting)]
-
-                for i, text in enumerate(texts):
-                    own, spelled = [], []
-                    for words in words_of(text):
-                        own.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
-                        spelled.append(b" ".join(words))
-                    data = b" ".join(x for x in spelled if x) + b"\n"
-                    for part in grams.add(i, data):
-                        absorb(part)
-                    at = np.concatenate(own)
-                    numbers.append(pack(at))
-                    n_bytes.append(len(data))
-                    if len(times) < len(known):
-                        times = np.append(times, np.zeros(max(len(known) - len(times), len(times)), np.int64))
-                    if not held[i]:
-                        np.add.at(times, at, 1)
-                if grams.size:
-                    absorb(grams.take())
-                yield rows(batch[key].slice(start, len(texts)), held_out=held.tolist(), n_bytes=n_bytes, numbers=numbers)
-                start += len(texts)
-                size += sum(n_bytes)
-                if size >= chunk_bytes:
-                    yield from chunk_rows()
-                    known, times, waiting, size, k = {}, np.zeros(0, np.int64), [], 0, k + 1
-        if size:
-            yield from chunk_rows()
-
     docs = docs.select(F.col(key), F.col(text_col).alias(text_col), F.coalesce(train, F.lit(True)).alias("train"))
-    return materialize(docs.mapInArrow(read, schema), "read")
+    return materialize(docs.mapInArrow(lambda batches: read_chunks(batches, key, text_col, depth, buckets, chunk_bytes), schema), "read")
 
 
 _SMALL = 1024
@@ -318,15 +359,16 @@ def train_trees(table: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = table.where(F.col("bucket").isNotNull()).select("bucket", "chunk", "grams", "counts")
     least = min(2, depth)
 
-    def read(own: pa.Table) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-        grams = [unpack_sorted(x) for x in own["grams"].to_pylist()]
-        return grams, [(g, unpack(c)) for g, c in zip(grams, own["counts"].to_pylist(), strict=True)]
+    def read(own: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        counted = _Counts()
+        for grams, counts in zip(own["grams"], own["counts"], strict=True):
+            counted.add(unpack_sorted(grams.as_py()), unpack(counts.as_py()))
+        return counted.take()
 
     def sums(own: pa.Table) -> pa.Table:
         """Nodes of depth 1 as far as this bucket has them."""
-        _, parts = read(own)
         out = []
-        for level in build(*_merge(parts), depth, least)[-1]:
+        for level in build(*read(own), depth, least)[-1]:
             if depth == 1:
                 out.append((level.ids, level.zeros, level.ones, None))
                 continue
@@ -345,11 +387,10 @@ def train_trees(table: DataFrame, depth: int = DEPTH) -> DataFrame:
     shared = spark.sparkContext.broadcast(_top([tuple(r) for r in top]))
 
     def answer(own: pa.Table) -> pa.Table:
-        grams, parts = read(own)
-        keys, counts = _merge(parts)
-        levels = build(keys, counts, depth, least)
-        logs = log_probabilities(keys, (levels if depth > 1 else []) + shared.value, depth)
-        return pa.table({"chunk": own["chunk"], "grams": own["grams"], "logs": pa.array([logs[np.searchsorted(keys, g)].astype(np.float32).tobytes() for g in grams], pa.binary())})
+        keys, counts = read(own)
+        levels = (build(keys, counts, depth, least) if depth > 1 else []) + shared.value
+        logs = np.concatenate([log_probabilities(keys[i : i + AT_ONCE], levels, depth).astype(np.float32) for i in range(0, len(keys), AT_ONCE)])
+        return pa.table({"chunk": own["chunk"], "grams": own["grams"], "logs": pa.array([logs[np.searchsorted(keys, unpack_sorted(g.as_py()))].tobytes() for g in own["grams"]], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(answer, "chunk long, grams binary, logs binary")
 
@@ -372,15 +413,16 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text_co
     schema = schema_of(docs, key, "held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
 
     def put_back(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        is_word = answers["number"].is_valid()
-        found = answers.filter(is_word).sort_by("number")
+        found = answers.select(["number", "word", "count"]).filter(answers["number"].is_valid()).sort_by("number")
         count, names = found["count"].to_numpy(), found["word"].to_pylist()
         logs_of = np.log10(count + SMOOTH)
-        parts = answers.filter(answers["grams"].is_valid())
-        keys = np.concatenate([unpack_sorted(x) for x in parts["grams"].to_pylist()] or [np.zeros(0, np.uint64)])
-        logs = np.concatenate([np.frombuffer(x, np.float32) for x in parts["logs"].to_pylist()] or [np.zeros(0, np.float32)])
+        parts = answers.select(["grams", "logs"]).filter(answers["grams"].is_valid())
+        del found, answers
+        keys = np.concatenate([unpack_sorted(x.as_py()) for x in parts["grams"]] or [np.zeros(0, np.uint64)])
+        logs = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in parts["logs"]] or [np.zeros(0, np.float32)])
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
+        del parts, order
         batches = []
         for batch in docs.to_batches(max_chunksize=500):
             numbers = [unpack(x) for x in batch["numbers"].to_pylist()]
