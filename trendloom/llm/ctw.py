@@ -413,16 +413,21 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text_co
     schema = schema_of(docs, key, "held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long")
 
     def put_back(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        found = answers.select(["number", "word", "count"]).filter(answers["number"].is_valid()).sort_by("number")
-        count, names = found["count"].to_numpy(), found["word"].to_pylist()
+        n = len(answers) - answers["number"].null_count  # words are numbered from 0
+        names, count = [b""] * n, np.zeros(n, np.int64)
+        keys, logs = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        for batch in answers.to_batches():  # a copy of the whole is too much
+            words, grams = batch.filter(batch["number"].is_valid()), batch.filter(batch["grams"].is_valid())
+            at = words["number"].to_numpy()
+            count[at] = words["count"].to_numpy()
+            for i, word in zip(at.tolist(), words["word"].to_pylist(), strict=True):
+                names[i] = word
+            keys += map(unpack_sorted, grams["grams"].to_pylist())
+            logs += (np.frombuffer(x, np.float32) for x in grams["logs"].to_pylist())
         logs_of = np.log10(count + SMOOTH)
-        parts = answers.select(["grams", "logs"]).filter(answers["grams"].is_valid())
-        del found, answers
-        keys = np.concatenate([unpack_sorted(x.as_py()) for x in parts["grams"]] or [np.zeros(0, np.uint64)])
-        logs = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in parts["logs"]] or [np.zeros(0, np.float32)])
+        keys, logs = np.concatenate(keys), np.concatenate(logs)
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
-        del parts, order
         batches = []
         for batch in docs.to_batches(max_chunksize=500):
             numbers = [unpack(x) for x in batch["numbers"].to_pylist()]
