@@ -228,6 +228,7 @@ def read_chunks(batches: Iterator[pa.RecordBatch], key: str, text_col: str, dept
             if many or size >= chunk_bytes or len(known) >= CHUNK_WORDS:
                 yield from chunk_rows()
                 known, times, counted, size, k = {}, np.zeros(0, np.int64), _Counts(), 0, k + 1
+        pa.default_memory_pool().release_unused()  # Arrow keeps what it frees
     if size:
         yield from chunk_rows()
 
@@ -424,6 +425,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text_co
                 names[i] = word
             keys += map(unpack_sorted, grams["grams"].to_pylist())
             logs += (np.frombuffer(x, np.float32) for x in grams["logs"].to_pylist())
+        pa.default_memory_pool().release_unused()
         logs_of = np.log10(count + SMOOTH)
         keys, logs = np.concatenate(keys), np.concatenate(logs)
         order = np.argsort(keys)
