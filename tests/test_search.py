@@ -183,3 +183,59 @@ def test_indexing_sends_few_texts_at_a_time_and_keeps_no_numbers(spark, tmp_path
     stem.cache_clear()
     list(stem_arrays.func(iter([pa.array([["order", "17", "18", None, "v2"]])])))
     assert stem.cache_info().currsize == 1
+
+
+def test_a_batch_reads_each_text_once(spark, tmp_path):
+    """The first batch, later ones and replays: no text is split and stemmed for each table anew."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    df = spark.range(50).select("id", F.udf(count).asNondeterministic()(F.concat(F.lit("launching tools "), F.col("id"))).alias("text"))
+    for batch in (1, 2, 2):
+        search_index.add_batch(str(tmp_path), df, batch, first=batch == 1)
+    assert read.value == 150 and search_index.find(spark, str(tmp_path), "launch tool").count() == 50
+
+
+def test_a_late_batch_leaves_newer_texts(spark, tmp_path):
+    """Batch 2 comes after batch 3: where both have a text, that of batch 3 stays, and a text taken out stays out."""
+    add = lambda batch, texts: search_index.add_batch(str(tmp_path), spark.createDataFrame(texts, "id long, text string"), batch, 8, batch == 1)
+    add(1, [(1, "launch"), (2, "launch"), (3, "launch"), (4, "launch")])
+    add(3, [(1, "compilers"), (2, None)])
+    add(2, [(1, "query launch"), (2, "query"), (3, "query")])
+    found = lambda q: sorted(r.id for r in search_index.find(spark, str(tmp_path), q, 8).collect())
+    assert [found(q) for q in ("launch", "compiler", "query")] == [[4], [1], [3]]
+    search_index.compact(spark, str(tmp_path), str(tmp_path / "small"), 3)
+    rows = {(r.token, r.id): r.positions for r in search_index.postings_of(spark, str(tmp_path / "small"), ["launch", "compil", "queri"], 8).collect()}
+    assert rows == {("launch", 4): [1], ("compil", 1): [1], ("queri", 3): [1]}
+
+
+def test_blocks_hold_what_each_text_holds(monkeypatch):
+    """Texts of several blocks, with many and far places, stop words, none at all."""
+    rng = random.Random(3)
+    word = lambda: rng.choice([None, "used", "using", "feeds", "x1", "łódź"])
+    texts = {7 * i: [word() for _ in range(rng.randrange(0, 30))] for i in range(90)} | {1: [], 2: [None], 3: ["feed"] * 600, 4: [*["used"] * 100, *[None] * 16300, "x1", *["feeds", "x1"] * 40], 5: ["x1", *[None] * 20000, "x1", "feed"]}
+    want = {}
+    for i, words in texts.items():
+        for t in {stem(w) for w in words if w}:
+            want[t, i] = sorted({min(at, 16383) for at, w in enumerate(words, 1) if w and stem(w) == t})[:255]
+    pairs = list(texts.items())
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([w for _, w in part], pa.list_(pa.string()))], ["id", "words"]) for part in (pairs[:40], pairs[40:41], pairs[41:])]
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(search_index, "BLOCK_WORDS", most)
+        blocks = [b.to_pylist() for b in search_index._blocks(iter(batches))]
+        assert len(blocks) == {1: 3, 1 << 20: 1}.get(most, len(blocks)) and len({len({r["token"] for r in b}) - len(b) for b in blocks}) == 1
+        got = {(r["token"], i): r["places"][a:b] for rows in blocks for r in rows for i, a, b in zip(r["ids"], [0, *r["ends"]], r["ends"], strict=False)}
+        assert got == want and sum(len(r["ids"]) for rows in blocks for r in rows) == len(want)
+
+
+def test_a_table_of_one_file_is_dealt_out(spark, tmp_path):
+    """A row group of texts becomes many tasks' work; a table of many files stays with its readers."""
+    rows = spark.range(4000).select("id", F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f" {k}")), 256) for k in range(30)]).alias("text"))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p"), F.length("text").alias("n")).where("n > 0").select("p").distinct().count()
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(8).write.parquet(str(tmp_path / "many"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "many"))
+    assert tasks(one) == 1 and tasks(search_index._dealt(one)) > 1 and search_index._dealt(many) is many

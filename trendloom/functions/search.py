@@ -36,7 +36,7 @@ _WORD = r"(?U)[^\p{L}\p{N}]+"
 
 def words(text: Column) -> Column:
     """Words in order, null for stop words."""
-    found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD), lambda w: w != "")
+    found = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD), "")
     return F.transform(found, lambda w: F.when(~w.isin(*STOP_WORDS), w))
 
 

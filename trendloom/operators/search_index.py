@@ -1,32 +1,40 @@
-"""A stored inverted index over texts (P11): postings (token, id, positions), dealt to buckets
-by the token's hash.
-
-A folder holds two tables, both partitioned by bucket and batch:
-  postings  a row for each stem of a text; without positions where the text no longer has it
-  texts     a row for each text with its stems, in the bucket of its id
-A batch of changed texts looks its old stems up in the buckets of its ids and appends: new
-postings, and rows without positions for stems that went. Nothing else is read or rewritten.
-For a token and a text the newest batch counts; `compact` leaves only these. A batch that is
-replayed replaces its own files.
-
-A search reads the buckets of the query's tokens and of these rows only those tokens; texts
-that have all of them come out with the rank, one aggregate by text.
+"""A stored inverted index over texts (P11): postings, dealt to buckets by the token's hash.
+
+A folder holds two tables:
+  postings  by batch and bucket, a row for each stem of a block of texts: the texts' ids, for each
+            where its places end, and the places one after the other
+  texts     by batch, the ids of the texts that a batch after the first brought or took out
+A batch of changed texts only appends: its postings, then its ids. Nothing is read or
+rewritten. A posting counts if no later batch has its id; `compact` leaves only these. A batch
+that is replayed replaces its own files; until its ids are written, its texts may be found by
+their former words too.
+
+A search reads the buckets of the query's tokens, of these rows only those tokens, and the
+changed ids; texts that have all tokens come out with the rank, one aggregate by text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions import search
-from trendloom.functions.batches import small_batches
+from trendloom.functions.batches import list_slices, small_batches
+from trendloom.functions.stemming import stem_codes
 
 BUCKETS = 64
-POSTINGS = "token string, id long, positions array<int>, batch long, bucket int"
-TEXTS = "id long, tokens array<string>, batch long, bucket int"
+#: compact puts the ids of a token that are alike but for so many low bits into one row.
+BLOCK_BITS = 10
+#: A block has the texts of about so many words of a task.
+BLOCK_WORDS = 1 << 20
+BLOCKS = "token string, ids array<long>, ends array<int>, places array<int>"
+POSTINGS = f"{BLOCKS}, batch long, bucket int"
+TEXTS = "id long, batch long"
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -37,45 +45,89 @@ def _read(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
 
 
-def _write(rows: DataFrame, path: str, table: str, sort: str) -> None:
-    rows.repartition("bucket").sortWithinPartitions("bucket", sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/{table}")
+def _write(rows: DataFrame, path: str, table: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{table}")
 
 
-def _postings(texts: DataFrame) -> DataFrame:
-    """A row for each distinct stem of each text, with as many positions as the rank looks at."""
-    each = texts.select("id", F.posexplode("stems").alias("at", "token")).where(F.col("token").isNotNull())
-    at = F.least(F.col("at") + 1, F.lit(search.LAST_POSITION))
-    return each.groupBy("id", "token").agg(F.slice(F.array_sort(F.collect_set(at)), 1, search.MOST_POSITIONS).alias("positions"))
+def _write_postings(blocks: DataFrame, path: str, batch: int) -> None:
+    """A bucket that is large is parted among tasks, each of which sorts its part by token."""
+    rows = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
+    _write(rows.select("token", "ids", "ends", "places", F.lit(batch).alias("batch"), "bucket"), path, "postings", "batch", "bucket")
+
+
+def _write_ids(texts: DataFrame, path: str, batch: int) -> None:
+    _write(texts.select(F.col("id").cast("long").alias("id"), F.lit(batch).alias("batch")), path, "texts", "batch")
+
+
+def _block(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """BLOCKS of some texts, with as many places as the rank looks at."""
+    own, codes = stem_codes(words.flatten())
+    codes = codes.fill_null(-1).to_numpy()
+    n = words.value_lengths().to_numpy()
+    text = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.arange(1, len(codes) + 1) - np.repeat(n.cumsum() - n, n), search.LAST_POSITION)
+    order = np.argsort(codes, kind="stable")
+    order = order[np.count_nonzero(codes < 0) :]  # without stop words
+    code, text, at = codes[order], text[order], at[order]
+    for most in (1, search.MOST_POSITIONS):  # each place once, then so many of a text
+        begins = np.flatnonzero(_changes(code, text, *[at] * (most == 1)))
+        keep = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at))) < most
+        code, text, at = code[keep], text[keep], at[keep]
+    begins = np.flatnonzero(_changes(code, text))
+    ends, code, text = np.append(begins[1:], len(at))[: len(begins)], code[begins], text[begins]
+    rows = np.flatnonzero(_changes(code))
+    ends -= np.repeat(begins[rows], np.diff(rows, append=len(code)))
+    lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.append(of, len(values)), pa.int32()), values)
+    return pa.RecordBatch.from_arrays([own.take(pa.array(code[rows])), lists(rows, ids.take(pa.array(text))), lists(rows, pa.array(ends, pa.int32())), lists(begins[rows], pa.array(at, pa.int32()))], ["token", "ids", "ends", "places"])
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    return np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)])[: len(columns[0])]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) to BLOCKS."""
+    held, n = [], 0
+    for batch in batches:
+        start = 0
+        for words in list_slices(batch["words"]):
+            held.append((batch["id"].slice(start, len(words)), words))
+            start, n = start + len(words), n + len(words.flatten())
+            if n >= BLOCK_WORDS:
+                yield _block(*map(pa.concat_arrays, zip(*held, strict=True)))
+                held, n = [], 0
+    if held:
+        yield _block(*map(pa.concat_arrays, zip(*held, strict=True)))
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores is dealt out first: a reader doesn't part a row group."""
+    return texts.repartition("id") if 0 < len(texts.inputFiles()) < texts.sparkSession.sparkContext.defaultParallelism else texts
 
 
 def add_batch(path: str, texts: DataFrame, batch: int, buckets: int = BUCKETS, first: bool = False) -> None:
     """Index texts (id, text), one row an id; a null text takes its id out of the index. first: the
-    store is begun."""
-    spark = small_batches(texts.sparkSession)
-    new = texts.select("id", search.tokens(F.col("text")).alias("stems"), bucket_of(F.col("id"), buckets).alias("bucket"), F.col("text").isNotNull().alias("_is"))
-    postings = _postings(new)
-    if not first:
-        asked = [r.bucket for r in new.select("bucket").distinct().collect()]  # no more than there are buckets
-        old = latest(_read(spark, path, "texts", TEXTS).where(F.col("bucket").isin(asked) & (F.col("batch") < batch)), ["id"])
-        gone = old.join(new.select("id"), "id", "left_semi").select("id", F.explode("tokens").alias("token"))
-        gone = gone.join(postings.select("id", "token"), ["id", "token"], "left_anti")
-        postings = postings.unionByName(gone.withColumn("positions", F.lit(None).cast("array<int>")))
-    _write(postings.select("token", "id", "positions", F.lit(batch).alias("batch"), bucket_of(F.col("token"), buckets).alias("bucket")), path, "postings", "token")
-    own = new.select("id", F.array_compact(F.array_distinct("stems")).alias("tokens"), F.lit(batch).alias("batch"), "bucket")
-    _write(own, path, "texts", "id")
-
-
-def latest(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of the newest batch of each key."""
-    rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*key, "_row.*")
+    store is begun; later batches have higher numbers."""
+    small_batches(texts.sparkSession)
+    words = _dealt(texts).where(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), search.words(F.col("text")).alias("words"))
+    _write_postings(words.mapInArrow(_blocks, BLOCKS).withColumn("bucket", bucket_of(F.col("token"), buckets)), path, batch)
+    _write_ids(texts.where(F.lit(not first)), path, batch)
+
+
+def _live(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Rows of POSTINGS as a row for each token and text that no later batch has."""
+    start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+    own = F.transform("ids", lambda id, i: F.struct(id.alias("id"), F.slice("places", start(i) + 1, F.get("ends", i) - start(i)).alias("positions")))
+    rows = rows.select("token", "batch", "bucket", F.inline(own)).alias("p")
+    later = _read(spark, path, "texts", TEXTS).alias("t")
+    return rows.join(later, (F.col("p.id") == F.col("t.id")) & (F.col("t.batch") > F.col("p.batch")), "left_anti").select("token", "id", "positions", "bucket")
 
 
 def postings_of(spark: SparkSession, path: str, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Live postings of some tokens: the scan is held to their buckets."""
     at = reduce(lambda a, b: a | b, [F.col("bucket") == bucket_of(F.lit(t), buckets) for t in tokens], F.lit(False))
-    rows = _read(spark, path, "postings", POSTINGS).where(at & F.col("token").isin(*tokens))
-    return latest(rows, ["token", "id"]).where(F.col("positions").isNotNull()).select("token", "id", "positions")
+    return _live(spark, path, _read(spark, path, "postings", POSTINGS).where(at & F.col("token").isin(*tokens))).drop("bucket")
 
 
 def find(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
@@ -91,7 +143,9 @@ def find(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) ->
 
 def compact(spark: SparkSession, path: str, into: str, batch: int) -> None:
     """The live rows of a store as one batch in a new folder, which then takes the old one's place."""
-    for table, schema, key, sort in (("postings", POSTINGS, ["token", "id"], "token"), ("texts", TEXTS, ["id"], "id")):
-        rows = latest(_read(spark, path, table, schema), key)
-        rows = rows.where(F.col("positions").isNotNull()) if table == "postings" else rows
-        _write(rows.withColumn("batch", F.lit(batch)), into, table, sort)
+    rows = _live(spark, path, _read(spark, path, "postings", POSTINGS))
+    near = rows.groupBy("bucket", "token", F.shiftright("id", BLOCK_BITS).alias("block"))
+    block = near.agg(F.collect_list(F.struct("id", "positions")).alias("own")).select("bucket", "token", F.col("own.id").alias("ids"), F.col("own.positions").alias("each"))
+    ends = F.transform("each", lambda _, i: F.aggregate(F.slice("each", 1, i + 1), F.lit(0), lambda n, x: n + F.size(x)))
+    _write_postings(block.select("bucket", "token", "ids", ends.alias("ends"), F.flatten("each").alias("places")), into, batch)
+    _write_ids(rows.select("id").where(F.lit(False)), into, batch)
