@@ -1,8 +1,8 @@
 """A stored inverted index over texts (P11): postings, dealt to buckets by the token's hash.
 
 A folder holds two tables:
-  postings  by batch and bucket, a row for each stem of a block of texts: the texts' ids, for each
-            where its places end, and the places one after the other
+  postings  by batch and bucket, a row for each stem of a block of texts: its places, and for each
+            place the text's id
   texts     by batch, the ids of the texts that a batch after the first brought or took out
 A batch of changed texts only appends: its postings, then its ids. Nothing is read or
 rewritten. A posting counts if no later batch has its id; `compact` leaves only these. A batch
@@ -29,10 +29,10 @@ from trendloom.functions.stemming import stem_codes
 
 BUCKETS = 64
 #: compact puts the ids of a token that are alike but for so many low bits into one row.
-BLOCK_BITS = 10
+BLOCK_BITS = 8
 #: A block has the texts of about so many words of a task.
 BLOCK_WORDS = 1 << 20
-BLOCKS = "token string, ids array<long>, ends array<int>, places array<int>"
+BLOCKS = "token string, ids array<long>, places array<int>"
 POSTINGS = f"{BLOCKS}, batch long, bucket int"
 TEXTS = "id long, batch long"
 
@@ -52,7 +52,7 @@ def _write(rows: DataFrame, path: str, table: str, *by: str) -> None:
 def _write_postings(blocks: DataFrame, path: str, batch: int) -> None:
     """A bucket that is large is parted among tasks, each of which sorts its part by token."""
     rows = blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
-    _write(rows.select("token", "ids", "ends", "places", F.lit(batch).alias("batch"), "bucket"), path, "postings", "batch", "bucket")
+    _write(rows.select("token", "ids", "places", F.lit(batch).alias("batch"), "bucket"), path, "postings", "batch", "bucket")
 
 
 def _write_ids(texts: DataFrame, path: str, batch: int) -> None:
@@ -73,12 +73,9 @@ def _block(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
         begins = np.flatnonzero(_changes(code, text, *[at] * (most == 1)))
         keep = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at))) < most
         code, text, at = code[keep], text[keep], at[keep]
-    begins = np.flatnonzero(_changes(code, text))
-    ends, code, text = np.append(begins[1:], len(at))[: len(begins)], code[begins], text[begins]
     rows = np.flatnonzero(_changes(code))
-    ends -= np.repeat(begins[rows], np.diff(rows, append=len(code)))
-    lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.append(of, len(values)), pa.int32()), values)
-    return pa.RecordBatch.from_arrays([own.take(pa.array(code[rows])), lists(rows, ids.take(pa.array(text))), lists(rows, pa.array(ends, pa.int32())), lists(begins[rows], pa.array(at, pa.int32()))], ["token", "ids", "ends", "places"])
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(np.append(rows, len(at)), pa.int32()), values)
+    return pa.RecordBatch.from_arrays([own.take(pa.array(code[rows])), lists(ids.take(pa.array(text))), lists(pa.array(at, pa.int32()))], ["token", "ids", "places"])
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -116,18 +113,21 @@ def add_batch(path: str, texts: DataFrame, batch: int, buckets: int = BUCKETS, f
 
 
 def _live(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Rows of POSTINGS as a row for each token and text that no later batch has."""
-    start = lambda i: F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
-    own = F.transform("ids", lambda id, i: F.struct(id.alias("id"), F.slice("places", start(i) + 1, F.get("ends", i) - start(i)).alias("positions")))
-    rows = rows.select("token", "batch", "bucket", F.inline(own)).alias("p")
+    """Rows of POSTINGS as a row for each place of a token in a text that no later batch has."""
+    rows = rows.select("token", "batch", "bucket", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("places").alias("place")))).alias("p")
     later = _read(spark, path, "texts", TEXTS).alias("t")
-    return rows.join(later, (F.col("p.id") == F.col("t.id")) & (F.col("t.batch") > F.col("p.batch")), "left_anti").select("token", "id", "positions", "bucket")
+    return rows.join(later, (F.col("p.id") == F.col("t.id")) & (F.col("t.batch") > F.col("p.batch")), "left_anti").select("token", "id", "place", "bucket")
 
 
-def postings_of(spark: SparkSession, path: str, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Live postings of some tokens: the scan is held to their buckets."""
+def _of_tokens(spark: SparkSession, path: str, tokens: Sequence[str], buckets: int) -> DataFrame:
+    """Live places of some tokens: the scan is held to their buckets."""
     at = reduce(lambda a, b: a | b, [F.col("bucket") == bucket_of(F.lit(t), buckets) for t in tokens], F.lit(False))
-    return _live(spark, path, _read(spark, path, "postings", POSTINGS).where(at & F.col("token").isin(*tokens))).drop("bucket")
+    return _live(spark, path, _read(spark, path, "postings", POSTINGS).where(at & F.col("token").isin(*tokens)))
+
+
+def postings_of(spark: SparkSession, path: str, tokens: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """token, id, positions: live postings of some tokens."""
+    return _of_tokens(spark, path, tokens, buckets).groupBy("token", "id").agg(F.array_sort(F.collect_set("place")).alias("positions"))
 
 
 def find(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
@@ -135,17 +135,16 @@ def find(spark: SparkSession, path: str, query: str, buckets: int = BUCKETS) ->
     want = search.query_tokens(query)
     if not want:
         return spark.createDataFrame([], "id long, rank double")
-    rows = postings_of(spark, path, want, buckets)
-    own = rows.groupBy("id").agg(*[F.max(F.when(F.col("token") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(want)])
+    rows = _of_tokens(spark, path, want, buckets)
+    own = rows.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("token") == t, F.col("place")))).alias(f"p{i}") for i, t in enumerate(want)])
     places = [F.col(f"p{i}") for i in range(len(want))]
-    return own.where(reduce(lambda a, b: a & b, [p.isNotNull() for p in places])).select("id", search.rank_positions(places).alias("rank"))
+    return own.where(reduce(lambda a, b: a & b, [F.size(p) > 0 for p in places])).select("id", search.rank_positions(places).alias("rank"))
 
 
 def compact(spark: SparkSession, path: str, into: str, batch: int) -> None:
     """The live rows of a store as one batch in a new folder, which then takes the old one's place."""
     rows = _live(spark, path, _read(spark, path, "postings", POSTINGS))
     near = rows.groupBy("bucket", "token", F.shiftright("id", BLOCK_BITS).alias("block"))
-    block = near.agg(F.collect_list(F.struct("id", "positions")).alias("own")).select("bucket", "token", F.col("own.id").alias("ids"), F.col("own.positions").alias("each"))
-    ends = F.transform("each", lambda _, i: F.aggregate(F.slice("each", 1, i + 1), F.lit(0), lambda n, x: n + F.size(x)))
-    _write_postings(block.select("bucket", "token", "ids", ends.alias("ends"), F.flatten("each").alias("places")), into, batch)
+    block = near.agg(F.collect_list(F.struct("id", "place")).alias("own"))
+    _write_postings(block.select("bucket", "token", F.col("own.id").alias("ids"), F.col("own.place").alias("places")), into, batch)
     _write_ids(rows.select("id").where(F.lit(False)), into, batch)
